@@ -100,3 +100,84 @@ def q_small_groups(spark, sf_dir):
 @query("largest_groups")
 def q_largest_groups(spark, sf_dir):
     return rate_ops.largest_groups(cube_ops.group_sizes(_cube(spark, sf_dir)), 2)
+
+
+# ---------------------------------------------------------------- H2, F5, E10, H6
+
+from equiaudit.functions import positive_flag, risk_band  # noqa: E402
+from equiaudit.operators import ranking, shift, slices, thresholds  # noqa: E402
+
+
+@query("threshold_sensitivity")
+def q_threshold_sensitivity(spark, sf_dir):
+    return thresholds.threshold_sensitivity(_cube(spark, sf_dir, cuts=C.DEFAULT_CUTS), C.DEFAULT_CUTS)
+
+
+@query("best_threshold")
+def q_best_threshold(spark, sf_dir):
+    sweep = thresholds.threshold_sensitivity(_cube(spark, sf_dir, cuts=C.DEFAULT_CUTS), C.DEFAULT_CUTS)
+    return thresholds.best_threshold(sweep)
+
+
+@query("auc")
+def q_auc(spark, sf_dir):
+    scored = fx.scored_lineitems(spark, sf_dir)
+    return ranking.auc(scored, positive_flag("y_true", fx.POSITIVE), "y_score")
+
+
+@query("risk_band")
+def q_risk_band(spark, sf_dir):
+    """Per-group AUC of the score (attribute, group) and its proxy-risk band."""
+    scored = fx.scored_lineitems(spark, sf_dir)
+    long = scored.select(
+        *[F.col(a) for a in fx.SENSITIVE], "y_true", "y_score"
+    ).unpivot(ids=["y_true", "y_score"], values=list(fx.SENSITIVE), variableColumnName="attribute",
+              valueColumnName="group").where(F.col("group").isNotNull())
+    a = ranking.auc(long, positive_flag("y_true", fx.POSITIVE), "y_score", by=["attribute", "group"])
+    return a.select("attribute", "group", "auc", risk_band("auc").alias("risk_level"))
+
+
+# ---------------------------------------------------------------- E9, H3, F4
+
+@query("column_cardinality")
+def q_column_cardinality(spark, sf_dir):
+    return slices.column_cardinality(fx.scored_lineitems(spark, sf_dir), fx.FEATURES)
+
+
+@query("slice_scan")
+def q_slice_scan(spark, sf_dir):
+    return slices.slice_scan(fx.scored_lineitems(spark, sf_dir), fx.FEATURES, fx.POSITIVE)
+
+
+# ---------------------------------------------------------------- F1, E6-E8, H4
+
+SHIFT_ATTR = "segment"
+
+
+def _shift_inputs(spark, sf_dir):
+    scored = fx.scored_lineitems(spark, sf_dir)
+    groups = shift.compared_groups(scored, SHIFT_ATTR)
+    num, cat, dt = shift.split_feature_types(scored, fx.FEATURES)
+    return scored, groups, num, cat + dt
+
+
+@query("numeric_shift")
+def q_numeric_shift(spark, sf_dir):
+    scored, groups, num, _ = _shift_inputs(spark, sf_dir)
+    out = shift.numeric_shift(scored, SHIFT_ATTR, num, groups)
+    return out.select("rank", "feature", "group_a", "group_b", *[F.round(c, 6).alias(c) for c in
+                                                                 ("mean_a", "mean_b", "abs_mean_diff")])
+
+
+@query("top_values")
+def q_top_values(spark, sf_dir):
+    scored, groups, _, cat = _shift_inputs(spark, sf_dir)
+    return shift.top_values(scored, SHIFT_ATTR, cat, groups)
+
+
+@query("categorical_shift")
+def q_categorical_shift(spark, sf_dir):
+    scored, groups, _, cat = _shift_inputs(spark, sf_dir)
+    out = shift.categorical_shift(scored, SHIFT_ATTR, cat, groups)
+    return out.select("rank", "feature", "group_a", "group_b",
+                      F.round("total_variation_distance", 9).alias("total_variation_distance"))

@@ -124,3 +124,179 @@ SELECT attribute, CAST(rank AS INTEGER) AS rank, "group", n FROM (
   SELECT attribute, "group", n, ROW_NUMBER() OVER (PARTITION BY attribute ORDER BY n DESC, "group" ASC) AS rank FROM sizes
 ) t WHERE rank <= 2
 """
+
+# ---------------------------------------------------------------- thresholds, AUC
+
+CUTS = (0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9)
+
+_cut_counts = "\n  UNION ALL ".join(
+    f"""SELECT attribute, "group", CAST({t} AS DOUBLE) AS threshold,
+         CAST(SUM(CASE WHEN y_true = 'good' AND y_score >= CAST({t} AS DOUBLE) THEN 1 ELSE 0 END) AS BIGINT) AS tp,
+         CAST(SUM(CASE WHEN y_true <> 'good' AND y_score >= CAST({t} AS DOUBLE) THEN 1 ELSE 0 END) AS BIGINT) AS fp,
+         CAST(SUM(CASE WHEN y_true = 'good' AND NOT (y_score >= CAST({t} AS DOUBLE)) THEN 1 ELSE 0 END) AS BIGINT) AS fn,
+         CAST(SUM(CASE WHEN y_true <> 'good' AND NOT (y_score >= CAST({t} AS DOUBLE)) THEN 1 ELSE 0 END) AS BIGINT) AS tn
+  FROM long WHERE "group" IS NOT NULL GROUP BY attribute, "group\""""
+    for t in CUTS
+)
+
+SWEEP = _with(SCORED) + f""", tc AS (
+  {_cut_counts}
+), tr AS (
+  SELECT attribute, "group", threshold,
+         CAST(tp + fp AS DOUBLE) / CAST(tp + fp + fn + tn AS DOUBLE) AS selection_rate,
+         CASE WHEN tp + fn > 0 THEN CAST(tp AS DOUBLE) / CAST(tp + fn AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS true_positive_rate,
+         CASE WHEN fp + tn > 0 THEN CAST(fp AS DOUBLE) / CAST(fp + tn AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS false_positive_rate
+  FROM tc
+), tl AS (
+  SELECT attribute, threshold, 'selection_rate' AS metric, selection_rate AS value FROM tr
+  UNION ALL SELECT attribute, threshold, 'true_positive_rate', true_positive_rate FROM tr
+  UNION ALL SELECT attribute, threshold, 'false_positive_rate', false_positive_rate FROM tr
+), sweep AS (
+  SELECT attribute, threshold, metric, MAX(value) - MIN(value) AS difference,
+         CASE WHEN MAX(value) > 0 THEN MIN(value) / MAX(value) END AS ratio
+  FROM tl GROUP BY attribute, threshold, metric
+)
+"""
+
+SQL["threshold_sensitivity"] = SWEEP + "SELECT * FROM sweep"
+
+SQL["best_threshold"] = SWEEP + """, wide AS (
+  SELECT attribute, threshold,
+         MAX(CASE WHEN metric = 'true_positive_rate' THEN difference END) AS tpr_difference,
+         MAX(CASE WHEN metric = 'false_positive_rate' THEN difference END) AS fpr_difference
+  FROM sweep GROUP BY attribute, threshold
+)
+SELECT attribute, threshold, tpr_difference, fpr_difference FROM (
+  SELECT *, ROW_NUMBER() OVER (PARTITION BY attribute ORDER BY tpr_difference, threshold) AS rn FROM wide
+) t WHERE rn = 1
+"""
+
+_AUC_TAIL = """
+SELECT {keys}
+       CASE WHEN SUM(pos) > 0 AND SUM(neg) > 0
+            THEN CAST(SUM(pos * (2 * neg_before + neg)) AS DOUBLE) / CAST(2 * SUM(pos) * SUM(neg) AS DOUBLE) END AS auc,
+       CAST(SUM(pos) AS BIGINT) AS n_pos, CAST(SUM(neg) AS BIGINT) AS n_neg
+FROM rt {group_by}
+"""
+
+SQL["auc"] = _with(SCORED) + """, ps AS (
+  SELECT y_score AS score, SUM(CASE WHEN y_true = 'good' THEN 1 ELSE 0 END) AS pos,
+         SUM(CASE WHEN y_true = 'good' THEN 0 ELSE 1 END) AS neg
+  FROM scored WHERE y_score IS NOT NULL AND NOT isnan(y_score) GROUP BY y_score
+), rt AS (
+  SELECT *, COALESCE(SUM(neg) OVER (ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS neg_before
+  FROM ps
+)""" + _AUC_TAIL.format(keys="", group_by="")
+
+SQL["risk_band"] = _with(SCORED) + """, ps AS (
+  SELECT attribute, "group", y_score AS score, SUM(CASE WHEN y_true = 'good' THEN 1 ELSE 0 END) AS pos,
+         SUM(CASE WHEN y_true = 'good' THEN 0 ELSE 1 END) AS neg
+  FROM long WHERE "group" IS NOT NULL AND y_score IS NOT NULL GROUP BY attribute, "group", y_score
+), rt AS (
+  SELECT *, COALESCE(SUM(neg) OVER (PARTITION BY attribute, "group" ORDER BY score
+                                    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS neg_before
+  FROM ps
+), a AS (""" + _AUC_TAIL.format(keys='attribute, "group",', group_by='GROUP BY attribute, "group"') + """)
+SELECT attribute, "group", auc,
+       CASE WHEN auc IS NULL THEN NULL WHEN auc >= CAST(0.8 AS DOUBLE) THEN 'high'
+            WHEN auc >= CAST(0.65 AS DOUBLE) THEN 'moderate' ELSE 'low' END AS risk_level
+FROM a
+"""
+
+# ---------------------------------------------------------------- cardinality, slices
+
+FEATURES = ("l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus",
+            "o_orderstatus", "o_orderpriority", "o_totalprice", "c_acctbal", "c_mktsegment", "c_nationkey")
+NUMERIC = ("l_quantity", "l_extendedprice", "l_discount", "l_tax", "o_totalprice", "c_acctbal", "c_nationkey")
+CATEGORICAL = ("l_returnflag", "l_linestatus", "o_orderstatus", "o_orderpriority", "c_mktsegment")
+SLICE_COLS = ("l_returnflag", "l_linestatus", "o_orderstatus", "o_orderpriority", "c_mktsegment")
+
+SQL["column_cardinality"] = _with(SCORED) + ", card AS (\n  " + "\n  UNION ALL ".join(
+    f"SELECT '{c}' AS feature, {i} AS position, COUNT(DISTINCT {c}) + MAX(CASE WHEN {c} IS NULL THEN 1 ELSE 0 END)"
+    f" AS n_distinct FROM scored" for i, c in enumerate(FEATURES)
+) + """
+)
+SELECT feature, CAST(position AS INTEGER) AS position, CAST(n_distinct AS BIGINT) AS n_distinct
+FROM card WHERE n_distinct <= 8
+"""
+
+SQL["slice_scan"] = _with(SCORED) + ", sl AS (\n  " + "\n  UNION ALL ".join(
+    f"SELECT '{c}' AS feature, {i} AS pos, CAST({c} AS VARCHAR) AS value, y_true, y_pred FROM scored"
+    for i, c in enumerate(SLICE_COLS)
+) + """
+), c AS (
+  SELECT feature, pos, value,
+         SUM(CASE WHEN y_true = 'good' AND y_pred = 'good' THEN 1 ELSE 0 END) AS tp,
+         SUM(CASE WHEN y_true <> 'good' AND y_pred = 'good' THEN 1 ELSE 0 END) AS fp,
+         SUM(CASE WHEN y_true = 'good' AND y_pred <> 'good' THEN 1 ELSE 0 END) AS fn,
+         SUM(CASE WHEN y_true <> 'good' AND y_pred <> 'good' THEN 1 ELSE 0 END) AS tn
+  FROM sl WHERE value IS NOT NULL GROUP BY feature, pos, value
+), r AS (
+  SELECT feature, pos, value, CAST(tp + fp + fn + tn AS BIGINT) AS n,
+         CAST(tp + fp AS DOUBLE) / CAST(tp + fp + fn + tn AS DOUBLE) AS selection_rate,
+         CASE WHEN tp + fn > 0 THEN CAST(tp AS DOUBLE) / CAST(tp + fn AS DOUBLE) END AS true_positive_rate,
+         CASE WHEN fp + tn > 0 THEN CAST(fp AS DOUBLE) / CAST(fp + tn AS DOUBLE) END AS false_positive_rate
+  FROM c WHERE tp + fp + fn + tn >= 10
+), ranked AS (
+  SELECT CAST(ROW_NUMBER() OVER (ORDER BY selection_rate DESC, n DESC, pos, value) AS INTEGER) AS rank, * FROM r
+)
+SELECT rank, feature, value, n, selection_rate, true_positive_rate, false_positive_rate FROM ranked WHERE rank <= 20
+"""
+
+# ---------------------------------------------------------------- feature shift (attribute: segment)
+
+TWO_GROUPS = """, gs AS (
+  SELECT COALESCE(segment, 'nan') AS g, COUNT(*) AS n FROM scored GROUP BY 1
+), top2 AS (
+  SELECT g, ROW_NUMBER() OVER (ORDER BY n DESC, g) AS r FROM gs
+), ga AS (SELECT g FROM top2 WHERE r = 1), gb AS (SELECT g FROM top2 WHERE r = 2),
+two AS (
+  SELECT s.*, t.r, t.g AS grp FROM scored s JOIN top2 t ON COALESCE(s.segment, 'nan') = t.g WHERE t.r <= 2
+)"""
+
+SQL["numeric_shift"] = _with(SCORED) + TWO_GROUPS + ", m AS (\n  " + "\n  UNION ALL ".join(
+    f"SELECT '{c}' AS feature, {i} AS position, AVG(CASE WHEN r = 1 THEN CAST({c} AS DOUBLE) END) AS mean_a, "
+    f"AVG(CASE WHEN r = 2 THEN CAST({c} AS DOUBLE) END) AS mean_b FROM two" for i, c in enumerate(NUMERIC)
+) + """
+), d AS (
+  SELECT feature, position, mean_a, mean_b, ABS(mean_a - mean_b) AS abs_mean_diff FROM m
+), ranked AS (
+  SELECT CAST(ROW_NUMBER() OVER (ORDER BY abs_mean_diff DESC NULLS FIRST, position) AS INTEGER) AS rank, * FROM d
+)
+SELECT rank, feature, (SELECT g FROM ga) AS group_a, (SELECT g FROM gb) AS group_b,
+       ROUND(mean_a, 6) AS mean_a, ROUND(mean_b, 6) AS mean_b, ROUND(abs_mean_diff, 6) AS abs_mean_diff
+FROM ranked WHERE rank <= 10
+"""
+
+TOP_VALUES = _with(SCORED) + TWO_GROUPS + ", tl AS (\n  " + "\n  UNION ALL ".join(
+    f"SELECT grp AS \"group\", '{c}' AS feature, {i} AS position, COALESCE(CAST({c} AS VARCHAR), 'nan') AS value FROM two"
+    for i, c in enumerate(CATEGORICAL)
+) + """
+), cnt AS (
+  SELECT "group", feature, position, value, COUNT(*) AS cnt FROM tl GROUP BY "group", feature, position, value
+), sh AS (
+  SELECT "group", feature, position, value,
+         CAST(cnt AS DOUBLE) / CAST(SUM(cnt) OVER (PARTITION BY "group", feature) AS DOUBLE) AS share,
+         ROW_NUMBER() OVER (PARTITION BY "group", feature ORDER BY cnt DESC, value) AS rank
+  FROM cnt
+), top5 AS (SELECT * FROM sh WHERE rank <= 5)
+"""
+
+SQL["top_values"] = TOP_VALUES + """
+SELECT feature, "group", value, share, CAST(rank AS INTEGER) AS rank FROM top5
+"""
+
+SQL["categorical_shift"] = TOP_VALUES + """, pv AS (
+  SELECT feature, position, value,
+         COALESCE(MAX(CASE WHEN "group" = (SELECT g FROM ga) THEN share END), 0) AS pa,
+         COALESCE(MAX(CASE WHEN "group" = (SELECT g FROM gb) THEN share END), 0) AS pb
+  FROM top5 GROUP BY feature, position, value
+), tvd AS (
+  SELECT feature, position, 0.5 * SUM(ABS(pa - pb)) AS tvd FROM pv GROUP BY feature, position
+), ranked AS (
+  SELECT CAST(ROW_NUMBER() OVER (ORDER BY tvd DESC, position) AS INTEGER) AS rank, * FROM tvd
+)
+SELECT rank, feature, (SELECT g FROM ga) AS group_a, (SELECT g FROM gb) AS group_b,
+       ROUND(CAST(tvd AS DOUBLE), 9) AS total_variation_distance
+FROM ranked WHERE rank <= 10
+"""
