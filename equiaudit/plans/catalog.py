@@ -181,3 +181,111 @@ def q_categorical_shift(spark, sf_dir):
     out = shift.categorical_shift(scored, SHIFT_ATTR, cat, groups)
     return out.select("rank", "feature", "group_a", "group_b",
                       F.round("total_variation_distance", 9).alias("total_variation_distance"))
+
+
+# ---------------------------------------------------------------- B1-B6, A5, C2
+
+from equiaudit import spec as spec_ops  # noqa: E402
+from equiaudit.functions import coerce_numeric, na_tokens, right_closed_bins, value_map  # noqa: E402
+from equiaudit.operators import profile, split  # noqa: E402
+
+# Fixed values of the derivation queries.
+STATUS_MAP = {"F": "closed", "O": "open"}
+SECTOR_MAP = {"AUTOMOBILE": "industry", "BUILDING": "industry", "MACHINERY": "industry", "HOUSEHOLD": "consumer"}
+PRICE_BINS = (0, 50000, 150000, 300000, 500000)
+PRICE_LABELS = ("low", "mid", "high", "top")
+PRIORITY_NA = ("4-NOT SPECIFIED", "5-LOW")
+
+
+@query("label_map")
+def q_label_map(spark, sf_dir):
+    o = fx.table(spark, sf_dir, "orders")
+    return o.select("o_orderkey", value_map("o_orderstatus", STATUS_MAP).alias("label"))
+
+
+@query("derive_map")
+def q_derive_map(spark, sf_dir):
+    c = fx.table(spark, sf_dir, "customer")
+    return c.select("c_custkey", value_map("c_mktsegment", SECTOR_MAP).alias("sector"))
+
+
+@query("derive_bin")
+def q_derive_bin(spark, sf_dir):
+    o = fx.table(spark, sf_dir, "orders")
+    return o.select("o_orderkey", right_closed_bins("o_totalprice", PRICE_BINS, PRICE_LABELS).alias("price_band"))
+
+
+@query("positive_flag")
+def q_positive_flag(spark, sf_dir):
+    e = fx.table(spark, sf_dir, "events")
+    return e.select("event_id", positive_flag("event_type", "purchase").alias("is_positive"))
+
+
+@query("coerce_numeric")
+def q_coerce_numeric(spark, sf_dir):
+    e = fx.table(spark, sf_dir, "events")
+    raw = F.when(F.col("event_type") == "error", F.lit("n/a")).otherwise(F.get_json_object("props", "$.k"))
+    return e.select("event_id", raw.alias("raw"), coerce_numeric(raw).alias("value"))
+
+
+@query("na_tokens")
+def q_na_tokens(spark, sf_dir):
+    o = fx.table(spark, sf_dir, "orders")
+    return o.select("o_orderkey", na_tokens("o_orderpriority", PRIORITY_NA).alias("priority"))
+
+
+@query("label_values")
+def q_label_values(spark, sf_dir):
+    li = fx.table(spark, sf_dir, "lineitem")
+    parts = [spec_ops.label_values(li, c).select(F.lit(c).alias("column"), "value")
+             for c in ("l_returnflag", "l_linestatus")]
+    return parts[0].unionByName(parts[1])
+
+
+# ---------------------------------------------------------------- E11-E13, G3-G5, G1
+
+PROFILE_NUMERIC = ("o_totalprice_n", "o_custkey")
+PROFILE_ALL = ("o_orderkey", "o_totalprice_n", "o_orderpriority_n", "o_orderstatus")
+PROFILE_TEXT = ("o_orderpriority_n", "o_orderstatus", "o_custkey")
+
+
+@query("numeric_profile")
+def q_numeric_profile(spark, sf_dir):
+    p = profile.numeric_profile(fx.orders_with_gaps(spark, sf_dir), PROFILE_NUMERIC)
+    return p.select("feature", "count", *[F.round(c, 6).alias(c) for c in
+                                          ("mean", "std", "min", "q25", "q50", "q75", "max")])
+
+
+@query("null_profile")
+def q_null_profile(spark, sf_dir):
+    return profile.null_profile(fx.orders_with_gaps(spark, sf_dir), PROFILE_ALL)
+
+
+@query("frequent_values")
+def q_frequent_values(spark, sf_dir):
+    return profile.frequent_values(fx.orders_with_gaps(spark, sf_dir), PROFILE_TEXT)
+
+
+@query("impute_median")
+def q_impute_median(spark, sf_dir):
+    o = profile.impute_median(fx.orders_with_gaps(spark, sf_dir), ["o_totalprice_n"])
+    return o.select("o_orderkey", F.round("o_totalprice_n", 6).alias("o_totalprice_n"))
+
+
+@query("impute_mode")
+def q_impute_mode(spark, sf_dir):
+    o = profile.impute_mode(fx.orders_with_gaps(spark, sf_dir), ["o_orderpriority_n"])
+    return o.select("o_orderkey", "o_orderpriority_n")
+
+
+@query("scale_unit")
+def q_scale_unit(spark, sf_dir):
+    o = profile.scale_unit(fx.orders_with_gaps(spark, sf_dir), ["o_totalprice"])
+    return o.select("o_orderkey", F.round("o_totalprice", 6).alias("o_totalprice"))
+
+
+@query("stratified_split")
+def q_stratified_split(spark, sf_dir):
+    o = fx.table(spark, sf_dir, "orders").select(
+        "o_orderkey", F.when(F.col("o_orderstatus") != "F", "yes").otherwise("no").alias("label"))
+    return split.stratified_split(o, ["o_orderkey"], "label", C.DEFAULT_TEST_SIZE, C.DEFAULT_RANDOM_STATE)

@@ -62,3 +62,14 @@ def scored_lineitems(spark: SparkSession, sf_dir: str, with_run: bool = False) -
     return out.withColumn(
         "y_pred", F.when(F.col("y_score") >= F.lit(0.5), "good").otherwise("bad")
     )
+
+
+def orders_with_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders with nulls injected by a fixed rule (the generated tables have none)."""
+    o = table(spark, sf_dir, "orders")
+    return o.select(
+        "o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice",
+        F.when(F.col("o_orderkey") % 7 == 0, F.lit(None)).otherwise(F.col("o_totalprice")).alias("o_totalprice_n"),
+        F.when(F.col("o_orderkey") % 11 == 0, F.lit(None)).otherwise(F.col("o_orderpriority"))
+        .alias("o_orderpriority_n"),
+    )

@@ -300,3 +300,127 @@ SELECT rank, feature, (SELECT g FROM ga) AS group_a, (SELECT g FROM gb) AS group
        ROUND(CAST(tvd AS DOUBLE), 9) AS total_variation_distance
 FROM ranked WHERE rank <= 10
 """
+
+# ---------------------------------------------------------------- derivations
+
+SQL["label_map"] = """
+SELECT o_orderkey, CASE CAST(o_orderstatus AS VARCHAR) WHEN 'F' THEN 'closed' WHEN 'O' THEN 'open' END AS label
+FROM orders
+"""
+
+SQL["derive_map"] = """
+SELECT c_custkey, CASE CAST(c_mktsegment AS VARCHAR) WHEN 'AUTOMOBILE' THEN 'industry' WHEN 'BUILDING' THEN 'industry'
+       WHEN 'MACHINERY' THEN 'industry' WHEN 'HOUSEHOLD' THEN 'consumer' END AS sector
+FROM customer
+"""
+
+SQL["derive_bin"] = """
+SELECT o_orderkey,
+       CASE WHEN o_totalprice > 0 AND o_totalprice <= 50000 THEN 'low'
+            WHEN o_totalprice > 50000 AND o_totalprice <= 150000 THEN 'mid'
+            WHEN o_totalprice > 150000 AND o_totalprice <= 300000 THEN 'high'
+            WHEN o_totalprice > 300000 AND o_totalprice <= 500000 THEN 'top' END AS price_band
+FROM orders
+"""
+
+SQL["positive_flag"] = """
+SELECT event_id, CAST(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END AS INTEGER) AS is_positive FROM events
+"""
+
+SQL["coerce_numeric"] = """
+SELECT event_id, raw, TRY_CAST(raw AS DOUBLE) AS value FROM (
+  SELECT event_id, CASE WHEN event_type = 'error' THEN 'n/a' ELSE json_extract_string(props, '$.k') END AS raw
+  FROM events
+) t
+"""
+
+SQL["na_tokens"] = """
+SELECT o_orderkey, CASE WHEN o_orderpriority IN ('4-NOT SPECIFIED', '5-LOW') THEN NULL ELSE o_orderpriority END AS priority
+FROM orders
+"""
+
+SQL["label_values"] = """
+SELECT DISTINCT 'l_returnflag' AS "column", l_returnflag AS value FROM lineitem WHERE l_returnflag IS NOT NULL
+UNION ALL
+SELECT DISTINCT 'l_linestatus', l_linestatus FROM lineitem WHERE l_linestatus IS NOT NULL
+"""
+
+# ---------------------------------------------------------------- profiles, imputers, split
+
+ORDERS_N = """
+orders_n AS (
+  SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice,
+         CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE o_totalprice END AS o_totalprice_n,
+         CASE WHEN o_orderkey % 11 = 0 THEN NULL ELSE o_orderpriority END AS o_orderpriority_n
+  FROM orders
+)"""
+
+SQL["numeric_profile"] = _with(ORDERS_N) + """, v AS (
+  SELECT 'o_totalprice_n' AS feature, CAST(o_totalprice_n AS DOUBLE) AS value FROM orders_n WHERE o_totalprice_n IS NOT NULL
+  UNION ALL SELECT 'o_custkey', CAST(o_custkey AS DOUBLE) FROM orders_n WHERE o_custkey IS NOT NULL
+)
+SELECT feature, CAST(COUNT(value) AS BIGINT) AS count, ROUND(AVG(value), 6) AS mean, ROUND(STDDEV_SAMP(value), 6) AS std,
+       ROUND(MIN(value), 6) AS min, ROUND(QUANTILE_CONT(value, 0.25), 6) AS q25, ROUND(QUANTILE_CONT(value, 0.5), 6) AS q50,
+       ROUND(QUANTILE_CONT(value, 0.75), 6) AS q75, ROUND(MAX(value), 6) AS max
+FROM v GROUP BY feature
+"""
+
+SQL["null_profile"] = _with(ORDERS_N) + """
+SELECT 'o_orderkey' AS feature, 'bigint' AS dtype, CAST(COUNT(o_orderkey) AS BIGINT) AS non_null,
+       CAST(COUNT(*) - COUNT(o_orderkey) AS BIGINT) AS nulls FROM orders_n
+UNION ALL SELECT 'o_totalprice_n', 'double', COUNT(o_totalprice_n), COUNT(*) - COUNT(o_totalprice_n) FROM orders_n
+UNION ALL SELECT 'o_orderpriority_n', 'string', COUNT(o_orderpriority_n), COUNT(*) - COUNT(o_orderpriority_n) FROM orders_n
+UNION ALL SELECT 'o_orderstatus', 'string', COUNT(o_orderstatus), COUNT(*) - COUNT(o_orderstatus) FROM orders_n
+"""
+
+SQL["frequent_values"] = _with(ORDERS_N) + """, v AS (
+  SELECT 'o_orderpriority_n' AS feature, COALESCE(CAST(o_orderpriority_n AS VARCHAR), 'nan') AS value FROM orders_n
+  UNION ALL SELECT 'o_orderstatus', COALESCE(CAST(o_orderstatus AS VARCHAR), 'nan') FROM orders_n
+  UNION ALL SELECT 'o_custkey', COALESCE(CAST(o_custkey AS VARCHAR), 'nan') FROM orders_n
+), c AS (
+  SELECT feature, value, CAST(COUNT(*) AS BIGINT) AS count FROM v GROUP BY feature, value
+)
+SELECT feature, value, count, CAST(rank AS INTEGER) AS rank FROM (
+  SELECT *, ROW_NUMBER() OVER (PARTITION BY feature ORDER BY count DESC, value) AS rank FROM c
+) t WHERE rank <= 15
+"""
+
+SQL["impute_median"] = _with(ORDERS_N) + """
+SELECT o_orderkey,
+       ROUND(COALESCE(o_totalprice_n, (SELECT QUANTILE_CONT(o_totalprice_n, 0.5) FROM orders_n)), 6) AS o_totalprice_n
+FROM orders_n
+"""
+
+SQL["impute_mode"] = _with(ORDERS_N) + """, m AS (
+  SELECT o_orderpriority_n AS v FROM orders_n WHERE o_orderpriority_n IS NOT NULL
+  GROUP BY o_orderpriority_n ORDER BY COUNT(*) DESC, o_orderpriority_n LIMIT 1
+)
+SELECT o_orderkey, COALESCE(o_orderpriority_n, (SELECT v FROM m)) AS o_orderpriority_n FROM orders_n
+"""
+
+SQL["scale_unit"] = """
+SELECT o_orderkey, ROUND(o_totalprice / (SELECT CASE WHEN STDDEV_POP(o_totalprice) > 0 THEN STDDEV_POP(o_totalprice) ELSE 1 END
+                                          FROM orders), 6) AS o_totalprice
+FROM orders
+"""
+
+SQL["stratified_split"] = """
+WITH base AS (
+  SELECT o_orderkey, CASE WHEN o_orderstatus <> 'F' THEN 'yes' ELSE 'no' END AS label,
+         md5(concat('42|', CAST(o_orderkey AS VARCHAR))) AS h
+  FROM orders
+), cnt AS (
+  SELECT label, COUNT(*) AS c FROM base GROUP BY label
+), tot AS (
+  SELECT SUM(c) AS n, CAST(CEIL(SUM(c) * 0.25) AS BIGINT) AS n_test FROM cnt
+), alloc AS (
+  SELECT label, c, (c * (n - n_test)) // n AS fl, (c * (n - n_test)) % n AS rem, n - n_test AS n_train FROM cnt, tot
+), ranked AS (
+  SELECT *, ROW_NUMBER() OVER (ORDER BY rem DESC, label) AS rr,
+         n_train - SUM(fl) OVER () AS short FROM alloc
+), quota AS (
+  SELECT label, c - (fl + CASE WHEN rr <= short THEN 1 ELSE 0 END) AS q FROM ranked
+)
+SELECT o_orderkey, b.label, ROW_NUMBER() OVER (PARTITION BY b.label ORDER BY h, o_orderkey) <= q.q AS is_test
+FROM base b JOIN quota q ON b.label = q.label
+"""
