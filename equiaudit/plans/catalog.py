@@ -289,3 +289,126 @@ def q_stratified_split(spark, sf_dir):
     o = fx.table(spark, sf_dir, "orders").select(
         "o_orderkey", F.when(F.col("o_orderstatus") != "F", "yes").otherwise("no").alias("label"))
     return split.stratified_split(o, ["o_orderkey"], "label", C.DEFAULT_TEST_SIZE, C.DEFAULT_RANDOM_STATE)
+
+
+# ---------------------------------------------------------------- H9-H12, H17, B11, D3
+
+from equiaudit.functions import issue_type as issue_type_of  # noqa: E402
+from equiaudit.operators import issues as issue_ops  # noqa: E402
+from equiaudit.plans import diagnostic_rules as rules  # noqa: E402
+
+# How event rows stand in for reported issue / plan / done records.
+RECORD_ATTRS = ("segment", "priority", "status", "size_group", "region")
+EVENT_METRIC = {"view": "selection_rate", "click": "true_positive_rate", "purchase": "false_positive_rate",
+                "signup": "accuracy"}
+RECORD_SEVERITIES = ("mild", "moderate", "severe", "unknown", "extreme")
+PLAN_TOOLS = C.TOOLS + ("run_bias_probe",)
+EVENT_PLAN_ATTR = {"view": "segment", "click": "priority", "purchase": "status"}
+EVENT_DONE_TOOL = {"view": "run_slice_scan", "click": "run_feature_distribution_comparison",
+                   "purchase": "run_threshold_sensitivity", "signup": "check_group_sample_sizes",
+                   "error": "run_proxy_detection"}
+EVENT_DONE_ATTR = {"click": "priority", "purchase": "segment", "error": "status"}
+
+
+def _pick(values, key_col: str, modulo: int):
+    return F.element_at(F.array(*[F.lit(v) for v in values]), (F.pmod(F.col(key_col), F.lit(modulo)) + 1).cast("int"))
+
+
+def _flags(spark, sf_dir, by=()):
+    cube = _cube(spark, sf_dir, with_run=bool(by))
+    rates = rate_ops.group_rates(cube, by)
+    return rates, rate_ops.disparity_flags(rate_ops.disparity(rates, by), THRESHOLD)
+
+
+def _issue_records(spark, sf_dir):
+    e = fx.table(spark, sf_dir, "events")
+    return e.select(
+        F.col("event_id").alias("record_id"),
+        _pick(RECORD_ATTRS, "user_id", len(RECORD_ATTRS)).alias("attribute"),
+        value_map("event_type", EVENT_METRIC).alias("metric"),
+        "event_type", "event_id",
+    )
+
+
+@query("issues")
+def q_issues(spark, sf_dir):
+    rates, flags = _flags(spark, sf_dir)
+    return issue_ops.issues_text(issue_ops.issue_table(flags, rates, THRESHOLD))
+
+
+@query("issues_flat")
+def q_issues_flat(spark, sf_dir):
+    rates, flags = _flags(spark, sf_dir)
+    return issue_ops.issues_flat(issue_ops.issue_table(flags, rates, THRESHOLD))
+
+
+@query("issue_evidence")
+def q_issue_evidence(spark, sf_dir):
+    return issue_ops.issue_evidence(rate_ops.disparity(_rates(spark, sf_dir)))
+
+
+@query("issue_severity")
+def q_issue_severity(spark, sf_dir):
+    recs = _issue_records(spark, sf_dir).select("record_id", "attribute", "metric")
+    disp = rate_ops.disparity(_rates(spark, sf_dir))
+    return issue_ops.recompute_severity(recs, disp, THRESHOLD).select(
+        "record_id", "attribute", "metric", "difference", "severity")
+
+
+@query("issue_check")
+def q_issue_check(spark, sf_dir):
+    r = _issue_records(spark, sf_dir)
+    recs = r.select(
+        "record_id",
+        F.when(F.col("event_type") == "error", F.lit(None).cast("string")).otherwise(F.col("attribute"))
+        .alias("attribute"),
+        "metric",
+        _pick(RECORD_SEVERITIES, "event_id", len(RECORD_SEVERITIES)).alias("severity"),
+        issue_type_of("metric").alias("issue_type"),
+        F.when(F.col("metric").isNotNull(), F.array(F.concat(F.lit("fairness_report."), F.col("attribute"))))
+        .alias("evidence"),
+    )
+    return issue_ops.issue_record_errors(recs)
+
+
+# ---------------------------------------------------------------- H13, H14, D4-D6, H16
+
+@query("diagnostic_plan")
+def q_diagnostic_plan(spark, sf_dir):
+    _, flags = _flags(spark, sf_dir)
+    return rules.diagnostic_plan(flags, None, has_y_score=True, have_group_sizes=True)
+
+
+@query("open_tests")
+def q_open_tests(spark, sf_dir):
+    _, flags = _flags(spark, sf_dir)
+    e = fx.table(spark, sf_dir, "events")
+    done = e.select(value_map("event_type", EVENT_DONE_TOOL).alias("tool"),
+                    value_map("event_type", EVENT_DONE_ATTR).alias("attribute"))
+    recs = rules.recommended_tests(flags, has_y_score=True)
+    return rules.open_tests(recs, done).select("tool", "attribute")
+
+
+@query("plan_check")
+def q_plan_check(spark, sf_dir):
+    e = fx.table(spark, sf_dir, "events")
+    plan = e.select(_pick(PLAN_TOOLS, "user_id", len(PLAN_TOOLS)).alias("tool"),
+                    value_map("event_type", EVENT_PLAN_ATTR).alias("attribute"))
+    return rules.plan_problems(plan)
+
+
+@query("highlights")
+def q_highlights(spark, sf_dir):
+    sweep = thresholds.threshold_sensitivity(_cube(spark, sf_dir, cuts=C.DEFAULT_CUTS), C.DEFAULT_CUTS)
+    best = thresholds.best_threshold(sweep).select(
+        F.lit("run_threshold_sensitivity").alias("tool"), "attribute",
+        F.concat(F.lit("Best TPR-gap threshold = "), F.col("threshold").cast("string")).alias("detail"),
+        F.lit(None).cast("long").alias("n"), F.lit(None).cast("double").alias("selection_rate"),
+        F.col("tpr_difference").alias("true_positive_rate"), F.col("fpr_difference").alias("false_positive_rate"),
+    )
+    top = slices.slice_scan(fx.scored_lineitems(spark, sf_dir), fx.FEATURES, fx.POSITIVE, top=3).select(
+        F.lit("run_slice_scan").alias("tool"), F.lit("-").alias("attribute"),
+        F.concat("feature", F.lit("="), "value").alias("detail"),
+        "n", "selection_rate", "true_positive_rate", "false_positive_rate",
+    )
+    return best.unionByName(top)

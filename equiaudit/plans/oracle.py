@@ -424,3 +424,165 @@ WITH base AS (
 SELECT o_orderkey, b.label, ROW_NUMBER() OVER (PARTITION BY b.label ORDER BY h, o_orderkey) <= q.q AS is_test
 FROM base b JOIN quota q ON b.label = q.label
 """
+
+# ---------------------------------------------------------------- issues
+
+EVIDENCE = """CONCAT('fairness_report.', {a}, '.{sec}.', {m}{g}, ' = ', CAST(ROUND(CAST({v} AS DECIMAL(20,10)), 4) AS VARCHAR))"""
+
+
+def _ev(a, sec, m, v, g=None):
+    return EVIDENCE.format(a=a, sec=sec, m=m, v=v, g="" if g is None else f", '.', {g}")
+
+
+ISSUES = BASE + """, ex AS (
+  SELECT attribute, metric,
+         arg_min("group", (-value, "group")) AS hi_group, MAX(value) AS hi_value,
+         arg_min("group", (value, "group")) AS lo_group, MIN(value) AS lo_value
+  FROM rl GROUP BY attribute, metric
+), iss AS (
+  SELECT f.attribute, f.metric,
+         CASE f.metric WHEN 'selection_rate' THEN 'demographic_disparity' WHEN 'true_positive_rate' THEN 'unequal_opportunity'
+              WHEN 'false_positive_rate' THEN 'unequal_harm' END AS issue_type,
+         CASE WHEN f.difference >= CAST(0.1 AS DOUBLE) THEN 'severe' WHEN f.difference >= CAST(0.05 AS DOUBLE) THEN 'moderate'
+              WHEN f.difference >= CAST(0.025 AS DOUBLE) THEN 'mild' ELSE 'unknown' END AS severity,
+         """ + _ev("f.attribute", "difference", "f.metric", "f.difference") + """ AS e0,
+         """ + _ev("f.attribute", "by_group", "f.metric", "ex.hi_value", "ex.hi_group") + """ AS e1,
+         """ + _ev("f.attribute", "by_group", "f.metric", "ex.lo_value", "ex.lo_group") + """ AS e2
+  FROM flags f JOIN ex ON f.attribute = ex.attribute AND f.metric = ex.metric WHERE f.flag
+)
+"""
+
+SQL["issues"] = ISSUES + """
+SELECT attribute, metric, issue_type, severity, e0 || chr(10) || e1 || chr(10) || e2 AS evidence FROM iss
+"""
+
+SQL["issues_flat"] = ISSUES + """
+SELECT attribute, metric, CAST(0 AS INTEGER) AS line_no, e0 AS evidence_line FROM iss
+UNION ALL SELECT attribute, metric, CAST(1 AS INTEGER), e1 FROM iss
+UNION ALL SELECT attribute, metric, CAST(2 AS INTEGER), e2 FROM iss
+"""
+
+SQL["issue_evidence"] = BASE + "SELECT attribute, metric, " + _ev("attribute", "difference", "metric", "difference") \
+    + " AS evidence FROM disp"
+
+RECORDS = """
+recs AS (
+  SELECT event_id AS record_id, event_id, event_type,
+         CASE user_id % 5 WHEN 0 THEN 'segment' WHEN 1 THEN 'priority' WHEN 2 THEN 'status' WHEN 3 THEN 'size_group'
+              ELSE 'region' END AS attribute,
+         CASE event_type WHEN 'view' THEN 'selection_rate' WHEN 'click' THEN 'true_positive_rate'
+              WHEN 'purchase' THEN 'false_positive_rate' WHEN 'signup' THEN 'accuracy' END AS metric
+  FROM events
+)"""
+
+SQL["issue_severity"] = _with(SCORED, COUNTS, RECORDS) + """
+SELECT r.record_id, r.attribute, r.metric, d.difference,
+       CASE WHEN d.difference >= CAST(0.1 AS DOUBLE) THEN 'severe' WHEN d.difference >= CAST(0.05 AS DOUBLE) THEN 'moderate'
+            WHEN d.difference >= CAST(0.025 AS DOUBLE) THEN 'mild' ELSE 'unknown' END AS severity
+FROM recs r LEFT JOIN disp d ON r.attribute = d.attribute AND r.metric = d.metric
+"""
+
+SQL["issue_check"] = _with(RECORDS) + """, chk AS (
+  SELECT record_id, CASE WHEN event_type = 'error' THEN NULL ELSE attribute END AS attribute, metric,
+         CASE event_id % 5 WHEN 0 THEN 'mild' WHEN 1 THEN 'moderate' WHEN 2 THEN 'severe' WHEN 3 THEN 'unknown'
+              ELSE 'extreme' END AS severity,
+         CASE metric WHEN 'selection_rate' THEN 'demographic_disparity' WHEN 'true_positive_rate' THEN 'unequal_opportunity'
+              WHEN 'false_positive_rate' THEN 'unequal_harm' END AS issue_type,
+         CASE WHEN metric IS NOT NULL THEN 1 END AS evidence
+  FROM recs
+)
+SELECT record_id, 'detected_issues[' || CAST(record_id AS VARCHAR) || '].attribute must be a string' AS error
+FROM chk WHERE attribute IS NULL
+UNION ALL SELECT record_id, 'detected_issues[' || CAST(record_id AS VARCHAR)
+  || '].metric must be one of [''false_positive_rate'', ''selection_rate'', ''true_positive_rate'']'
+FROM chk WHERE metric IS NULL OR metric NOT IN ('selection_rate', 'true_positive_rate', 'false_positive_rate')
+UNION ALL SELECT record_id, 'detected_issues[' || CAST(record_id AS VARCHAR)
+  || '].severity must be one of [''mild'', ''moderate'', ''severe'', ''unknown'']'
+FROM chk WHERE severity NOT IN ('mild', 'moderate', 'severe', 'unknown')
+UNION ALL SELECT record_id, 'detected_issues[' || CAST(record_id AS VARCHAR) || '].issue_type must be a string'
+FROM chk WHERE issue_type IS NULL
+UNION ALL SELECT record_id, 'detected_issues[' || CAST(record_id AS VARCHAR) || '].evidence must be a list'
+FROM chk WHERE evidence IS NULL
+"""
+
+# ---------------------------------------------------------------- plans
+
+RECOMMENDED = BASE + """, rules AS (
+  SELECT * FROM (VALUES
+    ('selection_rate', 'run_feature_distribution_comparison', true, 'selection_rate disparity is flagged for this attribute.'),
+    ('selection_rate', 'run_proxy_detection', true, 'selection_rate disparity is flagged for this attribute.'),
+    ('true_positive_rate', 'run_threshold_sensitivity', true, 'TPR/FPR disparities are flagged for this attribute.'),
+    ('false_positive_rate', 'run_threshold_sensitivity', true, 'TPR/FPR disparities are flagged for this attribute.'),
+    ('true_positive_rate', 'run_slice_scan', false, 'TPR/FPR disparities are flagged.'),
+    ('false_positive_rate', 'run_slice_scan', false, 'TPR/FPR disparities are flagged.')
+  ) t(metric, tool, per_attribute, reason)
+), recs AS (
+  SELECT r.tool, CASE WHEN r.per_attribute THEN f.attribute END AS attribute, MIN(r.reason) AS reason
+  FROM flags f JOIN rules r ON f.metric = r.metric WHERE f.flag GROUP BY 1, 2
+)
+"""
+
+SQL["diagnostic_plan"] = RECOMMENDED + "SELECT tool, attribute, reason FROM recs"
+
+SQL["open_tests"] = RECOMMENDED + """, done AS (
+  SELECT DISTINCT
+         CASE event_type WHEN 'view' THEN 'run_slice_scan' WHEN 'click' THEN 'run_feature_distribution_comparison'
+              WHEN 'purchase' THEN 'run_threshold_sensitivity' WHEN 'signup' THEN 'check_group_sample_sizes'
+              WHEN 'error' THEN 'run_proxy_detection' END AS tool,
+         CASE event_type WHEN 'click' THEN 'priority' WHEN 'purchase' THEN 'segment' WHEN 'error' THEN 'status' END AS attribute
+  FROM events
+)
+SELECT tool, attribute FROM recs r
+WHERE NOT EXISTS (SELECT 1 FROM done d WHERE d.tool = r.tool AND (r.attribute IS NULL OR r.attribute = d.attribute))
+"""
+
+SQL["plan_check"] = """
+WITH plan AS (
+  SELECT CASE user_id % 6 WHEN 0 THEN 'check_group_sample_sizes' WHEN 1 THEN 'run_feature_distribution_comparison'
+              WHEN 2 THEN 'run_proxy_detection' WHEN 3 THEN 'run_slice_scan' WHEN 4 THEN 'run_threshold_sensitivity'
+              ELSE 'run_bias_probe' END AS tool,
+         CASE event_type WHEN 'view' THEN 'segment' WHEN 'click' THEN 'priority' WHEN 'purchase' THEN 'status' END AS attribute
+  FROM events
+), c AS (SELECT tool, attribute, CAST(COUNT(*) AS BIGINT) AS n FROM plan GROUP BY tool, attribute)
+SELECT tool, attribute, 'unknown_tool' AS problem, n FROM c
+WHERE tool NOT IN ('check_group_sample_sizes', 'run_feature_distribution_comparison', 'run_proxy_detection',
+                   'run_slice_scan', 'run_threshold_sensitivity')
+UNION ALL SELECT tool, attribute, 'duplicate', n FROM c WHERE n > 1
+"""
+
+SQL["highlights"] = SWEEP + """, wide AS (
+  SELECT attribute, threshold,
+         MAX(CASE WHEN metric = 'true_positive_rate' THEN difference END) AS tpr_difference,
+         MAX(CASE WHEN metric = 'false_positive_rate' THEN difference END) AS fpr_difference
+  FROM sweep GROUP BY attribute, threshold
+), best AS (
+  SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY attribute ORDER BY tpr_difference, threshold) AS rn FROM wide) t
+  WHERE rn = 1
+), sl AS (
+  """ + "\n  UNION ALL ".join(
+    f"SELECT '{c}' AS feature, {i} AS pos, CAST({c} AS VARCHAR) AS value, y_true, y_pred FROM scored"
+    for i, c in enumerate(SLICE_COLS)) + """
+), c AS (
+  SELECT feature, pos, value,
+         SUM(CASE WHEN y_true = 'good' AND y_pred = 'good' THEN 1 ELSE 0 END) AS tp,
+         SUM(CASE WHEN y_true <> 'good' AND y_pred = 'good' THEN 1 ELSE 0 END) AS fp,
+         SUM(CASE WHEN y_true = 'good' AND y_pred <> 'good' THEN 1 ELSE 0 END) AS fn,
+         SUM(CASE WHEN y_true <> 'good' AND y_pred <> 'good' THEN 1 ELSE 0 END) AS tn
+  FROM sl WHERE value IS NOT NULL GROUP BY feature, pos, value
+), r AS (
+  SELECT feature, pos, value, CAST(tp + fp + fn + tn AS BIGINT) AS n,
+         CAST(tp + fp AS DOUBLE) / CAST(tp + fp + fn + tn AS DOUBLE) AS selection_rate,
+         CASE WHEN tp + fn > 0 THEN CAST(tp AS DOUBLE) / CAST(tp + fn AS DOUBLE) END AS true_positive_rate,
+         CASE WHEN fp + tn > 0 THEN CAST(fp AS DOUBLE) / CAST(fp + tn AS DOUBLE) END AS false_positive_rate,
+         ROW_NUMBER() OVER (ORDER BY CAST(tp + fp AS DOUBLE) / CAST(tp + fp + fn + tn AS DOUBLE) DESC,
+                            tp + fp + fn + tn DESC, pos, value) AS rk
+  FROM c WHERE tp + fp + fn + tn >= 10
+)
+SELECT 'run_threshold_sensitivity' AS tool, attribute, 'Best TPR-gap threshold = ' || CAST(threshold AS VARCHAR) AS detail,
+       CAST(NULL AS BIGINT) AS n, CAST(NULL AS DOUBLE) AS selection_rate,
+       tpr_difference AS true_positive_rate, fpr_difference AS false_positive_rate
+FROM best
+UNION ALL
+SELECT 'run_slice_scan', '-', feature || '=' || value, n, selection_rate, true_positive_rate, false_positive_rate
+FROM r WHERE rk <= 3
+"""
