@@ -412,3 +412,76 @@ def q_highlights(spark, sf_dir):
         "n", "selection_rate", "true_positive_rate", "false_positive_rate",
     )
     return best.unionByName(top)
+
+
+# ---------------------------------------------------------------- A10-A14, G10, D1
+
+from equiaudit.sources import audit_store as store  # noqa: E402
+
+REQUIRED_TABLES = ("metrics", "fairness_report", "issues")
+
+
+def _run_tables(spark, sf_dir):
+    """Audit tables of every run (run_id = order year), from one cube pass."""
+    by = ["run_id"]
+    scored = fx.scored_lineitems(spark, sf_dir, with_run=True)
+    cube = cube_ops.confusion_cube(scored, fx.SENSITIVE, fx.POSITIVE, by=by)
+    rates = rate_ops.group_rates(cube, by)
+    disp = rate_ops.disparity(rates, by)
+    flags = rate_ops.disparity_flags(disp, THRESHOLD)
+    issues = issue_ops.issue_table(flags, rates, THRESHOLD, by)
+    metrics = store.run_metrics(scored, label_col="y_true", positive_label=fx.POSITIVE,
+                                sensitive_cols=fx.SENSITIVE)
+    sizes = cube_ops.group_sizes(cube, by)
+    return dict(scored=scored, rates=rates, disp=disp, flags=flags, issues=issues, metrics=metrics, sizes=sizes)
+
+
+@query("run_metrics")
+def q_run_metrics(spark, sf_dir):
+    return _run_tables(spark, sf_dir)["metrics"]
+
+
+@query("run_catalogue")
+def q_run_catalogue(spark, sf_dir):
+    t = _run_tables(spark, sf_dir)
+    return store.run_catalogue({"metrics": t["metrics"], "fairness_report": t["disp"],
+                                "issues": t["issues"].where(F.col("severity") == "severe")})
+
+
+@query("run_summary")
+def q_run_summary(spark, sf_dir):
+    t = _run_tables(spark, sf_dir)
+    return store.run_summary(store.latest_run(t["metrics"]), t["metrics"], t["flags"], t["issues"])
+
+
+@query("evidence_table")
+def q_evidence_table(spark, sf_dir):
+    t = _run_tables(spark, sf_dir)
+    cat = store.run_catalogue({"metrics": t["metrics"], "fairness_report": t["disp"],
+                               "issues": t["issues"].where(F.col("severity") == "severe")})
+    return store.evidence_table(t["metrics"], t["disp"], t["sizes"], cat, REQUIRED_TABLES)
+
+
+@query("report_json")
+def q_report_json(spark, sf_dir):
+    t = _run_tables(spark, sf_dir)
+    return store.report_json(t["rates"], t["flags"], by=["run_id"])
+
+
+@query("score_feature_join")
+def q_score_feature_join(spark, sf_dir):
+    """Scored orders joined to per-order line features on the row key."""
+    o = fx.table(spark, sf_dir, "orders")
+    raw = (F.col("o_orderkey") * 37 + F.col("o_custkey") * 11) % 1000
+    scored = o.select(
+        F.col("o_orderkey").alias("row_index"),
+        F.when(F.col("o_orderstatus") == "F", "good").otherwise("bad").alias("y_true"),
+        F.when(raw.cast("double") / F.lit(1000.0) >= F.lit(0.5), "good").otherwise("bad").alias("y_pred"),
+    )
+    li = fx.table(spark, sf_dir, "lineitem")
+    feats = li.groupBy(F.col("l_orderkey").alias("row_index")).agg(
+        F.count(F.lit(1)).alias("n_lines"), F.sum("l_quantity").alias("total_qty"),
+        F.avg("l_discount").alias("avg_discount"))
+    # both sides grow with the data: a shuffle (sort-merge) join on the key, no broadcast
+    return scored.join(feats, "row_index").select(
+        "row_index", "y_true", "y_pred", "n_lines", "total_qty", F.round("avg_discount", 6).alias("avg_discount"))

@@ -586,3 +586,84 @@ UNION ALL
 SELECT 'run_slice_scan', '-', feature || '=' || value, n, selection_rate, true_positive_rate, false_positive_rate
 FROM r WHERE rk <= 3
 """
+
+# ---------------------------------------------------------------- runs (run_id = order year)
+
+RUN_BASE = _with(SCORED) + """, rcounts AS (
+  SELECT run_id, attribute, "group",
+         SUM(CASE WHEN y_true = 'good' AND y_pred = 'good' THEN 1 ELSE 0 END) AS tp,
+         SUM(CASE WHEN y_true <> 'good' AND y_pred = 'good' THEN 1 ELSE 0 END) AS fp,
+         SUM(CASE WHEN y_true = 'good' AND y_pred <> 'good' THEN 1 ELSE 0 END) AS fn,
+         SUM(CASE WHEN y_true <> 'good' AND y_pred <> 'good' THEN 1 ELSE 0 END) AS tn
+  FROM long WHERE "group" IS NOT NULL GROUP BY run_id, attribute, "group"
+), rrates AS (
+  SELECT run_id, attribute, "group",
+         CAST(tp + fp AS DOUBLE) / CAST(tp + fp + fn + tn AS DOUBLE) AS selection_rate,
+         CASE WHEN tp + fn > 0 THEN CAST(tp AS DOUBLE) / CAST(tp + fn AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS true_positive_rate,
+         CASE WHEN fp + tn > 0 THEN CAST(fp AS DOUBLE) / CAST(fp + tn AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS false_positive_rate
+  FROM rcounts
+), rrl AS (
+  SELECT run_id, attribute, "group", 'selection_rate' AS metric, selection_rate AS value FROM rrates
+  UNION ALL SELECT run_id, attribute, "group", 'true_positive_rate', true_positive_rate FROM rrates
+  UNION ALL SELECT run_id, attribute, "group", 'false_positive_rate', false_positive_rate FROM rrates
+), rdisp AS (
+  SELECT run_id, attribute, metric, MAX(value) - MIN(value) AS difference FROM rrl GROUP BY run_id, attribute, metric
+), rflags AS (
+  SELECT *, COALESCE(difference > CAST(0.05 AS DOUBLE), false) AS flag FROM rdisp
+), rissues AS (
+  SELECT run_id, attribute, metric,
+         CASE WHEN difference >= CAST(0.1 AS DOUBLE) THEN 'severe' WHEN difference >= CAST(0.05 AS DOUBLE) THEN 'moderate'
+              WHEN difference >= CAST(0.025 AS DOUBLE) THEN 'mild' ELSE 'unknown' END AS severity
+  FROM rflags WHERE flag
+), rmetrics AS (
+  SELECT run_id, AVG(CASE WHEN y_true = y_pred THEN 1 ELSE 0 END) AS accuracy, CAST(COUNT(*) AS BIGINT) AS n_test
+  FROM scored GROUP BY run_id
+), rcat AS (
+  SELECT m.run_id, true AS has_metrics,
+         EXISTS (SELECT 1 FROM rdisp d WHERE d.run_id = m.run_id) AS has_fairness_report,
+         EXISTS (SELECT 1 FROM rissues i WHERE i.run_id = m.run_id AND i.severity = 'severe') AS has_issues
+  FROM rmetrics m
+)
+"""
+
+SQL["run_metrics"] = RUN_BASE + """
+SELECT run_id, accuracy, CAST(NULL AS BIGINT) AS n_train, n_test, CAST(NULL AS VARCHAR) AS model_type,
+       'y_true' AS label_col, 'good' AS positive_label, 'segment,priority,status,size_group' AS sensitive_cols,
+       true AS has_y_score
+FROM rmetrics
+"""
+
+SQL["run_catalogue"] = RUN_BASE + "SELECT * FROM rcat"
+
+SQL["run_summary"] = RUN_BASE + """
+SELECT m.run_id, m.accuracy, m.n_test,
+       CAST((SELECT COUNT(*) FROM rflags f WHERE f.run_id = m.run_id AND f.flag) AS BIGINT) AS n_flagged,
+       CAST((SELECT COUNT(*) FROM rissues i WHERE i.run_id = m.run_id) AS BIGINT) AS n_issues
+FROM rmetrics m WHERE m.run_id = (SELECT MAX(run_id) FROM rmetrics)
+"""
+
+SQL["evidence_table"] = RUN_BASE + """
+SELECT run_id, 'metrics.accuracy' AS path, CAST(ROUND(CAST(accuracy AS DECIMAL(20,10)), 4) AS VARCHAR) AS value FROM rmetrics
+UNION ALL SELECT run_id, 'metrics.n_test', CAST(n_test AS VARCHAR) FROM rmetrics
+UNION ALL SELECT run_id, 'fairness_report.' || attribute || '.difference.' || metric,
+                 CAST(ROUND(CAST(difference AS DECIMAL(20,10)), 4) AS VARCHAR) FROM rdisp
+UNION ALL SELECT run_id, 'group_sizes.' || attribute || '.' || COALESCE("group", 'nan'), CAST(COUNT(*) AS VARCHAR)
+  FROM long GROUP BY run_id, attribute, "group"
+UNION ALL SELECT run_id, 'missing', 'issues' FROM rcat WHERE NOT has_issues
+UNION ALL SELECT run_id, 'missing', 'fairness_report' FROM rcat WHERE NOT has_fairness_report
+"""
+
+SQL["score_feature_join"] = """
+WITH s AS (
+  SELECT o_orderkey AS row_index, CASE WHEN o_orderstatus = 'F' THEN 'good' ELSE 'bad' END AS y_true,
+         CASE WHEN CAST((o_orderkey * 37 + o_custkey * 11) % 1000 AS DOUBLE) / CAST(1000 AS DOUBLE) >= CAST(0.5 AS DOUBLE)
+              THEN 'good' ELSE 'bad' END AS y_pred
+  FROM orders
+), f AS (
+  SELECT l_orderkey AS row_index, CAST(COUNT(*) AS BIGINT) AS n_lines, SUM(l_quantity) AS total_qty,
+         AVG(l_discount) AS avg_discount
+  FROM lineitem GROUP BY l_orderkey
+)
+SELECT s.row_index, y_true, y_pred, n_lines, total_qty, ROUND(avg_discount, 6) AS avg_discount
+FROM s JOIN f ON s.row_index = f.row_index
+"""
