@@ -485,3 +485,54 @@ def q_score_feature_join(spark, sf_dir):
     # both sides grow with the data: a shuffle (sort-merge) join on the key, no broadcast
     return scored.join(feats, "row_index").select(
         "row_index", "y_true", "y_pred", "n_lines", "total_qty", F.round("avg_discount", 6).alias("avg_discount"))
+
+
+# ---------------------------------------------------------------- G1-G9, H5, H15 (rows-only checks)
+
+from equiaudit.operators import model as model_ops  # noqa: E402
+from equiaudit.plans import audit as audit_ops  # noqa: E402
+from equiaudit.spec import AuditSpec  # noqa: E402
+
+DOC_FEATURES = ("n_chars", "lang", "source")
+
+
+def _documents(spark, sf_dir):
+    d = fx.table(spark, sf_dir, "documents").select("doc_id", "n_chars", "lang", "source")
+    lab = fx.table(spark, sf_dir, "labels").select("doc_id", F.col("quality").cast("string").alias("quality"))
+    return d.join(lab, "doc_id")
+
+
+@query("train_score")
+def q_train_score(spark, sf_dir):
+    """Split, fit and score a quality classifier on documents ⨝ labels; scored test rows."""
+    docs = _documents(spark, sf_dir)
+    parts = split.stratified_split(docs, ["doc_id"], "quality", C.DEFAULT_TEST_SIZE, C.DEFAULT_RANDOM_STATE)
+    train = parts.where(~F.col("is_test"))
+    test = parts.where(F.col("is_test"))
+    classes = spec_ops.validate_binary_label(docs, "quality")
+    m = model_ops.fit(train, DOC_FEATURES, "quality", "1", classes, max_iter=2000)
+    test = test.withColumnRenamed("doc_id", "row_index").withColumn("y_true", F.col("quality"))
+    scored = m.score(test, keep=["row_index", "y_true", "lang"])
+    return scored.select("row_index", "y_true", "y_pred", "y_score", "lang")
+
+
+@query("proxy_detection")
+def q_proxy_detection(spark, sf_dir):
+    scored = fx.scored_lineitems(spark, sf_dir)
+    res = model_ops.proxy_detection(scored, "status", fx.FEATURES)
+    row = [(res["attribute"], ",".join(res["classes"]), res["accuracy"], res["auc"], res["risk_level"],
+            res["status"])]
+    return spark.createDataFrame(
+        row, "attribute string, classes string, accuracy double, auc double, risk_level string, status string")
+
+
+@query("diagnostics_status")
+def q_diagnostics_status(spark, sf_dir):
+    scored = fx.scored_lineitems(spark, sf_dir)
+    spec = AuditSpec(positive_label=fx.POSITIVE, sensitive_cols=fx.SENSITIVE, fairness_threshold=THRESHOLD)
+    ctx = audit_ops.AuditContext(scored, spec, fx.FEATURES,
+                                 _cube(spark, sf_dir))
+    plan = [("check_group_sample_sizes", None), ("run_feature_distribution_comparison", "segment"),
+            ("run_proxy_detection", "segment"), ("run_slice_scan", None),
+            ("run_threshold_sensitivity", "segment"), ("run_bias_probe", "segment")]
+    return audit_ops.run_diagnostics(ctx, plan)
