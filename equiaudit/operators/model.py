@@ -24,6 +24,7 @@ from equiaudit.functions import coerce_numeric, positive_flag
 from equiaudit.operators import profile
 from equiaudit.operators.ranking import auc as auc_of
 from equiaudit.operators.shift import split_feature_types
+from equiaudit.session import spread
 
 
 @dataclass
@@ -46,10 +47,25 @@ class FeaturePrep:
         return df.select(*keep, *num, *cat)
 
 
+def columns_with_gaps(df: DataFrame, num: Sequence[str], cat: Sequence[str]) -> tuple[list[str], list[str]]:
+    """Columns holding at least one null (or NaN): one aggregate, one row to the driver."""
+    cols = [*num, *cat]
+    if not cols:
+        return [], []
+    gaps = [F.max(coerce_numeric(c).isNull().cast("int")) if c in num else F.max(F.col(c).isNull().cast("int"))
+            for c in cols]
+    r = df.agg(*[g.alias(f"g{i}") for i, g in enumerate(gaps)]).first()
+    has = {c for i, c in enumerate(cols) if r[f"g{i}"]}
+    return [c for c in num if c in has], [c for c in cat if c in has]
+
+
 def fit_prep(df: DataFrame, features: Sequence[str], scale: bool) -> FeaturePrep:
+    """Imputation statistics are computed only for columns that have gaps: elsewhere
+    imputing is a no-op, so skipping the exact median / mode passes changes nothing."""
     num, cat, _ = split_feature_types(df, features)  # datetimes are left out
-    medians = profile.column_medians(df, num)
-    modes = profile.column_modes(df, cat)
+    num_gaps, cat_gaps = columns_with_gaps(df, num, cat)
+    medians = profile.column_medians(df, num_gaps)
+    modes = profile.column_modes(df, cat_gaps)
     scales = profile.unit_scale_factors(df.select(*[F.coalesce(coerce_numeric(c), F.lit(medians.get(c)))
                                                     .alias(c) for c in num]), num) if scale else None
     return FeaturePrep(num, cat, medians, modes, scales)
@@ -96,7 +112,8 @@ def fit(train: DataFrame, features: Sequence[str], label_col: str, positive_labe
     """
     prep = fit_prep(train, features, scale)
     data = prep.apply(train, keep=[positive_flag(label_col, positive_label).cast("double").alias("__label")])
-    data = data.persist()
+    # every L-BFGS iteration is a pass over these rows: spread them over all cores once, then cache
+    data = spread(data).persist()
     try:
         n = data.count()
         pipe = build_pipeline(prep, max_iter, 1.0 / max(n, 1))

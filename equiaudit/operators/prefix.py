@@ -14,6 +14,7 @@ from __future__ import annotations
 
 from typing import Sequence
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,17 +33,19 @@ def range_bounds(df: DataFrame, order: str, buckets: int, accuracy: int = 10000)
     return sorted({float(x) for x in (row["q"] or []) if x is not None})
 
 
-def bucket_of(order: str, bounds: Sequence[float]) -> Column:
-    """Index of the range bucket holding ``order`` (number of bounds <= value).
+def with_bucket(df: DataFrame, order: str, bounds: Sequence[float], out: str = _BK) -> DataFrame:
+    """Add the index of the range bucket holding ``order`` (number of bounds <= value).
 
-    Bounds are literals, so every use of the expression agrees on the bucket,
-    whatever the partitioning or retries.
+    The bounds are fixed numbers, so every use agrees on the bucket whatever the
+    partitioning or retries; ``Bucketizer`` finds it by binary search in the JVM.
     """
-    x = F.col(order).cast("double")
     if not bounds:
-        return F.lit(0)
-    arr = F.array(*[F.lit(b) for b in bounds])
-    return F.size(F.filter(arr, lambda b: b <= x))
+        return df.withColumn(out, F.lit(0))
+    tmp = f"{out}__x"
+    splits = [float("-inf"), *bounds, float("inf")]
+    b = Bucketizer(splits=splits, inputCol=tmp, outputCol=f"{out}__d", handleInvalid="keep")
+    res = b.transform(df.withColumn(tmp, F.col(order).cast("double")))
+    return res.withColumn(out, F.col(f"{out}__d").cast("int")).drop(tmp, f"{out}__d")
 
 
 def running_totals(
@@ -58,7 +61,7 @@ def running_totals(
     by = list(by)
     n_buckets = buckets or shuffle_partitions(df.sparkSession)
     bounds = range_bounds(df, order, n_buckets)
-    ranged = df.withColumn(_BK, bucket_of(order, bounds))
+    ranged = with_bucket(df, order, bounds)
     totals = ranged.groupBy(*by, _BK).agg(*[F.sum(c).alias(f"__t_{c}") for c in cols])
     w_buckets = Window.partitionBy(*by).orderBy(_BK).rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(

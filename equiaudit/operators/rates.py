@@ -67,13 +67,18 @@ def fairness_report(rates: DataFrame, threshold: float = C.DEFAULT_FAIRNESS_THRE
     """H1 in long form: one row per (attribute, group, metric) with the group's rate
     next to the attribute's difference, ratio and flag.
 
-    The disparity side has len(attributes) x 3 rows per run, a bound fixed by the
-    spec, so it is broadcast to the rate rows.
+    The spread over groups is a window over the (small) rate table partitioned by
+    (attribute, metric): no second pass over the cube and no join.
     """
-    disp = disparity_flags(disparity(rates, by), threshold)
     long = rates_long(rates, by)
-    return long.join(F.broadcast(disp), [*by, "attribute", "metric"]).select(
-        *by, "attribute", "group", "metric", "value", "difference", "ratio", "flag"
+    w = Window.partitionBy(*by, "attribute", "metric")
+    hi, lo = F.max("value").over(w), F.min("value").over(w)
+    diff = hi - lo
+    return long.select(
+        *by, "attribute", "group", "metric", "value",
+        diff.alias("difference"),
+        F.when(hi > 0, lo / hi).otherwise(F.lit(None).cast("double")).alias("ratio"),
+        flag(diff, threshold).alias("flag"),
     )
 
 

@@ -83,7 +83,8 @@ def top_values(df: DataFrame, attribute: str, categorical: Sequence[str], groups
     ).unpivot(ids=["group"], values=list(categorical), variableColumnName="feature", valueColumnName="value")
     counts = long.groupBy("group", "feature", "value").agg(F.count(F.lit(1)).alias("cnt"))
     totals = counts.groupBy("group", "feature").agg(F.sum("cnt").alias("total"))
-    shares = counts.join(totals, ["group", "feature"]).withColumn(
+    # two groups x text columns rows: a proven bound, broadcast
+    shares = counts.join(F.broadcast(totals), ["group", "feature"]).withColumn(
         "share", F.col("cnt").cast("double") / F.col("total").cast("double")
     )
     order = [F.desc("cnt"), F.asc("value")]

@@ -36,15 +36,38 @@ def cardinality_candidates(df: DataFrame, cols: Sequence[str], limit: int = C.SL
     return [c for i, c in enumerate(cols) if est[f"c{i}"] is not None and est[f"c{i}"] <= margin]
 
 
+def _value_counts(scored: DataFrame, cols: Sequence[str], positive_label: str, y_true: str,
+                  y_pred: str) -> DataFrame:
+    """(feature, value, tp, fp, fn, tn) for every value of the given low-cardinality
+    columns, null included: one unpivot + partial aggregation, tiny output."""
+    yt = positive_flag(y_true, positive_label).alias("yt")
+    yp = positive_flag(y_pred, positive_label).alias("yp")
+    long = _unpivot_text(scored.select(yt, yp, *cols), cols, ids=["yt", "yp"])
+
+    def cnt(cond):
+        return F.sum(F.when(cond, 1).otherwise(0)).cast("long")
+
+    return long.groupBy("feature", "value").agg(
+        cnt((F.col("yt") == 1) & (F.col("yp") == 1)).alias("tp"),
+        cnt((F.col("yt") == 0) & (F.col("yp") == 1)).alias("fp"),
+        cnt((F.col("yt") == 1) & (F.col("yp") == 0)).alias("fn"),
+        cnt((F.col("yt") == 0) & (F.col("yp") == 0)).alias("tn"),
+    )
+
+
+def _with_cardinality(counts: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """Adds n_distinct (values incl. null per feature) and the feature's column position."""
+    position = F.array_position(F.array(*[F.lit(c) for c in cols]), F.col("feature")).cast("int") - 1
+    return counts.withColumn("n_distinct", F.count(F.lit(1)).over(Window.partitionBy("feature"))) \
+        .withColumn("position", position)
+
+
 def column_cardinality(df: DataFrame, cols: Sequence[str], limit: int = C.SLICE_MAX_DISTINCT) -> DataFrame:
     """(feature, position, n_distinct) for columns with at most ``limit`` distinct values incl. null."""
     survivors = cardinality_candidates(df, cols, limit)
     if not survivors:
         return df.sparkSession.createDataFrame([], "feature string, position int, n_distinct long")
-    exact = (
-        _unpivot_text(df, survivors).distinct()
-        .groupBy("feature").agg(F.count(F.lit(1)).alias("n_distinct"))
-    )
+    exact = _unpivot_text(df, survivors).distinct().groupBy("feature").agg(F.count(F.lit(1)).alias("n_distinct"))
     position = F.array_position(F.array(*[F.lit(c) for c in cols]), F.col("feature")).cast("int") - 1
     return exact.where(F.col("n_distinct") <= limit).select("feature", position.alias("position"), "n_distinct")
 
@@ -66,43 +89,42 @@ def slice_scan(
     candidates: Sequence[str] | None = None,
     min_support: int = C.SLICE_MIN_SUPPORT,
     top: int | None = C.SLICE_TOP,
+    limit: int = C.SLICE_MAX_DISTINCT,
+    max_cols: int = C.SLICE_MAX_COLUMNS,
 ) -> DataFrame:
     """H3: rates per (feature, value) slice of the candidate columns.
 
-    TPR/FPR are null when undefined (unlike the report).  Null values form no
-    slice.  Slices with fewer than ``min_support`` rows are dropped; order is
-    selection rate desc, n desc, column position, value; ``top`` keeps the best.
+    Candidates are the first ``max_cols`` feature columns with at most ``limit``
+    distinct values (null included).  A sketch pass drops clearly wide columns;
+    the exact distinct counts then come out of the same aggregation that counts
+    the slices, so the scored rows are read twice in all.  TPR/FPR are null when
+    undefined (unlike the report).  Null values form no slice.  Slices with fewer
+    than ``min_support`` rows are dropped; order is selection rate desc, n desc,
+    column position, value; ``top`` keeps the best.
     """
-    cols = list(candidates) if candidates is not None else slice_candidates(scored, features)
+    if candidates is not None:
+        cols = list(candidates)
+    else:
+        cols = cardinality_candidates(scored, features, limit)
     if not cols:
         return scored.sparkSession.createDataFrame(
             [], "rank int, feature string, value string, n long, selection_rate double, "
                 "true_positive_rate double, false_positive_rate double")
-    yt = positive_flag(y_true, positive_label).alias("yt")
-    yp = positive_flag(y_pred, positive_label).alias("yp")
-    long = _unpivot_text(scored.select(yt, yp, *cols), cols, ids=["yt", "yp"]).where(F.col("value").isNotNull())
-
-    def cnt(cond):
-        return F.sum(F.when(cond, 1).otherwise(0)).cast("long")
-
-    counts = long.groupBy("feature", "value").agg(
-        cnt((F.col("yt") == 1) & (F.col("yp") == 1)).alias("tp"),
-        cnt((F.col("yt") == 0) & (F.col("yp") == 1)).alias("fp"),
-        cnt((F.col("yt") == 1) & (F.col("yp") == 0)).alias("fn"),
-        cnt((F.col("yt") == 0) & (F.col("yp") == 0)).alias("tn"),
-    )
-    rates = rates_from_counts(counts, undefined="null", keys=("feature", "value")).where(
-        F.col("n") >= min_support
-    )
-    position = F.array_position(F.array(*[F.lit(c) for c in cols]), F.col("feature"))
-    ordered = rates.withColumn("__pos", position)
-    order = [F.desc("selection_rate"), F.desc("n"), F.asc("__pos"), F.asc("value")]
+    counts = _with_cardinality(_value_counts(scored, cols, positive_label, y_true, y_pred), features
+                               if candidates is None else cols)
+    if candidates is None:
+        # keep the first max_cols low-cardinality columns, in column order
+        low = counts.where(F.col("n_distinct") <= limit)
+        first = F.dense_rank().over(Window.orderBy("position"))
+        counts = low.withColumn("__col_rank", first).where(F.col("__col_rank") <= max_cols)
+    rates = rates_from_counts(counts.where(F.col("value").isNotNull()), undefined="null",
+                              keys=("feature", "value", "position")).where(F.col("n") >= min_support)
+    order = [F.desc("selection_rate"), F.desc("n"), F.asc("position"), F.asc("value")]
     if top is not None:
-        # Slices are already aggregated (at most limit x max_cols rows): the
-        # global order/limit is a TakeOrderedAndProject over a tiny table.
-        ordered = ordered.orderBy(*order).limit(top)
+        # slices are already aggregated (at most limit x max_cols rows): a tiny TakeOrdered
+        rates = rates.orderBy(*order).limit(top)
     w = Window.orderBy(*order)
-    return ordered.select(
+    return rates.select(
         F.row_number().over(w).cast("int").alias("rank"),
         "feature", "value", "n", "selection_rate", "true_positive_rate", "false_positive_rate",
     )

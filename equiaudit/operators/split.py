@@ -3,7 +3,7 @@
 Rows are ordered by md5(seed | key).  ``exact`` mode takes, per label, the
 first ``quota`` rows in that order, like a random permutation cut at the
 stratum quota.  It never sorts a whole label: it counts rows per
-(label, 16-bit hash prefix) -- at most 65,536 rows per label -- finds the
+(label, 20-bit hash prefix) -- at most 1,048,576 rows per label -- finds the
 prefix where each label's quota ends, assigns every other row by comparing
 prefixes, and ranks only the rows inside that one boundary prefix.
 ``fraction`` mode keeps a row when its hash, as a number in [0, 1), is below
@@ -18,7 +18,7 @@ from typing import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-_PREFIX_HEX = 4
+_PREFIX_HEX = 5
 _NULL = "\u0000null"
 
 

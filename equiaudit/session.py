@@ -57,3 +57,12 @@ def shuffle_partitions(spark: SparkSession) -> int:
         return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     except Exception:  # noqa: BLE001
         return int(os.environ.get("EQUIAUDIT_PARTITIONS", "8"))
+
+
+def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Round-robin repartition only when ``df`` has fewer partitions than the session can
+    run at once (e.g. a file written as one row group).  On a cluster reading many file
+    splits this is a no-op; it never reduces parallelism and adds one shuffle at most."""
+    sc = df.sparkSession.sparkContext
+    want = min_partitions or sc.defaultParallelism
+    return df.repartition(want) if df.rdd.getNumPartitions() < want else df
