@@ -78,3 +78,9 @@ def stratified_split(df: DataFrame, key_cols: Sequence[str], label_col: str, tes
         "is_test", F.row_number().over(wr) <= F.col("__need")
     )
     return direct.unionByName(edge).select(*df.columns, "is_test")
+
+
+def split_counts(parts: DataFrame) -> DataFrame:
+    """Rows in train and test."""
+    return parts.groupBy(F.when(F.col("is_test"), "test").otherwise("train").alias("split")).agg(
+        F.count(F.lit(1)).alias("n"))

@@ -73,7 +73,7 @@ def run_catalogue(tables: Mapping[str, DataFrame]) -> DataFrame:
         present = part if present is None else present.unionByName(part)
     return present.groupBy("run_id").agg(
         *[F.bool_or(F.col("table") == F.lit(n)).alias(f"has_{n}") for n in names]
-    )
+    ).orderBy(F.desc("run_id"))  # newest first (one row per run)
 
 
 def run_summary(run_id: str, metrics: DataFrame, flags: DataFrame, issues: DataFrame) -> DataFrame:
