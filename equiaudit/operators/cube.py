@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from equiaudit import constants as C
 from equiaudit.functions import cut_bucket, positive_flag
 
-YT, YP, BUCKET, N = "yt", "yp", "bucket", "n"
+YT, YP, BUCKET, OK, N = "yt", "yp", "bucket", "ok", "n"
 
 
 def confusion_cube(
@@ -53,17 +53,21 @@ def confusion_cube(
     yt = positive_flag(y_true, positive_label).alias(YT)
     yp = (positive_flag(y_pred, positive_label) if y_pred else F.lit(0)).alias(YP)
     bk = (cut_bucket(score, cuts) if score and cuts else F.lit(0)).alias(BUCKET)
-    base = scored.select(*keys, *attr_cols, yt, yp, bk)
-    ids = [*by, YT, YP, BUCKET]
+    # prediction equals truth as text (accuracy); for a binary task it follows from (yt, yp)
+    # and adds no cube rows
+    ok = (F.coalesce(F.col(y_true).cast("string") == F.col(y_pred).cast("string"), F.lit(False))
+          if y_pred else F.lit(False)).alias(OK)
+    base = scored.select(*keys, *attr_cols, yt, yp, bk, ok)
+    ids = [*by, YT, YP, BUCKET, OK]
 
     if strategy == "joint":
-        joint = base.groupBy(*by, *attrs, YT, YP, BUCKET).agg(F.count(F.lit(1)).alias(N))
+        joint = base.groupBy(*by, *attrs, YT, YP, BUCKET, OK).agg(F.count(F.lit(1)).alias(N))
         long = joint.unpivot(ids=[*ids, N], values=list(attrs), variableColumnName="attribute",
                              valueColumnName="group")
-        return long.groupBy(*by, "attribute", "group", YT, YP, BUCKET).agg(F.sum(N).cast("long").alias(N))
+        return long.groupBy(*by, "attribute", "group", YT, YP, BUCKET, OK).agg(F.sum(N).cast("long").alias(N))
     if strategy == "sets":
         long = base.unpivot(ids=ids, values=list(attrs), variableColumnName="attribute", valueColumnName="group")
-        return long.groupBy(*by, "attribute", "group", YT, YP, BUCKET).agg(F.count(F.lit(1)).alias(N))
+        return long.groupBy(*by, "attribute", "group", YT, YP, BUCKET, OK).agg(F.count(F.lit(1)).alias(N))
     raise ValueError(f"unknown cube strategy: {strategy}")
 
 
@@ -76,6 +80,16 @@ def group_sizes(cube: DataFrame, by: Sequence[str] = (), null_label: str = C.NUL
     )
 
 
+def accuracy_from_cube(cube: DataFrame, attribute: str, by: Sequence[str] = ()) -> DataFrame:
+    """E5 from the cube: every record appears once per attribute, so one attribute's
+    slice (null groups included) holds each record exactly once."""
+    one = cube.where(F.col("attribute") == F.lit(attribute))
+    return one.groupBy(*by).agg(
+        (F.sum(F.when(F.col(OK), F.col(N)).otherwise(0)).cast("double") / F.sum(N).cast("double")).alias("accuracy"),
+        F.sum(N).cast("long").alias("n"),
+    )
+
+
 def confusion_counts(cube: DataFrame, by: Sequence[str] = (), cut_index: int | None = None) -> DataFrame:
     """Tp / fp / fn / tn per (attribute, group) over non-null groups.
 

@@ -3,8 +3,8 @@
 The dispatcher is a registry of diagnostics keyed by tool name; each planned
 (tool, attribute) runs on its own, a failure is recorded and does not stop
 the others, and only ``ok`` results count as done.  The audit computes the
-confusion cube once (persisted: it is small) and derives every report table
-from it.
+confusion cube once (checkpointed: it is small) and derives every report
+table from it.
 """
 
 from __future__ import annotations
@@ -22,6 +22,7 @@ from equiaudit.operators import model as model_ops
 from equiaudit.operators import rates as rate_ops
 from equiaudit.operators import shift, slices, thresholds
 from equiaudit.plans import diagnostic_rules as rules
+from equiaudit.session import cut_lineage
 from equiaudit.spec import AuditSpec, require_columns
 
 
@@ -111,12 +112,16 @@ def run_audit(scored: DataFrame, spec: AuditSpec, features: Sequence[str], run_d
     has_score = "y_score" in scored.columns
     cube = cube_ops.confusion_cube(scored, spec.sensitive_cols, spec.positive_label,
                                    score="y_score" if has_score else None,
-                                   cuts=C.DEFAULT_CUTS if has_score else None, by=by).persist()
+                                   cuts=C.DEFAULT_CUTS if has_score else None, by=by)
+    # the cube is tiny and every report table reads it: write it once to the shared
+    # checkpoint folder so later steps (and retries after a lost executor) never re-scan
+    cube = cut_lineage(cube)
     rates = rate_ops.group_rates(cube, by)
     disp = rate_ops.disparity(rates, by)
     flags = rate_ops.disparity_flags(disp, spec.fairness_threshold)
     out = {
         "cube": cube,
+        "accuracy": cube_ops.accuracy_from_cube(cube, spec.sensitive_cols[0], by),
         "group_sizes": cube_ops.group_sizes(cube, by),
         "group_rates": rates,
         "disparity": flags,

@@ -431,7 +431,7 @@ def _run_tables(spark, sf_dir):
     flags = rate_ops.disparity_flags(disp, THRESHOLD)
     issues = issue_ops.issue_table(flags, rates, THRESHOLD, by)
     metrics = store.run_metrics(scored, label_col="y_true", positive_label=fx.POSITIVE,
-                                sensitive_cols=fx.SENSITIVE)
+                                sensitive_cols=fx.SENSITIVE, cube=cube)
     sizes = cube_ops.group_sizes(cube, by)
     return dict(scored=scored, rates=rates, disp=disp, flags=flags, issues=issues, metrics=metrics, sizes=sizes)
 

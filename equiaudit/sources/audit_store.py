@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from equiaudit import constants as C
 from equiaudit.functions import fixed4
+from equiaudit.operators.cube import accuracy_from_cube
 
 
 def write_audit_table(df: DataFrame, root: str, name: str) -> str:
@@ -45,11 +46,18 @@ def write_rates_csv(rates: DataFrame, path: str) -> str:
 
 
 def run_metrics(scored: DataFrame, *, label_col: str, positive_label: str, sensitive_cols: Sequence[str],
-                model_type: str | None = None, n_train: DataFrame | None = None) -> DataFrame:
-    """One metrics row per run from the scored rows (accuracy, test size, spec fields)."""
-    hit = F.coalesce(F.col("y_true").cast("string") == F.col("y_pred").cast("string"), F.lit(False)).cast("int")
+                model_type: str | None = None, n_train: DataFrame | None = None,
+                cube: DataFrame | None = None) -> DataFrame:
+    """One metrics row per run (accuracy, test size, spec fields).
+
+    With the run's confusion cube (keyed by run_id) the counts come from it, so the
+    scored rows are not read a second time."""
     has_score = "y_score" in scored.columns
-    m = scored.groupBy("run_id").agg(F.avg(hit).alias("accuracy"), F.count(F.lit(1)).alias("n_test"))
+    if cube is not None:
+        m = accuracy_from_cube(cube, sensitive_cols[0], ["run_id"]).withColumnRenamed("n", "n_test")
+    else:
+        hit = F.coalesce(F.col("y_true").cast("string") == F.col("y_pred").cast("string"), F.lit(False)).cast("int")
+        m = scored.groupBy("run_id").agg(F.avg(hit).alias("accuracy"), F.count(F.lit(1)).alias("n_test"))
     if n_train is not None:
         m = m.join(n_train, "run_id", "left")
     else:
