@@ -103,6 +103,15 @@ class FittedModel:
         )
 
 
+def _fit_prepared(data: DataFrame, prep: FeaturePrep, max_iter: int, positive_label: str,
+                  classes: Sequence[str]) -> FittedModel:
+    n = data.count()
+    model = build_pipeline(prep, max_iter, 1.0 / max(n, 1)).fit(data)
+    other = [c for c in classes if str(c) != str(positive_label)]
+    neg = str(other[0]) if other else "0"
+    return FittedModel(prep, model, [neg, str(positive_label)])
+
+
 def fit(train: DataFrame, features: Sequence[str], label_col: str, positive_label: str, classes: Sequence[str],
         max_iter: int = 2000, scale: bool = True) -> FittedModel:
     """Imputers (+ unit scaler) + one-hot + L2 logistic regression with C = 1.
@@ -115,14 +124,9 @@ def fit(train: DataFrame, features: Sequence[str], label_col: str, positive_labe
     # every L-BFGS iteration is a pass over these rows: spread them over all cores once, then cache
     data = spread(data).persist()
     try:
-        n = data.count()
-        pipe = build_pipeline(prep, max_iter, 1.0 / max(n, 1))
-        model = pipe.fit(data)
+        return _fit_prepared(data, prep, max_iter, positive_label, classes)
     finally:
         data.unpersist()
-    other = [c for c in classes if str(c) != str(positive_label)]
-    neg = str(other[0]) if other else "0"
-    return FittedModel(prep, model, [neg, str(positive_label)])
 
 
 def risk_level(auc: float | None) -> str | None:
@@ -146,11 +150,17 @@ def proxy_detection(df: DataFrame, attribute: str, features: Sequence[str], max_
                 "error": f"Proxy detection currently supports binary attribute only; found {len(classes)} groups."}
     y = F.coalesce(F.col(attribute).cast("string"), F.lit("nan")).alias("__y")
     base = df.select(y, *features)
-    m = fit(base, features, "__y", classes[1], classes, max_iter=max_iter, scale=False)
-    scored = m.score(base, keep=["__y"])
-    label = (F.col("__y") == F.lit(classes[1])).cast("int")
-    acc = scored.agg(F.avg((F.col("y_pred") == F.col("__y")).cast("int")).alias("a")).first()["a"]
-    a = auc_of(scored, label, "y_score").first()
-    risk = risk_level(a["auc"])
-    return {"attribute": attribute, "classes": classes, "accuracy": acc, "auc": a["auc"], "risk_level": risk,
-            "status": "ok", "error": None}
+    prep = fit_prep(base, features, scale=False)
+    # fitted and scored on the same rows: prepare and cache them once for fit, scoring and AUC
+    data = spread(prep.apply(base, keep=["__y", (F.col("__y") == F.lit(classes[1])).cast("double")
+                                           .alias("__label")])).persist()
+    try:
+        m = _fit_prepared(data, prep, max_iter, classes[1], classes)
+        scored = m.model.transform(data).select(
+            "__label", vector_to_array("probability")[1].alias("y_score"), "prediction")
+        acc = scored.agg(F.avg((F.col("prediction") == F.col("__label")).cast("int")).alias("a")).first()["a"]
+        a = auc_of(scored, F.col("__label"), "y_score").first()
+    finally:
+        data.unpersist()
+    return {"attribute": attribute, "classes": classes, "accuracy": acc, "auc": a["auc"],
+            "risk_level": risk_level(a["auc"]), "status": "ok", "error": None}

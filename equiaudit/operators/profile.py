@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from equiaudit import constants as C
 from equiaudit.functions import coerce_numeric, text_or_null_token
 from equiaudit.operators.prefix import running_totals, top_k
+from equiaudit.session import cut_lineage
 
 
 def _numeric_long(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -29,6 +30,7 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float])
     """(feature, q0, q1, ...) with linear interpolation between order statistics
     (the usual ``(n - 1) * p`` rule); nulls and NaN ignored."""
     d = _numeric_long(df, cols).groupBy("feature", "value").agg(F.count(F.lit(1)).alias("cnt"))
+    d = cut_lineage(d)  # read for bounds, bucket sums, rows and counts: computed once
     rt = running_totals(d, "value", ["cnt"], by=["feature"])
     n = d.groupBy("feature").agg(F.sum("cnt").alias("__n"))
     # one row per profiled column: a bound fixed by the caller's column list

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from equiaudit.functions import coerce_numeric
 from equiaudit.operators.prefix import running_totals
+from equiaudit.session import cut_lineage
 
 _D = "decimal(38,0)"
 
@@ -34,6 +35,9 @@ def auc(df: DataFrame, label: Column, score: str | Column, by: Sequence[str] = (
         .groupBy(*by, "score")
         .agg(F.sum("yt").alias("pos"), F.sum(F.lit(1) - F.col("yt")).alias("neg"))
     )
+    # read three times below (quantile bounds, bucket sums, rows): write it once to the
+    # shared checkpoint folder instead of re-scanning and re-aggregating the input
+    per_score = cut_lineage(per_score)
     rt = running_totals(per_score, "score", ["neg"], by=by, buckets=buckets)
     pos, neg, before = (F.col(c).cast(_D) for c in ("pos", "neg", "neg_before"))
     agg = rt.groupBy(*by).agg(
