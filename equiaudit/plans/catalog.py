@@ -19,6 +19,7 @@ from equiaudit import constants as C
 from equiaudit.operators import cube as cube_ops
 from equiaudit.operators import rates as rate_ops
 from equiaudit.plans import fixtures as fx
+from equiaudit.session import cut_lineage
 
 THRESHOLD = C.DEFAULT_FAIRNESS_THRESHOLD
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,11 +33,19 @@ def query(name: str):
     return deco
 
 
-def _cube(spark, sf_dir, with_run: bool = False, cuts=None):
+def _cube(spark, sf_dir, with_run: bool = False, cuts=None, shared: bool = False):
+    """The confusion cube of the scored view.
+
+    ``shared``: several tables are derived from the cube.  Catalyst pushes each
+    consumer's filters into the cube's aggregation, so the branches would not
+    share one plan and each would re-read the scored rows; the (tiny) cube is
+    instead written once to the checkpoint folder and read by every branch.
+    """
     scored = fx.scored_lineitems(spark, sf_dir, with_run=with_run)
     by = ["run_id"] if with_run else []
-    return cube_ops.confusion_cube(scored, fx.SENSITIVE, fx.POSITIVE, score="y_score" if cuts else None,
+    cube = cube_ops.confusion_cube(scored, fx.SENSITIVE, fx.POSITIVE, score="y_score" if cuts else None,
                                    cuts=cuts, by=by)
+    return cut_lineage(cube) if shared else cube
 
 
 def _rates(spark, sf_dir):
@@ -315,7 +324,7 @@ def _pick(values, key_col: str, modulo: int):
 
 
 def _flags(spark, sf_dir, by=()):
-    cube = _cube(spark, sf_dir, with_run=bool(by))
+    cube = _cube(spark, sf_dir, with_run=bool(by), shared=True)
     rates = rate_ops.group_rates(cube, by)
     return rates, rate_ops.disparity_flags(rate_ops.disparity(rates, by), THRESHOLD)
 
@@ -425,7 +434,7 @@ def _run_tables(spark, sf_dir):
     """Audit tables of every run (run_id = order year), from one cube pass."""
     by = ["run_id"]
     scored = fx.scored_lineitems(spark, sf_dir, with_run=True)
-    cube = cube_ops.confusion_cube(scored, fx.SENSITIVE, fx.POSITIVE, by=by)
+    cube = cut_lineage(cube_ops.confusion_cube(scored, fx.SENSITIVE, fx.POSITIVE, by=by))
     rates = rate_ops.group_rates(cube, by)
     disp = rate_ops.disparity(rates, by)
     flags = rate_ops.disparity_flags(disp, THRESHOLD)
