@@ -34,6 +34,7 @@ class FeaturePrep:
     medians: dict
     modes: dict
     scales: dict | None
+    rows: int | None = None
 
     def apply(self, df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
         """Imputed (and optionally unit-scaled) feature columns next to the ``keep`` columns."""
@@ -47,28 +48,55 @@ class FeaturePrep:
         return df.select(*keep, *num, *cat)
 
 
-def columns_with_gaps(df: DataFrame, num: Sequence[str], cat: Sequence[str]) -> tuple[list[str], list[str]]:
-    """Columns holding at least one null (or NaN): one aggregate, one row to the driver."""
-    cols = [*num, *cat]
-    if not cols:
-        return [], []
-    gaps = [F.max(coerce_numeric(c).isNull().cast("int")) if c in num else F.max(F.col(c).isNull().cast("int"))
-            for c in cols]
-    r = df.agg(*[g.alias(f"g{i}") for i, g in enumerate(gaps)]).first()
-    has = {c for i, c in enumerate(cols) if r[f"g{i}"]}
-    return [c for c in num if c in has], [c for c in cat if c in has]
+@dataclass
+class ColumnFacts:
+    rows: int
+    num_gaps: list
+    cat_gaps: list
+    deviations: dict
+
+
+def column_facts(df: DataFrame, num: Sequence[str], cat: Sequence[str]) -> ColumnFacts:
+    """One aggregate, one row to the driver: row count, which columns hold a null
+    (or NaN), and the population deviation of every numeric column."""
+    aggs = [F.count(F.lit(1)).alias("__rows")]
+    for i, c in enumerate(num):
+        x = coerce_numeric(c)
+        aggs += [F.max(x.isNull().cast("int")).alias(f"gn{i}"), F.stddev_pop(x).alias(f"sd{i}")]
+    for i, c in enumerate(cat):
+        aggs.append(F.max(F.col(c).isNull().cast("int")).alias(f"gc{i}"))
+    r = df.agg(*aggs).first()
+    return ColumnFacts(
+        rows=int(r["__rows"]),
+        num_gaps=[c for i, c in enumerate(num) if r[f"gn{i}"]],
+        cat_gaps=[c for i, c in enumerate(cat) if r[f"gc{i}"]],
+        deviations={c: r[f"sd{i}"] for i, c in enumerate(num)},
+    )
+
+
+def _unit(sd) -> float:
+    return sd if sd is not None and sd == sd and sd != 0.0 else 1.0
 
 
 def fit_prep(df: DataFrame, features: Sequence[str], scale: bool) -> FeaturePrep:
     """Imputation statistics are computed only for columns that have gaps: elsewhere
-    imputing is a no-op, so skipping the exact median / mode passes changes nothing."""
+    imputing is a no-op, so skipping the exact median / mode passes changes nothing.
+    Deviations come from the same first pass; only gap columns are re-measured after
+    imputation."""
     num, cat, _ = split_feature_types(df, features)  # datetimes are left out
-    num_gaps, cat_gaps = columns_with_gaps(df, num, cat)
-    medians = profile.column_medians(df, num_gaps)
-    modes = profile.column_modes(df, cat_gaps)
-    scales = profile.unit_scale_factors(df.select(*[F.coalesce(coerce_numeric(c), F.lit(medians.get(c)))
-                                                    .alias(c) for c in num]), num) if scale else None
-    return FeaturePrep(num, cat, medians, modes, scales)
+    facts = column_facts(df, num, cat)
+    medians = profile.column_medians(df, facts.num_gaps)
+    modes = profile.column_modes(df, facts.cat_gaps)
+    scales = None
+    if scale:
+        scales = {c: _unit(facts.deviations[c]) for c in num}
+        if facts.num_gaps:
+            filled = df.select(*[F.coalesce(coerce_numeric(c), F.lit(medians.get(c))).alias(c)
+                                 for c in facts.num_gaps])
+            scales.update(profile.unit_scale_factors(filled, facts.num_gaps))
+    prep = FeaturePrep(num, cat, medians, modes, scales)
+    prep.rows = facts.rows
+    return prep
 
 
 def build_pipeline(prep: FeaturePrep, max_iter: int, reg_param: float, label_col: str = "__label") -> Pipeline:
@@ -105,7 +133,7 @@ class FittedModel:
 
 def _fit_prepared(data: DataFrame, prep: FeaturePrep, max_iter: int, positive_label: str,
                   classes: Sequence[str]) -> FittedModel:
-    n = data.count()
+    n = prep.rows if prep.rows is not None else data.count()
     model = build_pipeline(prep, max_iter, 1.0 / max(n, 1)).fit(data)
     other = [c for c in classes if str(c) != str(positive_label)]
     neg = str(other[0]) if other else "0"
