@@ -36,16 +36,23 @@ def local_session(cores: int | str = "*", app: str = "equiaudit", extra: dict |
     return spark
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder, setting a local one only when none is configured."""
-    d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+def ensure_checkpoint_dir(spark: SparkSession) -> str | None:
+    """Return the shared checkpoint folder, setting a local one only when none is configured
+    and the master is local (tests).  Sessions without a SparkContext handle (Spark Connect)
+    keep whatever the server is configured with."""
+    d = spark.conf.get("spark.checkpoint.dir", None)
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001 -- remote session: the server owns the folder
+        return d
+    d = d or sc.getCheckpointDir()
     if not d:
-        if not spark.sparkContext.master.startswith("local"):
+        if not sc.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a shared folder (a machine-local one does not "
                                "survive executor loss)")
         d = tempfile.mkdtemp(prefix="equiaudit-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
-    spark.sparkContext.setCheckpointDir(d)
+    sc.setCheckpointDir(d)
     return d
 
 
@@ -66,6 +73,9 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     """Round-robin repartition only when ``df`` has fewer partitions than the session can
     run at once (e.g. a file written as one row group).  On a cluster reading many file
     splits this is a no-op; it never reduces parallelism and adds one shuffle at most."""
-    sc = df.sparkSession.sparkContext
-    want = min_partitions or sc.defaultParallelism
-    return df.repartition(want) if df.rdd.getNumPartitions() < want else df
+    try:
+        want = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+        have = df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001 -- no RDD view (remote session): leave partitioning to Spark
+        return df
+    return df.repartition(want) if have < want else df
