@@ -82,3 +82,16 @@ def test_auc_matches_pairwise(credit):
     assert got == pytest.approx(pair, rel=1e-12)
     flipped = auc(df.withColumn("y_score", -F.col("y_score")), positive_flag("y_true", "good"), "y_score").first()
     assert flipped["auc"] == pytest.approx(1 - pair, rel=1e-12)
+
+
+def test_age_group_sweep(credit):
+    """Four groups; the 0.9 cut has a group with no false positives (ratio 0.0)."""
+    df, _ = credit
+    cube = cube_ops.confusion_cube(df, ["age_group"], "good", y_pred=None, score="y_score", cuts=C.DEFAULT_CUTS)
+    s = _rows(thresholds.threshold_sensitivity(cube), "threshold", "metric")
+    assert s[(0.1, "selection_rate")]["difference"] == pytest.approx(0.046875, rel=1e-14)
+    assert s[(0.1, "true_positive_rate")]["ratio"] == pytest.approx(0.9767441860465116, rel=1e-14)
+    assert s[(0.5, "false_positive_rate")]["difference"] == pytest.approx(0.6190476190476191, rel=1e-14)
+    assert s[(0.9, "true_positive_rate")]["difference"] == pytest.approx(0.48863636363636365, rel=1e-14)
+    assert s[(0.9, "false_positive_rate")]["ratio"] == 0.0
+    assert s[(0.9, "selection_rate")]["ratio"] == pytest.approx(0.14634146341463414, rel=1e-14)

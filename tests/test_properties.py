@@ -83,3 +83,10 @@ def test_quota_largest_remainder():
     assert stratum_quotas({"a": 7500, "b": 7500}, 0.25) == {"a": 1875, "b": 1875}
     q = stratum_quotas({"a": 3, "b": 3, "c": 3}, 0.25)
     assert sum(q.values()) == 3
+
+
+def test_report_independent_of_partitioning(scored):
+    a = rates.fairness_report(rates.group_rates(cube_ops.confusion_cube(scored, fx.SENSITIVE, "good")))
+    b = rates.fairness_report(rates.group_rates(cube_ops.confusion_cube(scored.repartition(7), fx.SENSITIVE,
+                                                                         "good")))
+    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
