@@ -47,44 +47,74 @@ def _two_groups(df: DataFrame, attribute: str, groups: Sequence[str]) -> DataFra
     return df.withColumn("__g", g).where(F.col("__g").isin(list(groups)))  # C3
 
 
-def numeric_shift(df: DataFrame, attribute: str, numeric: Sequence[str], groups: Sequence[str],
+def _top_two(sizes: DataFrame) -> DataFrame:
+    """F1 on a per-group table (g, n): ranks 1 and 2 by n desc, name asc (tiny window)."""
+    w = Window.orderBy(F.desc("n"), F.asc("g"))
+    return sizes.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= 2)
+
+
+def numeric_shift(df: DataFrame, attribute: str, numeric: Sequence[str], groups: Sequence[str] | None = None,
                   top: int | None = C.SHIFT_TOP) -> DataFrame:
     """(rank, feature, group_a, group_b, mean_a, mean_b, abs_mean_diff).
 
-    Null differences sort first, then larger differences, then column order.
+    Without ``groups`` the two largest groups are found in the same pass: one
+    aggregation gives every group's size and means (a table with one row per
+    group), and the top two are picked from it.  Null differences sort first,
+    then larger differences, then column order.
     """
-    a, b = groups
-    two = _two_groups(df, attribute, groups)
-    aggs = []
-    for i, c in enumerate(numeric):
-        x = coerce_numeric(c)
-        aggs += [F.avg(F.when(F.col("__g") == a, x)).alias(f"a{i}"), F.avg(F.when(F.col("__g") == b, x)).alias(f"b{i}")]
-    wide = two.agg(*aggs)
+    g = text_or_null_token(attribute).alias("g")
+    base = df.select(g, *[coerce_numeric(c).alias(f"x{i}") for i, c in enumerate(numeric)])
+    if groups is not None:
+        base = base.where(F.col("g").isin(list(groups)))  # C3
+    per_group = base.groupBy("g").agg(F.count(F.lit(1)).alias("n"),
+                                      *[F.avg(f"x{i}").alias(f"m{i}") for i in range(len(numeric))])
+    if groups is not None:
+        order = F.array_position(F.array(*[F.lit(x) for x in groups]), F.col("g"))
+        two = per_group.withColumn("__r", order.cast("int"))
+    else:
+        two = _top_two(per_group)
+
+    def pick(r, c):
+        return F.max(F.when(F.col("__r") == r, F.col(c)))
+
+    wide = two.agg(pick(1, "g").alias("group_a"), pick(2, "g").alias("group_b"),
+                   *[pick(1, f"m{i}").alias(f"a{i}") for i in range(len(numeric))],
+                   *[pick(2, f"m{i}").alias(f"b{i}") for i in range(len(numeric))])
     rows = F.array(*[
         F.struct(F.lit(c).alias("feature"), F.lit(i).alias("position"),
                  F.col(f"a{i}").alias("mean_a"), F.col(f"b{i}").alias("mean_b"))
         for i, c in enumerate(numeric)
     ])
-    long = wide.select(F.inline(rows)).select(
-        "feature", "position", F.lit(a).alias("group_a"), F.lit(b).alias("group_b"), "mean_a", "mean_b",
+    long = wide.where(F.col("group_b").isNotNull()).select("group_a", "group_b", F.inline(rows)).select(
+        "feature", "position", "group_a", "group_b", "mean_a", "mean_b",
         F.abs(F.col("mean_a") - F.col("mean_b")).alias("abs_mean_diff"),
     )
     return _ranked(long, [F.col("abs_mean_diff").desc_nulls_first(), F.asc("position")], top,
                    ["feature", "group_a", "group_b", "mean_a", "mean_b", "abs_mean_diff"])
 
 
-def top_values(df: DataFrame, attribute: str, categorical: Sequence[str], groups: Sequence[str],
-               k: int | None = C.TVD_TOP_K) -> DataFrame:
-    """(feature, group, value, share, rank): each group's k most frequent values per column
-    (null shown as "nan"), share of the group's rows; ties by value."""
-    two = _two_groups(df, attribute, groups)
-    long = two.select(
-        F.col("__g").alias("group"), *[text_or_null_token(c).alias(c) for c in categorical]
-    ).unpivot(ids=["group"], values=list(categorical), variableColumnName="feature", valueColumnName="value")
+def _ranked_top_values(df: DataFrame, attribute: str, categorical: Sequence[str],
+                       groups: Sequence[str] | None, k: int | None) -> DataFrame:
+    """(feature, group, grp_rank, value, share, rank); grp_rank 1 is the larger compared group."""
+    base = df.select(text_or_null_token(attribute).alias("group"),
+                     *[text_or_null_token(c).alias(c) for c in categorical])
+    if groups is not None:
+        base = base.where(F.col("group").isin(list(groups)))  # C3
+    long = base.unpivot(ids=["group"], values=list(categorical), variableColumnName="feature",
+                        valueColumnName="value")
     counts = long.groupBy("group", "feature", "value").agg(F.count(F.lit(1)).alias("cnt"))
     totals = counts.groupBy("group", "feature").agg(F.sum("cnt").alias("total"))
-    # two groups x text columns rows: a proven bound, broadcast
-    shares = counts.join(F.broadcast(totals), ["group", "feature"]).withColumn(
+    if groups is not None:
+        ranks = totals.select("group", F.array_position(F.array(*[F.lit(x) for x in groups]), F.col("group"))
+                              .cast("int").alias("grp_rank")).distinct()
+    else:
+        # every row has one value per column, so one column's totals are the group sizes
+        sizes = totals.where(F.col("feature") == F.lit(categorical[0])).select(
+            F.col("group").alias("g"), F.col("total").alias("n"))
+        ranks = _top_two(sizes).select(F.col("g").alias("group"), F.col("__r").alias("grp_rank"))
+    # at most two rows per text column once the groups are chosen: broadcast
+    kept = totals.join(F.broadcast(ranks), "group")
+    shares = counts.join(F.broadcast(kept), ["group", "feature"]).withColumn(
         "share", F.col("cnt").cast("double") / F.col("total").cast("double")
     )
     order = [F.desc("cnt"), F.asc("value")]
@@ -92,24 +122,41 @@ def top_values(df: DataFrame, attribute: str, categorical: Sequence[str], groups
         shares = top_k(shares, ["group", "feature"], order, k, salt_on="value")
     else:
         shares = shares.withColumn("rank", F.lit(None).cast("int"))
-    return shares.select("feature", "group", "value", "share", F.col("rank").cast("int").alias("rank"))
+    return shares.select("feature", "group", "grp_rank", "value", "share", F.col("rank").cast("int").alias("rank"))
 
 
-def categorical_shift(df: DataFrame, attribute: str, categorical: Sequence[str], groups: Sequence[str],
-                      k: int | None = C.TVD_TOP_K, top: int | None = C.SHIFT_TOP) -> DataFrame:
+def top_values(df: DataFrame, attribute: str, categorical: Sequence[str], groups: Sequence[str] | None = None,
+               k: int | None = C.TVD_TOP_K) -> DataFrame:
+    """(feature, group, value, share, rank): each compared group's k most frequent values
+    per column (null shown as "nan"), share of the group's rows; ties by value.
+
+    Without ``groups``, value counts are taken for every group in one pass; the group
+    sizes are sums of one column's counts, and the two largest groups are kept.
+    """
+    return _ranked_top_values(df, attribute, categorical, groups, k).select(
+        "feature", "group", "value", "share", "rank")
+
+
+def categorical_shift(df: DataFrame, attribute: str, categorical: Sequence[str],
+                      groups: Sequence[str] | None = None, k: int | None = C.TVD_TOP_K,
+                      top: int | None = C.SHIFT_TOP) -> DataFrame:
     """(rank, feature, group_a, group_b, total_variation_distance) over the top-k shares."""
-    a, b = groups
-    tv = top_values(df, attribute, categorical, groups, k)
+    tv = _ranked_top_values(df, attribute, categorical, groups, k)
+
+    def side(r, c):
+        return F.max(F.when(F.col("grp_rank") == r, F.col(c)))
+
     per_value = tv.groupBy("feature", "value").agg(
-        F.coalesce(F.max(F.when(F.col("group") == a, F.col("share"))), F.lit(0.0)).alias("pa"),
-        F.coalesce(F.max(F.when(F.col("group") == b, F.col("share"))), F.lit(0.0)).alias("pb"),
+        F.coalesce(side(1, "share"), F.lit(0.0)).alias("pa"),
+        F.coalesce(side(2, "share"), F.lit(0.0)).alias("pb"),
+        side(1, "group").alias("ga"), side(2, "group").alias("gb"),
     )
-    tvd = per_value.groupBy("feature").agg((F.lit(0.5) * F.sum(F.abs(F.col("pa") - F.col("pb")))).alias("tvd"))
+    tvd = per_value.groupBy("feature").agg(
+        (F.lit(0.5) * F.sum(F.abs(F.col("pa") - F.col("pb")))).alias("total_variation_distance"),
+        F.max("ga").alias("group_a"), F.max("gb").alias("group_b"),
+    ).where(F.col("group_b").isNotNull())
     position = F.array_position(F.array(*[F.lit(c) for c in categorical]), F.col("feature"))
-    long = tvd.select(
-        "feature", position.alias("position"), F.lit(a).alias("group_a"), F.lit(b).alias("group_b"),
-        F.col("tvd").alias("total_variation_distance"),
-    )
+    long = tvd.select("feature", position.alias("position"), "group_a", "group_b", "total_variation_distance")
     return _ranked(long, [F.desc("total_variation_distance"), F.asc("position")], top,
                    ["feature", "group_a", "group_b", "total_variation_distance"])
 
