@@ -18,6 +18,8 @@ from typing import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from equiaudit.session import cut_lineage
+
 _PREFIX_HEX = 5
 _NULL = "\u0000null"
 
@@ -54,7 +56,8 @@ def stratified_split(df: DataFrame, key_cols: Sequence[str], label_col: str, tes
 
     stratum = F.coalesce(F.col(label_col).cast("string"), F.lit(_NULL))
     tagged = df.withColumn("__s", stratum).withColumn("__h", h).withColumn("__p", F.substring("__h", 1, _PREFIX_HEX))
-    per_prefix = tagged.groupBy("__s", "__p").agg(F.count(F.lit(1)).alias("__c"))
+    # at most 2^20 rows per label, read three times below: computed once
+    per_prefix = cut_lineage(tagged.groupBy("__s", "__p").agg(F.count(F.lit(1)).alias("__c")))
     # one row per label reaches the driver
     counts = {r["__s"]: r["n"] for r in per_prefix.groupBy("__s").agg(F.sum("__c").alias("n")).collect()}
     quotas = stratum_quotas(counts, test_size)
