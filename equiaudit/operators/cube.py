@@ -35,6 +35,7 @@ def confusion_cube(
     cuts: Sequence[float] | None = None,
     by: Sequence[str] = (),
     strategy: str = "joint",
+    joint_limit: int = 100_000,
 ) -> DataFrame:
     """Long confusion cube over every attribute in ``attrs``.
 
@@ -43,10 +44,15 @@ def confusion_cube(
     cardinalities is modest, the usual case).
     strategy="sets": unpivot first (an Expand of len(attrs) rows per record)
     and aggregate once; bounded output for high-cardinality attributes.
+    strategy="auto": one sketch pass over the attribute columns (len(attrs)
+    numbers to the driver); "joint" when the product of their cardinalities
+    stays under ``joint_limit``, else "sets".
     Null attribute values stay null here; callers decide how to show them.
     """
     if not attrs:
         raise ValueError("at least one attribute is needed")
+    if strategy == "auto":
+        strategy = "joint" if joint_product(scored, attrs) <= joint_limit else "sets"
     by = list(by)
     keys = [F.col(b) for b in by]
     attr_cols = [F.col(a).cast("string").alias(a) for a in attrs]
@@ -71,6 +77,16 @@ def confusion_cube(
     raise ValueError(f"unknown cube strategy: {strategy}")
 
 
+def joint_product(scored: DataFrame, attrs: Sequence[str]) -> float:
+    """Estimated product of attribute cardinalities (HyperLogLog, nulls count as a value)."""
+    row = scored.agg(*[(F.approx_count_distinct(a) + F.max(F.col(a).isNull().cast("int"))).alias(f"c{i}")
+                       for i, a in enumerate(attrs)]).first()
+    prod = 1.0
+    for i in range(len(attrs)):
+        prod *= max(1, row[f"c{i}"] or 0)
+    return prod
+
+
 def group_sizes(cube: DataFrame, by: Sequence[str] = (), null_label: str = C.NULL_GROUP_LABEL) -> DataFrame:
     """Rows per (attribute, group); a null group is shown as ``null_label``."""
     return (

@@ -32,6 +32,7 @@ class AuditContext:
     spec: AuditSpec
     features: Sequence[str]
     cube: DataFrame | None = None
+    cube_cuts: tuple | None = None  # score cuts the cube was built with, if any
     outputs: dict = field(default_factory=dict)
 
 
@@ -63,8 +64,12 @@ def _thresholds(ctx: AuditContext, attribute=None):
     if "y_score" not in ctx.scored.columns:
         raise ValueError("scored rows have no y_score")
     attrs = [attribute] if attribute else list(ctx.spec.sensitive_cols)
-    cube = cube_ops.confusion_cube(ctx.scored, attrs, ctx.spec.positive_label, y_pred=None, score="y_score",
-                                   cuts=C.DEFAULT_CUTS)
+    if ctx.cube is not None and ctx.cube_cuts == tuple(C.DEFAULT_CUTS) and set(attrs) <= set(ctx.spec.sensitive_cols):
+        # the audit's cube already holds the score buckets: no new pass over the rows
+        cube = ctx.cube.where(F.col("attribute").isin(attrs))
+    else:
+        cube = cube_ops.confusion_cube(ctx.scored, attrs, ctx.spec.positive_label, y_pred=None,
+                                       score="y_score", cuts=C.DEFAULT_CUTS)
     return {"threshold_sensitivity": thresholds.threshold_sensitivity(cube, C.DEFAULT_CUTS)}
 
 
@@ -132,7 +137,7 @@ def run_audit(scored: DataFrame, spec: AuditSpec, features: Sequence[str], run_d
         "plan": rules.diagnostic_plan(flags, None, has_y_score=has_score, by=by),
     }
     if run_diagnostics_now and not by:
-        ctx = AuditContext(scored, spec, features, cube)
+        ctx = AuditContext(scored, spec, features, cube, tuple(C.DEFAULT_CUTS) if has_score else None)
         plan = [(r["tool"], r["attribute"]) for r in out["plan"].select("tool", "attribute").collect()]
         out["diagnostics_status"] = run_diagnostics(ctx, plan)
         for (tool, attribute, name), df in ctx.outputs.items():

@@ -540,7 +540,7 @@ def q_diagnostics_status(spark, sf_dir):
     scored = fx.scored_lineitems(spark, sf_dir)
     spec = AuditSpec(positive_label=fx.POSITIVE, sensitive_cols=fx.SENSITIVE, fairness_threshold=THRESHOLD)
     ctx = audit_ops.AuditContext(scored, spec, fx.FEATURES,
-                                 _cube(spark, sf_dir))
+                                 _cube(spark, sf_dir, cuts=C.DEFAULT_CUTS, shared=True), tuple(C.DEFAULT_CUTS))
     plan = [("check_group_sample_sizes", None), ("run_feature_distribution_comparison", "segment"),
             ("run_proxy_detection", "segment"), ("run_slice_scan", None),
             ("run_threshold_sensitivity", "segment"), ("run_bias_probe", "segment")]
