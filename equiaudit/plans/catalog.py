@@ -16,10 +16,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from equiaudit import constants as C
+from equiaudit import spec as spec_ops
+from equiaudit.functions import coerce_numeric, na_tokens, positive_flag, right_closed_bins, risk_band, value_map
+from equiaudit.functions import issue_type as issue_type_of
 from equiaudit.operators import cube as cube_ops
+from equiaudit.operators import issues as issue_ops
+from equiaudit.operators import model as model_ops
+from equiaudit.operators import profile, ranking, shift, slices, split, thresholds
 from equiaudit.operators import rates as rate_ops
+from equiaudit.plans import audit as audit_ops
+from equiaudit.plans import diagnostic_rules as rules
 from equiaudit.plans import fixtures as fx
 from equiaudit.session import cut_lineage
+from equiaudit.sources import audit_store as store
+from equiaudit.spec import AuditSpec
 
 THRESHOLD = C.DEFAULT_FAIRNESS_THRESHOLD
 Query = Callable[[SparkSession, str], DataFrame]
@@ -113,9 +123,6 @@ def q_largest_groups(spark, sf_dir):
 
 # ---------------------------------------------------------------- H2, F5, E10, H6
 
-from equiaudit.functions import positive_flag, risk_band  # noqa: E402
-from equiaudit.operators import ranking, shift, slices, thresholds  # noqa: E402
-
 
 @query("threshold_sensitivity")
 def q_threshold_sensitivity(spark, sf_dir):
@@ -194,9 +201,6 @@ def q_categorical_shift(spark, sf_dir):
 
 # ---------------------------------------------------------------- B1-B6, A5, C2
 
-from equiaudit import spec as spec_ops  # noqa: E402
-from equiaudit.functions import coerce_numeric, na_tokens, right_closed_bins, value_map  # noqa: E402
-from equiaudit.operators import profile, split  # noqa: E402
 
 # Fixed values of the derivation queries.
 STATUS_MAP = {"F": "closed", "O": "open"}
@@ -302,9 +306,6 @@ def q_stratified_split(spark, sf_dir):
 
 # ---------------------------------------------------------------- H9-H12, H17, B11, D3
 
-from equiaudit.functions import issue_type as issue_type_of  # noqa: E402
-from equiaudit.operators import issues as issue_ops  # noqa: E402
-from equiaudit.plans import diagnostic_rules as rules  # noqa: E402
 
 # How event rows stand in for reported issue / plan / done records.
 RECORD_ATTRS = ("segment", "priority", "status", "size_group", "region")
@@ -425,7 +426,6 @@ def q_highlights(spark, sf_dir):
 
 # ---------------------------------------------------------------- A10-A14, G10, D1
 
-from equiaudit.sources import audit_store as store  # noqa: E402
 
 REQUIRED_TABLES = ("metrics", "fairness_report", "issues")
 
@@ -498,9 +498,6 @@ def q_score_feature_join(spark, sf_dir):
 
 # ---------------------------------------------------------------- G1-G9, H5, H15 (rows-only checks)
 
-from equiaudit.operators import model as model_ops  # noqa: E402
-from equiaudit.plans import audit as audit_ops  # noqa: E402
-from equiaudit.spec import AuditSpec  # noqa: E402
 
 DOC_FEATURES = ("n_chars", "lang", "source")
 
