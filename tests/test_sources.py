@@ -71,3 +71,28 @@ def test_audit_store_partitions_by_run(spark):
     assert {(r.run_id, r.has_t, r.has_u) for r in cat.collect()} == {("r1", True, True), ("r2", True, False)}
     csv = store.write_rates_csv(got.where(F.col("run_id") == "r1"), os.path.join(root, "rates_csv"))
     assert spark.read.option("header", True).csv(csv).count() == 1
+
+
+def test_report_json_and_evidence(spark):
+    from equiaudit.operators import cube as cube_ops
+    from equiaudit.operators import rates as rate_ops
+
+    rows = [("r1", "good", "good", "a"), ("r1", "bad", "good", "b"), ("r1", "good", "bad", "b"),
+            ("r2", "good", "good", "a"), ("r2", "bad", "bad", "a")]
+    df = spark.createDataFrame(rows, "run_id string, y_true string, y_pred string, g string")
+    cube = cube_ops.confusion_cube(df, ["g"], "good", by=["run_id"])
+    rates = rate_ops.group_rates(cube, ["run_id"])
+    flags = rate_ops.disparity_flags(rate_ops.disparity(rates, ["run_id"]), 0.05)
+    out = {r.run_id: json.loads(r.json) for r in store.report_json(rates, flags, ["run_id"]).collect()}
+    assert out["r1"]["by_group"]["selection_rate"] == {"a": 1.0, "b": 0.5}
+    assert out["r1"]["difference"]["selection_rate"] == 0.5 and out["r1"]["flags"]["selection_rate"] is True
+    assert out["r2"]["by_group"]["true_positive_rate"] == {"a": 1.0}
+    metrics = store.run_metrics(df, label_col="y_true", positive_label="good", sensitive_cols=["g"], cube=cube)
+    m = {r.run_id: (r.accuracy, r.n_test) for r in metrics.collect()}
+    assert m == {"r1": (1 / 3, 3), "r2": (1.0, 2)}
+    cat = store.run_catalogue({"metrics": metrics, "issues": flags.where("flag")})
+    ev = store.evidence_table(metrics, rate_ops.disparity(rates, ["run_id"]), cube_ops.group_sizes(cube, ["run_id"]),
+                              cat, ["metrics", "issues"])
+    missing = {(r.run_id, r.value) for r in ev.where("path = 'missing'").collect()}
+    assert missing == {("r2", "issues")}
+    assert {r.value for r in ev.where("path = 'metrics.accuracy'").collect()} == {"0.3333", "1.0000"}
