@@ -413,13 +413,13 @@ def q_highlights(spark, sf_dir):
     best = thresholds.best_threshold(sweep).select(
         F.lit("run_threshold_sensitivity").alias("tool"), "attribute",
         F.concat(F.lit("Best TPR-gap threshold = "), F.col("threshold").cast("string")).alias("detail"),
-        F.lit(None).cast("long").alias("n"), F.lit(None).cast("double").alias("selection_rate"),
+        F.lit(None).cast("double").alias("n"), F.lit(None).cast("double").alias("selection_rate"),
         F.col("tpr_difference").alias("true_positive_rate"), F.col("fpr_difference").alias("false_positive_rate"),
     )
     top = slices.slice_scan(fx.scored_lineitems(spark, sf_dir), fx.FEATURES, fx.POSITIVE, top=3).select(
         F.lit("run_slice_scan").alias("tool"), F.lit("-").alias("attribute"),
         F.concat("feature", F.lit("="), "value").alias("detail"),
-        "n", "selection_rate", "true_positive_rate", "false_positive_rate",
+        F.col("n").cast("double").alias("n"), "selection_rate", "true_positive_rate", "false_positive_rate",
     )
     return best.unionByName(top)
 
@@ -447,7 +447,10 @@ def _run_tables(spark, sf_dir):
 
 @query("run_metrics")
 def q_run_metrics(spark, sf_dir):
-    return _run_tables(spark, sf_dir)["metrics"]
+    # n_train is null here (scores come from elsewhere); shown as double so that a null-bearing
+    # integer column has one pandas type in both engines
+    m = _run_tables(spark, sf_dir)["metrics"]
+    return m.withColumn("n_train", F.col("n_train").cast("double"))
 
 
 @query("run_catalogue")

@@ -579,11 +579,12 @@ SQL["highlights"] = SWEEP + """, wide AS (
   FROM c WHERE tp + fp + fn + tn >= 10
 )
 SELECT 'run_threshold_sensitivity' AS tool, attribute, 'Best TPR-gap threshold = ' || CAST(threshold AS VARCHAR) AS detail,
-       CAST(NULL AS BIGINT) AS n, CAST(NULL AS DOUBLE) AS selection_rate,
+       CAST(NULL AS DOUBLE) AS n, CAST(NULL AS DOUBLE) AS selection_rate,
        tpr_difference AS true_positive_rate, fpr_difference AS false_positive_rate
 FROM best
 UNION ALL
-SELECT 'run_slice_scan', '-', feature || '=' || value, n, selection_rate, true_positive_rate, false_positive_rate
+SELECT 'run_slice_scan', '-', feature || '=' || value, CAST(n AS DOUBLE), selection_rate, true_positive_rate,
+       false_positive_rate
 FROM r WHERE rk <= 3
 """
 
@@ -627,7 +628,7 @@ RUN_BASE = _with(SCORED) + """, rcounts AS (
 """
 
 SQL["run_metrics"] = RUN_BASE + """
-SELECT run_id, accuracy, CAST(NULL AS BIGINT) AS n_train, n_test, CAST(NULL AS VARCHAR) AS model_type,
+SELECT run_id, accuracy, CAST(NULL AS DOUBLE) AS n_train, n_test, CAST(NULL AS VARCHAR) AS model_type,
        'y_true' AS label_col, 'good' AS positive_label, 'segment,priority,status,size_group' AS sensitive_cols,
        true AS has_y_score
 FROM rmetrics
