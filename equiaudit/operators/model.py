@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from equiaudit import constants as C
-from equiaudit.functions import coerce_numeric, positive_flag
+from equiaudit.functions import coerce_numeric, positive_flag, text_or_null_token
 from equiaudit.operators import profile
 from equiaudit.operators.ranking import auc as auc_of
 from equiaudit.operators.shift import split_feature_types
@@ -170,8 +170,10 @@ def risk_level(auc: float | None) -> str | None:
 def proxy_detection(df: DataFrame, attribute: str, features: Sequence[str], max_iter: int = 1000) -> dict:
     """H5: can the features predict a two-valued attribute?  Fits and scores in-sample
     (as audited); returns attribute, classes, accuracy, auc, risk_level, status."""
-    classes = sorted(r["v"] for r in df.select(F.col(attribute).cast("string").alias("v"))
-                     .where(F.col("v").isNotNull()).distinct().limit(3).collect())
+    # classes of the attribute as text; a missing value is the class "nan" (so a two-valued
+    # attribute with gaps has three classes and is unsupported)
+    classes = sorted(r["v"] for r in df.select(text_or_null_token(attribute).alias("v"))
+                     .distinct().limit(3).collect())
     if len(classes) != 2:
         return {"attribute": attribute, "classes": classes, "accuracy": None, "auc": None, "risk_level": None,
                 "status": "unsupported",

@@ -112,3 +112,9 @@ def test_truncated_tvd(spark):
     b = {"p": 0.6, "q": 0.4}
     exp = 0.5 * sum(abs(a.get(k, 0) - b.get(k, 0)) for k in set(a) | set(b))
     assert math.isclose(out.total_variation_distance, exp, rel_tol=1e-12)
+
+
+def test_missing_attribute_value_is_a_proxy_class(spark):
+    df = spark.createDataFrame([(1.0, "a"), (2.0, "b"), (3.0, None)], "x double, g string")
+    res = model_ops.proxy_detection(df, "g", ["x"])
+    assert res["status"] == "unsupported" and res["classes"] == ["a", "b", "nan"]
