@@ -119,7 +119,14 @@ def slice_scan(
         counts = low.withColumn("__col_rank", first).where(F.col("__col_rank") <= max_cols)
     rates = rates_from_counts(counts.where(F.col("value").isNotNull()), undefined="null",
                               keys=("feature", "value", "position")).where(F.col("n") >= min_support)
-    order = [F.desc("selection_rate"), F.desc("n"), F.asc("position"), F.asc("value")]
+    # ties keep column order, then each column's own value order: numeric for numeric columns
+    numeric = [f.name for f in scored.schema.fields
+               if f.name in cols and f.dataType.typeName() in ("byte", "short", "integer", "long", "float",
+                                                                "double", "decimal", "boolean")]
+    num_key = F.when(F.col("feature").isin(numeric), F.col("value").try_cast("double")) if numeric \
+        else F.lit(None).cast("double")
+    rates = rates.withColumn("__num", num_key)
+    order = [F.desc("selection_rate"), F.desc("n"), F.asc("position"), F.asc_nulls_last("__num"), F.asc("value")]
     if top is not None:
         # slices are already aggregated (at most limit x max_cols rows): a tiny TakeOrdered
         rates = rates.orderBy(*order).limit(top)

@@ -118,3 +118,10 @@ def test_missing_attribute_value_is_a_proxy_class(spark):
     df = spark.createDataFrame([(1.0, "a"), (2.0, "b"), (3.0, None)], "x double, g string")
     res = model_ops.proxy_detection(df, "g", ["x"])
     assert res["status"] == "unsupported" and res["classes"] == ["a", "b", "nan"]
+
+
+def test_slice_ties_follow_numeric_value_order(spark):
+    rows = [(v, "good", "good") for v in (9, 10) for _ in range(10)]
+    df = spark.createDataFrame(rows, "k int, y_true string, y_pred string")
+    out = slices.slice_scan(df, ["k"], "good", candidates=["k"]).orderBy("rank").collect()
+    assert [r.value for r in out] == ["9", "10"]
