@@ -112,3 +112,26 @@ def test_flagship_plan_shape(spark):
     li_scan = [ln for ln in plan.splitlines() if "lineitem" in ln and "ReadSchema" in ln]
     assert li_scan and "l_shipdate" not in li_scan[0] and "l_extendedprice" not in li_scan[0]
     assert "partial_count" in plan
+
+
+def test_per_run_audit_equals_filtered_audit(spark):
+    runs = fx.scored_lineitems(spark, SF0001, with_run=True)
+    cube = cube_ops.confusion_cube(runs, fx.SENSITIVE, "good", score="y_score", cuts=C.DEFAULT_CUTS, by=["run_id"])
+    multi = thresholds.threshold_sensitivity(cube, by=["run_id"])
+    one_run = runs.select("run_id").distinct().orderBy("run_id").first().run_id
+    single_cube = cube_ops.confusion_cube(runs.where(F.col("run_id") == one_run), fx.SENSITIVE, "good",
+                                          score="y_score", cuts=C.DEFAULT_CUTS)
+    single = thresholds.threshold_sensitivity(single_cube)
+    got = multi.where(F.col("run_id") == one_run).drop("run_id")
+    assert got.exceptAll(single).count() == 0 and single.exceptAll(got).count() == 0
+
+
+def test_approx_quantiles_close_to_exact(spark):
+    from equiaudit.operators import profile
+
+    o = spark.read.parquet(f"{SF0001}/orders.parquet")
+    ex = {r.feature: r for r in profile.numeric_profile(o, ["o_totalprice"]).collect()}
+    ap = {r.feature: r for r in profile.numeric_profile(o, ["o_totalprice"], method="approx").collect()}
+    spread = ex["o_totalprice"]["max"] - ex["o_totalprice"]["min"]
+    for q in ("q25", "q50", "q75"):
+        assert abs(ex["o_totalprice"][q] - ap["o_totalprice"][q]) <= 0.01 * spread
