@@ -55,3 +55,21 @@ def test_split_counts(spark):
     c = {r.split: r.n for r in split_counts(stratified_split(o, ["o_orderkey"], "o_orderstatus")).collect()}
     n = o.count()
     assert c["test"] == -(-n // 4) and c["train"] == n - c["test"]
+
+
+def test_whole_audit_many_runs(spark):
+    runs = fx.scored_lineitems(spark, SF0001, with_run=True)
+    spec = AuditSpec(positive_label="good", sensitive_cols=fx.SENSITIVE, fairness_threshold=0.05)
+    out = audit.run_audit(runs, spec, fx.FEATURES, by=["run_id"])
+    n_runs = runs.select("run_id").distinct().count()
+    assert out["accuracy"].count() == n_runs
+    flags = out["disparity"]
+    assert flags.select("run_id").distinct().count() == n_runs
+    assert flags.groupBy("run_id").count().where("count != 12").count() == 0  # 4 attributes x 3 metrics
+    plan_runs = {r.run_id for r in out["plan"].select("run_id").distinct().collect()}
+    flagged_runs = {r.run_id for r in flags.where("flag").select("run_id").distinct().collect()}
+    assert plan_runs == flagged_runs
+    acc = {r.run_id: r.accuracy for r in out["accuracy"].collect()}
+    direct = {r.run_id: r.accuracy for r in runs.groupBy("run_id").agg(
+        F.avg((F.col("y_true") == F.col("y_pred")).cast("int")).alias("accuracy")).collect()}
+    assert acc == pytest.approx(direct)
