@@ -135,3 +135,12 @@ def test_approx_quantiles_close_to_exact(spark):
     spread = ex["o_totalprice"]["max"] - ex["o_totalprice"]["min"]
     for q in ("q25", "q50", "q75"):
         assert abs(ex["o_totalprice"][q] - ap["o_totalprice"][q]) <= 0.01 * spread
+
+
+def test_fraction_split_is_deterministic_and_near_quota(spark):
+    o = spark.read.parquet(f"{SF0001}/orders.parquet").select("o_orderkey", "o_orderstatus")
+    a = stratified_split(o, ["o_orderkey"], "o_orderstatus", 0.25, 7, mode="fraction")
+    b = stratified_split(o.repartition(3), ["o_orderkey"], "o_orderstatus", 0.25, 7, mode="fraction")
+    assert a.exceptAll(b).count() == 0
+    share = a.where("is_test").count() / o.count()
+    assert 0.2 < share < 0.3

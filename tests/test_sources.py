@@ -96,3 +96,13 @@ def test_report_json_and_evidence(spark):
     missing = {(r.run_id, r.value) for r in ev.where("path = 'missing'").collect()}
     assert missing == {("r2", "issues")}
     assert {r.value for r in ev.where("path = 'metrics.accuracy'").collect()} == {"0.3333", "1.0000"}
+
+
+def test_tsv_by_extension(spark):
+    d = _tmp()
+    p = os.path.join(d, "x.tsv")
+    with open(p, "w") as f:
+        f.write("id\tscore\tgroup\n1\t0.5\ta\n2\tNA\tb\n")
+    df = read_dataset(spark, DatasetSpec(path=p, na_values=["NA"]))
+    assert dict(df.dtypes) == {"id": "bigint", "score": "double", "group": "string"}
+    assert [r.score for r in df.orderBy("id").collect()] == [0.5, None]
