@@ -10,11 +10,15 @@ from equiaudit.llm.common import table
 from equiaudit.llm.exact_dedup import exact_dedup
 from equiaudit.llm.mixture import mixture
 from equiaudit.llm.quality import quality_cascade
-from equiaudit.llm.sql import SQL  # noqa: F401
+from equiaudit.llm.warc import pages_through_archives
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages_through_archives(table(spark, sf_dir, "pages"))
+
+
 def op6_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture(table(spark, sf_dir, "documents"))
 
@@ -29,4 +33,4 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op6_mixture, op7_quality_cascade, op10_exact_dedup)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_warc, op6_mixture, op7_quality_cascade, op10_exact_dedup)}

@@ -14,6 +14,23 @@ select doc_id, keep_id, group_size, doc_id is not distinct from keep_id as kept,
 from d join g using (text_sha256)
 """
 
+SQL["op1_warc"] = """
+with p as (select page_id, url, coalesce(html, '') as body, sha1(coalesce(html, '')) as h from pages),
+d as (
+  select page_id, url, strlen(body) as payload_bytes,
+         array_to_string(list_transform(range(32), lambda i:
+           substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                  1 + ((('0x' || substr(h, 5 * (i // 4) + 1, 5))::bigint >> (15 - 5 * (i % 4))) & 31), 1)), '')
+           as payload_digest
+  from p),
+g as (select payload_digest, min(page_id) as first from d group by 1)
+select page_id, payload_bytes, payload_digest,
+       case when page_id is not distinct from first then 'response' else 'revisit' end as record_type,
+       case when page_id is distinct from first then first end as refers_to,
+       regexp_replace(url, '[\\x00-\\x20\\x7F]', '%20', 'g') as url
+from d join g using (payload_digest)
+"""
+
 SQL["op6_mixture"] = rf"""
 with d as (
   select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{_WORD}')) as size,
