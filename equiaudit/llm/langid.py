@@ -27,10 +27,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from equiaudit.llm.common import written
+from equiaudit.llm.common import held_out, training_sample, written
 
 UNKNOWN = "und"
 SAMPLE_ROWS = 20_000
@@ -101,18 +101,6 @@ class Scorer:
         return self.m.languages[best], float(1 / np.exp(SHARPNESS * (mean - mean[best])).sum())
 
 
-def held_out(id_col: str, parts: int, part: int) -> Column:
-    """Whether the CRC-32 of the id as text leaves ``part``; a null id counts as the empty text."""
-    return F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))), F.lit(parts)) == part
-
-
-def training_sample(rows: DataFrame, id_col: str, n: int) -> DataFrame:
-    """About ``n`` rows, chosen by a hash of the id; all if there are fewer."""
-    share = min(1.0, n / max(1, rows.count()))
-    kept = F.pmod(F.xxhash64(F.col(id_col), F.lit("sample")), F.lit(1_000_000))
-    return rows.where(kept < int(share * 1_000_000)) if share < 1 else rows
-
-
 def train(rows: DataFrame, text_col: str = "text", lang_col: str = "lang", max_words: int = MAX_WORDS,
           max_grams: int = MAX_GRAMS, max_gram: int = MAX_GRAM) -> LanguageModel:
     """Learn from all of ``rows`` with a label; take a sample first."""
