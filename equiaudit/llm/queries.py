@@ -10,6 +10,7 @@ from equiaudit.llm.common import table
 from equiaudit.llm.exact_dedup import exact_dedup
 from equiaudit.llm.langid import language_id
 from equiaudit.llm.mixture import mixture
+from equiaudit.llm.near_dedup import near_duplicates
 from equiaudit.llm.packing import pack
 from equiaudit.llm.quality import quality_cascade
 from equiaudit.llm.toxicity import toxicity
@@ -22,6 +23,10 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages_through_archives(table(spark, sf_dir, "pages"))
 
 
+def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id(table(spark, sf_dir, "documents"))
 
@@ -49,4 +54,4 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_warc, op4_language_id, op5_packing, op6_mixture, op7_quality_cascade, op9_toxicity, op10_exact_dedup)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_warc, op2_near_dedup, op4_language_id, op5_packing, op6_mixture, op7_quality_cascade, op9_toxicity, op10_exact_dedup)}

@@ -31,6 +31,25 @@ select page_id, payload_bytes, payload_digest,
 from d join g using (payload_digest)
 """
 
+SQL["op2_near_dedup"] = rf"""
+with recursive d as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                                              'abcdefghijklmnopqrstuvwxyz'), '{_WORD}') as w from documents),
+sh as (
+  select distinct doc_id, unnest(case when len(w) = 0 then [] when len(w) < 5 then [w]
+                                 else list_transform(range(1, len(w) - 3), lambda i: w[i:i + 4]) end) as s from d),
+n as (select doc_id, count(*) as n from sh group by 1),
+common as (
+  select a.doc_id as a, b.doc_id as b, count(*) as c from sh a join sh b on a.s = b.s and a.doc_id < b.doc_id
+  group by 1, 2),
+links as (
+  select a, b from common join n x on a = x.doc_id join n y on b = y.doc_id where 100 * c >= 75 * (x.n + y.n - c)),
+sym as (select a, b from links union all select b, a from links),
+reach as (select doc_id, doc_id as r from d union select reach.doc_id, b from reach join sym on r = a)
+select d.doc_id, coalesce(n, 0) as n_shingles, component_id, d.doc_id = component_id as kept
+from d left join n using (doc_id) join (select doc_id, min(r) as component_id from reach group by 1) using (doc_id)
+"""
+
 SQL["op6_mixture"] = rf"""
 with d as (
   select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{_WORD}')) as size,
