@@ -33,15 +33,15 @@ from pyspark.sql import functions as F
 from equiaudit.llm.common import held_out, training_sample, written
 
 UNKNOWN = "und"
-SAMPLE_ROWS = 20_000
-MAX_WORDS, MAX_GRAMS, MAX_GRAM = 150_000, 60_000, 4
+SAMPLE_ROWS = 12_000
+MAX_WORDS, MAX_GRAMS, MAX_GRAM = 60_000, 32_000, 4
 #: Score of a known word or n-gram in a language that does not have it: below any relative frequency here.
 PENALTY = -16.0
 #: How sharply distances between mean log frequencies become shares.
 SHARPNESS = 1.0
 _LETTERS = re.compile(r"[^\W\d_]+")
 #: Scores of unseen words that a task remembers; when full, it starts afresh.
-_REMEMBERED = 300_000
+_REMEMBERED = 100_000
 
 
 def letter_words(text: str | None) -> list[str]:
@@ -107,14 +107,15 @@ def train(rows: DataFrame, text_col: str = "text", lang_col: str = "lang", max_w
     pairs = rows.select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found: dict[str, Counter] = {}
-            for text, lang in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                found.setdefault(lang, Counter()).update(letter_words(text))
-            for lang, words in found.items():
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(list(words), pa.string()), pa.array([lang] * len(words)), pa.array(list(words.values()),
-                     pa.int64())], names=["item", "lang", "n"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1024):
+                found: dict[str, Counter] = {}
+                for text, lang in zip(*(c.to_pylist() for c in whole.slice(at, 1024).columns), strict=True):
+                    found.setdefault(lang, Counter()).update(letter_words(text))
+                for lang, words in found.items():
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(list(words), pa.string()), pa.array([lang] * len(words)),
+                         pa.array(list(words.values()), pa.int64())], names=["item", "lang", "n"])
 
     counted = pairs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).mapInArrow(
         count, "item string, lang string, n long")
@@ -169,8 +170,8 @@ def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> D
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
         for whole in batches:
-            for i in range(0, whole.num_rows, 1024):
-                batch = whole.slice(i, 1024)
+            for i in range(0, whole.num_rows, 256):
+                batch = whole.slice(i, 256)
                 found = [scorer(t) for t in batch.column(at).to_pylist()]
                 yield pa.RecordBatch.from_arrays(
                     [*batch.columns, pa.array([x for x, _ in found], pa.string()),
