@@ -42,7 +42,7 @@ from equiaudit.llm.common import held_out, training_sample, written
 TOKEN = re.compile(r"\w+")
 BEGINNINGS = (4, 5, 6, 7, 8)
 #: Bounds of the fit: labelled rows for the lexicon (each kind), and for the field's weights.
-SAMPLE_ROWS, FIT_ROWS = 4_000, 500
+SAMPLE_ROWS, FIT_ROWS = 4_000, 300
 MAX_FEATURES = 20_000
 #: A lexicon entry needs this share of its documents toxic (kinds weighed equally), this many of them,
 #: and a chance below exp(-SIGNIFICANCE) of that under no association.
@@ -59,62 +59,73 @@ def items_of(word: str) -> list[str]:
 # ---- forward and backward over one chain of many documents
 
 
-def _products(m: np.ndarray) -> np.ndarray:
-    """Products of each row's 2x2 matrices (rows, columns, 2, 2), scaled to a largest entry of 1."""
-    p = m[:, 0].copy()
-    for j in range(1, m.shape[1]):
-        p = p @ m[:, j]
-        p /= p.max(axis=(1, 2), keepdims=True)
-    return p
-
-
-def chain_passes(step: np.ndarray, block: int = 64) -> tuple[np.ndarray, np.ndarray]:
-    """Scaled forward and backward vectors of a chain of 2x2 ``step`` matrices (n, 2, 2)."""
-    n = len(step)
+def steps(u: np.ndarray, starts: np.ndarray, first: np.ndarray, move: np.ndarray) -> np.ndarray:
+    """(4, n): entries 00, 01, 10, 11 of each token's transition times emission.  Both rows of a matrix are alike where
+    a document starts, which cuts the chain."""
+    e = np.exp(np.clip(u, -30, 30))
+    (m00, m01), (m10, m11) = np.exp(move)
+    s0, s1 = np.exp(first)
+    c = np.empty((4, len(u)))
+    c[0], c[2] = m00, m10
+    np.multiply(e, m01, out=c[1])
+    np.multiply(e, m11, out=c[3])
+    c[0, starts] = c[2, starts] = s0
+    c[1, starts] = c[3, starts] = s1 * e[starts]
+    return c
+
+
+def chain_passes(c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Scaled forward (states 0 and 1) and backward vectors of a chain of 2x2 matrices (4, n)."""
+    n = c.shape[1]
+    block = math.isqrt(n) + 1
     rows = -(-n // block)
-    m = np.tile(np.eye(2), (rows * block, 1, 1))
-    m[:n] = step
-    m = m.reshape(rows, block, 2, 2)
-    total = _products(m)
-    alpha, beta = np.empty((rows, block, 2)), np.empty((rows, block, 2))
-    enter, leave = np.empty((rows, 2)), np.empty((rows, 2))
-    x = np.array([1.0, 0.0])
-    for r in range(rows):
-        enter[r] = x
-        x = x @ total[r]
-        x = x / x.sum()
-    x = np.array([1.0, 1.0])
-    for r in range(rows - 1, -1, -1):
-        leave[r] = x
-        x = total[r] @ x
-        x = x / x.sum()
-    a, b = enter, leave
+    padded = np.empty((4, rows * block))
+    padded[:, :n] = c
+    padded[:, n:] = np.array([[1.0], [0.0], [0.0], [1.0]])
+    # entry, place in the block, block: one place of all blocks lies together
+    q = np.ascontiguousarray(padded.reshape(4, rows, block).transpose(0, 2, 1))
+    a00, a01, a10, a11 = (x.copy() for x in q[:, 0])
+    for j in range(1, block):
+        m00, m01, m10, m11 = q[:, j]
+        a00, a01, a10, a11 = (a00 * m00 + a01 * m10, a00 * m01 + a01 * m11, a10 * m00 + a11 * m10, a10 * m01 + a11 * m11)
+        scale = 1 / (a00 + a01 + a10 + a11)
+        a00, a01, a10, a11 = a00 * scale, a01 * scale, a10 * scale, a11 * scale
+    whole = list(zip(a00.tolist(), a01.tolist(), a10.tolist(), a11.tolist(), strict=True))
+    enter, x, y = [], 1.0, 0.0
+    for m00, m01, m10, m11 in whole:
+        enter.append((x, y))
+        x, y = x * m00 + y * m10, x * m01 + y * m11
+        x, y = x / (x + y), y / (x + y)
+    leave, x, y = [], 0.5, 0.5
+    for m00, m01, m10, m11 in reversed(whole):
+        leave.append((x, y))
+        x, y = m00 * x + m01 * y, m10 * x + m11 * y
+        x, y = x / (x + y), y / (x + y)
+    out = np.empty((4, block, rows))
+    f0, f1 = np.array(enter).T
     for j in range(block):
-        a = np.einsum("ri,rij->rj", a, m[:, j])
-        a = a / a.sum(axis=1, keepdims=True)
-        alpha[:, j] = a
+        m00, m01, m10, m11 = q[:, j]
+        f0, f1 = f0 * m00 + f1 * m10, f0 * m01 + f1 * m11
+        scale = 1 / (f0 + f1)
+        out[0, j], out[1, j] = f0, f1 = f0 * scale, f1 * scale
+    b0, b1 = np.array(leave[::-1]).T
     for j in range(block - 1, -1, -1):
-        beta[:, j] = b
-        b = np.einsum("rij,rj->ri", m[:, j], b)
-        b = b / b.sum(axis=1, keepdims=True)
-    return alpha.reshape(-1, 2)[:n], beta.reshape(-1, 2)[:n]
+        out[2, j], out[3, j] = b0, b1
+        m00, m01, m10, m11 = q[:, j]
+        b0, b1 = m00 * b0 + m01 * b1, m10 * b0 + m11 * b1
+        scale = 1 / (b0 + b1)
+        b0, b1 = b0 * scale, b1 * scale
+    return tuple(out.transpose(0, 2, 1).reshape(4, -1)[:, :n])
 
 
-def steps(u: np.ndarray, starts: np.ndarray, first: np.ndarray, move: np.ndarray) -> np.ndarray:
-    """Transition times emission for each token; both rows are alike where a document starts, which cuts the chain."""
-    e = np.stack([np.ones(len(u)), np.exp(np.clip(u, -30, 30))], axis=1)
-    m = np.exp(move)[None] * e[:, None, :]
-    m[starts] = np.exp(first)[None, None, :] * e[starts][:, None, :]
-    return m
+def _toxic_share(f0: np.ndarray, f1: np.ndarray, b0: np.ndarray, b1: np.ndarray) -> np.ndarray:
+    one = f1 * b1
+    return one / (f0 * b0 + one)
 
 
 def marginals(u: np.ndarray, starts: np.ndarray, first: np.ndarray, move: np.ndarray) -> np.ndarray:
     """P(toxic) of every token, given emissions ``u`` (toxic against clean) and the positions of document starts."""
-    if not len(u):
-        return np.empty(0)
-    a, b = chain_passes(steps(u, starts, first, move))
-    p = a * b
-    return p[:, 1] / p.sum(axis=1)
+    return _toxic_share(*chain_passes(steps(u, starts, first, move))) if len(u) else np.empty(0)
 
 
 def document_features(p: np.ndarray) -> np.ndarray:
@@ -165,17 +176,16 @@ class _Emissions(dict):
         return u
 
 
-def fit_field(documents: list[list[list[int]]], labels: list[list[int]], n_features: int, rounds: int = 120,
-              rate: float = 0.3, penalty: float = 0.05) -> tuple[np.ndarray, float, np.ndarray, np.ndarray]:
+def fit_field(feature: np.ndarray, per_token: np.ndarray, lengths: np.ndarray, labels: np.ndarray, n_features: int,
+              rounds: int = 80, rate: float = 0.3, penalty: float = 0.05
+              ) -> tuple[np.ndarray, float, np.ndarray, np.ndarray]:
     """Weights, bias, start and transition scores that maximise the penalised conditional likelihood (Adam).
 
-    ``documents`` hold the feature numbers of each token."""
-    lengths = [len(d) for d in documents if d]
-    starts = np.concatenate([[0], np.cumsum(lengths)[:-1]]).astype(np.int64)
-    y = np.concatenate([np.array(x, dtype=np.float64) for x in labels if x])
-    flat = [f for d in documents for f in d]
-    token = np.repeat(np.arange(len(flat)), [len(f) for f in flat])
-    feature = np.array([x for f in flat for x in f], dtype=np.int64)
+    ``feature``: the feature numbers of all tokens in order, ``per_token`` of each; ``lengths``: tokens of each
+    document (none empty); ``labels``: 0 or 1 per token."""
+    starts = np.cumsum(lengths) - lengths
+    y = labels.astype(np.float64)
+    token = np.repeat(np.arange(len(y), dtype=np.int32), per_token)
     inner = np.ones(len(y), dtype=bool)
     inner[starts] = False
     t = np.flatnonzero(inner)
@@ -189,16 +199,16 @@ def fit_field(documents: list[list[list[int]]], labels: list[list[int]], n_featu
     for k in range(1, rounds + 1):
         w, bias, first, move = x[:n_features], x[n_features], x[n_features + 1:n_features + 3], x[-4:].reshape(2, 2)
         u = bias + np.bincount(token, w[feature], len(y))
-        step = steps(u, starts, first, move)
-        a, b = chain_passes(step)
-        p = a * b
-        p = p[:, 1] / p.sum(axis=1)
-        pair = a[t - 1][:, :, None] * step[t] * b[t][:, None, :]
-        pair /= pair.sum(axis=(1, 2), keepdims=True)
+        c = steps(u, starts, first, move)
+        f0, f1, b0, b1 = chain_passes(c)
+        p = _toxic_share(f0, f1, b0, b1)
+        pair = np.stack([f0[t - 1] * c[0, t] * b0[t], f0[t - 1] * c[1, t] * b1[t],
+                         f1[t - 1] * c[2, t] * b0[t], f1[t - 1] * c[3, t] * b1[t]])
+        pair /= pair.sum(axis=0)
         miss = y - p
         grad = np.concatenate([
             np.bincount(feature, miss[token], n_features) - penalty * w, [miss.sum()],
-            began - np.array([(1 - p[starts]).sum(), p[starts].sum()]), (seen - pair.sum(axis=0)).ravel()])
+            began - np.array([(1 - p[starts]).sum(), p[starts].sum()]), seen.ravel() - pair.sum(axis=1)])
         m = 0.9 * m + 0.1 * grad
         v = 0.99 * v + 0.01 * grad * grad
         x = x + rate / math.sqrt(1 + k / 20) * (m / (1 - 0.9 ** k)) / (np.sqrt(v / (1 - 0.99 ** k)) + 1e-8)
@@ -264,24 +274,30 @@ def train_spans(rows: DataFrame, id_col: str = "doc_id", sample_rows: int = SAMP
     number = {x: i for i, x in enumerate([*sorted(lexicon), *common])}
 
     fit = [r for k in (1, 0) for r in training_sample(sample.where(F.col("toxic") == k), "id", fit_rows).collect()]
-    documents, labels = [], []
+    feature, per_token, lengths, labels, kinds = [], [], [], [], []
     for r in fit:
-        tokens = [items_of(w) for w in TOKEN.findall(r["text"].lower())]
-        documents.append([[number[x] for x in t if x in number] for t in tokens])
-        labels.append([int(r["toxic"] == 1 and any(x in lexicon for x in t)) for t in tokens])
-    if not any(map(any, labels)):
+        if not (words := TOKEN.findall(r["text"].lower())):
+            continue
+        own = {w: [x for x in items_of(w) if x in number] for w in set(words)}
+        bad = {w for w, xs in own.items() if r["toxic"] == 1 and not lexicon.isdisjoint(xs)}
+        feature.append(np.array([number[x] for w in words for x in own[w]], dtype=np.int32))
+        per_token.append(np.array([len(own[w]) for w in words], dtype=np.int16))
+        labels.append(np.array([w in bad for w in words], dtype=np.int8))
+        lengths.append(len(words))
+        kinds.append(r["toxic"])
+    if not any(x.any() for x in labels):
         return SpanModel(constant=share)
-    w, bias, first, move = fit_field(documents, labels, len(number))
-    x, y = [], []
-    for d, r in zip(documents, fit, strict=True):
-        if d:
-            u = np.array([bias + w[t].sum() for t in d])
-            x.append(document_features(marginals(u, np.array([0]), first, move)))
-            y.append(r["toxic"])
-    y = np.array(y, dtype=np.float64)
+    feature, per_token = np.concatenate(feature), np.concatenate(per_token)
+    w, bias, first, move = fit_field(feature, per_token, np.array(lengths), np.concatenate(labels), len(number))
+    token = np.repeat(np.arange(len(per_token), dtype=np.int32), per_token)
+    u = bias + np.bincount(token, w[feature], len(per_token))
+    ends = np.cumsum(lengths)
+    p = marginals(u, ends - lengths, first, move)
+    x = np.array([document_features(p[e - n:e]) for n, e in zip(lengths, ends, strict=True)])
+    y = np.array(kinds, dtype=np.float64)
     weight = np.where(y == 1, share / max(1.0, y.sum()), (1 - share) / max(1.0, (1 - y).sum())) * len(y)
     return SpanModel({x: float(w[i]) for x, i in number.items() if w[i]}, bias, first, move,
-                     fit_logistic(np.array(x), y, weight))
+                     fit_logistic(x, y, weight))
 
 
 def toxic_spans(docs: DataFrame, model: SpanModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
