@@ -13,6 +13,7 @@ from equiaudit.llm.mixture import mixture
 from equiaudit.llm.near_dedup import near_duplicates
 from equiaudit.llm.packing import pack
 from equiaudit.llm.quality import quality_cascade
+from equiaudit.llm.substring_dedup import remove_repeats
 from equiaudit.llm.toxicity import toxicity
 from equiaudit.llm.warc import pages_through_archives
 
@@ -45,6 +46,10 @@ def op7_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
                       "base_failed", "kept")
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return out.select("doc_id", "held_out", "score", "predicted")
@@ -54,4 +59,4 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_warc, op2_near_dedup, op4_language_id, op5_packing, op6_mixture, op7_quality_cascade, op9_toxicity, op10_exact_dedup)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_warc, op2_near_dedup, op4_language_id, op5_packing, op6_mixture, op7_quality_cascade, op8_substring_dedup, op9_toxicity, op10_exact_dedup)}

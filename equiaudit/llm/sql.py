@@ -115,3 +115,18 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
        and not 2 * n_letter_words < n_words as kept
 from v
 """
+
+SQL["op8_substring_dedup"] = rf"""
+with d as (select doc_id, regexp_extract_all(coalesce(text, ''), '{_WORD}') as w from documents),
+words as (select doc_id, unnest(range(1, len(w) + 1)) as i, unnest(w) as word from d),
+wins as (
+  select doc_id, unnest(range(1, len(w) - 33)) as i,
+         unnest(list_transform(range(1, len(w) - 33), lambda k: w[k:k + 34])) as win from d where len(w) >= 35),
+twice as (select doc_id, i from wins qualify count(*) over (partition by win) > 1),
+gone as (select distinct doc_id, i + k as i from twice, range(35) as r(k)),
+kept as (
+  select doc_id, count(*) as n, string_agg(word, ' ' order by i) as text
+  from words anti join gone using (doc_id, i) group by doc_id)
+select doc_id, len(w) as n_words, len(w) - coalesce(n, 0) as n_removed, sha256(coalesce(text, '')) as kept_sha256
+from d left join kept using (doc_id)
+"""
