@@ -43,7 +43,8 @@ TOKEN = re.compile(r"\w+")
 BEGINNINGS = (4, 5, 6, 7, 8)
 #: Bounds of the fit: labelled rows for the lexicon (each kind), and for the field's weights.
 SAMPLE_ROWS, FIT_ROWS = 4_000, 300
-MAX_FEATURES = 20_000
+#: Features with a weight: entries of the lexicon, and the most common other words and beginnings.
+MAX_LEXICON, MAX_COMMON = 10_000, 3_000
 #: A lexicon entry needs this share of its documents toxic (kinds weighed equally), this many of them,
 #: and a chance below exp(-SIGNIFICANCE) of that under no association.
 PURITY, SUPPORT, SIGNIFICANCE = 0.85, 3, 14.0
@@ -244,7 +245,7 @@ def item_counts(rows: DataFrame) -> DataFrame:
 
 
 def train_spans(rows: DataFrame, id_col: str = "doc_id", sample_rows: int = SAMPLE_ROWS, fit_rows: int = FIT_ROWS,
-                max_features: int = MAX_FEATURES) -> SpanModel:
+                max_lexicon: int = MAX_LEXICON, max_common: int = MAX_COMMON) -> SpanModel:
     """Learn from (id, text, toxic 0/1); nulls are left out."""
     usable = rows.where(F.col("text").isNotNull() & F.col("toxic").isNotNull())
     kinds = [training_sample(usable.where(F.col("toxic") == k), id_col, sample_rows) for k in (1, 0)]
@@ -267,13 +268,14 @@ def train_spans(rows: DataFrame, id_col: str = "doc_id", sample_rows: int = SAMP
     pure = F.col("c1") / t1 / (F.col("c1") / t1 + F.col("c0") / t0)
     is_toxic = (F.col("c1") >= SUPPORT) & (pure >= PURITY) & (q > p) & (excess >= SIGNIFICANCE)
     rated = items.withColumn("lexicon", is_toxic)
-    lexicon = {r["item"] for r in rated.where("lexicon").orderBy(F.desc("c1"), "item").limit(max_features).collect()}
-    common = [r["item"] for r in rated.where("not lexicon").orderBy(F.desc(n), "item").limit(max_features).collect()]
+    lexicon = {r["item"] for r in rated.where("lexicon").orderBy(F.desc("c1"), "item").limit(max_lexicon).collect()}
+    common = [r["item"] for r in rated.where("not lexicon").orderBy(F.desc(n), "item").limit(max_common).collect()]
     if not lexicon:
         return SpanModel(constant=share)
     number = {x: i for i, x in enumerate([*sorted(lexicon), *common])}
 
-    fit = [r for k in (1, 0) for r in training_sample(sample.where(F.col("toxic") == k), "id", fit_rows).collect()]
+    fit = training_sample(sample.where("toxic = 1"), "id", fit_rows, "fit").unionByName(
+        training_sample(sample.where("toxic = 0"), "id", fit_rows, "fit")).select("text", "toxic").collect()
     feature, per_token, lengths, labels, kinds = [], [], [], [], []
     for r in fit:
         if not (words := TOKEN.findall(r["text"].lower())):
@@ -287,6 +289,7 @@ def train_spans(rows: DataFrame, id_col: str = "doc_id", sample_rows: int = SAMP
         kinds.append(r["toxic"])
     if not any(x.any() for x in labels):
         return SpanModel(constant=share)
+    del fit
     feature, per_token = np.concatenate(feature), np.concatenate(per_token)
     w, bias, first, move = fit_field(feature, per_token, np.array(lengths), np.concatenate(labels), len(number))
     token = np.repeat(np.arange(len(per_token), dtype=np.int32), per_token)
@@ -302,7 +305,7 @@ def train_spans(rows: DataFrame, id_col: str = "doc_id", sample_rows: int = SAMP
 
 def toxic_spans(docs: DataFrame, model: SpanModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, score, spans): spans as arrays of (start, end) in characters, the end not included."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most twice max_features weights
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most max_lexicon + max_common weights
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = dict(rows.dtypes)["doc_id"]
     span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
