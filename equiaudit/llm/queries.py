@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from equiaudit.llm.common import table
 from equiaudit.llm.exact_dedup import exact_dedup
 from equiaudit.llm.langid import language_id
+from equiaudit.llm.line_dedup import line_counts
 from equiaudit.llm.mixture import mixture
 from equiaudit.llm.near_dedup import near_duplicates
 from equiaudit.llm.packing import pack
@@ -28,6 +29,10 @@ def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_counts(table(spark, sf_dir, "documents"))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id(table(spark, sf_dir, "documents"))
 
@@ -59,4 +64,4 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_warc, op2_near_dedup, op4_language_id, op5_packing, op6_mixture, op7_quality_cascade, op8_substring_dedup, op9_toxicity, op10_exact_dedup)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_warc, op2_near_dedup, op3_line_dedup, op4_language_id, op5_packing, op6_mixture, op7_quality_cascade, op8_substring_dedup, op9_toxicity, op10_exact_dedup)}

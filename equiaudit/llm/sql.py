@@ -50,6 +50,30 @@ select d.doc_id, coalesce(n, 0) as n_shingles, component_id, d.doc_id = componen
 from d left join n using (doc_id) join (select doc_id, min(r) as component_id from reach group by 1) using (doc_id)
 """
 
+SQL["op3_line_dedup"] = """
+with d as (select doc_id, text, string_split(text, chr(10)) as lines from documents),
+l as (
+  select doc_id, unnest(range(len(lines))) as no, unnest(lines) as line from d),
+u as (
+  select line, min(row(doc_id, no)) as pos, length(line) as n, string_split(line, '') as c from l
+  where length(line) >= 20 group by line),
+pairs as (
+  select a.line as a, b.line as b, a.n as na, b.n as nb, a.pos as at_a, b.pos as at_b,
+         coalesce(list_position(list_transform(range(1, a.n + 1), lambda i: a.c[i] = b.c[i]), false) - 1, a.n) as p
+  from u a join u b on b.n in (a.n, a.n + 1) and a.line <> b.line and (a.n < b.n or a.line < b.line)),
+close as (
+  select greatest(at_a, at_b) as pos from pairs
+  where case when na = nb then substr(a, p + 2) = substr(b, p + 2) else substr(a, p + 1) = substr(b, p + 2) end),
+gone as (
+  select doc_id, no from l join u using (line) where row(doc_id, no) <> pos or row(doc_id, no) in (select pos from close)),
+kept as (
+  select doc_id, count(*) as n, string_agg(line, chr(10) order by no) as text
+  from l anti join gone using (doc_id, no) group by doc_id)
+select doc_id, coalesce(len(lines), 0) as n_lines, coalesce(len(lines), 0) - coalesce(n, 0) as n_removed,
+       sha256(coalesce(kept.text, '')) as kept_sha256
+from d left join kept using (doc_id)
+"""
+
 SQL["op6_mixture"] = rf"""
 with d as (
   select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{_WORD}')) as size,
