@@ -158,14 +158,15 @@ def train(rows: DataFrame, text_col: str = "text", lang_col: str = "lang", max_w
     return LanguageModel(languages, index, table, gram_index, np.vstack(gram_table), max_gram)
 
 
-def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:
-    """All columns of ``docs`` (those of a pipeline, any names but lang_pred and score) with lang_pred and score."""
+def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text",
+             out: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """All columns of ``docs`` and two more, named by ``out``: the language and its score."""
     from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)
-    schema = StructType([*docs.schema.fields, StructField("lang_pred", StringType()),
-                         StructField("score", DoubleType())])
+    schema = StructType([*docs.schema.fields, StructField(out[0], StringType()),
+                         StructField(out[1], DoubleType())])
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
