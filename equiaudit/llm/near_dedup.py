@@ -15,8 +15,9 @@ collection misses: with m = 12, k = 2 and s = 0.75 in 1 of 10,000 cases.
 4. What is left are members of one bucket in different groups.  A document can
    only link to another group if enough of its shingles occur outside its own:
    a link to y needs an overlap of 3/7 of both sizes, and the overlap is no
-   more than those shingles.  The documents that can are compared exactly, block
-   by block, the smaller group's against the larger's; nothing is capped.
+   more than those shingles.  The documents that can are compared exactly with
+   those of other groups that they meet in buckets, directly or by way of
+   others, in blocks of bounded size; nothing is capped.
 5. Groups that found links are joined; a component is named by its smallest id.
 
 Copies never expand into pairs, and buckets never into all their pairs.  Sets
@@ -45,7 +46,7 @@ from equiaudit.llm.shingles import mix, shingle_sets
 WORDS, PERCENT = 5, 75
 TABLES, HASHES = 12, 2
 #: Shingles of a block in the exact comparison of groups.
-BLOCK = 1 << 16
+BLOCK = 1 << 17
 
 
 def _families(tables: int, hashes: int) -> np.ndarray:
@@ -138,18 +139,25 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> Data
 
 
 def _compare(percent: int):
-    def compare(_, x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        ys = [(r, n, most, np.asarray(s)) for r, n, most, s in zip(
-            y["rep_2"], y["n_2"], y["most_2"], y["items_2"], strict=True)]
-        for r, n, most, s in zip(x["rep"], x["n"], x["most"], x["items"], strict=True):
-            s = np.asarray(s)
-            for r2, n2, most2, s2 in ys:
-                if n2 <= most and n <= most2 and 100 * min(n, n2) >= percent * max(n, n2):
-                    c = len(np.intersect1d(s, s2, assume_unique=True))
-                    if 100 * c >= percent * (n + n2 - c):
-                        out.append((r, r2))
-                        break  # one link joins this document to the group
+    def compare(docs: pd.DataFrame) -> pd.DataFrame:
+        """Links between the two blocks of the group, or within its one block."""
+        i, j = docs["i"].iloc[0], docs["j"].iloc[0]
+        x, y = (docs[docs["block"] == k] for k in (i, j))
+        n, most, group = (x[c].to_numpy()[:, None] for c in ("n", "most", "component"))
+        n2, most2, group2 = (y[c].to_numpy()[None] for c in ("n", "most", "component"))
+        able = (group != group2) & (n2 <= most) & (n <= most2)
+        able &= 100 * np.minimum(n, n2) >= percent * np.maximum(n, n2)
+        if i == j:
+            able = np.triu(able, 1)
+        xs, ys = ([np.asarray(s) for s in d["items"]] for d in (x, y))
+        joined, out = set(), []
+        for a, b in zip(*np.nonzero(able), strict=True):
+            pair = group[a, 0], group2[0, b]
+            if pair not in joined:  # one link joins two groups
+                c = len(np.intersect1d(xs[a], ys[b], assume_unique=True))
+                if 100 * c >= percent * (len(xs[a]) + len(ys[b]) - c):
+                    joined.add(pair)
+                    out.append(pair)
         return pd.DataFrame(out, columns=["a", "b"])
 
     return compare
@@ -157,8 +165,8 @@ def _compare(percent: int):
 
 def links_between(groups: DataFrame, buckets: DataFrame, sets: DataFrame, percent: int = PERCENT,
                   block: int = BLOCK) -> DataFrame:
-    """Links (a, b) between members of one bucket in different groups; at least one of each document to each group
-    that it links to.  ``groups``: (rep, component) for every representative in a bucket."""
+    """Links (a, b) between groups: for any two groups whose members meet in a bucket and that hold a link, one at
+    least.  ``groups``: (rep, component) for every representative in a bucket."""
     kind = dict(sets.dtypes)["rep"]
     keyed = buckets.join(groups, "rep")
     span = keyed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
@@ -176,31 +184,18 @@ def links_between(groups: DataFrame, buckets: DataFrame, sets: DataFrame, percen
     alive = written(own.join(outside, "rep").withColumn("most", most).where(100 * F.col("most") >= percent * F.col("n"))
                     .select("rep", "component", "n", "most"), "alive")
 
-    met = written(mixed.join(alive.select("rep"), "rep").select("key", "rep", "component").distinct(), "met")
-    sizes = alive.groupBy("component").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("total"))
-    sizes = written(sizes.withColumn("blocks", F.ceil(F.col("total") / block).cast("int")), "group-sizes")
-    per_key = met.select("key", "component").distinct()
-    other = per_key.withColumnRenamed("component", "other")
-    asked = met.join(other, "key").where("component != other").select("rep", "component", "other").distinct()
-    a, b = (sizes.select(F.col("component").alias(c), F.col("members").alias(f"m_{c}"), F.col("blocks").alias(f"k_{c}"))
-            for c in ("component", "other"))
-    asked = asked.join(a, "component").join(b, "other").where(
-        F.struct("m_component", "component") < F.struct("m_other", "other"))
-    asked = asked.select("rep", F.col("other").alias("group"), F.col("k_other").alias("y_blocks"))
-    asked = written(asked.join(alive.select("rep", "n", "most"), "rep"), "asked")
-    sides = asked.groupBy("group").agg(F.ceil(F.sum("n") / block).cast("int").alias("x_blocks"))
-    part = lambda n, salt: F.pmod(F.xxhash64("rep", F.lit(salt)), n).cast("int")
-    x = asked.join(sides, "group").withColumn("x", part(F.col("x_blocks"), "x")).withColumn(
-        "y", F.explode(F.sequence(F.lit(0), F.col("y_blocks") - 1)))
-    y = alive.withColumnRenamed("component", "group").join(sides, "group").join(
-        sizes.select(F.col("component").alias("group"), "blocks"), "group")
-    y = y.withColumn("y", part(F.col("blocks"), "y")).withColumn(
-        "x", F.explode(F.sequence(F.lit(0), F.col("x_blocks") - 1)))
-    items = sets.select("rep", "items")
-    x, y = (d.select("group", "x", "y", "rep", "n", "most").join(items, "rep") for d in (x, y))
-    y = y.select(*[F.col(c).alias(f"{c}_2") for c in y.columns])
-    return x.groupBy("group", "x", "y").cogroup(y.groupBy("group_2", "x_2", "y_2")).applyInPandas(
-        _compare(percent), f"a {kind}, b {kind}")
+    # families: groups that meet in buckets, directly or by way of others
+    met = mixed.join(alive.select("rep"), "rep").select("key", "component").distinct()
+    least = met.groupBy("key").agg(F.min("component").alias("lo"))
+    family = components(met.join(least, "key").select(F.col("component").alias("a"), F.col("lo").alias("b")))
+    family = family.select(F.col("node").alias("component"), F.col("component").alias("family"))
+    members = written(alive.join(family, "component"), "families")
+    sizes = members.groupBy("family").agg(F.ceil(F.sum("n") / block).cast("int").alias("blocks"))
+    members = members.join(sizes, "family").withColumn("block", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
+    members = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    pairs = members.select("family", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
+                           "block", "rep", "component", "n", "most").join(sets.select("rep", "items"), "rep")
+    return pairs.groupBy("family", "i", "j").applyInPandas(_compare(percent), f"a {kind}, b {kind}")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS,
@@ -228,7 +223,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     groups = written(groups, "all-groups")
     more = written(links_between(groups, tied.select("rep", "key"), sets, percent), "more-links")
 
-    join = components(_lift(more, groups))
+    join = components(more)
     final = groups.join(join.withColumnRenamed("component", "joined"), F.col("component") == F.col("node"), "left")
     final = final.select("rep", F.coalesce("joined", "component").alias("component"))
     named = classes.select("s1", "s2", "rep").join(final, "rep", "left").select(
@@ -238,9 +233,3 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return words_in.select("doc_id", "n", "component").unionByName(empty).select(
         "doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"),
         F.col("doc_id").eqNullSafe(F.col("component")).alias("kept"))
-
-
-def _lift(links: DataFrame, groups: DataFrame) -> DataFrame:
-    """Links between documents as links between their groups."""
-    a, b = (groups.select(F.col("rep").alias(x), F.col("component").alias(f"c{x}")) for x in "ab")
-    return links.join(a, "a").join(b, "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
