@@ -79,13 +79,14 @@ def signature(line: Column) -> Column:
     return out
 
 
-def edit_distances(pairs: DataFrame, a: str, b: str, edits: int) -> DataFrame:
-    """``pairs`` with ``distance``, the edit distance of the columns ``a`` and ``b`` where it is at most ``edits``, and
-    a larger number elsewhere.  The strings are longer than ``edits`` and differ in length by no more.
+def edit_distance(a: Column, b: Column, edits: int) -> Column:
+    """The edit distance of two strings where it is at most ``edits``, and a larger number elsewhere.  The strings are
+    longer than ``edits`` and differ in length by no more.
 
     Bit d of a vector is row j - edits + d of column j of the distance matrix (rows: characters of ``a``).  ``u`` and
     ``d`` mark vertical steps of +1 and -1, ``z`` diagonal steps of 0.  The distance k follows the lowest diagonal of
-    the band to the last row, and then that row to the last column."""
+    the band to the last row, and then that row to the last column.  The characters are bound by a lambda, so that
+    Spark splits the strings once and not at every step."""
     width = 2 * edits + 1
     ones, zero = F.lit((1 << width) - 1).cast("long"), F.lit(0).cast("long")
 
@@ -98,10 +99,10 @@ def edit_distances(pairs: DataFrame, a: str, b: str, edits: int) -> DataFrame:
     def let(value: Column, body) -> Column:
         return F.get(F.transform(F.array(value), body), F.lit(0))
 
-    def step(s: Column, j: Column) -> Column:
+    def step(c: Column, s: Column, j: Column) -> Column:
         equal = zero
         for d in range(width):
-            same = F.get("__pattern", j - 1 - edits + d) == F.get("__text", j - 1)
+            same = F.get(c["a"], j - 1 - edits + d) == F.get(c["b"], j - 1)
             equal = equal + F.when(same, F.lit(1 << d).cast("long")).otherwise(zero)
 
         def diagonal(v: Column) -> Column:
@@ -114,8 +115,8 @@ def edit_distances(pairs: DataFrame, a: str, b: str, edits: int) -> DataFrame:
             return let(F.struct(v["z"].alias("z"), plus.alias("p"), minus.alias("m")), vertical)
 
         def vertical(v: Column) -> Column:
-            shifted, last = F.shiftright(v["z"], 1), F.col("__n") - j + edits
-            k = F.when(j <= F.col("__n") - edits, 1 - bit(v["z"], 2 * edits)).otherwise(
+            shifted, last = F.shiftright(v["z"], 1), c["n"] - j + edits
+            k = F.when(j <= c["n"] - edits, 1 - bit(v["z"], 2 * edits)).otherwise(
                 bit(v["p"], last) - bit(v["m"], last))
             return F.struct(v["m"].bitwiseOR(flip(shifted.bitwiseOR(v["p"]))).alias("u"),
                             shifted.bitwiseAND(v["p"]).alias("d"), (s["k"] + k).alias("k"))
@@ -125,9 +126,9 @@ def edit_distances(pairs: DataFrame, a: str, b: str, edits: int) -> DataFrame:
 
     begin = F.struct(F.lit(((1 << (edits + 1)) - 1) << edits).cast("long").alias("u"), zero.alias("d"),
                      F.lit(edits).cast("long").alias("k"))
-    wide = pairs.withColumns({"__pattern": F.split(a, ""), "__text": F.split(b, ""), "__n": F.char_length(a)})
-    distance = F.aggregate(F.sequence(F.lit(1), F.size("__text")), begin, step, lambda s: s["k"])
-    return wide.withColumn("distance", distance).drop("__pattern", "__text", "__n")
+    chars = F.struct(F.split(a, "").alias("a"), F.split(b, "").alias("b"), F.char_length(a).alias("n"))
+    return let(chars, lambda c: F.aggregate(
+        F.sequence(F.lit(1), F.size(c["b"])), begin, lambda s, j: step(c, s, j), lambda s: s["k"]))
 
 
 def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -160,7 +161,7 @@ def similar_lines(first: DataFrame, docs: DataFrame, id_col: str, text_col: str,
                                  F.get("lines", F.col("w.no")).alias("line")).distinct(), "line-texts")
     a, b = (texts.select(F.col("h1").alias(x), F.col("at").alias(f"at_{x}"), F.col("line").alias(f"line_{x}"))
             for x in "ab")
-    close = edit_distances(pairs.join(a, "a").join(b, "b"), "line_a", "line_b", edits).where(F.col("distance") <= edits)
+    close = pairs.join(a, "a").join(b, "b").where(edit_distance(F.col("line_a"), F.col("line_b"), edits) <= edits)
     return close.select(F.greatest("at_a", "at_b").alias("at")).select("at.*").distinct()
 
 
