@@ -128,6 +128,7 @@ def train(rows: DataFrame, text_col: str = "text", lang_col: str = "lang", max_w
     every = grams[0]
     for more in grams[1:]:
         every = every.unionByName(more)
+    every = every.where(F.col("item") != " ")  # the mark of a word's ends alone tells nothing
     every = written(every.groupBy("item", "lang").agg(F.sum("n").alias("n")), "grams")
 
     sizes = words.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").collect()

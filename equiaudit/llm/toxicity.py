@@ -8,7 +8,8 @@ in toxic documents far too often for chance form the lexicon; a token of a
 toxic document is labelled 1 if it is in the lexicon.
 
 The field has two states.  A token's features are its word and its beginnings
-of four to eight characters, so that unseen forms of a known stem are found.
+of four to eight characters; if one is in the lexicon, the shortest such
+beginning alone, so that unseen forms of a known stem are found.
 Weights are fitted on the labelled tokens by gradient ascent on the
 conditional likelihood.
 
@@ -57,6 +58,13 @@ def items_of(word: str) -> list[str]:
     return [word, *[f"{word[:k]}*" for k in BEGINNINGS if len(word) >= k]]
 
 
+def features_of(word: str, lexicon: set[str] | frozenset[str]) -> list[str]:
+    """The most general entry of the lexicon that the word has (its shortest beginning, or else itself), which then
+    carries the whole weight for forms unseen in the sample; without one all its items."""
+    items = items_of(word)
+    return next(([x] for x in [*items[1:], word] if x in lexicon), items)
+
+
 # ---- forward and backward over one chain of many documents
 
 
@@ -153,6 +161,7 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: floa
 @dataclass
 class SpanModel:
     weights: dict[str, float] = field(default_factory=dict)
+    lexicon: frozenset[str] = frozenset()
     bias: float = 0.0
     first: np.ndarray = field(default_factory=lambda: np.zeros(2))
     move: np.ndarray = field(default_factory=lambda: np.zeros((2, 2)))
@@ -162,7 +171,7 @@ class SpanModel:
     constant: float | None = None
 
     def emission(self, word: str) -> float:
-        return self.bias + sum(self.weights.get(x, 0.0) for x in items_of(word))
+        return self.bias + sum(self.weights.get(x, 0.0) for x in features_of(word, self.lexicon))
 
 
 class _Emissions(dict):
@@ -226,7 +235,7 @@ def item_counts(rows: DataFrame) -> DataFrame:
                 for text, toxic in zip(*(c.to_pylist() for c in whole.slice(at, 64).columns), strict=True):
                     words = TOKEN.findall(text.lower())
                     found: dict[str, str] = {}
-                    for word, before, after in zip(words, ["", *words[:-1]], [*words[1:], ""], strict=True):
+                    for word, before, after in zip(words, ["", *words], [*words[1:], ""], strict=False):
                         own = f"{before} {after}"
                         for x in items_of(word):
                             if (least := found.get(x)) is None or own < least:
@@ -280,7 +289,7 @@ def train_spans(rows: DataFrame, id_col: str = "doc_id", sample_rows: int = SAMP
     for r in fit:
         if not (words := TOKEN.findall(r["text"].lower())):
             continue
-        own = {w: [x for x in items_of(w) if x in number] for w in set(words)}
+        own = {w: [x for x in features_of(w, lexicon) if x in number] for w in set(words)}
         bad = {w for w, xs in own.items() if r["toxic"] == 1 and not lexicon.isdisjoint(xs)}
         feature.append(np.array([number[x] for w in words for x in own[w]], dtype=np.int32))
         per_token.append(np.array([len(own[w]) for w in words], dtype=np.int16))
@@ -299,7 +308,7 @@ def train_spans(rows: DataFrame, id_col: str = "doc_id", sample_rows: int = SAMP
     x = np.array([document_features(p[e - n:e]) for n, e in zip(lengths, ends, strict=True)])
     y = np.array(kinds, dtype=np.float64)
     weight = np.where(y == 1, share / max(1.0, y.sum()), (1 - share) / max(1.0, (1 - y).sum())) * len(y)
-    return SpanModel({x: float(w[i]) for x, i in number.items() if w[i]}, bias, first, move,
+    return SpanModel({x: float(w[i]) for x, i in number.items() if w[i]}, frozenset(lexicon), bias, first, move,
                      fit_logistic(x, y, weight))
 
 

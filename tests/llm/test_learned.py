@@ -99,7 +99,7 @@ def test_toxicity_held_out(spark, docs_of):
     assert held == [i for i in range(400) if zlib.crc32(str(i).encode()) % 3 == 1]
     assert sum(got[i]["predicted"] == (i % 5 == 0) for i in held) >= 0.97 * len(held)
     assert got[1000]["score"] == got[1001]["score"] == 0 and got[1000]["spans"] == []
-    assert got[1002]["predicted"] == 1 and [tuple(s) for s in got[1002]["spans"]][0][0] == 0
+    assert got[1002]["score"] > 0.5 and [tuple(s) for s in got[1002]["spans"]][0][0] == 0, got[1002]
     for i, t in rows[:400:5]:
         words = {t[s["start"]:s["end"]].lower()[:5] for s in got[i]["spans"]}
         assert not words or any(w in ("wretc", "stink") for w in words)
