@@ -1,4 +1,5 @@
 from equiaudit.functions.expressions import (  # noqa: F401
+    NUMBER,
     as_text,
     coerce_numeric,
     cut_bucket,

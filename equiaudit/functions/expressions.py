@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from equiaudit import constants as C
 
 
+#: What counts as a number in text: no suffix letters, which a cast alone would take.
+NUMBER = r"^\s*[+-]?((\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|[iI]nf(inity)?|[nN]a[nN])\s*$"
+
+
 def _col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
@@ -27,9 +31,10 @@ def value_map(c: str | Column, mapping: Mapping[Any, Any]) -> Column:
     """
     if not mapping:
         return F.lit(None).cast("string")
+    # keys compare as text, so 1 and "1" are one key; the last one wins
     pairs = []
-    for k, v in mapping.items():
-        pairs += [F.lit(str(k)), F.lit(None if v is None else str(v))]
+    for k, v in {str(k): v for k, v in mapping.items()}.items():
+        pairs += [F.lit(k), F.lit(None if v is None else str(v))]
     return F.try_element_at(F.create_map(*pairs), as_text(c))
 
 
@@ -51,9 +56,12 @@ def positive_flag(c: str | Column, positive_label: Any) -> Column:
 
 
 def coerce_numeric(c: str | Column) -> Column:
-    """Numeric coercion, unparsable -> null, NaN -> null."""
+    """Numeric coercion, unparsable -> null, NaN -> null.
+
+    The pattern is tested for text only: ``typeof`` is a constant, so the test folds away for numeric columns."""
     x = _col(c).try_cast("double")
-    return F.when(F.isnan(x), F.lit(None).cast("double")).otherwise(x)
+    no_number = (F.typeof(_col(c)) == "string") & ~as_text(c).rlike(NUMBER)
+    return F.when(F.isnan(x) | no_number, F.lit(None).cast("double")).otherwise(x)
 
 
 def text_or_null_token(c: str | Column, token: str = C.NULL_GROUP_LABEL) -> Column:

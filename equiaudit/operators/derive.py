@@ -7,13 +7,11 @@ from pyspark.sql import functions as F
 
 
 def map_by_join(df: DataFrame, source: str, mapping: DataFrame, out: str, key: str = "key",
-                value: str = "value", broadcast_rows: int = 1_000_000) -> DataFrame:
+                value: str = "value") -> DataFrame:
     """Add ``out`` = mapping[value] for df[source] (compared as text); unmapped -> null.
 
-    The map side is broadcast only when its row count is under ``broadcast_rows``
-    (checked with one count); a larger map is joined with a shuffle.
+    Of rows with one key the one with the least value counts.  Spark chooses the join by
+    the map's size in bytes.
     """
-    m = mapping.select(F.col(key).cast("string").alias("__k"), F.col(value).alias(out)).dropDuplicates(["__k"])
-    small = m.limit(broadcast_rows + 1).count() <= broadcast_rows
-    side = F.broadcast(m) if small else m
-    return df.withColumn("__k", F.col(source).cast("string")).join(side, "__k", "left").drop("__k")
+    m = mapping.groupBy(F.col(key).cast("string").alias("__k")).agg(F.min(value).alias(out))
+    return df.withColumn("__k", F.col(source).cast("string")).join(m, "__k", "left").drop("__k")

@@ -96,6 +96,8 @@ def issue_record_errors(records: DataFrame, id_col: str = "record_id") -> DataFr
          msg(f"severity must be one of {_valid_severities_text()}")),
         (F.col("issue_type").isNull(), msg("issue_type must be a string")),
         (F.col("evidence").isNull(), msg("evidence must be a list")),
+        (F.coalesce(F.exists("evidence", lambda x: x.isNull()), F.lit(False)),
+         msg("evidence must hold no nulls")),
     ]
     errs = F.filter(F.array(*[F.when(c, m) for c, m in checks]), lambda x: x.isNotNull())
     return records.select(F.col(id_col), F.explode(errs).alias("error"))

@@ -118,16 +118,18 @@ def build_pipeline(prep: FeaturePrep, max_iter: int, reg_param: float, label_col
 class FittedModel:
     prep: FeaturePrep
     model: PipelineModel
-    classes: list[str]  # [negative, positive] as text
+    classes: list[str]  # sorted, as text: prediction 0.0 and 1.0
+    score_class: int = 1  # whose probability is y_score
 
     def score(self, df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
-        """``keep`` columns (names) plus y_score (probability of the positive class) and y_pred (label text)."""
+        """``keep`` columns (names) plus y_score (probability of the configured class, or of the second class if the
+        configured label is none of the two) and y_pred (label text)."""
         out = self.model.transform(self.prep.apply(df, list(keep)))
-        neg, pos = self.classes
+        first, second = self.classes
         return out.select(
             *keep,
-            vector_to_array("probability")[1].alias("y_score"),
-            F.when(F.col("prediction") == 1.0, F.lit(pos)).otherwise(F.lit(neg)).alias("y_pred"),
+            vector_to_array("probability")[self.score_class].alias("y_score"),
+            F.when(F.col("prediction") == 1.0, F.lit(second)).otherwise(F.lit(first)).alias("y_pred"),
         )
 
 
@@ -135,9 +137,8 @@ def _fit_prepared(data: DataFrame, prep: FeaturePrep, max_iter: int, positive_la
                   classes: Sequence[str]) -> FittedModel:
     n = prep.rows if prep.rows is not None else data.count()
     model = build_pipeline(prep, max_iter, 1.0 / max(n, 1)).fit(data)
-    other = [c for c in classes if str(c) != str(positive_label)]
-    neg = str(other[0]) if other else "0"
-    return FittedModel(prep, model, [neg, str(positive_label)])
+    known = sorted(str(c) for c in classes)
+    return FittedModel(prep, model, known, known.index(str(positive_label)) if str(positive_label) in known else 1)
 
 
 def fit(train: DataFrame, features: Sequence[str], label_col: str, positive_label: str, classes: Sequence[str],
@@ -147,8 +148,12 @@ def fit(train: DataFrame, features: Sequence[str], label_col: str, positive_labe
     The C = 1 objective sum(loss) + ||w||^2 / 2 equals Spark's
     mean(loss) + regParam * ||w||^2 / 2 at regParam = 1 / n_train.
     """
+    if len(set(map(str, classes))) != 2:
+        raise ValueError(f"logistic regression here takes two classes, not {len(set(map(str, classes)))}")
     prep = fit_prep(train, features, scale)
-    data = prep.apply(train, keep=[positive_flag(label_col, positive_label).cast("double").alias("__label")])
+    # fitted on the classes as they are; the configured label only says which one is scored
+    second = sorted(str(c) for c in classes)[1]
+    data = prep.apply(train, keep=[positive_flag(label_col, second).cast("double").alias("__label")])
     # every L-BFGS iteration is a pass over these rows: spread them over all cores once, then cache
     data = spread(data).persist()
     try:
@@ -167,17 +172,21 @@ def risk_level(auc: float | None) -> str | None:
     return C.RISK_DEFAULT
 
 
+#: Classes that the result of an unsupported attribute names; their number is given in full.
+SHOWN_CLASSES = 20
+
+
 def proxy_detection(df: DataFrame, attribute: str, features: Sequence[str], max_iter: int = 1000) -> dict:
     """H5: can the features predict a two-valued attribute?  Fits and scores in-sample
     (as audited); returns attribute, classes, accuracy, auc, risk_level, status."""
     # classes of the attribute as text; a missing value is the class "nan" (so a two-valued
     # attribute with gaps has three classes and is unsupported)
-    classes = sorted(r["v"] for r in df.select(text_or_null_token(attribute).alias("v"))
-                     .distinct().limit(3).collect())
-    if len(classes) != 2:
-        return {"attribute": attribute, "classes": classes, "accuracy": None, "auc": None, "risk_level": None,
-                "status": "unsupported",
-                "error": f"Proxy detection currently supports binary attribute only; found {len(classes)} groups."}
+    values = df.select(text_or_null_token(attribute).alias("v")).distinct()
+    n, classes = values.count(), [r["v"] for r in values.orderBy("v").limit(SHOWN_CLASSES).collect()]
+    if n != 2:
+        return {"attribute": attribute, "classes": classes, "n_classes": n, "accuracy": None,
+                "auc": None, "risk_level": None, "status": "unsupported",
+                "error": f"a proxy model takes an attribute of two groups; {attribute} has {n}"}
     y = F.coalesce(F.col(attribute).cast("string"), F.lit("nan")).alias("__y")
     base = df.select(y, *features)
     prep = fit_prep(base, features, scale=False)
@@ -192,5 +201,5 @@ def proxy_detection(df: DataFrame, attribute: str, features: Sequence[str], max_
         a = auc_of(scored, F.col("__label"), "y_score").first()
     finally:
         data.unpersist()
-    return {"attribute": attribute, "classes": classes, "accuracy": acc, "auc": a["auc"],
+    return {"attribute": attribute, "classes": classes, "n_classes": 2, "accuracy": acc, "auc": a["auc"],
             "risk_level": risk_level(a["auc"]), "status": "ok", "error": None}

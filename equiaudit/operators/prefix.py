@@ -12,6 +12,7 @@ hot group or a skewed key range does not land in one task.
 
 from __future__ import annotations
 
+import math
 from typing import Sequence
 
 from pyspark.ml.feature import Bucketizer
@@ -30,7 +31,8 @@ def range_bounds(df: DataFrame, order: str, buckets: int, accuracy: int = 10000)
         return []
     probs = [i / buckets for i in range(1, buckets)]
     row = df.agg(F.percentile_approx(F.col(order).cast("double"), probs, accuracy).alias("q")).first()
-    return sorted({float(x) for x in (row["q"] or []) if x is not None})
+    # infinite keys are in the outer buckets whatever the bounds are
+    return sorted({float(x) for x in (row["q"] or []) if x is not None and math.isfinite(x)})
 
 
 def with_bucket(df: DataFrame, order: str, bounds: Sequence[float], out: str = _BK) -> DataFrame:

@@ -20,6 +20,13 @@ from equiaudit.functions import coerce_numeric, text_or_null_token
 from equiaudit.operators.prefix import top_k
 
 
+# without columns of a kind its table is empty
+_NUMERIC_SHIFT = ("rank int, feature string, group_a string, group_b string, mean_a double, mean_b double, "
+                  "abs_mean_diff double")
+_CATEGORICAL_SHIFT = "rank int, feature string, group_a string, group_b string, total_variation_distance double"
+_TOP_VALUES = "feature string, `group` string, grp_rank int, value string, share double, rank int"
+
+
 def split_feature_types(df: DataFrame, cols: Sequence[str]) -> tuple[list[str], list[str], list[str]]:
     """(numeric incl. boolean, categorical, datetime) columns in column order."""
     types = {f.name: f.dataType for f in df.schema.fields}
@@ -62,6 +69,8 @@ def numeric_shift(df: DataFrame, attribute: str, numeric: Sequence[str], groups:
     group), and the top two are picked from it.  Null differences sort first,
     then larger differences, then column order.
     """
+    if not numeric:
+        return df.sparkSession.createDataFrame([], _NUMERIC_SHIFT)
     g = text_or_null_token(attribute).alias("g")
     base = df.select(g, *[coerce_numeric(c).alias(f"x{i}") for i, c in enumerate(numeric)])
     if groups is not None:
@@ -96,6 +105,8 @@ def numeric_shift(df: DataFrame, attribute: str, numeric: Sequence[str], groups:
 def _ranked_top_values(df: DataFrame, attribute: str, categorical: Sequence[str],
                        groups: Sequence[str] | None, k: int | None) -> DataFrame:
     """(feature, group, grp_rank, value, share, rank); grp_rank 1 is the larger compared group."""
+    if not categorical:
+        return df.sparkSession.createDataFrame([], _TOP_VALUES)
     base = df.select(text_or_null_token(attribute).alias("group"),
                      *[text_or_null_token(c).alias(c) for c in categorical])
     if groups is not None:
@@ -141,6 +152,8 @@ def categorical_shift(df: DataFrame, attribute: str, categorical: Sequence[str],
                       groups: Sequence[str] | None = None, k: int | None = C.TVD_TOP_K,
                       top: int | None = C.SHIFT_TOP) -> DataFrame:
     """(rank, feature, group_a, group_b, total_variation_distance) over the top-k shares."""
+    if not categorical:
+        return df.sparkSession.createDataFrame([], _CATEGORICAL_SHIFT)
     tv = _ranked_top_values(df, attribute, categorical, groups, k)
 
     def side(r, c):
@@ -173,7 +186,7 @@ def feature_distribution(df: DataFrame, attribute: str, features: Sequence[str])
     """H4 driver: returns {"groups", "numeric", "categorical"} DataFrames, or an error text."""
     groups = compared_groups(df, attribute)
     if len(groups) < 2:
-        return {"attribute": attribute, "error": f"Need at least 2 groups for comparison, found {len(groups)}"}
+        return {"attribute": attribute, "error": f"a comparison takes two groups; there are {len(groups)}"}
     num, cat, dt = split_feature_types(df, features)
     return {
         "attribute": attribute,

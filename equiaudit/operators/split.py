@@ -25,7 +25,10 @@ _NULL = "\u0000null"
 
 
 def row_hash(key_cols: Sequence[str], seed: int):
-    return F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(c).cast("string") for c in key_cols]))
+    """Hash of the key; keys that differ only in where they hold nulls differ.  Rows with one key get one hash, so
+    the key should be unique."""
+    marked = [F.coalesce(F.col(c).cast("string"), F.lit(_NULL)) for c in key_cols]
+    return F.md5(F.concat_ws("|", F.lit(str(seed)), *marked))
 
 
 def stratum_quotas(counts: dict, test_size: float) -> dict:

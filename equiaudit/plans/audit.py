@@ -50,10 +50,11 @@ def _distribution(ctx: AuditContext, attribute=None):
 def _proxy(ctx: AuditContext, attribute=None):
     res = model_ops.proxy_detection(ctx.scored, attribute, ctx.features)
     spark = ctx.scored.sparkSession
-    row = [(res["attribute"], ",".join(res["classes"]), res["accuracy"], res["auc"], res["risk_level"],
-            res["status"])]
+    row = [(res["attribute"], ",".join(res["classes"]), res["n_classes"], res["accuracy"], res["auc"],
+            res["risk_level"], res["status"])]
     return {"proxy": spark.createDataFrame(
-        row, "attribute string, classes string, accuracy double, auc double, risk_level string, status string")}
+        row, "attribute string, classes string, n_classes long, accuracy double, auc double, risk_level string, "
+             "status string")}
 
 
 def _slices(ctx: AuditContext, attribute=None):
@@ -92,7 +93,7 @@ def run_diagnostics(ctx: AuditContext, plan: Sequence[tuple[str, str | None]]) -
     for tool, attribute in plan:
         fn = REGISTRY.get(tool)
         if fn is None:
-            rows.append((tool, attribute, "error", f"Unsupported diagnostic tool: {tool}", None))
+            rows.append((tool, attribute, "error", f"no diagnostic named {tool}", None))
             continue
         try:
             out = fn(ctx, attribute)

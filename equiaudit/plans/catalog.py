@@ -456,8 +456,7 @@ def q_run_metrics(spark, sf_dir):
 @query("run_catalogue")
 def q_run_catalogue(spark, sf_dir):
     t = _run_tables(spark, sf_dir)
-    return store.run_catalogue({"metrics": t["metrics"], "fairness_report": t["disp"],
-                                "issues": t["issues"].where(F.col("severity") == "severe")})
+    return store.run_catalogue({"metrics": t["metrics"], "fairness_report": t["disp"], "issues": t["issues"]})
 
 
 @query("run_summary")
@@ -469,9 +468,8 @@ def q_run_summary(spark, sf_dir):
 @query("evidence_table")
 def q_evidence_table(spark, sf_dir):
     t = _run_tables(spark, sf_dir)
-    cat = store.run_catalogue({"metrics": t["metrics"], "fairness_report": t["disp"],
-                               "issues": t["issues"].where(F.col("severity") == "severe")})
-    return store.evidence_table(t["metrics"], t["disp"], t["sizes"], cat, REQUIRED_TABLES)
+    cat = store.run_catalogue({"metrics": t["metrics"], "fairness_report": t["disp"], "issues": t["issues"]})
+    return store.evidence_table(t["metrics"], t["disp"], t["sizes"], cat, REQUIRED_TABLES, t["rates"])
 
 
 @query("report_json")
@@ -529,10 +527,11 @@ def q_train_score(spark, sf_dir):
 def q_proxy_detection(spark, sf_dir):
     scored = fx.scored_lineitems(spark, sf_dir)
     res = model_ops.proxy_detection(scored, "status", fx.FEATURES)
-    row = [(res["attribute"], ",".join(res["classes"]), res["accuracy"], res["auc"], res["risk_level"],
-            res["status"])]
+    row = [(res["attribute"], ",".join(res["classes"]), res["n_classes"], res["accuracy"], res["auc"],
+            res["risk_level"], res["status"])]
     return spark.createDataFrame(
-        row, "attribute string, classes string, accuracy double, auc double, risk_level string, status string")
+        row, "attribute string, classes string, n_classes long, accuracy double, auc double, risk_level string, "
+             "status string")
 
 
 @query("diagnostics_status")

@@ -622,14 +622,14 @@ RUN_BASE = _with(SCORED) + """, rcounts AS (
 ), rcat AS (
   SELECT m.run_id, true AS has_metrics,
          EXISTS (SELECT 1 FROM rdisp d WHERE d.run_id = m.run_id) AS has_fairness_report,
-         EXISTS (SELECT 1 FROM rissues i WHERE i.run_id = m.run_id AND i.severity = 'severe') AS has_issues
+         EXISTS (SELECT 1 FROM rissues i WHERE i.run_id = m.run_id) AS has_issues
   FROM rmetrics m
 )
 """
 
 SQL["run_metrics"] = RUN_BASE + """
 SELECT run_id, accuracy, CAST(NULL AS DOUBLE) AS n_train, n_test, CAST(NULL AS VARCHAR) AS model_type,
-       'y_true' AS label_col, 'good' AS positive_label, 'segment,priority,status,size_group' AS sensitive_cols,
+       'y_true' AS label_col, 'good' AS positive_label, ['segment','priority','status','size_group'] AS sensitive_cols, CAST([] AS VARCHAR[]) AS model_classes,
        true AS has_y_score
 FROM rmetrics
 """
@@ -644,14 +644,21 @@ FROM rmetrics m WHERE m.run_id = (SELECT MAX(run_id) FROM rmetrics)
 """
 
 SQL["evidence_table"] = RUN_BASE + """
-SELECT run_id, 'metrics.accuracy' AS path, CAST(ROUND(CAST(accuracy AS DECIMAL(20,10)), 4) AS VARCHAR) AS value FROM rmetrics
-UNION ALL SELECT run_id, 'metrics.n_test', CAST(n_test AS VARCHAR) FROM rmetrics
-UNION ALL SELECT run_id, 'fairness_report.' || attribute || '.difference.' || metric,
-                 CAST(ROUND(CAST(difference AS DECIMAL(20,10)), 4) AS VARCHAR) FROM rdisp
-UNION ALL SELECT run_id, 'group_sizes.' || attribute || '.' || COALESCE("group", 'nan'), CAST(COUNT(*) AS VARCHAR)
-  FROM long GROUP BY run_id, attribute, "group"
-UNION ALL SELECT run_id, 'missing', 'issues' FROM rcat WHERE NOT has_issues
-UNION ALL SELECT run_id, 'missing', 'fairness_report' FROM rcat WHERE NOT has_fairness_report
+, e AS (
+  SELECT run_id, 'metrics.accuracy' AS path, accuracy AS number, true AS places FROM rmetrics
+  UNION ALL SELECT run_id, 'metrics.n_test', CAST(n_test AS DOUBLE), false FROM rmetrics
+  UNION ALL SELECT run_id, 'fairness_report.' || attribute || '.difference.' || metric, difference, true FROM rdisp
+  UNION ALL SELECT run_id, 'fairness_report.' || attribute || '.ratio.' || metric,
+                   CASE WHEN MAX(value) <> 0 THEN MIN(value) / MAX(value) END, true
+            FROM rrl GROUP BY run_id, attribute, metric
+  UNION ALL SELECT run_id, 'fairness_report.' || attribute || '.by_group.' || metric || '.' || "group", value, true FROM rrl
+  UNION ALL SELECT run_id, 'group_sizes.' || attribute || '.' || COALESCE("group", 'nan'), CAST(COUNT(*) AS DOUBLE), false
+            FROM long GROUP BY run_id, attribute, "group"
+)
+SELECT run_id, path, CASE WHEN places THEN CAST(ROUND(CAST(number AS DECIMAL(20,10)), 4) AS VARCHAR)
+                          ELSE CAST(CAST(number AS BIGINT) AS VARCHAR) END AS value, number FROM e
+UNION ALL SELECT run_id, 'missing', 'issues', NULL FROM rcat WHERE NOT has_issues
+UNION ALL SELECT run_id, 'missing', 'fairness_report', NULL FROM rcat WHERE NOT has_fairness_report
 """
 
 SQL["score_feature_join"] = """

@@ -47,7 +47,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str | None:
         return d
     d = d or sc.getCheckpointDir()
     if not d:
-        if not sc.master.startswith("local"):
+        if sc.master != "local" and not sc.master.startswith("local["):  # local-cluster[...] has separate workers
             raise RuntimeError("set spark.checkpoint.dir to a shared folder (a machine-local one does not "
                                "survive executor loss)")
         d = tempfile.mkdtemp(prefix="equiaudit-ckpt-")
@@ -70,12 +70,10 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 
 def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Round-robin repartition only when ``df`` has fewer partitions than the session can
-    run at once (e.g. a file written as one row group).  On a cluster reading many file
-    splits this is a no-op; it never reduces parallelism and adds one shuffle at most."""
+    """Round-robin repartition for data that is then read many times (a fit's passes), so that a file
+    written as one row group keeps all cores busy.  One shuffle; runs no job."""
     try:
         want = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-        have = df.rdd.getNumPartitions()
-    except Exception:  # noqa: BLE001 -- no RDD view (remote session): leave partitioning to Spark
+    except Exception:  # noqa: BLE001 -- remote session: leave partitioning to Spark
         return df
-    return df.repartition(want) if have < want else df
+    return df.repartition(max(want, shuffle_partitions(df.sparkSession)))

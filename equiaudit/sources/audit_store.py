@@ -10,8 +10,9 @@ from __future__ import annotations
 
 from typing import Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from equiaudit import constants as C
 from equiaudit.functions import fixed4
@@ -23,19 +24,17 @@ def write_audit_table(df: DataFrame, root: str, name: str) -> str:
     if "run_id" not in df.columns:
         raise ValueError("audit tables need a run_id column")
     path = f"{root.rstrip('/')}/{name}"
-    spark = df.sparkSession
-    prev = spark.conf.get("spark.sql.sources.partitionOverwriteMode", "static")
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    try:
-        df.write.mode("overwrite").partitionBy("run_id").parquet(path)
-    finally:
-        spark.conf.set("spark.sql.sources.partitionOverwriteMode", prev)
+    (df.withColumn("run_id", F.col("run_id").cast("string")).write.mode("overwrite")
+     .option("partitionOverwriteMode", "dynamic").partitionBy("run_id").parquet(path))
     return path
 
 
 def read_audit_table(spark: SparkSession, root: str, name: str, run_id: str | None = None) -> DataFrame:
-    """Read an audit table; a run filter prunes to that run's folder."""
-    df = spark.read.parquet(f"{root.rstrip('/')}/{name}")
+    """Read an audit table; a run filter prunes to that run's folder.  Run ids stay text ("007")."""
+    path = f"{root.rstrip('/')}/{name}"
+    found = spark.read.parquet(path).schema
+    as_text = StructType([StructField(f.name, StringType()) if f.name == "run_id" else f for f in found.fields])
+    df = spark.read.schema(as_text).parquet(path)
     return df.where(F.col("run_id") == F.lit(str(run_id))) if run_id is not None else df
 
 
@@ -47,6 +46,7 @@ def write_rates_csv(rates: DataFrame, path: str) -> str:
 
 def run_metrics(scored: DataFrame, *, label_col: str, positive_label: str, sensitive_cols: Sequence[str],
                 model_type: str | None = None, n_train: DataFrame | None = None,
+                model_classes: Sequence[str] = (),
                 cube: DataFrame | None = None) -> DataFrame:
     """One metrics row per run (accuracy, test size, spec fields).
 
@@ -67,7 +67,8 @@ def run_metrics(scored: DataFrame, *, label_col: str, positive_label: str, sensi
         F.lit(model_type).cast("string").alias("model_type"),
         F.lit(label_col).alias("label_col"),
         F.lit(str(positive_label)).alias("positive_label"),
-        F.lit(",".join(sensitive_cols)).alias("sensitive_cols"),
+        F.array(*[F.lit(c) for c in sensitive_cols]).alias("sensitive_cols"),
+        F.array(*[F.lit(c) for c in model_classes]).cast("array<string>").alias("model_classes"),
         F.lit(has_score).alias("has_y_score"),
     )
 
@@ -103,27 +104,45 @@ def latest_run(metrics: DataFrame) -> str | None:
 
 
 def evidence_table(metrics: DataFrame, disparity: DataFrame, sizes: DataFrame,
-                   catalogue: DataFrame, required: Sequence[str]) -> DataFrame:
-    """(run_id, path, value) text rows for every run, plus ``missing`` rows for
-    required tables a run lacks (anti join of required names with the catalogue)."""
-    m = metrics.select("run_id", F.lit("metrics.accuracy").alias("path"), fixed4("accuracy").alias("value")).unionByName(
-        metrics.select("run_id", F.lit("metrics.n_test").alias("path"), F.col("n_test").cast("string").alias("value")))
-    d = disparity.select(
-        "run_id",
-        F.concat(F.lit("fairness_report."), "attribute", F.lit(".difference."), "metric").alias("path"),
-        fixed4("difference").alias("value"),
-    )
-    s = sizes.select(
-        "run_id", F.concat(F.lit("group_sizes."), "attribute", F.lit("."), "group").alias("path"),
-        F.col("n").cast("string").alias("value"),
-    )
+                   catalogue: DataFrame, required: Sequence[str], rates: DataFrame | None = None) -> DataFrame:
+    """(run_id, path, value, number) for every run: value as text with four places, number as it is.  Holds
+    metrics, differences, ratios, group sizes, with ``rates`` also the rates by group, and ``missing`` rows for
+    required tables that a run lacks (anti join of required names with the catalogue)."""
+    def rows(df: DataFrame, path: Column, x: str, text: Column) -> DataFrame:
+        return df.select("run_id", path.alias("path"), text.alias("value"), F.col(x).cast("double").alias("number"))
+
+    dot = F.lit(".")
+    parts = [
+        rows(metrics, F.lit("metrics.accuracy"), "accuracy", fixed4("accuracy")),
+        rows(metrics, F.lit("metrics.n_test"), "n_test", F.col("n_test").cast("string")),
+        rows(disparity, F.concat(F.lit("fairness_report."), "attribute", F.lit(".difference."), "metric"), "difference",
+             fixed4("difference")),
+        rows(disparity, F.concat(F.lit("fairness_report."), "attribute", F.lit(".ratio."), "metric"), "ratio",
+             fixed4("ratio")),
+        rows(sizes, F.concat(F.lit("group_sizes."), "attribute", dot, "group"), "n", F.col("n").cast("string")),
+    ]
+    if rates is not None:
+        long = rates.unpivot(ids=["run_id", "attribute", "group"], values=list(C.METRICS),
+                             variableColumnName="metric", valueColumnName="x")
+        parts.append(rows(long, F.concat(F.lit("fairness_report."), "attribute", F.lit(".by_group."), "metric", dot, "group"),
+                          "x", fixed4("x")))
     have = catalogue.unpivot(ids=["run_id"], values=[c for c in catalogue.columns if c.startswith("has_")],
                              variableColumnName="flag", valueColumnName="present")
     have = have.where("present").select("run_id", F.expr("substring(flag, 5)").alias("name"))
     wanted = catalogue.select("run_id", F.explode(F.array(*[F.lit(r) for r in required])).alias("name"))
     missing = wanted.join(have, ["run_id", "name"], "left_anti").select(
-        "run_id", F.lit("missing").alias("path"), F.col("name").alias("value"))
-    return m.unionByName(d).unionByName(s).unionByName(missing)
+        "run_id", F.lit("missing").alias("path"), F.col("name").alias("value"), F.lit(None).cast("double").alias("number"))
+    for part in parts:
+        missing = missing.unionByName(part)
+    return missing
+
+
+def _by_metric(c: str) -> Column:
+    """A map from metric to ``c`` in the report's order, whatever order the shuffle brings."""
+    found = F.map_from_entries(F.collect_list(F.struct("metric", c)))
+    order = F.array(*[F.lit(m) for m in C.METRICS])
+    return F.transform(F.array(found), lambda m: F.map_from_entries(F.transform(
+        F.filter(order, lambda k: F.map_contains_key(m, k)), lambda k: F.struct(k, F.element_at(m, k)))))[0]
 
 
 def report_json(rates: DataFrame, flags: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -132,11 +151,8 @@ def report_json(rates: DataFrame, flags: DataFrame, by: Sequence[str] = ()) -> D
                          valueColumnName="value")
     by_group = long.groupBy(*by, "attribute", "metric").agg(
         F.map_from_entries(F.array_sort(F.collect_list(F.struct("group", "value")))).alias("g")
-    ).groupBy(*by, "attribute").agg(F.map_from_entries(F.collect_list(F.struct("metric", "g"))).alias("by_group"))
+    ).groupBy(*by, "attribute").agg(_by_metric("g").alias("by_group"))
     per = flags.groupBy(*by, "attribute").agg(
-        F.map_from_entries(F.collect_list(F.struct("metric", "difference"))).alias("difference"),
-        F.map_from_entries(F.collect_list(F.struct("metric", "ratio"))).alias("ratio"),
-        F.map_from_entries(F.collect_list(F.struct("metric", "flag"))).alias("flags"),
-    )
+        _by_metric("difference").alias("difference"), _by_metric("ratio").alias("ratio"), _by_metric("flag").alias("flags"))
     j = by_group.join(per, [*by, "attribute"])
     return j.select(*by, "attribute", F.to_json(F.struct("by_group", "difference", "ratio", "flags")).alias("json"))

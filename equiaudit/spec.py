@@ -102,25 +102,18 @@ def require_columns(df: DataFrame, cols: Sequence[str], what: str = "input") ->
         raise ValueError(f"{what} is missing required columns: {missing}")
 
 
-def label_values(df: DataFrame, label_col: str, limit: int = 3) -> DataFrame:
-    """Up to ``limit`` distinct non-null label values.
-
-    ``limit`` is the feature here: three values are enough to prove a label is
-    not binary, and the distinct aggregation stops at the partial stage.
-    """
-    return (
-        df.select(F.col(label_col).cast("string").alias("value"))
-        .where(F.col("value").isNotNull())
-        .distinct()
-        .limit(limit)
-    )
+def label_values(df: DataFrame, label_col: str) -> DataFrame:
+    """The distinct non-null label values."""
+    return df.select(F.col(label_col).cast("string").alias("value")).where(F.col("value").isNotNull()).distinct()
 
 
 def validate_binary_label(df: DataFrame, label_col: str) -> list[str]:
     """Raise unless the label has exactly two non-null values; returns them sorted."""
-    vals = sorted(r["value"] for r in label_values(df, label_col).collect())
+    found = label_values(df, label_col)
+    vals = sorted(r["value"] for r in found.limit(3).collect())
     if len(vals) != 2:
-        raise ValueError(f"Binary-only: {label_col} has {len(vals)} unique values: {vals}")
+        n, vals = found.count(), [r["value"] for r in found.orderBy("value").limit(100).collect()]
+        raise ValueError(f"label {label_col} must have two values; it has {n}: {vals}" + " and more" * (n > len(vals)))
     return vals
 
 
