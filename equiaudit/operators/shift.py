@@ -182,7 +182,8 @@ def _ranked(df: DataFrame, order, top, cols) -> DataFrame:
     return out.select("rank", *cols)
 
 
-def feature_distribution(df: DataFrame, attribute: str, features: Sequence[str]) -> dict:
+def feature_distribution(df: DataFrame, attribute: str, features: Sequence[str], k: int | None = C.TVD_TOP_K,
+                         top: int | None = C.SHIFT_TOP) -> dict:
     """H4 driver: returns {"groups", "numeric", "categorical"} DataFrames, or an error text."""
     groups = compared_groups(df, attribute)
     if len(groups) < 2:
@@ -191,6 +192,6 @@ def feature_distribution(df: DataFrame, attribute: str, features: Sequence[str])
     return {
         "attribute": attribute,
         "groups": groups,
-        "numeric": numeric_shift(df, attribute, num, groups),
-        "categorical": categorical_shift(df, attribute, cat + dt, groups),
+        "numeric": numeric_shift(df, attribute, num, groups, top),
+        "categorical": categorical_shift(df, attribute, cat + dt, groups, k, top),
     }

@@ -10,9 +10,10 @@ table from it.
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 from typing import Callable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from equiaudit import constants as C
@@ -21,9 +22,12 @@ from equiaudit.operators import issues as issue_ops
 from equiaudit.operators import model as model_ops
 from equiaudit.operators import rates as rate_ops
 from equiaudit.operators import shift, slices, thresholds
+from equiaudit.operators.split import stratified_split
 from equiaudit.plans import diagnostic_rules as rules
 from equiaudit.session import cut_lineage
-from equiaudit.spec import AuditSpec, require_columns
+from equiaudit.sources import audit_store
+from equiaudit.sources.readers import feature_columns, prepare, read_dataset
+from equiaudit.spec import AuditSpec, require_columns, validate_binary_label
 
 
 @dataclass
@@ -36,19 +40,24 @@ class AuditContext:
     outputs: dict = field(default_factory=dict)
 
 
+def _options(ctx: AuditContext, tool: str) -> dict:
+    return dict(ctx.spec.diagnostic_options.get(tool, {}))
+
+
 def _sizes(ctx: AuditContext, attribute=None):
     return {"group_sizes": cube_ops.group_sizes(ctx.cube)}
 
 
 def _distribution(ctx: AuditContext, attribute=None):
-    res = shift.feature_distribution(ctx.scored, attribute, ctx.features)
+    res = shift.feature_distribution(ctx.scored, attribute, ctx.features,
+                                     **_options(ctx, "run_feature_distribution_comparison"))
     if "error" in res:
         raise ValueError(res["error"])
     return {"numeric_shift": res["numeric"], "categorical_shift": res["categorical"]}
 
 
 def _proxy(ctx: AuditContext, attribute=None):
-    res = model_ops.proxy_detection(ctx.scored, attribute, ctx.features)
+    res = model_ops.proxy_detection(ctx.scored, attribute, ctx.features, **_options(ctx, "run_proxy_detection"))
     spark = ctx.scored.sparkSession
     row = [(res["attribute"], ",".join(res["classes"]), res["n_classes"], res["accuracy"], res["auc"],
             res["risk_level"], res["status"])]
@@ -58,7 +67,8 @@ def _proxy(ctx: AuditContext, attribute=None):
 
 
 def _slices(ctx: AuditContext, attribute=None):
-    return {"slice_scan": slices.slice_scan(ctx.scored, ctx.features, ctx.spec.positive_label)}
+    return {"slice_scan": slices.slice_scan(ctx.scored, ctx.features, ctx.spec.positive_label,
+                                             **_options(ctx, "run_slice_scan"))}
 
 
 def _thresholds(ctx: AuditContext, attribute=None):
@@ -86,8 +96,8 @@ REGISTRY: dict[str, Callable[..., dict]] = {
 def run_diagnostics(ctx: AuditContext, plan: Sequence[tuple[str, str | None]]) -> DataFrame:
     """Run planned (tool, attribute) items; returns (tool, attribute, status, error, n_rows).
 
-    The plan is a short driver-side list (tools x attributes).  Each result is
-    materialised with one count so that errors surface here, per item.
+    The plan is a short driver-side list (tools x attributes).  Each result is written once to the shared
+    checkpoint folder, so that errors surface here, per item, and later readers compute nothing again.
     """
     rows = []
     for tool, attribute in plan:
@@ -99,14 +109,14 @@ def run_diagnostics(ctx: AuditContext, plan: Sequence[tuple[str, str | None]]) -
             out = fn(ctx, attribute)
             n = 0
             for name, df in out.items():
-                ctx.outputs[(tool, attribute, name)] = df
-                n += df.count()
+                ctx.outputs[(tool, attribute, name)] = kept = cut_lineage(df)
+                n += kept.count()
             status = "ok"
             if tool == "run_proxy_detection":
-                status = out["proxy"].first()["status"]
+                status = ctx.outputs[(tool, attribute, "proxy")].first()["status"]
             rows.append((tool, attribute, status, None, n))
         except Exception as e:  # noqa: BLE001 -- one failure must not stop the rest
-            rows.append((tool, attribute, "error", f"{type(e).__name__}: {str(e)[:500]}", None))
+            rows.append((tool, attribute, "error", f"{type(e).__name__}: {e}", None))
     return ctx.scored.sparkSession.createDataFrame(
         rows, "tool string, attribute string, status string, error string, n_rows long")
 
@@ -137,15 +147,74 @@ def run_audit(scored: DataFrame, spec: AuditSpec, features: Sequence[str], run_d
         "issues": issue_ops.issue_table(flags, rates, spec.fairness_threshold, by),
         "plan": rules.diagnostic_plan(flags, None, has_y_score=has_score, by=by),
     }
-    if run_diagnostics_now and not by:
-        ctx = AuditContext(scored, spec, features, cube, tuple(C.DEFAULT_CUTS) if has_score else None)
-        plan = [(r["tool"], r["attribute"]) for r in out["plan"].select("tool", "attribute").collect()]
-        out["diagnostics_status"] = run_diagnostics(ctx, plan)
-        for (tool, attribute, name), df in ctx.outputs.items():
-            out[f"{name}__{attribute or 'all'}"] = df
+    if run_diagnostics_now:
+        out |= _diagnostics(scored, spec, features, cube, tuple(C.DEFAULT_CUTS) if has_score else None, out["plan"], by)
     return out
 
 
+def _diagnostics(scored: DataFrame, spec: AuditSpec, features: Sequence[str], cube: DataFrame, cuts: tuple | None,
+                 plan: DataFrame, by: Sequence[str]) -> dict[str, DataFrame]:
+    """The planned diagnostics, run by run: each run has a plan of its own.  Results of all runs are united, with the
+    columns of ``by``."""
+    planned: dict[tuple, list] = {}
+    for r in plan.select(*by, "tool", "attribute").collect():  # runs x tools x attributes
+        planned.setdefault(tuple(r[c] for c in by), []).append((r["tool"], r["attribute"]))
+    found: dict[str, list[DataFrame]] = {}
+    for run, items in sorted(planned.items(), key=str):
+        def own(df: DataFrame, run=run) -> DataFrame:
+            for c, v in zip(by, run):
+                df = df.where(F.col(c).eqNullSafe(F.lit(v)))
+            return df
+
+        ctx = AuditContext(own(scored), spec, features, own(cube).drop(*by), cuts)
+        results = {"diagnostics_status": run_diagnostics(ctx, items)}
+        results |= {f"{name}__{attribute or 'all'}": df for (_, attribute, name), df in ctx.outputs.items()}
+        for name, df in results.items():
+            tagged = df.select(*[F.lit(v).alias(c) for c, v in zip(by, run)], "*")
+            found.setdefault(name, []).append(tagged)
+    return {name: reduce(DataFrame.unionByName, parts) for name, parts in found.items()}
+
+
+MODELS = ("logistic_regression",)
+
+
+def audit_dataset(spark: SparkSession, spec: AuditSpec, root: str, run_id: str,
+                  path: str | None = None) -> dict[str, DataFrame]:
+    """H18 from the configuration on: read, prepare, validate, split, fit, score, write, audit, diagnose, write.
+
+    Rows are numbered once (``row_index``) and written before the split reads them.  Tables of the run are written
+    below ``root`` by ``run_id``; returns them by name."""
+    if spec.model_type not in MODELS:
+        raise ValueError(f"model type {spec.model_type!r} is not one of {list(MODELS)}")
+    data = prepare(read_dataset(spark, spec.dataset, path), spec)
+    require_columns(data, [spec.label_col, *spec.sensitive_cols], "dataset")
+    data = cut_lineage(data.where(F.col(spec.label_col).isNotNull()).withColumn(
+        "row_index", F.monotonically_increasing_id()))
+    classes = validate_binary_label(data, spec.label_col)
+    features = [c for c in feature_columns(data, spec.label_col, spec.sensitive_cols) if c != "row_index"]
+    parts = cut_lineage(stratified_split(data, ["row_index"], spec.label_col, spec.test_size, spec.random_state))
+    train, test = parts.where(~F.col("is_test")), parts.where(F.col("is_test"))
+    fitted = model_ops.fit(train, features, spec.label_col, spec.positive_label, classes, spec.max_iter)
+    tag = lambda df: df.withColumn("run_id", F.lit(str(run_id)))
+
+    # prepared features are coded columns; the originals come back by the row's number
+    y = F.col(spec.label_col).cast("string").alias("y_true")
+    scores = fitted.score(test.select("row_index", *features), keep=["row_index"])
+    scored = test.select("row_index", y, *spec.sensitive_cols).join(scores, "row_index")
+    audit_store.write_audit_table(tag(scored), root, "scored")
+    audit_store.write_audit_table(tag(test.select("row_index", *features)), root, "features")
+    scored = audit_store.read_audit_table(spark, root, "scored", run_id).drop("run_id")
+    kept = audit_store.read_audit_table(spark, root, "features", run_id).drop("run_id")
+    out = run_audit(scored.join(kept, "row_index"), spec, features)
+    n_train = train.agg(F.count(F.lit(1)).alias("n_train")).select(F.lit(str(run_id)).alias("run_id"), "n_train")
+    out["metrics"] = audit_store.run_metrics(
+        tag(scored), label_col=spec.label_col, positive_label=spec.positive_label, sensitive_cols=spec.sensitive_cols,
+        model_type=spec.model_type, model_classes=classes, n_train=n_train)
+    for name, df in out.items():
+        audit_store.write_audit_table(df if "run_id" in df.columns else tag(df), root, name)
+    return {name: audit_store.read_audit_table(spark, root, name, run_id) for name in [*out, "scored", "features"]}
+
+
 def done_from_status(status: DataFrame) -> DataFrame:
     """Only ``ok`` results count as done."""
     return status.where(F.col("status") == "ok").select("tool", "attribute")

@@ -50,6 +50,9 @@ class AuditSpec:
     random_state: int = C.DEFAULT_RANDOM_STATE
     model_type: str = "logistic_regression"
     max_iter: int = 2000
+    #: Keyword options of diagnostics by tool, such as {"run_slice_scan": {"top": None, "min_support": 30}}; None lifts
+    #: a limit.
+    diagnostic_options: Mapping[str, Mapping[str, Any]] = field(default_factory=dict)
     dataset: DatasetSpec = field(default_factory=DatasetSpec)
 
     @staticmethod
@@ -81,6 +84,7 @@ class AuditSpec:
             random_state=int(cfg.get("random_state", C.DEFAULT_RANDOM_STATE)),
             model_type=model.get("type", "logistic_regression"),
             max_iter=int(model.get("max_iter", 2000)),
+            diagnostic_options=cfg.get("diagnostics") or {},
             dataset=DatasetSpec(
                 path=ds.get("path"),
                 format=ds.get("format"),

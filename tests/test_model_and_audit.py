@@ -13,7 +13,7 @@ from equiaudit.plans import fixtures as fx
 from equiaudit.sources import audit_store as store
 from equiaudit.spec import AuditSpec
 
-from conftest import SF0001
+from conftest import CREDIT_CSV, SF0001
 
 
 def test_unseen_category_encodes_as_zeros(spark):
@@ -59,6 +59,8 @@ def test_split_counts(spark):
 
 def test_whole_audit_many_runs(spark):
     runs = fx.scored_lineitems(spark, SF0001, with_run=True)
+    last = [r.run_id for r in runs.select("run_id").distinct().orderBy(F.desc("run_id")).limit(2).collect()]
+    runs = runs.where(F.col("run_id").isin(last))
     spec = AuditSpec(positive_label="good", sensitive_cols=fx.SENSITIVE, fairness_threshold=0.05)
     out = audit.run_audit(runs, spec, fx.FEATURES, by=["run_id"])
     n_runs = runs.select("run_id").distinct().count()
@@ -69,7 +71,36 @@ def test_whole_audit_many_runs(spark):
     plan_runs = {r.run_id for r in out["plan"].select("run_id").distinct().collect()}
     flagged_runs = {r.run_id for r in flags.where("flag").select("run_id").distinct().collect()}
     assert plan_runs == flagged_runs
+    status = out["diagnostics_status"]
+    assert {r.run_id for r in status.select("run_id").distinct().collect()} == plan_runs
+    assert status.count() == out["plan"].count()
     acc = {r.run_id: r.accuracy for r in out["accuracy"].collect()}
     direct = {r.run_id: r.accuracy for r in runs.groupBy("run_id").agg(
         F.avg((F.col("y_true") == F.col("y_pred")).cast("int")).alias("accuracy")).collect()}
     assert acc == pytest.approx(direct)
+
+
+def test_audit_from_config_to_written_tables(spark, tmp_path):
+    """The credit file with its features, from reading to diagnostics; numbers follow from the written rows."""
+    import pandas as pd
+
+    path = str(tmp_path / "credit.csv")
+    pd.read_csv(CREDIT_CSV).drop(columns=["row_index", "y_pred", "y_score"]).to_csv(path, index=False)
+    spec = AuditSpec.from_dict({
+        "label_col": "y_true", "positive_label": "good", "sensitive_cols": ["sex"], "test_size": 0.4,
+        "model": {"max_iter": 60}, "diagnostics": {"run_slice_scan": {"top": 2}},
+        "dataset": {"path": path}})
+    out = audit.audit_dataset(spark, spec, str(tmp_path), "007")
+    m = out["metrics"].first()
+    scored = [tuple(r) for r in out["scored"].select("y_true", "y_pred", "sex").collect()]
+    assert m.run_id == "007" and m.n_test == len(scored) == 100 and m.n_train == 150
+    assert list(m.model_classes) == ["bad", "good"] and list(m.sensitive_cols) == ["sex"]
+    assert m.accuracy == pytest.approx(sum(a == b for a, b, _ in scored) / 100) and m.accuracy > 0.6
+    rates = {g: sum(p == "good" for _, p, s in scored if s == g) / sum(s == g for *_, s in scored) for g in ("female", "male")}
+    got = {r.group: r.value for r in out["fairness_report"].where("metric = 'selection_rate'").collect()}
+    assert got == pytest.approx(rates)
+    if "slice_scan__all" in out:
+        assert out["slice_scan__all"].count() == 2
+    assert store.read_audit_table(spark, str(tmp_path), "features").count() == 100
+    with pytest.raises(ValueError, match="model type"):
+        audit.audit_dataset(spark, AuditSpec(model_type="forest"), str(tmp_path), "x")
