@@ -111,23 +111,19 @@ def _ranked_top_values(df: DataFrame, attribute: str, categorical: Sequence[str]
                      *[text_or_null_token(c).alias(c) for c in categorical])
     if groups is not None:
         base = base.where(F.col("group").isin(list(groups)))  # C3
-    long = base.unpivot(ids=["group"], values=list(categorical), variableColumnName="feature",
-                        valueColumnName="value")
-    counts = long.groupBy("group", "feature", "value").agg(F.count(F.lit(1)).alias("cnt"))
-    totals = counts.groupBy("group", "feature").agg(F.sum("cnt").alias("total"))
+    # the compared groups first (two rows: broadcast), so that values are counted for them alone
+    sizes = base.groupBy(F.col("group").alias("g")).agg(F.count(F.lit(1)).alias("n"))
     if groups is not None:
-        ranks = totals.select("group", F.array_position(F.array(*[F.lit(x) for x in groups]), F.col("group"))
-                              .cast("int").alias("grp_rank")).distinct()
+        place = F.array_position(F.array(*[F.lit(x) for x in groups]), F.col("g")).cast("int")
+        pair = sizes.withColumn("__r", place)
     else:
-        # every row has one value per column, so one column's totals are the group sizes
-        sizes = totals.where(F.col("feature") == F.lit(categorical[0])).select(
-            F.col("group").alias("g"), F.col("total").alias("n"))
-        ranks = _top_two(sizes).select(F.col("g").alias("group"), F.col("__r").alias("grp_rank"))
-    # at most two rows per text column once the groups are chosen: broadcast
-    kept = totals.join(F.broadcast(ranks), "group")
-    shares = counts.join(F.broadcast(kept), ["group", "feature"]).withColumn(
-        "share", F.col("cnt").cast("double") / F.col("total").cast("double")
-    )
+        pair = _top_two(sizes)
+    pair = pair.select(F.col("g").alias("group"), F.col("n").alias("total"), F.col("__r").alias("grp_rank"))
+    long = base.join(F.broadcast(pair), "group").unpivot(
+        ids=["group", "total", "grp_rank"], values=list(categorical), variableColumnName="feature", valueColumnName="value")
+    counts = long.groupBy("group", "total", "grp_rank", "feature", "value").agg(F.count(F.lit(1)).alias("cnt"))
+    # every row has one value per column, so a group's size is the total of each column
+    shares = counts.withColumn("share", F.col("cnt").cast("double") / F.col("total").cast("double"))
     order = [F.desc("cnt"), F.asc("value")]
     if k is not None:
         shares = top_k(shares, ["group", "feature"], order, k, salt_on="value")
@@ -141,8 +137,7 @@ def top_values(df: DataFrame, attribute: str, categorical: Sequence[str], groups
     """(feature, group, value, share, rank): each compared group's k most frequent values
     per column (null shown as "nan"), share of the group's rows; ties by value.
 
-    Without ``groups``, value counts are taken for every group in one pass; the group
-    sizes are sums of one column's counts, and the two largest groups are kept.
+    Two reads of the rows: group sizes, then the values of the two groups compared.
     """
     return _ranked_top_values(df, attribute, categorical, groups, k).select(
         "feature", "group", "value", "share", "rank")

@@ -526,7 +526,8 @@ def q_train_score(spark, sf_dir):
 @query("proxy_detection")
 def q_proxy_detection(spark, sf_dir):
     scored = fx.scored_lineitems(spark, sf_dir)
-    res = model_ops.proxy_detection(scored, "status", fx.FEATURES)
+    # l_linestatus is the attribute itself and l_returnflag nearly so; a proxy is sought among the others
+    res = model_ops.proxy_detection(scored, "status", [c for c in fx.FEATURES if c not in ("l_linestatus", "l_returnflag")])
     row = [(res["attribute"], ",".join(res["classes"]), res["n_classes"], res["accuracy"], res["auc"],
             res["risk_level"], res["status"])]
     return spark.createDataFrame(
@@ -534,6 +535,21 @@ def q_proxy_detection(spark, sf_dir):
              "status string")
 
 
+@query("proxy_unsupported")
+def q_proxy_unsupported(spark, sf_dir):
+    """An attribute of more than two groups: the true number, and no model."""
+    res = model_ops.proxy_detection(fx.scored_lineitems(spark, sf_dir), "segment", fx.FEATURES)
+    return spark.createDataFrame([(res["attribute"], ",".join(res["classes"]), res["n_classes"], res["status"])],
+                                 "attribute string, classes string, n_classes long, status string")
+
+
+@query("split_counts")
+def q_split_counts(spark, sf_dir):
+    o = fx.table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus")
+    return split.split_counts(split.stratified_split(o, ["o_orderkey"], "o_orderstatus", C.DEFAULT_TEST_SIZE,
+                                                     C.DEFAULT_RANDOM_STATE))
+
+
 @query("diagnostics_status")
 def q_diagnostics_status(spark, sf_dir):
     scored = fx.scored_lineitems(spark, sf_dir)
@@ -541,6 +557,6 @@ def q_diagnostics_status(spark, sf_dir):
     ctx = audit_ops.AuditContext(scored, spec, fx.FEATURES,
                                  _cube(spark, sf_dir, cuts=C.DEFAULT_CUTS, shared=True), tuple(C.DEFAULT_CUTS))
     plan = [("check_group_sample_sizes", None), ("run_feature_distribution_comparison", "segment"),
-            ("run_proxy_detection", "segment"), ("run_slice_scan", None),
+            ("run_proxy_detection", "segment"), ("run_proxy_detection", "status"), ("run_slice_scan", None),
             ("run_threshold_sensitivity", "segment"), ("run_bias_probe", "segment")]
     return audit_ops.run_diagnostics(ctx, plan)

@@ -24,29 +24,12 @@ FEATURES = (
 )
 
 
-# DataFrame definitions (plans, never data) reused within one session: the test
-# tables are immutable, so a table's schema is read once and the scored view is
-# defined once, the way an auditor defines a table once and runs many operators on it.
-_DEFS: dict = {}
-
-
-def _defined(spark: SparkSession, key: tuple, build):
-    k = (id(spark), *key)
-    hit = _DEFS.get(k)
-    if hit is not None and hit[0] is spark:
-        return hit[1]
-    df = build()
-    _DEFS[k] = (spark, df)
-    return df
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
-    return _defined(spark, ("table", path), lambda: spark.read.parquet(path))
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def scored_lineitems(spark: SparkSession, sf_dir: str, with_run: bool = False) -> DataFrame:
-    return _defined(spark, ("scored", sf_dir.rstrip("/"), with_run), lambda: _scored(spark, sf_dir, with_run))
+    return _scored(spark, sf_dir, with_run)
 
 
 def _scored(spark: SparkSession, sf_dir: str, with_run: bool) -> DataFrame:

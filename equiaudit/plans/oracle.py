@@ -675,3 +675,13 @@ WITH s AS (
 SELECT s.row_index, y_true, y_pred, n_lines, total_qty, ROUND(avg_discount, 6) AS avg_discount
 FROM s JOIN f ON s.row_index = f.row_index
 """
+
+SQL["proxy_unsupported"] = _with(SCORED) + """
+SELECT 'segment' AS attribute, string_agg(v, ',' ORDER BY v) AS classes, COUNT(*) AS n_classes, 'unsupported' AS status
+FROM (SELECT DISTINCT COALESCE(segment, 'nan') AS v FROM scored)
+"""
+
+SQL["split_counts"] = """
+WITH t AS (SELECT COUNT(*) AS n, CAST(CEIL(0.25 * COUNT(*)) AS BIGINT) AS k FROM orders)
+SELECT 'test' AS split, k AS n FROM t UNION ALL SELECT 'train', n - k FROM t
+"""
