@@ -67,10 +67,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
 _MADE: list[str] = []
 
 
-def drop_scratch(spark: SparkSession) -> int:
-    """Delete the scratch tables that this process has written; call it when results are stored."""
+def scratch_mark() -> int:
+    """The number of scratch tables so far, for ``drop_scratch``."""
+    return len(_MADE)
+
+
+def drop_scratch(spark: SparkSession, mark: int = 0) -> int:
+    """Delete the scratch tables that this process has written since ``mark``; call it when what was built on them is
+    stored."""
     n = 0
-    while _MADE:
+    while len(_MADE) > mark:
         path = spark._jvm.org.apache.hadoop.fs.Path(_MADE.pop())
         n += bool(path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True))
     return n

@@ -49,7 +49,7 @@ BASE = (
 RULES = (
     Rule("word_length", "word_chars < 2 * n_words or word_chars > 20 * n_words", "n_chars", 1.0),
     Rule("symbols", "10 * n_symbols > 3 * n_words", "n_chars", 1.0),
-    Rule("repeated_lines", "n_lines >= 3 and 10 * n_dup_lines > 3 * n_lines", "n_lines", 8.0),
+    Rule("repeated_lines", "n_dup_lines >= 2 and 10 * n_dup_lines > 3 * n_lines", "n_lines", 8.0),
     Rule("few_letters", "2 * n_letter_words < n_words", "n_words", 4.0),
 )
 SAMPLE_SHARE, SAMPLE_ROWS = 0.05, 2_000

@@ -135,7 +135,7 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
        not base_failed
        and not (word_chars < 2 * n_words or word_chars > 20 * n_words)
        and not 10 * n_symbols > 3 * n_words
-       and not (n_lines >= 3 and 10 * n_dup_lines > 3 * n_lines)
+       and not (n_dup_lines >= 2 and 10 * n_dup_lines > 3 * n_lines)
        and not 2 * n_letter_words < n_words as kept
 from v
 """
