@@ -38,9 +38,10 @@ def held_out(id_col: str, parts: int, part: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))), F.lit(parts)) == part
 
 
-def training_sample(rows: DataFrame, id_col: str, n: int, salt: str = "sample") -> DataFrame:
-    """About ``n`` rows, chosen by a hash of the id; all if there are fewer.  A sample of a sample needs another salt."""
-    share = min(1.0, n / max(1, rows.count()))
+def training_sample(rows: DataFrame, id_col: str, n: int, salt: str = "sample", total: int | None = None) -> DataFrame:
+    """About ``n`` rows, chosen by a hash of the id; all if there are fewer.  A sample of a sample needs another salt.
+    ``total`` is the number of rows, if it is known."""
+    share = min(1.0, n / max(1, rows.count() if total is None else total))
     kept = F.pmod(F.xxhash64(F.col(id_col), F.lit(salt)), F.lit(1_000_000))
     return rows.where(kept < int(share * 1_000_000)) if share < 1 else rows
 

@@ -257,13 +257,13 @@ def train_spans(rows: DataFrame, id_col: str = "doc_id", sample_rows: int = SAMP
                 max_lexicon: int = MAX_LEXICON, max_common: int = MAX_COMMON) -> SpanModel:
     """Learn from (id, text, toxic 0/1); nulls are left out."""
     usable = rows.where(F.col("text").isNotNull() & F.col("toxic").isNotNull())
-    kinds = [training_sample(usable.where(F.col("toxic") == k), id_col, sample_rows) for k in (1, 0)]
-    sample = written(kinds[0].unionByName(kinds[1]).select(
-        F.col(id_col).alias("id"), "text", F.col("toxic").cast("int").alias("toxic")), "toxic-sample")
     have = {r["toxic"]: r["n"] for r in usable.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     share = have.get(1, 0) / max(1, sum(have.values()))
     if not have.get(1) or not have.get(0):
         return SpanModel(constant=share)
+    kinds = [training_sample(usable.where(F.col("toxic") == k), id_col, sample_rows, total=have[k]) for k in (1, 0)]
+    sample = written(kinds[0].unionByName(kinds[1]).select(
+        F.col(id_col).alias("id"), "text", F.col("toxic").cast("int").alias("toxic")), "toxic-sample")
 
     items = written(item_counts(sample), "toxic-items")
     t1, t0 = items.agg(F.sum("c1"), F.sum("c0")).first()
