@@ -10,6 +10,7 @@ stay exact.
 
 from __future__ import annotations
 
+import uuid
 from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,9 +28,10 @@ from equiaudit.operators import rates as rate_ops
 from equiaudit.plans import audit as audit_ops
 from equiaudit.plans import diagnostic_rules as rules
 from equiaudit.plans import fixtures as fx
-from equiaudit.session import cut_lineage
+from equiaudit.session import cut_lineage, ensure_checkpoint_dir
 from equiaudit.sources import audit_store as store
-from equiaudit.spec import AuditSpec
+from equiaudit.sources.readers import read_dataset
+from equiaudit.spec import AuditSpec, DatasetSpec
 
 THRESHOLD = C.DEFAULT_FAIRNESS_THRESHOLD
 Query = Callable[[SparkSession, str], DataFrame]
@@ -478,6 +480,52 @@ def q_report_json(spark, sf_dir):
     return store.report_json(t["rates"], t["flags"], by=["run_id"])
 
 
+def _scratch(spark, name):
+    """A new folder below the shared checkpoint folder."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+@query("scored_store")
+def q_scored_store(spark, sf_dir):
+    """Scored rows of all runs written by run and read again."""
+    root = _scratch(spark, "store")
+    rows = fx.scored_lineitems(spark, sf_dir, with_run=True)
+    store.write_audit_table(rows.select("run_id", "l_orderkey", "y_true", "y_pred", "y_score"), root, "scored")
+    back = store.read_audit_table(spark, root, "scored")
+    return back.groupBy("run_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("y_pred") == "good").alias("selected"),
+                                      F.max("y_score").alias("max_score"), F.sum("l_orderkey").alias("keys"))
+
+
+def _orders_text(spark, sf_dir):
+    """Orders as text, with two ways to say that a value is missing."""
+    o = fx.table(spark, sf_dir, "orders")
+    key = F.col("o_orderkey")
+    return o.select(
+        key.cast("string").alias("key"),
+        F.when(key % 7 == 0, "n/a").otherwise(F.col("o_custkey").cast("string")).alias("customer"),
+        F.when(key % 11 == 0, "?").otherwise(F.col("o_orderstatus")).alias("status"),
+        F.when(key % 2 == 0, "True").otherwise("False").alias("even"),
+        F.concat(key.cast("string"), F.lit("d")).alias("code"),
+        (key / 4).cast("string").alias("quarter"))
+
+
+@query("read_csv")
+def q_read_csv(spark, sf_dir):
+    """A text file with a header, typed by all its values."""
+    path = _scratch(spark, "csv")
+    _orders_text(spark, sf_dir).write.option("header", True).csv(path)
+    return read_dataset(spark, DatasetSpec(path=path, format="csv", na_values=("?",)))
+
+
+@query("read_delimited")
+def q_read_delimited(spark, sf_dir):
+    """A2: lines split by a regular expression, columns named by the spec."""
+    path, text = _scratch(spark, "lines"), _orders_text(spark, sf_dir)
+    text.select(F.concat_ws(" |  ", *text.columns).alias("value")).write.text(path)
+    return read_dataset(spark, DatasetSpec(path=path, format="delimited", sep=r"\s*\|\s*", na_values=("?",),
+                                           columns=text.columns))
+
+
 @query("score_feature_join")
 def q_score_feature_join(spark, sf_dir):
     """Scored orders joined to per-order line features on the row key."""

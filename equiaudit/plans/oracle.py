@@ -685,3 +685,16 @@ SQL["split_counts"] = """
 WITH t AS (SELECT COUNT(*) AS n, CAST(CEIL(0.25 * COUNT(*)) AS BIGINT) AS k FROM orders)
 SELECT 'test' AS split, k AS n FROM t UNION ALL SELECT 'train', n - k FROM t
 """
+
+SQL["scored_store"] = _with(SCORED) + """
+SELECT run_id, COUNT(*) AS n, SUM(CASE WHEN y_pred = 'good' THEN 1 ELSE 0 END)::BIGINT AS selected,
+       MAX(y_score) AS max_score, SUM(l_orderkey)::BIGINT AS keys
+FROM scored GROUP BY run_id
+"""
+
+SQL["read_csv"] = SQL["read_delimited"] = """
+SELECT o_orderkey AS key, CASE WHEN o_orderkey % 7 <> 0 THEN o_custkey END AS customer,
+       CASE WHEN o_orderkey % 11 <> 0 THEN o_orderstatus END AS status, o_orderkey % 2 = 0 AS even,
+       o_orderkey || 'd' AS code, o_orderkey::DOUBLE / 4 AS quarter
+FROM orders
+"""
