@@ -210,7 +210,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     least = buckets.groupBy("key").agg(F.min("rep").alias("to"), F.max("rep").alias("hi")).where("to < hi")
     tied = written(buckets.join(least.select("key", "to"), "key"), "tied")  # members of buckets of two or more
     stars = tied.where("rep != to").groupBy("rep", "to").agg(F.count(F.lit(1)).alias("c"))
-    best = stars.groupBy("rep").agg(F.max_by("to", F.struct("c", -F.col("to"))).alias("to"))
+    best = stars.groupBy("rep").agg(F.max_by("to", F.struct("c", "to")).alias("to"))
     pairs = written(best.select(F.col("rep").alias("a"), F.col("to").alias("b")), "pairs")
 
     members = tied.select("rep").distinct()

@@ -100,3 +100,10 @@ def test_components_of_a_path(spark, n):
     ids = random.Random(n).sample(range(1000), n)
     df = spark.createDataFrame(list(zip(ids, ids[1:], strict=False)) + [(5000, 5000)], "a long, b long")
     assert {r["component"] for r in components(df).collect()} == {min(ids)}
+
+
+def test_ids_of_another_type(spark, prose):
+    p = prose(40, 1)
+    df = spark.createDataFrame([("b", p), ("a", p + " x"), ("c", prose(40, 2))], "name string, body string")
+    got = {r["doc_id"]: r["component_id"] for r in nd.near_duplicates(df, "name", "body").collect()}
+    assert got == {"a": "a", "b": "a", "c": "c"}
