@@ -3,7 +3,8 @@
 A line of at least ``min_chars`` characters is removed if an earlier line (by
 document id, then line number) is equal to it or within ``max_edits``
 insertions, deletions and replacements of single characters.  The first line
-of its kind stays.  Shorter lines stay.
+of its kind stays.  Shorter lines stay, unless ``short`` asks for the removal of
+those that are equal to an earlier one and hold a word.
 
 1. Lines are split off and hashed where the texts are read; only hashes are
    shuffled.  Equal lines become one by partial aggregation.
@@ -33,7 +34,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from equiaudit.llm.common import text_or_empty, written
+from equiaudit.llm.common import WORD, text_or_empty, written
 
 MAX_EDITS, MIN_CHARS = 1, 20
 #: Common letters of many languages; any others would do, with less effect.
@@ -166,15 +167,18 @@ def similar_lines(first: DataFrame, docs: DataFrame, id_col: str, text_col: str,
 
 
 def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = MAX_EDITS,
-                   min_chars: int = MIN_CHARS) -> DataFrame:
-    """(doc_id, of, no): the lines to remove, numbered from 0."""
-    lines = lines_of(docs, id_col, text_col).where(F.char_length("line") >= max(min_chars, 2 * edits + 1))
+                   min_chars: int = MIN_CHARS, short: bool = False) -> DataFrame:
+    """(doc_id, of, no): the lines to remove, numbered from 0.  With ``short``, lines of any length that hold a word are
+    removed where they are equal to an earlier one; only the long ones have keys for the edit join."""
+    least = max(min_chars, 2 * edits + 1)
+    compared = F.char_length("line") >= least
+    lines = lines_of(docs, id_col, text_col).where(compared | F.col("line").rlike(WORD) if short else compared)
     names = {"h1": F.xxhash64("line"), "h2": F.xxhash64(F.lit("line"), F.col("line"))}
     line, n = F.col("line"), F.col("n")
     hashed = lines.withColumns(names | {"n": F.char_length("line")}).select(
         "h1", "h2", "n", F.struct("doc_id", "of", "no").alias("at"), signature(line).alias("signature"),
-        *[k.alias(f"i{i}") for i, k in enumerate(index_keys(line, n, edits))],
-        *[k.alias(f"p{i}") for i, k in enumerate(probe_keys(line, n, edits))])
+        *[F.when(n >= least, k).alias(f"i{i}") for i, k in enumerate(index_keys(line, n, edits))],
+        *[F.when(n >= least, k).alias(f"p{i}") for i, k in enumerate(probe_keys(line, n, edits))])
     keys = [c for c in hashed.columns if c[0] in "ip"]
     first = hashed.groupBy("h1", "h2").agg(
         F.min("at").alias("at"), F.count(F.lit(1)).alias("c"),
@@ -189,9 +193,9 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = MAX_EDITS,
-                 min_chars: int = MIN_CHARS, counts: bool = False) -> DataFrame:
+                 min_chars: int = MIN_CHARS, counts: bool = False, short: bool = False) -> DataFrame:
     """``docs`` without the repeated lines, with ``counts`` also __lines and __removed, the numbers of lines."""
-    gone = repeated_lines(docs, id_col, text_col, edits, min_chars).groupBy("doc_id", "of").agg(
+    gone = repeated_lines(docs, id_col, text_col, edits, min_chars, short).groupBy("doc_id", "of").agg(
         F.collect_set("no").alias("__gone")).withColumnsRenamed({"doc_id": "__id", "of": "__of"})
     own = docs.withColumn("__own", F.xxhash64(id_col, text_col))
     both = own.join(gone, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__of")), "left")

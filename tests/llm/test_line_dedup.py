@@ -72,6 +72,15 @@ def test_banded_distance(spark, edits):
         assert r["distance"] == r["true"] if r["true"] <= edits else r["distance"] > edits, r
 
 
+def test_equal_short_lines(docs_of, prose):
+    p = prose(9, 1)
+    df = docs_of((1, f"Les.\n{p}\n \n\nÀ"), (2, "Les.\n \n\nles.\nÀ\nÀ b"), (3, f"{p}x\nLes.\nles.\nLes,"), (4, "Les."))
+    got = {r["doc_id"]: r["text"] for r in deduplicated(df, short=True).collect()}
+    assert got == {1: f"Les.\n{p}\n \n\nÀ", 2: " \n\nles.\nÀ b", 3: "Les,", 4: ""}
+    kept = {r["doc_id"]: r["text"] for r in deduplicated(df).collect()}
+    assert kept[2] == "Les.\n \n\nles.\nÀ\nÀ b" and kept[4] == "Les."
+
+
 def test_other_columns_pass_and_repeated_rows_agree(docs_of, prose):
     p, q = prose(9, 1), prose(9, 2)
     df = docs_of((1, p), (1, p), (2, f"{p}\n{q}"), (None, f"{q}\n{p}")).withColumnsRenamed({"lang": "no", "source": "of"})

@@ -38,6 +38,13 @@ def test_stages_step_by_step(spark, docs_of, prose, tmp_path):
     assert at["packing"].agg({"sequence_id": "max"}).first()[0] >= 0
 
 
+def test_short_lines_repeated(spark, docs_of, prose, tmp_path):
+    docs = docs_of((1, f"Les.\n{prose(30, 1)}"), (2, f"{prose(30, 2)}\nLes.\n\nLes"), (3, "Les."))
+    got = {r["doc_id"]: (r["text"], r["n_chars"]) for r in cp.lines(spark, docs, str(tmp_path)).collect()}
+    left = f"{prose(30, 2)}\n\nLes"
+    assert got == {1: (f"Les.\n{prose(30, 1)}",) + (len(prose(30, 1)) + 5,), 2: (left, len(left))}
+
+
 def test_empty_documents(spark, docs_of, tmp_path):
     docs = docs_of()
     for name, stage in cp.STAGES:
