@@ -1,3 +1,4 @@
+import random
 import re
 import subprocess
 import sys
@@ -5,6 +6,7 @@ from pathlib import Path
 
 import __spark_entry__ as entry
 import corpus_pipeline as cp
+import pytest
 
 from equiaudit.llm.sql import SQL
 
@@ -38,6 +40,17 @@ def test_stages_step_by_step(spark, docs_of, prose, tmp_path):
     assert at["packing"].agg({"sequence_id": "max"}).first()[0] >= 0
 
 
+@pytest.mark.parametrize("languages", [0, 1, 4, 20])
+def test_clean_short_texts_pass_with_any_number_of_languages(spark, docs_of, tmp_path, languages):
+    rnd = random.Random(languages)
+    rows = [(i, " ".join("".join(rnd.choices("abcdefgh", k=5)) for _ in range(20)), f"l{i % languages}" if languages else None)
+            for i in range(60)]
+    asked = [(100, "日本", None), (101, "zzz", None), (102, "hab", None), (103, "É", None)]
+    junk = [(200, None, None), (201, "", None), (202, "12 ½ _!?", None), (203, None, "l0" if languages else None)]
+    got = cp.language(spark, docs_of(*rows, *asked, *junk), str(tmp_path))
+    assert sorted(r["doc_id"] for r in got.collect()) == [*range(60), 100, 101, 102, 103] and len(got.columns) == 5
+
+
 def test_short_lines_repeated(spark, docs_of, prose, tmp_path):
     docs = docs_of((1, f"Les.\n{prose(30, 1)}"), (2, f"{prose(30, 2)}\nLes.\n\nLes"), (3, "Les."))
     got = {r["doc_id"]: (r["text"], r["n_chars"]) for r in cp.lines(spark, docs, str(tmp_path)).collect()}
