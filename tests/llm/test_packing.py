@@ -70,6 +70,22 @@ def test_given_proportions_end_early(docs_of, prose):
     assert abs(a / sum(p["length"] for p in first) - 0.75) < 0.01
 
 
+@pytest.mark.parametrize("proportions", [None, {"a": 3, "b": 1, None: 0.01, "hot": 2.5}])
+def test_the_same_pieces_by_tables(docs_of, prose, proportions):
+    rows = [(i, prose(i * 13 % 90, i), "en", ["a", "b", None, "hot", "hot", "hot"][i % 6]) for i in range(120)]
+    rows += [(900, None, "en", "b"), (901, "", "en", None), (902, prose(3000, 5), "en", "hot")]
+    df = docs_of(*rows).repartition(5, "doc_id")
+    got = [sorted(map(str, pieces(df, sequence=64, window=96, proportions=proportions, local_sources=n))) for n in (100, 0)]
+    assert got[0] == got[1] and len(got[0]) > len(rows)
+
+
+def test_more_sources_than_the_driver_holds(docs_of, prose):
+    rows = [(i, prose(2, i), "en", f"site{i}") for i in range(10_050)]
+    got = pieces(docs_of(*rows))
+    assert {p["source"] for p in got} == {s for *_, s in rows}
+    check(rows, got, 2048)
+
+
 def test_edges(docs_of):
     assert pieces(docs_of()) == []
     assert sorted(p["ids_crc32"] for p in pieces(docs_of((None, None), (1, ""), (1, "")))) == [zlib.crc32(b"\1\0\0\0")] * 3
