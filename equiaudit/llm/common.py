@@ -46,6 +46,15 @@ def training_sample(rows: DataFrame, id_col: str, n: int, salt: str = "sample",
     return rows.where(kept < int(share * 1_000_000)) if share < 1 else rows
 
 
+def training_sample_by(rows: DataFrame, id_col: str, by: str, n: int, salt: str = "sample") -> DataFrame:
+    """About ``n`` rows of each value of ``by`` that is not null, chosen by a hash of the id; all of a value's rows if
+    there are fewer."""
+    counts = rows.where(F.col(by).isNotNull()).groupBy(F.col(by).alias("__by")).agg(F.count(F.lit(1)).alias("__rows"))
+    kept = F.pmod(F.xxhash64(F.col(id_col), F.lit(salt)), F.lit(1_000_000_000))
+    both = rows.join(F.broadcast(written(counts, "sample-counts")), F.col(by) == F.col("__by"))
+    return both.where(kept < F.lit(n * 1.0e9) / F.col("__rows")).select(*[F.col(f"`{c}`") for c in rows.columns])
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path below the shared checkpoint folder."""
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -7,10 +7,13 @@ longest length of which at least one is known, from ``max_gram`` down to 1.
 The mean over all words of the text decides; ``score`` turns the distances of
 the means into a share between 0 and 1.
 
-``train`` learns from a sample of about ``sample_rows`` labelled rows (rows by
-hash, so repeatable), counts words and n-grams in Spark, and keeps the
-``max_words`` and ``max_grams`` most frequent: the model's size, and so the
-broadcast, is bounded by these parameters.
+``train`` learns from a sample of about ``sample_rows`` labelled rows of each
+language (rows by hash, so repeatable; all rows of a language that has fewer),
+counts words and n-grams in Spark, and keeps the ``max_words`` and
+``max_grams`` most frequent of each language, so that a small language loses
+neither its rows nor its words to a large one.  The model's size, and so the
+broadcast, is bounded by these parameters and, with many languages, by
+``MAX_CELLS`` (never below an even share of ``max_words``).
 
 Defined cases: a null text or one without a letter is ``und`` with score 0; so
 is every text when no language was learned.  A text with letters of which
@@ -27,14 +30,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from equiaudit.llm.common import held_out, training_sample, written
+from equiaudit.llm.common import held_out, training_sample_by, written
 
 UNKNOWN = "und"
 SAMPLE_ROWS = 12_000
 MAX_WORDS, MAX_GRAMS, MAX_GRAM = 60_000, 32_000, 4
+#: Numbers in the matrix of the words, and in that of the n-grams of one length.
+MAX_CELLS = 8_000_000
 #: Score of a known word or n-gram in a language that does not have it: below any relative frequency here.
 PENALTY = -16.0
 #: How sharply distances between mean log frequencies become shares.
@@ -121,10 +126,12 @@ def train(rows: DataFrame, text_col: str = "text", lang_col: str = "lang", max_w
         count, "item string, lang string, n long")
     words = written(counted.groupBy("item", "lang").agg(F.sum("n").alias("n")), "words")
     padded = F.concat(F.lit(" "), F.col("item"), F.lit(" "))
-    grams = [words.where(F.length("item") + 2 >= n).select(
-        F.explode(F.transform(F.sequence(F.lit(1), F.length("item") + 3 - n),
-                              lambda i, n=n: F.substring(padded, i, F.lit(n)))).alias("item"), "lang", "n")
-        for n in range(1, max_gram + 1)]
+
+    def parts(k: int) -> Column:  # a lambda of two parameters would get the index as the second
+        return F.transform(F.sequence(F.lit(1), F.length("item") + 3 - k), lambda i: F.substring(padded, i, F.lit(k)))
+
+    grams = [words.where(F.length("item") + 2 >= k).select(F.explode(parts(k)).alias("item"), "lang", "n")
+             for k in range(1, max_gram + 1)]
     every = grams[0]
     for more in grams[1:]:
         every = every.unionByName(more)
@@ -135,16 +142,19 @@ def train(rows: DataFrame, text_col: str = "text", lang_col: str = "lang", max_w
     languages = [r["lang"] for r in sizes]
 
     def scores(counts: DataFrame, limit: int, least: int, sizes: list) -> tuple[dict[str, int], np.ndarray]:
-        total = F.sum("n")
-        best = counts.groupBy("item").agg(total.alias("all"), F.map_from_entries(
-            F.collect_list(F.struct("lang", "n"))).alias("by")).where(F.col("all") >= least)
-        kept = best.orderBy(F.desc("all"), "item").limit(limit).select("item", "by").collect()
-        table = np.full((len(kept), len(languages)), PENALTY)
-        column = {x: i for i, x in enumerate(languages)}
-        for i, (_, by) in enumerate(kept):
-            for lang, n in by.items():
-                table[i, column[lang]] = np.log(n / sizes[column[lang]])
-        return {r["item"]: i for i, r in enumerate(kept)}, table
+        many = max(1, len(languages))
+        limit = max(limit // many, min(limit, MAX_CELLS // many**2))
+        entries = counts.join(counts.groupBy("item").agg(F.sum("n").alias("all")).where(F.col("all") >= least), "item")
+        rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "item"))
+        best = written(entries.withColumn("rank", rank).where(F.col("rank") <= limit).select("item").distinct(), "best")
+        kept = counts.join(best, "item").groupBy("item").agg(F.map_from_entries(
+            F.collect_list(F.struct("lang", "n"))).alias("by"))
+        by = F.array(*[F.coalesce(F.try_element_at("by", F.lit(x)), F.lit(0)) for x in languages]).cast("array<double>")
+        found = kept.select("item", by.alias("by")).toArrow()
+        table = found.column(1).combine_chunks().flatten().to_numpy().reshape(len(found), len(languages))
+        with np.errstate(divide="ignore"):
+            table = np.where(table > 0, np.log(table / np.array(sizes, dtype=float)), PENALTY)
+        return {x: i for i, x in enumerate(found.column(0).to_pylist())}, table
 
     by_length = every.withColumn("k", F.length("item"))
     gram_sizes = {(r["k"], r["lang"]): r["n"] for r in
@@ -187,6 +197,6 @@ def language_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """(doc_id, held_out, lang_pred, score): learned from the rows that are not held out, applied to all."""
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     labelled = own.where(~held_out("doc_id", 4, 2) & F.col("lang").isNotNull())
-    model = train(training_sample(labelled, "doc_id", sample_rows))
+    model = train(training_sample_by(labelled, "doc_id", "lang", sample_rows))
     asked = own.select("doc_id", held_out("doc_id", 4, 2).alias("held_out"), "text")
     return identify(asked, model).drop("text")

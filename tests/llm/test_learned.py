@@ -53,6 +53,24 @@ def test_nothing_to_learn(docs_of):
     assert identify(docs_of(), train(docs_of())).columns[-2:] == ["lang_pred", "score"]
 
 
+def test_a_small_language_beside_a_large_one(docs_of, monkeypatch):
+    rnd = random.Random(5)
+
+    def texts(letters, n):
+        return [" ".join("".join(rnd.choices(letters, k=4)) for _ in range(12)) for _ in range(n)]
+
+    small = texts("fghij", 8)
+    rows = [(i, t, "xx") for i, t in enumerate(texts("abcde", 3000))] + [(5000 + i, t, "yy") for i, t in enumerate(small)]
+    got = {r["doc_id"]: r["lang_pred"] for r in language_id(docs_of(*rows), sample_rows=40).collect()}
+    assert {got[5000 + i] for i in range(8)} == {"yy"} and got[0] == "xx"
+    model = train(docs_of(*rows), max_words=50, max_grams=400)
+    often = {w for w in " ".join(small).split() if " ".join(small).split().count(w) > 1}
+    assert often and often <= set(model.words) and len(model.words) <= 100
+    assert sum(set(g) <= set("fghij ") for g in model.grams if len(g) == 4) > 30  # pooled: 0
+    monkeypatch.setattr("equiaudit.llm.langid.MAX_CELLS", 4)
+    assert 25 <= len(train(docs_of(*rows), max_words=50).words) <= 50
+
+
 @pytest.mark.parametrize("starts", [[0], [0, 1], [0, 3, 7]])
 def test_marginals_by_enumeration(starts):
     rng = np.random.default_rng(len(starts))
