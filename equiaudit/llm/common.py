@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import string
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,12 +41,30 @@ def held_out(id_col: str, parts: int, part: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))), F.lit(parts)) == part
 
 
+def byte_slices(batch: pa.RecordBatch, column: int, size: int = 1 << 20, rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """Slices of ``batch`` whose texts in ``column`` have about ``size`` bytes at most (a longer text is a slice by
+    itself), so that what a task holds does not follow the length of texts."""
+    begin = np.cumsum(np.concatenate([[0], _byte_lengths(batch.column(column))]))
+    at = 0
+    while at < batch.num_rows:
+        end = int(np.searchsorted(begin, begin[at] + size, side="right")) - 1
+        end = min(max(end, at + 1), at + rows, batch.num_rows)
+        yield batch.slice(at, end - at)
+        at = end
+
+
+def _byte_lengths(texts: pa.Array) -> np.ndarray:
+    import pyarrow.compute as pc
+
+    return pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
 def training_sample(rows: DataFrame, id_col: str, n: int, salt: str = "sample", total: int | None = None) -> DataFrame:
     """About ``n`` rows, chosen by a hash of the id; all if there are fewer.  A sample of a sample needs another salt.
     ``total`` is the number of rows, if it is known."""
     share = min(1.0, n / max(1, rows.count() if total is None else total))
-    kept = F.pmod(F.xxhash64(F.col(id_col), F.lit(salt)), F.lit(1_000_000))
-    return rows.where(kept < int(share * 1_000_000)) if share < 1 else rows
+    kept = F.pmod(F.xxhash64(F.col(id_col), F.lit(salt)), F.lit(1 << 53)).cast("double")
+    return rows.where(kept < share * (1 << 53)) if share < 1 else rows
 
 
 def training_sample_by(rows: DataFrame, id_col: str, by: str, n: int, salt: str = "sample") -> DataFrame:

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from equiaudit.llm.byte_bpe import encode_decode
 from equiaudit.llm.common import table
 from equiaudit.llm.exact_dedup import exact_dedup
 from equiaudit.llm.langid import language_id
@@ -64,4 +65,10 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_warc, op2_near_dedup, op3_line_dedup, op4_language_id, op5_packing, op6_mixture, op7_quality_cascade, op8_substring_dedup, op9_toxicity, op10_exact_dedup)}
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_decode(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (
+    op1_warc, op2_near_dedup, op3_line_dedup, op4_language_id, op5_packing, op6_mixture, op7_quality_cascade,
+    op8_substring_dedup, op9_toxicity, op10_exact_dedup, op13_byte_bpe)}
