@@ -15,9 +15,11 @@ from equiaudit.llm.mixture import mixture
 from equiaudit.llm.near_dedup import near_duplicates
 from equiaudit.llm.packing import pack
 from equiaudit.llm.quality import quality_cascade
+from equiaudit.llm.resampling import resample
 from equiaudit.llm.substring_dedup import remove_repeats
 from equiaudit.llm.toxicity import toxicity
 from equiaudit.llm.warc import pages_through_archives
+from equiaudit.llm.whitening import whiten
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -65,10 +67,19 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_warc, op2_near_dedup, op3_line_dedup, op4_language_id, op5_packing, op6_mixture, op7_quality_cascade,
-    op8_substring_dedup, op9_toxicity, op10_exact_dedup, op13_byte_bpe)}
+    op8_substring_dedup, op9_toxicity, op10_exact_dedup, op11_whitening, op12_resampling,
+    op13_byte_bpe)}
