@@ -8,9 +8,9 @@ sys.path.insert(0, ROOT)
 
 from equiaudit.session import local_session  # noqa: E402
 
-SF0001 = "/root/testdata/sf0.001"
-SF001 = "/root/testdata/sf0.01"
-CREDIT_CSV = os.path.join(os.path.dirname(os.path.abspath(__file__)), "data", "credit_scored.csv")
+sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
+
+from paths import CREDIT_CSV  # noqa: E402
 
 
 @pytest.fixture(scope="session")

@@ -4,7 +4,7 @@ import re
 
 import __spark_entry__ as E
 
-from conftest import SF0001
+from paths import SF0001
 
 
 def test_entry_smoke(spark):

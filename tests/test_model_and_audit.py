@@ -13,7 +13,7 @@ from equiaudit.plans import fixtures as fx
 from equiaudit.sources import audit_store as store
 from equiaudit.spec import AuditSpec
 
-from conftest import CREDIT_CSV, SF0001
+from paths import CREDIT_CSV, SF0001
 
 
 def test_unseen_category_encodes_as_zeros(spark):

@@ -12,7 +12,7 @@ from equiaudit.operators.ranking import auc
 from equiaudit.operators.split import stratified_split, stratum_quotas
 from equiaudit.plans import fixtures as fx
 
-from conftest import SF0001
+from paths import SF0001
 
 
 @pytest.fixture(scope="module")
