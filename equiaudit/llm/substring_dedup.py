@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from equiaudit.llm.common import written
+from equiaudit.llm.common import byte_slices, written
 from equiaudit.llm.shingles import Powers, mix, word_hashes
 
 WINDOW, ANCHOR = 35, 12
@@ -114,8 +114,7 @@ def segments(docs: DataFrame, id_col: str, text_col: str, window: int, anchor: i
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, whole.num_rows, 512):
-                batch = whole.slice(at, 512)
+            for batch in byte_slices(whole, 2):
                 s = segments_of(*word_hashes(batch.column(2).to_pylist(), lower=False), window, anchor)
                 take = pa.array(s["row"])
                 yield pa.RecordBatch.from_arrays(
@@ -142,8 +141,7 @@ def branch_windows(docs: DataFrame, paths: DataFrame, window: int) -> DataFrame:
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                batch = whole.slice(at, 256)
+            for batch in byte_slices(whole, 2):
                 h, words = word_hashes(batch.column(2).to_pylist(), lower=False)
                 places = batch.column(3)
                 per_row = np.diff(places.offsets.to_numpy())
@@ -194,8 +192,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, whole.num_rows, 512):
-                batch = whole.slice(at, 512)
+            for batch in byte_slices(whole, 1):
                 n, removed, digests, texts = [], [], [], []
                 for text, places in zip(batch.column(1).to_pylist(), batch.column(2), strict=True):
                     words = _WORD.findall((text or "").encode("utf-8", "surrogatepass"))
