@@ -172,17 +172,14 @@ def risk_level(auc: float | None) -> str | None:
     return C.RISK_DEFAULT
 
 
-#: Classes that the result of an unsupported attribute names; their number is given in full.
-SHOWN_CLASSES = 20
-
-
 def proxy_detection(df: DataFrame, attribute: str, features: Sequence[str], max_iter: int = 1000) -> dict:
     """H5: can the features predict a two-valued attribute?  Fits and scores in-sample
     (as audited); returns attribute, classes, accuracy, auc, risk_level, status."""
     # classes of the attribute as text; a missing value is the class "nan" (so a two-valued
     # attribute with gaps has three classes and is unsupported)
     values = df.select(text_or_null_token(attribute).alias("v")).distinct()
-    n, classes = values.count(), [r["v"] for r in values.orderBy("v").limit(SHOWN_CLASSES).collect()]
+    classes = [r["v"] for r in values.orderBy("v").collect()]  # one name for each group
+    n = len(classes)
     if n != 2:
         return {"attribute": attribute, "classes": classes, "n_classes": n, "accuracy": None,
                 "auc": None, "risk_level": None, "status": "unsupported",

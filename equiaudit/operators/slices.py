@@ -1,4 +1,4 @@
-"""E9 (column cardinality) and H3 (slice scan)."""
+"""E9 (column cardinality) and H3 (slice scan), for one run or for many at once."""
 
 from __future__ import annotations
 
@@ -9,67 +9,105 @@ from pyspark.sql import functions as F
 
 from equiaudit import constants as C
 from equiaudit.functions import positive_flag
+from equiaudit.operators.keyed import empty_keyed, join_by, rank_in
 from equiaudit.operators.rates import rates_from_counts
+from equiaudit.session import cut_lineage
 
+#: Sketches have 2**12 registers: at most 4 KB, 1.6 % standard error, exact for a few hundred values.
+SKETCH_BITS = 12
+_SLICES = ("rank int, feature string, value string, n long, selection_rate double, true_positive_rate double, "
+           "false_positive_rate double")
 
-def _unpivot_text(df: DataFrame, cols: Sequence[str], ids: Sequence = ()) -> DataFrame:
-    return df.select(*ids, *[F.col(c).cast("string").alias(c) for c in cols]).unpivot(
-        ids=list(ids), values=list(cols), variableColumnName="feature", valueColumnName="value"
-    )
 
+def column_sketches(df: DataFrame, cols: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """(…by, feature, position, n, nulls, sketch): a mergeable distinct-count sketch for every key and column, from one
+    pass over the rows.
 
-def cardinality_candidates(df: DataFrame, cols: Sequence[str], limit: int = C.SLICE_MAX_DISTINCT) -> list[str]:
-    """Columns that may have at most ``limit`` distinct values (nulls included).
-
-    One pass of HyperLogLog sketches over all columns returns one row of
-    len(cols) numbers; only columns whose estimate is within a wide margin of
-    the limit go on to an exact count, so wide text columns are never counted
-    exactly and never collected.
+    Stored as an audit table, the sketches of a new run stand beside those of earlier runs, and
+    :func:`merged_sketches` unites any of them without a look at their rows.
     """
+    by = list(by)
     if not cols:
-        return []
-    aggs = []
+        return empty_keyed(df, by, "feature string, position int, n long, nulls long, sketch binary")
+    aggs = [F.count(F.lit(1)).alias("n")]
     for i, c in enumerate(cols):
-        aggs.append((F.approx_count_distinct(c, 0.05) + F.max(F.col(c).isNull().cast("int"))).alias(f"c{i}"))
-    est = df.agg(*aggs).first()
-    margin = 2 * limit + 2
-    return [c for i, c in enumerate(cols) if est[f"c{i}"] is not None and est[f"c{i}"] <= margin]
+        value = F.when(F.col(c).isNotNull(), F.xxhash64(c))
+        aggs += [F.count(F.col(c)).alias(f"c{i}"), F.hll_sketch_agg(value, F.lit(SKETCH_BITS)).alias(f"s{i}")]
+    wide = df.groupBy(*by).agg(*aggs)
+    rows = F.array(*[F.struct(F.lit(c).alias("feature"), F.lit(i).alias("position"), F.col("n").alias("n"),
+                              (F.col("n") - F.col(f"c{i}")).alias("nulls"), F.col(f"s{i}").alias("sketch"))
+                     for i, c in enumerate(cols)])
+    return wide.where(F.col("n") > 0).select(*by, F.inline(rows))
+
 
+def merged_sketches(sketches: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Sketches united by key and column; without ``by`` those of all runs."""
+    return sketches.groupBy(*by, "feature").agg(
+        F.min("position").alias("position"), F.sum("n").alias("n"), F.sum("nulls").alias("nulls"),
+        F.hll_union_agg("sketch").alias("sketch"))
 
-def _value_counts(scored: DataFrame, cols: Sequence[str], positive_label: str, y_true: str,
-                  y_pred: str) -> DataFrame:
-    """(feature, value, tp, fp, fn, tn) for every value of the given low-cardinality
-    columns, null included: one unpivot + partial aggregation, tiny output."""
-    yt = positive_flag(y_true, positive_label).alias("yt")
-    yp = positive_flag(y_pred, positive_label).alias("yp")
-    long = _unpivot_text(scored.select(yt, yp, *cols), cols, ids=["yt", "yp"])
 
-    def cnt(cond):
-        return F.sum(F.when(cond, 1).otherwise(0)).cast("long")
+def estimated_distinct(sketches: DataFrame) -> DataFrame:
+    """The table with ``n_distinct``: estimated number of values, nulls counted as one; exact for the few values that a
+    slice column has."""
+    return sketches.withColumn("n_distinct", F.hll_sketch_estimate("sketch") + (F.col("nulls") > 0).cast("long"))
 
-    return long.groupBy("feature", "value").agg(
-        cnt((F.col("yt") == 1) & (F.col("yp") == 1)).alias("tp"),
-        cnt((F.col("yt") == 0) & (F.col("yp") == 1)).alias("fp"),
-        cnt((F.col("yt") == 1) & (F.col("yp") == 0)).alias("fn"),
-        cnt((F.col("yt") == 0) & (F.col("yp") == 0)).alias("tn"),
-    )
 
+def _near_limit(sketches: DataFrame, cols: Sequence[str], limit: int) -> DataFrame:
+    """Sketches of the columns that may have at most ``limit`` values, by a wide margin."""
+    return estimated_distinct(sketches).where(
+        (F.col("n_distinct") <= 2 * limit + 2) & F.col("feature").isin(list(cols)))
+
+
+def cardinality_candidates(df: DataFrame, cols: Sequence[str], limit: int = C.SLICE_MAX_DISTINCT) -> list[str]:
+    """Columns that may have at most ``limit`` distinct values (nulls included).
+
+    Only columns whose estimate is within a wide margin of the limit go on to an exact count, so wide text columns are
+    never counted exactly and never collected.
+    """
+    near = {r["feature"] for r in _near_limit(column_sketches(df, cols), cols, limit).select("feature").collect()}
+    return [c for c in cols if c in near]
 
-def _with_cardinality(counts: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Adds n_distinct (values incl. null per feature) and the feature's column position."""
-    position = F.array_position(F.array(*[F.lit(c) for c in cols]), F.col("feature")).cast("int") - 1
-    return counts.withColumn("n_distinct", F.count(F.lit(1)).over(Window.partitionBy("feature"))) \
-        .withColumn("position", position)
 
+def _narrow_values(df: DataFrame, cols: Sequence[str], limit: int, by: Sequence[str], ids: Sequence[str],
+                   sketches: DataFrame | None) -> tuple[DataFrame | None, list[str]]:
+    """Unpivoted (…by, …ids, feature, value) of the columns that are narrow in the row's own run.
 
-def column_cardinality(df: DataFrame, cols: Sequence[str], limit: int = C.SLICE_MAX_DISTINCT) -> DataFrame:
-    """(feature, position, n_distinct) for columns with at most ``limit`` distinct values incl. null."""
-    survivors = cardinality_candidates(df, cols, limit)
-    if not survivors:
-        return df.sparkSession.createDataFrame([], "feature string, position int, n_distinct long")
-    exact = _unpivot_text(df, survivors).distinct().groupBy("feature").agg(F.count(F.lit(1)).alias("n_distinct"))
-    position = F.array_position(F.array(*[F.lit(c) for c in cols]), F.col("feature")).cast("int") - 1
-    return exact.where(F.col("n_distinct") <= limit).select("feature", position.alias("position"), "n_distinct")
+    Only columns that are narrow in some run are read.  Where a run's sketches hold a column to be wide, its values are
+    dropped in the scan, before anything is counted or shuffled.
+    """
+    near = _near_limit(column_sketches(df, cols, by) if sketches is None else sketches, cols, limit)
+    # one row per run: joined to the records, and its column names (at most those given) brought to the driver
+    near = cut_lineage(near.groupBy(*by).agg(F.collect_set("feature").alias("__near")))
+    some = {r["c"] for r in near.select(F.explode("__near").alias("c")).distinct().collect()}
+    kept = [c for c in cols if c in some]
+    if not kept:
+        return None, []
+    cells = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("string").alias("value")) for c in kept])
+    rows = df.select(*by, *ids, *[c for c in kept if c not in {*by, *ids}])
+    if by:
+        rows = join_by(rows, near, by)
+        cells = F.filter(cells, lambda x: F.array_contains("__near", x["feature"]))
+    return rows.select(*by, *ids, F.inline(cells)), kept
+
+
+def _positions(cols: Sequence[str]):
+    return F.array_position(F.array(*[F.lit(c) for c in cols]), F.col("feature")).cast("int") - 1
+
+
+def column_cardinality(df: DataFrame, cols: Sequence[str], limit: int = C.SLICE_MAX_DISTINCT,
+                       by: Sequence[str] = (), sketches: DataFrame | None = None) -> DataFrame:
+    """(…by, feature, position, n_distinct) for columns with at most ``limit`` distinct values incl. null.
+
+    With ``by`` every run has a list of its own.  ``sketches`` (:func:`column_sketches`) saves the first pass.
+    """
+    by = list(by)
+    long, kept = _narrow_values(df, cols, limit, by, [], sketches)
+    if not kept:
+        return empty_keyed(df, by, "feature string, position int, n_distinct long")
+    exact = long.distinct().groupBy(*by, "feature").agg(F.count(F.lit(1)).alias("n_distinct"))
+    return exact.where(F.col("n_distinct") <= limit).select(
+        *by, "feature", _positions(cols).alias("position"), "n_distinct")
 
 
 def slice_candidates(df: DataFrame, cols: Sequence[str], limit: int = C.SLICE_MAX_DISTINCT,
@@ -79,6 +117,15 @@ def slice_candidates(df: DataFrame, cols: Sequence[str], limit: int = C.SLICE_MA
     return [r["feature"] for r in sorted(card, key=lambda r: r["position"])][:max_cols]
 
 
+def _value_counts(long: DataFrame, by: Sequence[str]) -> DataFrame:
+    """(…by, feature, value, tp, fp, fn, tn), null values included: partial aggregation, tiny output."""
+    def cnt(yt: int, yp: int):
+        return F.count_if((F.col("__yt") == yt) & (F.col("__yp") == yp))
+
+    return long.groupBy(*by, "feature", "value").agg(
+        cnt(1, 1).alias("tp"), cnt(0, 1).alias("fp"), cnt(1, 0).alias("fn"), cnt(0, 0).alias("tn"))
+
+
 def slice_scan(
     scored: DataFrame,
     features: Sequence[str],
@@ -91,33 +138,40 @@ def slice_scan(
     top: int | None = C.SLICE_TOP,
     limit: int = C.SLICE_MAX_DISTINCT,
     max_cols: int = C.SLICE_MAX_COLUMNS,
+    by: Sequence[str] = (),
+    sketches: DataFrame | None = None,
 ) -> DataFrame:
-    """H3: rates per (feature, value) slice of the candidate columns.
+    """H3: (…by, rank, feature, value, n, rates) for the slices of the candidate columns.
 
     Candidates are the first ``max_cols`` feature columns with at most ``limit``
-    distinct values (null included).  A sketch pass drops clearly wide columns;
-    the exact distinct counts then come out of the same aggregation that counts
-    the slices, so the scored rows are read twice in all.  TPR/FPR are null when
-    undefined (unlike the report).  Null values form no slice.  Slices with fewer
-    than ``min_support`` rows are dropped; order is selection rate desc, n desc,
-    column position, value; ``top`` keeps the best.
+    distinct values (null included), with ``by`` those of each run.  Sketches drop
+    clearly wide columns; the exact distinct counts then come out of the same
+    aggregation that counts the slices, so the rows of all runs are read twice in
+    all (once if ``sketches`` are given).  TPR/FPR are null when undefined (unlike
+    the report).  Null values form no slice.  Slices with fewer than
+    ``min_support`` rows are dropped; order is selection rate desc, n desc, column
+    position, value; ``top`` keeps the best of each run.
     """
-    if candidates is not None:
-        cols = list(candidates)
+    by = list(by)
+    places = list(features if candidates is None else candidates)
+    flagged = scored.select(*by, positive_flag(y_true, positive_label).alias("__yt"),
+                            positive_flag(y_pred, positive_label).alias("__yp"), *[c for c in places if c not in by])
+    if candidates is None:
+        long, cols = _narrow_values(flagged, places, limit, by, ["__yt", "__yp"], sketches)
     else:
-        cols = cardinality_candidates(scored, features, limit)
+        cols = places
+        cells = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("string").alias("value")) for c in cols])
+        long = flagged.select(*by, "__yt", "__yp", F.inline(cells)) if cols else None
     if not cols:
-        return scored.sparkSession.createDataFrame(
-            [], "rank int, feature string, value string, n long, selection_rate double, "
-                "true_positive_rate double, false_positive_rate double")
-    counts = _with_cardinality(_value_counts(scored, cols, positive_label, y_true, y_pred), features
-                               if candidates is None else cols)
+        return empty_keyed(scored, by, _SLICES)
+    counts = _value_counts(long, by).withColumn("position", _positions(places))
     if candidates is None:
-        # keep the first max_cols low-cardinality columns, in column order
-        low = counts.where(F.col("n_distinct") <= limit)
-        first = F.dense_rank().over(Window.orderBy("position"))
-        counts = low.withColumn("__col_rank", first).where(F.col("__col_rank") <= max_cols)
-    rates = rates_from_counts(counts.where(F.col("value").isNotNull()), undefined="null",
+        # a few values of each column of a run: keep the first max_cols low-cardinality columns, in column order
+        counts = counts.withColumn("__d", F.count(F.lit(1)).over(Window.partitionBy(*by, "feature")))
+        first = F.dense_rank().over(Window.partitionBy(*by).orderBy("position"))
+        counts = counts.where(F.col("__d") <= limit).withColumn("__col_rank", first).where(
+            F.col("__col_rank") <= max_cols)
+    rates = rates_from_counts(counts.where(F.col("value").isNotNull()), by, undefined="null",
                               keys=("feature", "value", "position")).where(F.col("n") >= min_support)
     # ties keep column order, then each column's own value order: numeric for numeric columns
     numeric = [f.name for f in scored.schema.fields
@@ -127,11 +181,9 @@ def slice_scan(
         else F.lit(None).cast("double")
     rates = rates.withColumn("__num", num_key)
     order = [F.desc("selection_rate"), F.desc("n"), F.asc("position"), F.asc_nulls_last("__num"), F.asc("value")]
+    # slices are already aggregated (at most limit x max_cols rows of each run)
+    ranked = rates.withColumn("rank", rank_in(by, order))
     if top is not None:
-        # slices are already aggregated (at most limit x max_cols rows): a tiny TakeOrdered
-        rates = rates.orderBy(*order).limit(top)
-    w = Window.orderBy(*order)
-    return rates.select(
-        F.row_number().over(w).cast("int").alias("rank"),
-        "feature", "value", "n", "selection_rate", "true_positive_rate", "false_positive_rate",
-    )
+        ranked = ranked.where(F.col("rank") <= top)
+    return ranked.select(*by, "rank", "feature", "value", "n", "selection_rate", "true_positive_rate",
+                         "false_positive_rate")

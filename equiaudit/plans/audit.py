@@ -1,27 +1,30 @@
 """H15 dispatcher and H18 whole audit.
 
 The dispatcher is a registry of diagnostics keyed by tool name; each planned
-(tool, attribute) runs on its own, a failure is recorded and does not stop
-the others, and only ``ok`` results count as done.  The audit computes the
+(tool, attribute) runs on its own, for all runs that plan it at once, a failure
+is recorded and does not stop the others, and only ``ok`` results count as done.  The audit computes the
 confusion cube once (checkpointed: it is small) and derives every report
 table from it.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import reduce
 from typing import Callable, Sequence
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from equiaudit import constants as C
 from equiaudit.operators import cube as cube_ops
 from equiaudit.operators import issues as issue_ops
+from equiaudit.operators import logistic
 from equiaudit.operators import model as model_ops
 from equiaudit.operators import rates as rate_ops
 from equiaudit.operators import shift, slices, thresholds
+from equiaudit.operators.keyed import empty_keyed, join_by, same_key
 from equiaudit.operators.split import stratified_split
 from equiaudit.plans import diagnostic_rules as rules
 from equiaudit.session import cut_lineage
@@ -37,7 +40,11 @@ class AuditContext:
     features: Sequence[str]
     cube: DataFrame | None = None
     cube_cuts: tuple | None = None  # score cuts the cube was built with, if any
+    by: Sequence[str] = ()  # columns that tell the runs apart; every result carries them
     outputs: dict = field(default_factory=dict)
+    #: The attributes of all planned proxy models, which are fitted together, and their results.
+    proxy_attributes: Sequence[str] = ()
+    proxies: dict = field(default_factory=dict)
 
 
 def _options(ctx: AuditContext, tool: str) -> dict:
@@ -45,29 +52,61 @@ def _options(ctx: AuditContext, tool: str) -> dict:
 
 
 def _sizes(ctx: AuditContext, attribute=None):
-    return {"group_sizes": cube_ops.group_sizes(ctx.cube)}
+    return {"group_sizes": cube_ops.group_sizes(ctx.cube, ctx.by)}
 
 
 def _distribution(ctx: AuditContext, attribute=None):
-    res = shift.feature_distribution(ctx.scored, attribute, ctx.features,
-                                     **_options(ctx, "run_feature_distribution_comparison"))
-    if "error" in res:
-        raise ValueError(res["error"])
-    return {"numeric_shift": res["numeric"], "categorical_shift": res["categorical"]}
+    options = _options(ctx, "run_feature_distribution_comparison")
+    if not ctx.by:
+        res = shift.feature_distribution(ctx.scored, attribute, ctx.features, **options)
+        if "error" in res:
+            raise ValueError(res["error"])
+        return {"numeric_shift": res["numeric"], "categorical_shift": res["categorical"]}
+    num, cat, dt = shift.split_feature_types(ctx.scored, ctx.features)
+    top = {"top": options["top"]} if "top" in options else {}
+    k = {"k": options["k"]} if "k" in options else {}
+    return {"numeric_shift": shift.numeric_shift(ctx.scored, attribute, num, by=ctx.by, **top),
+            "categorical_shift": shift.categorical_shift(ctx.scored, attribute, cat + dt, by=ctx.by, **top, **k)}
 
 
-def _proxy(ctx: AuditContext, attribute=None):
-    res = model_ops.proxy_detection(ctx.scored, attribute, ctx.features, **_options(ctx, "run_proxy_detection"))
-    spark = ctx.scored.sparkSession
+_PROXY = ("attribute string, classes string, n_classes long, accuracy double, auc double, risk_level string, "
+          "status string")
+
+
+def _one_proxy(ctx: AuditContext, df: DataFrame, attribute: str, **options) -> DataFrame:
+    res = model_ops.proxy_detection(df, attribute, ctx.features, **options)
     row = [(res["attribute"], ",".join(res["classes"]), res["n_classes"], res["accuracy"], res["auc"],
             res["risk_level"], res["status"])]
-    return {"proxy": spark.createDataFrame(
-        row, "attribute string, classes string, n_classes long, accuracy double, auc double, risk_level string, "
-             "status string")}
+    return ctx.scored.sparkSession.createDataFrame(row, _PROXY)
+
+
+def _proxy(ctx: AuditContext, attribute=None):
+    """All planned proxies are fitted together, for all runs; too many levels for that leave L-BFGS, one by one."""
+    options = _options(ctx, "run_proxy_detection")
+    iterations = {"max_iter": options.pop("max_iter")} if "max_iter" in options else {}
+    together = [a for a in ctx.proxy_attributes if a in ctx.scored.columns]
+    if attribute not in together:
+        together = [attribute]
+    key = tuple(together)
+    if key not in ctx.proxies:
+        try:
+            ctx.proxies[key] = cut_lineage(logistic.proxy_by(ctx.scored, together, ctx.features, ctx.by, **options))
+        except logistic.TooWide:
+            ctx.proxies[key] = None
+    if ctx.proxies[key] is not None:
+        return {"proxy": ctx.proxies[key].where(F.col("attribute") == attribute)}
+    if not ctx.by:
+        return {"proxy": _one_proxy(ctx, ctx.scored, attribute, **iterations)}
+    parts = []
+    for run in ctx.scored.select(*ctx.by).distinct().collect():
+        own = reduce(lambda d, c: d.where(F.col(c).eqNullSafe(F.lit(run[c]))), ctx.by, ctx.scored)
+        parts.append(_one_proxy(ctx, own, attribute, **iterations).select(
+            *[F.lit(run[c]).cast(ctx.scored.schema[c].dataType).alias(c) for c in ctx.by], "*"))
+    return {"proxy": reduce(DataFrame.unionByName, parts)}
 
 
 def _slices(ctx: AuditContext, attribute=None):
-    return {"slice_scan": slices.slice_scan(ctx.scored, ctx.features, ctx.spec.positive_label,
+    return {"slice_scan": slices.slice_scan(ctx.scored, ctx.features, ctx.spec.positive_label, by=ctx.by,
                                              **_options(ctx, "run_slice_scan"))}
 
 
@@ -80,8 +119,8 @@ def _thresholds(ctx: AuditContext, attribute=None):
         cube = ctx.cube.where(F.col("attribute").isin(attrs))
     else:
         cube = cube_ops.confusion_cube(ctx.scored, attrs, ctx.spec.positive_label, y_pred=None,
-                                       score="y_score", cuts=C.DEFAULT_CUTS)
-    return {"threshold_sensitivity": thresholds.threshold_sensitivity(cube, C.DEFAULT_CUTS)}
+                                       score="y_score", cuts=C.DEFAULT_CUTS, by=ctx.by)
+    return {"threshold_sensitivity": thresholds.threshold_sensitivity(cube, C.DEFAULT_CUTS, ctx.by)}
 
 
 REGISTRY: dict[str, Callable[..., dict]] = {
@@ -91,34 +130,88 @@ REGISTRY: dict[str, Callable[..., dict]] = {
     "run_slice_scan": _slices,
     "run_threshold_sensitivity": _thresholds,
 }
-
-
-def run_diagnostics(ctx: AuditContext, plan: Sequence[tuple[str, str | None]]) -> DataFrame:
-    """Run planned (tool, attribute) items; returns (tool, attribute, status, error, n_rows).
-
-    The plan is a short driver-side list (tools x attributes).  Each result is written once to the shared
-    checkpoint folder, so that errors surface here, per item, and later readers compute nothing again.
+#: Diagnostics that read the records, not the cube.
+READ_ROWS = ("run_feature_distribution_comparison", "run_proxy_detection", "run_slice_scan")
+_STATUS = "tool string, attribute string, status string, error string, n_rows long"
+_NO_PAIR = "a comparison takes two groups"
+
+
+def _of_runs(df: DataFrame | None, runs: DataFrame | None, by: Sequence[str]) -> DataFrame | None:
+    """The rows of the planned runs."""
+    if df is None or runs is None:
+        return df
+    right = runs.withColumnsRenamed({c: f"__k_{c}" for c in by})
+    return df.join(right, same_key(by), "left_semi")
+
+
+def _status_by_run(runs: DataFrame, by: Sequence[str], tool: str, attribute: str | None, kept: dict) -> DataFrame:
+    """(…by, tool, attribute, status, error, n_rows): a row for each planned run."""
+    counts = reduce(DataFrame.unionByName, [df.select(*by) for df in kept.values()]).groupBy(*by).agg(
+        F.count(F.lit(1)).alias("n_rows"))
+    found = join_by(runs, counts, by, "left")
+    status, error = F.lit("ok"), F.lit(None).cast("string")
+    if tool == "run_proxy_detection":
+        found = join_by(found, kept["proxy"].select(*by, F.col("status").alias("__status")), by, "left")
+        status = F.coalesce("__status", F.lit("unsupported"))
+    elif tool == "run_feature_distribution_comparison":
+        status = F.when(F.col("n_rows").isNull(), "error").otherwise("ok")
+        error = F.when(F.col("n_rows").isNull(), _NO_PAIR)
+    return found.select(*by, F.lit(tool).alias("tool"), F.lit(attribute).cast("string").alias("attribute"),
+                        status.alias("status"), error.alias("error"),
+                        F.coalesce("n_rows", F.lit(0)).cast("long").alias("n_rows"))
+
+
+def run_diagnostics(ctx: AuditContext, plan: Sequence[tuple[str, str | None]] | DataFrame) -> DataFrame:
+    """Run planned (tool, attribute) items; returns (…by, tool, attribute, status, error, n_rows).
+
+    The plan is a short list of tools x attributes, or with runs (``ctx.by``) a table (…by, tool, attribute): a tool
+    then takes all runs that plan it in one pass, so the number of jobs does not follow the number of runs.  Each
+    result is written once to the shared checkpoint folder, so that errors surface here, per item, and later readers
+    compute nothing again; so are the columns that the diagnostics read, if several read them.
+
+    What is wrong with the data or the plan makes an ``error`` row; failures of the cluster are raised.
     """
-    rows = []
-    for tool, attribute in plan:
-        fn = REGISTRY.get(tool)
-        if fn is None:
-            rows.append((tool, attribute, "error", f"no diagnostic named {tool}", None))
-            continue
+    by, spark = list(ctx.by), ctx.scored.sparkSession
+    if isinstance(plan, DataFrame):
+        plan = cut_lineage(plan.select(*by, "tool", "attribute").distinct())
+        items = [(r["tool"], r["attribute"]) for r in plan.select("tool", "attribute").distinct().collect()]
+        items.sort(key=lambda i: (str(i[0]), i[1] or ""))
+    else:
+        items = list(plan)
+        if by:
+            raise ValueError("the plan of several runs is a table with their columns")
+    if sum(tool in READ_ROWS for tool, _ in items) > 1:
+        used = dict.fromkeys(c for c in (*by, "y_true", "y_pred", "y_score", *ctx.spec.sensitive_cols, *ctx.features,
+                                         *[a for _, a in items if a]) if c in ctx.scored.columns)
+        ctx.scored = cut_lineage(ctx.scored.select(*used))
+    ctx.proxy_attributes = list(dict.fromkeys(a for tool, a in items if tool == "run_proxy_detection" and a))
+    parts = []
+    for tool, attribute in items:
+        runs = None
+        if by:
+            runs = plan.where((F.col("tool") == tool) & F.col("attribute").eqNullSafe(F.lit(attribute))).select(*by)
         try:
-            out = fn(ctx, attribute)
-            n = 0
-            for name, df in out.items():
-                ctx.outputs[(tool, attribute, name)] = kept = cut_lineage(df)
-                n += kept.count()
-            status = "ok"
-            if tool == "run_proxy_detection":
-                status = ctx.outputs[(tool, attribute, "proxy")].first()["status"]
-            rows.append((tool, attribute, status, None, n))
-        except Exception as e:  # noqa: BLE001 -- one failure must not stop the rest
-            rows.append((tool, attribute, "error", f"{type(e).__name__}: {e}", None))
-    return ctx.scored.sparkSession.createDataFrame(
-        rows, "tool string, attribute string, status string, error string, n_rows long")
+            if tool not in REGISTRY:
+                raise ValueError(f"no diagnostic named {tool}")
+            # the proxies of all runs are fitted together, and those that are planned are taken
+            own = ctx if tool == "run_proxy_detection" else replace(
+                ctx, scored=_of_runs(ctx.scored, runs, by), cube=_of_runs(ctx.cube, runs, by))
+            out = REGISTRY[tool](own, attribute)
+            kept = {name: cut_lineage(_of_runs(df, runs, by)) for name, df in out.items()}
+            if by:
+                parts.append(cut_lineage(_status_by_run(runs, by, tool, attribute, kept)))
+            else:
+                status = kept["proxy"].first()["status"] if tool == "run_proxy_detection" else "ok"
+                n = sum(df.count() for df in kept.values())
+                parts.append(spark.createDataFrame([(tool, attribute, status, None, n)], _STATUS))
+            ctx.outputs |= {(tool, attribute, name): df for name, df in kept.items()}
+        except (ValueError, PySparkException) as e:
+            text = str(e) if isinstance(e, ValueError) else f"{type(e).__name__}: {e}"
+            bad = spark.createDataFrame([(tool, attribute, "error", text, None)], _STATUS)
+            parts.append(join_by(runs, bad, []) if by else bad)
+    if not parts:
+        return empty_keyed(ctx.scored, by, _STATUS)
+    return reduce(DataFrame.unionByName, parts)
 
 
 def run_audit(scored: DataFrame, spec: AuditSpec, features: Sequence[str], run_diagnostics_now: bool = True,
@@ -154,25 +247,10 @@ def run_audit(scored: DataFrame, spec: AuditSpec, features: Sequence[str], run_d
 
 def _diagnostics(scored: DataFrame, spec: AuditSpec, features: Sequence[str], cube: DataFrame, cuts: tuple | None,
                  plan: DataFrame, by: Sequence[str]) -> dict[str, DataFrame]:
-    """The planned diagnostics, run by run: each run has a plan of its own.  Results of all runs are united, with the
-    columns of ``by``."""
-    planned: dict[tuple, list] = {}
-    for r in plan.select(*by, "tool", "attribute").collect():  # runs x tools x attributes
-        planned.setdefault(tuple(r[c] for c in by), []).append((r["tool"], r["attribute"]))
-    found: dict[str, list[DataFrame]] = {}
-    for run, items in sorted(planned.items(), key=str):
-        def own(df: DataFrame, run=run) -> DataFrame:
-            for c, v in zip(by, run):
-                df = df.where(F.col(c).eqNullSafe(F.lit(v)))
-            return df
-
-        ctx = AuditContext(own(scored), spec, features, own(cube).drop(*by), cuts)
-        results = {"diagnostics_status": run_diagnostics(ctx, items)}
-        results |= {f"{name}__{attribute or 'all'}": df for (_, attribute, name), df in ctx.outputs.items()}
-        for name, df in results.items():
-            tagged = df.select(*[F.lit(v).alias(c) for c, v in zip(by, run)], "*")
-            found.setdefault(name, []).append(tagged)
-    return {name: reduce(DataFrame.unionByName, parts) for name, parts in found.items()}
+    """The planned diagnostics of all runs; each run has a plan of its own."""
+    ctx = AuditContext(scored, spec, features, cube, cuts, list(by))
+    out = {"diagnostics_status": run_diagnostics(ctx, plan)}
+    return out | {f"{name}__{attribute or 'all'}": df for (_, attribute, name), df in ctx.outputs.items()}
 
 
 MODELS = ("logistic_regression",)

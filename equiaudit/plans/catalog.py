@@ -22,6 +22,7 @@ from equiaudit.functions import coerce_numeric, na_tokens, positive_flag, right_
 from equiaudit.functions import issue_type as issue_type_of
 from equiaudit.operators import cube as cube_ops
 from equiaudit.operators import issues as issue_ops
+from equiaudit.operators import logistic
 from equiaudit.operators import model as model_ops
 from equiaudit.operators import profile, ranking, shift, slices, split, thresholds
 from equiaudit.operators import rates as rate_ops
@@ -201,6 +202,71 @@ def q_categorical_shift(spark, sf_dir):
                       F.round("total_variation_distance", 9).alias("total_variation_distance"))
 
 
+# ---------------------------------------------------------------- E9, F3, H3, E6, E8, H5 of all runs at once
+
+RUN = ["run_id"]
+
+
+@query("column_cardinality_by_run")
+def q_column_cardinality_by_run(spark, sf_dir):
+    return slices.column_cardinality(fx.scored_lineitems(spark, sf_dir, with_run=True), fx.FEATURES, by=RUN)
+
+
+@query("column_cardinality_stored")
+def q_column_cardinality_stored(spark, sf_dir):
+    """E9 over all runs from their stored sketches: written by run, read and united without the records."""
+    root = _scratch(spark, "sketches")
+    store.write_audit_table(slices.column_sketches(fx.scored_lineitems(spark, sf_dir, with_run=True), fx.FEATURES, RUN),
+                            root, "sketches")
+    every = slices.estimated_distinct(slices.merged_sketches(store.read_audit_table(spark, root, "sketches")))
+    return every.where(F.col("n_distinct") <= C.SLICE_MAX_DISTINCT).select("feature", "position", "n", "nulls", "n_distinct")
+
+
+@query("slice_scan_by_run")
+def q_slice_scan_by_run(spark, sf_dir):
+    return slices.slice_scan(fx.scored_lineitems(spark, sf_dir, with_run=True), fx.FEATURES, fx.POSITIVE, by=RUN)
+
+
+@query("numeric_shift_by_run")
+def q_numeric_shift_by_run(spark, sf_dir):
+    scored = fx.scored_lineitems(spark, sf_dir, with_run=True)
+    out = shift.numeric_shift(scored, SHIFT_ATTR, shift.split_feature_types(scored, fx.FEATURES)[0], by=RUN)
+    return out.select("run_id", "rank", "feature", "group_a", "group_b",
+                      *[F.round(c, 6).alias(c) for c in ("mean_a", "mean_b", "abs_mean_diff")])
+
+
+@query("categorical_shift_by_run")
+def q_categorical_shift_by_run(spark, sf_dir):
+    scored = fx.scored_lineitems(spark, sf_dir, with_run=True)
+    _, cat, dt = shift.split_feature_types(scored, fx.FEATURES)
+    out = shift.categorical_shift(scored, SHIFT_ATTR, cat + dt, by=RUN)
+    return out.select("run_id", "rank", "feature", "group_a", "group_b",
+                      F.round("total_variation_distance", 9).alias("total_variation_distance"))
+
+
+#: Columns that do not hold the attribute itself, or nearly so.
+PROXY_FEATURES = tuple(c for c in fx.FEATURES if c not in ("l_linestatus", "l_returnflag"))
+
+
+@query("proxy_by_run")
+def q_proxy_by_run(spark, sf_dir):
+    """H5 of every run and two attributes, fitted together; segment has five groups and no model."""
+    scored = fx.scored_lineitems(spark, sf_dir, with_run=True)
+    return logistic.proxy_by(scored, ["status", "segment"], PROXY_FEATURES, by=RUN)
+
+
+@query("diagnostics_by_run")
+def q_diagnostics_by_run(spark, sf_dir):
+    """H15 for all runs: each run's plan from its flags, every tool once for the runs that plan it."""
+    scored = fx.scored_lineitems(spark, sf_dir, with_run=True)
+    cube = cut_lineage(cube_ops.confusion_cube(scored, fx.SENSITIVE, fx.POSITIVE, score="y_score", cuts=C.DEFAULT_CUTS,
+                                               by=RUN))
+    flags = rate_ops.disparity_flags(rate_ops.disparity(rate_ops.group_rates(cube, RUN), RUN), THRESHOLD)
+    spec = AuditSpec(positive_label=fx.POSITIVE, sensitive_cols=fx.SENSITIVE, fairness_threshold=THRESHOLD)
+    ctx = audit_ops.AuditContext(scored, spec, PROXY_FEATURES, cube, tuple(C.DEFAULT_CUTS), RUN)
+    return audit_ops.run_diagnostics(ctx, rules.diagnostic_plan(flags, None, by=RUN))
+
+
 # ---------------------------------------------------------------- B1-B6, A5, C2
 
 
@@ -573,14 +639,7 @@ def q_train_score(spark, sf_dir):
 
 @query("proxy_detection")
 def q_proxy_detection(spark, sf_dir):
-    scored = fx.scored_lineitems(spark, sf_dir)
-    # l_linestatus is the attribute itself and l_returnflag nearly so; a proxy is sought among the others
-    res = model_ops.proxy_detection(scored, "status", [c for c in fx.FEATURES if c not in ("l_linestatus", "l_returnflag")])
-    row = [(res["attribute"], ",".join(res["classes"]), res["n_classes"], res["accuracy"], res["auc"],
-            res["risk_level"], res["status"])]
-    return spark.createDataFrame(
-        row, "attribute string, classes string, n_classes long, accuracy double, auc double, risk_level string, "
-             "status string")
+    return logistic.proxy_by(fx.scored_lineitems(spark, sf_dir), ["status"], PROXY_FEATURES)
 
 
 @query("proxy_unsupported")
@@ -602,7 +661,7 @@ def q_split_counts(spark, sf_dir):
 def q_diagnostics_status(spark, sf_dir):
     scored = fx.scored_lineitems(spark, sf_dir)
     spec = AuditSpec(positive_label=fx.POSITIVE, sensitive_cols=fx.SENSITIVE, fairness_threshold=THRESHOLD)
-    ctx = audit_ops.AuditContext(scored, spec, fx.FEATURES,
+    ctx = audit_ops.AuditContext(scored, spec, PROXY_FEATURES,
                                  _cube(spark, sf_dir, cuts=C.DEFAULT_CUTS, shared=True), tuple(C.DEFAULT_CUTS))
     plan = [("check_group_sample_sizes", None), ("run_feature_distribution_comparison", "segment"),
             ("run_proxy_detection", "segment"), ("run_proxy_detection", "status"), ("run_slice_scan", None),

@@ -698,3 +698,102 @@ SELECT o_orderkey AS key, CASE WHEN o_orderkey % 7 <> 0 THEN o_custkey END AS cu
        o_orderkey || 'd' AS code, o_orderkey::DOUBLE / 4 AS quarter
 FROM orders
 """
+
+# ---------------------------------------------------------------- all runs at once
+
+SQL["column_cardinality_by_run"] = _with(SCORED) + ", card AS (\n  " + "\n  UNION ALL ".join(
+    f"SELECT run_id, '{c}' AS feature, {i} AS position, COUNT(DISTINCT {c}) + MAX(CASE WHEN {c} IS NULL THEN 1 ELSE 0 END)"
+    f" AS n_distinct FROM scored GROUP BY run_id" for i, c in enumerate(FEATURES)
+) + """
+)
+SELECT run_id, feature, CAST(position AS INTEGER) AS position, CAST(n_distinct AS BIGINT) AS n_distinct
+FROM card WHERE n_distinct <= 8
+"""
+
+SQL["column_cardinality_stored"] = _with(SCORED) + ", card AS (\n  " + "\n  UNION ALL ".join(
+    f"SELECT '{c}' AS feature, {i} AS position, COUNT(*) AS n, COUNT(*) - COUNT({c}) AS nulls, "
+    f"COUNT(DISTINCT {c}) + MAX(CASE WHEN {c} IS NULL THEN 1 ELSE 0 END) AS n_distinct FROM scored"
+    for i, c in enumerate(FEATURES)
+) + """
+)
+SELECT feature, CAST(position AS INTEGER) AS position, CAST(n AS BIGINT) AS n, CAST(nulls AS BIGINT) AS nulls,
+       CAST(n_distinct AS BIGINT) AS n_distinct
+FROM card WHERE n_distinct <= 8
+"""
+
+SQL["slice_scan_by_run"] = _with(SCORED) + ", sl AS (\n  " + "\n  UNION ALL ".join(
+    f"SELECT run_id, '{c}' AS feature, {i} AS pos, CAST({c} AS VARCHAR) AS value, y_true, y_pred FROM scored"
+    for i, c in enumerate(FEATURES)
+) + """
+), c AS (
+  SELECT run_id, feature, pos, value,
+         SUM(CASE WHEN y_true = 'good' AND y_pred = 'good' THEN 1 ELSE 0 END) AS tp,
+         SUM(CASE WHEN y_true <> 'good' AND y_pred = 'good' THEN 1 ELSE 0 END) AS fp,
+         SUM(CASE WHEN y_true = 'good' AND y_pred <> 'good' THEN 1 ELSE 0 END) AS fn,
+         SUM(CASE WHEN y_true <> 'good' AND y_pred <> 'good' THEN 1 ELSE 0 END) AS tn,
+         COUNT(*) OVER (PARTITION BY run_id, feature) AS n_distinct
+  FROM sl GROUP BY run_id, feature, pos, value
+), low AS (
+  SELECT *, DENSE_RANK() OVER (PARTITION BY run_id ORDER BY pos) AS col_rank FROM c WHERE n_distinct <= 8
+), r AS (
+  SELECT run_id, feature, pos, value, CAST(tp + fp + fn + tn AS BIGINT) AS n,
+         CAST(tp + fp AS DOUBLE) / CAST(tp + fp + fn + tn AS DOUBLE) AS selection_rate,
+         CASE WHEN tp + fn > 0 THEN CAST(tp AS DOUBLE) / CAST(tp + fn AS DOUBLE) END AS true_positive_rate,
+         CASE WHEN fp + tn > 0 THEN CAST(fp AS DOUBLE) / CAST(fp + tn AS DOUBLE) END AS false_positive_rate
+  FROM low WHERE col_rank <= 5 AND value IS NOT NULL AND tp + fp + fn + tn >= 10
+), ranked AS (
+  SELECT CAST(ROW_NUMBER() OVER (PARTITION BY run_id
+         ORDER BY selection_rate DESC, n DESC, pos, TRY_CAST(value AS DOUBLE) NULLS LAST, value) AS INTEGER) AS rank, * FROM r
+)
+SELECT run_id, rank, feature, value, n, selection_rate, true_positive_rate, false_positive_rate
+FROM ranked WHERE rank <= 20
+"""
+
+TWO_BY_RUN = """, gs AS (
+  SELECT run_id, COALESCE(segment, 'nan') AS g, COUNT(*) AS n FROM scored GROUP BY 1, 2
+), top2 AS (
+  SELECT run_id, g, ROW_NUMBER() OVER (PARTITION BY run_id ORDER BY n DESC, g) AS r FROM gs
+), names AS (
+  SELECT run_id, MAX(CASE WHEN r = 1 THEN g END) AS group_a, MAX(CASE WHEN r = 2 THEN g END) AS group_b
+  FROM top2 GROUP BY run_id
+), two AS (
+  SELECT s.*, t.r, t.g AS grp FROM scored s JOIN top2 t ON s.run_id = t.run_id AND COALESCE(s.segment, 'nan') = t.g
+  WHERE t.r <= 2
+)"""
+
+SQL["numeric_shift_by_run"] = _with(SCORED) + TWO_BY_RUN + ", m AS (\n  " + "\n  UNION ALL ".join(
+    f"SELECT run_id, '{c}' AS feature, {i} AS position, AVG(CASE WHEN r = 1 THEN CAST({c} AS DOUBLE) END) AS mean_a, "
+    f"AVG(CASE WHEN r = 2 THEN CAST({c} AS DOUBLE) END) AS mean_b FROM two GROUP BY run_id"
+    for i, c in enumerate(NUMERIC)
+) + """
+), ranked AS (
+  SELECT *, ABS(mean_a - mean_b) AS abs_mean_diff, CAST(ROW_NUMBER() OVER (
+    PARTITION BY run_id ORDER BY ABS(mean_a - mean_b) DESC NULLS FIRST, position) AS INTEGER) AS rank FROM m
+)
+SELECT run_id, rank, feature, group_a, group_b, ROUND(mean_a, 6) AS mean_a, ROUND(mean_b, 6) AS mean_b,
+       ROUND(abs_mean_diff, 6) AS abs_mean_diff
+FROM ranked JOIN names USING (run_id) WHERE rank <= 10
+"""
+
+SQL["categorical_shift_by_run"] = _with(SCORED) + TWO_BY_RUN + ", tl AS (\n  " + "\n  UNION ALL ".join(
+    f"SELECT run_id, r, '{c}' AS feature, {i} AS position, COALESCE(CAST({c} AS VARCHAR), 'nan') AS value FROM two"
+    for i, c in enumerate(CATEGORICAL)
+) + """
+), cnt AS (
+  SELECT run_id, r, feature, position, value, COUNT(*) AS cnt FROM tl GROUP BY ALL
+), sh AS (
+  SELECT *, CAST(cnt AS DOUBLE) / CAST(SUM(cnt) OVER (PARTITION BY run_id, r, feature) AS DOUBLE) AS share,
+         ROW_NUMBER() OVER (PARTITION BY run_id, r, feature ORDER BY cnt DESC, value) AS place
+  FROM cnt
+), pv AS (
+  SELECT run_id, feature, position, value, COALESCE(MAX(CASE WHEN r = 1 THEN share END), 0) AS pa,
+         COALESCE(MAX(CASE WHEN r = 2 THEN share END), 0) AS pb
+  FROM sh WHERE place <= 5 GROUP BY run_id, feature, position, value
+), tvd AS (
+  SELECT run_id, feature, position, 0.5 * SUM(ABS(pa - pb)) AS tvd FROM pv GROUP BY run_id, feature, position
+), ranked AS (
+  SELECT *, CAST(ROW_NUMBER() OVER (PARTITION BY run_id ORDER BY tvd DESC, position) AS INTEGER) AS rank FROM tvd
+)
+SELECT run_id, rank, feature, group_a, group_b, ROUND(CAST(tvd AS DOUBLE), 9) AS total_variation_distance
+FROM ranked JOIN names USING (run_id) WHERE rank <= 10 AND group_b IS NOT NULL
+"""
