@@ -28,8 +28,9 @@ from equiaudit.operators.keyed import empty_keyed, join_by, same_key
 from equiaudit.operators.split import stratified_split
 from equiaudit.plans import diagnostic_rules as rules
 from equiaudit.session import cut_lineage
-from equiaudit.sources import audit_store
+from equiaudit.sources import audit_store, documents
 from equiaudit.sources.readers import feature_columns, prepare, read_dataset
+from equiaudit.sources.row_numbers import number_rows
 from equiaudit.spec import AuditSpec, require_columns, validate_binary_label
 
 
@@ -260,37 +261,36 @@ def audit_dataset(spark: SparkSession, spec: AuditSpec, root: str, run_id: str,
                   path: str | None = None) -> dict[str, DataFrame]:
     """H18 from the configuration on: read, prepare, validate, split, fit, score, write, audit, diagnose, write.
 
-    Rows are numbered once (``row_index``) and written before the split reads them.  Tables of the run are written
-    below ``root`` by ``run_id``; returns them by name."""
+    Rows are numbered in the order of the files (``row_index``), so the split does not follow the partitioning.  Tables
+    of the run, its evidence and its document are written below ``root`` and committed together; returns the tables."""
     if spec.model_type not in MODELS:
         raise ValueError(f"model type {spec.model_type!r} is not one of {list(MODELS)}")
     data = prepare(read_dataset(spark, spec.dataset, path), spec)
     require_columns(data, [spec.label_col, *spec.sensitive_cols], "dataset")
-    data = cut_lineage(data.where(F.col(spec.label_col).isNotNull()).withColumn(
-        "row_index", F.monotonically_increasing_id()))
+    data = number_rows(data.where(F.col(spec.label_col).isNotNull()))
     classes = validate_binary_label(data, spec.label_col)
     features = [c for c in feature_columns(data, spec.label_col, spec.sensitive_cols) if c != "row_index"]
     parts = cut_lineage(stratified_split(data, ["row_index"], spec.label_col, spec.test_size, spec.random_state))
     train, test = parts.where(~F.col("is_test")), parts.where(F.col("is_test"))
     fitted = model_ops.fit(train, features, spec.label_col, spec.positive_label, classes, spec.max_iter)
-    tag = lambda df: df.withColumn("run_id", F.lit(str(run_id)))
+    run = audit_store.RunWriter(spark, root, run_id)
 
     # prepared features are coded columns; the originals come back by the row's number
     y = F.col(spec.label_col).cast("string").alias("y_true")
     scores = fitted.score(test.select("row_index", *features), keep=["row_index"])
-    scored = test.select("row_index", y, *spec.sensitive_cols).join(scores, "row_index")
-    audit_store.write_audit_table(tag(scored), root, "scored")
-    audit_store.write_audit_table(tag(test.select("row_index", *features)), root, "features")
-    scored = audit_store.read_audit_table(spark, root, "scored", run_id).drop("run_id")
-    kept = audit_store.read_audit_table(spark, root, "features", run_id).drop("run_id")
-    out = run_audit(scored.join(kept, "row_index"), spec, features)
+    scored = run.write(test.select("row_index", y, *spec.sensitive_cols).join(scores, "row_index"), "scored")
+    kept = run.write(test.select("row_index", *features), "features")
+    out = run_audit(scored.drop("run_id").join(kept.drop("run_id"), "row_index"), spec, features)
     n_train = train.agg(F.count(F.lit(1)).alias("n_train")).select(F.lit(str(run_id)).alias("run_id"), "n_train")
     out["metrics"] = audit_store.run_metrics(
-        tag(scored), label_col=spec.label_col, positive_label=spec.positive_label, sensitive_cols=spec.sensitive_cols,
+        scored, label_col=spec.label_col, positive_label=spec.positive_label, sensitive_cols=spec.sensitive_cols,
         model_type=spec.model_type, model_classes=classes, n_train=n_train)
-    for name, df in out.items():
-        audit_store.write_audit_table(df if "run_id" in df.columns else tag(df), root, name)
-    return {name: audit_store.read_audit_table(spark, root, name, run_id) for name in [*out, "scored", "features"]}
+    out["sketches"] = slices.column_sketches(kept, features)
+    tables = {name: run.write(df, name) for name, df in out.items()}
+    tables["evidence"] = run.write(documents.flattened(documents.run_documents(tables, spec)), "evidence")
+    documents.write_documents(documents.run_documents(tables, spec), root)
+    run.commit()
+    return {name: audit_store.read_audit_table(spark, root, name, run_id) for name in [*tables, "scored", "features"]}
 
 
 def done_from_status(status: DataFrame) -> DataFrame:

@@ -31,7 +31,9 @@ from equiaudit.plans import diagnostic_rules as rules
 from equiaudit.plans import fixtures as fx
 from equiaudit.session import cut_lineage, ensure_checkpoint_dir
 from equiaudit.sources import audit_store as store
+from equiaudit.sources import documents
 from equiaudit.sources.readers import read_dataset
+from equiaudit.sources.row_numbers import number_rows
 from equiaudit.spec import AuditSpec, DatasetSpec
 
 THRESHOLD = C.DEFAULT_FAIRNESS_THRESHOLD
@@ -546,6 +548,46 @@ def q_report_json(spark, sf_dir):
     return store.report_json(t["rates"], t["flags"], by=["run_id"])
 
 
+@query("run_documents")
+def q_run_documents(spark, sf_dir):
+    """The document of every run written as JSON, read back and flattened."""
+    t = _run_tables(spark, sf_dir)
+    spec = AuditSpec(positive_label=fx.POSITIVE, sensitive_cols=fx.SENSITIVE, fairness_threshold=THRESHOLD)
+    docs = documents.run_documents(
+        {"metrics": t["metrics"], "group_rates": t["rates"], "disparity": t["flags"], "group_sizes": t["sizes"],
+         "issues": t["issues"], "plan": rules.diagnostic_plan(t["flags"], None, by=RUN)}, spec)
+    root = _scratch(spark, "documents")
+    documents.write_documents(docs, root)
+    return documents.flattened(documents.read_documents(spark, root))
+
+
+@query("stored_runs")
+def q_stored_runs(spark, sf_dir):
+    """Every run written, all but the newest committed; what readers see."""
+    root, rows = _scratch(spark, "runs"), cut_lineage(
+        fx.scored_lineitems(spark, sf_dir, with_run=True).select("run_id", "l_orderkey", "y_true", "y_pred"))
+    names = sorted(r["run_id"] for r in rows.select("run_id").distinct().collect())
+    for name in names:
+        run = store.RunWriter(spark, root, name)
+        run.write(rows.where(F.col("run_id") == name), "scored")
+        if name != names[-1]:
+            run.commit()
+    seen = store.read_audit_table(spark, root, "scored").groupBy("run_id").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("l_orderkey").alias("keys"))
+    return store.stored_catalogue(spark, root, ["scored", "issues"]).join(seen, "run_id")
+
+
+@query("row_numbers")
+def q_row_numbers(spark, sf_dir):
+    """Rows of many files numbered in the files' order; the split by number is the same however they are read."""
+    path = _scratch(spark, "numbered")
+    o = fx.table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus")
+    o.repartitionByRange(4, "o_orderkey").sortWithinPartitions("o_orderkey").write.csv(path)
+    rows = number_rows(read_dataset(spark, DatasetSpec(path=path, format="csv", header=False,
+                                                       columns=("o_orderkey", "o_orderstatus"))))
+    return split.stratified_split(rows, ["row_index"], "o_orderstatus", C.DEFAULT_TEST_SIZE, C.DEFAULT_RANDOM_STATE)
+
+
 def _scratch(spark, name):
     """A new folder below the shared checkpoint folder."""
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -797,3 +797,95 @@ SQL["categorical_shift_by_run"] = _with(SCORED) + TWO_BY_RUN + ", tl AS (\n  " +
 SELECT run_id, rank, feature, group_a, group_b, ROUND(CAST(tvd AS DOUBLE), 9) AS total_variation_distance
 FROM ranked JOIN names USING (run_id) WHERE rank <= 10 AND group_b IS NOT NULL
 """
+
+# ---------------------------------------------------------------- documents, commits, row numbers
+
+_AT = "CAST(CAST({0} AS BIGINT) AS VARCHAR)"
+_FOUR = "CAST(ROUND(CAST({0} AS DECIMAL(20,10)), 4) AS VARCHAR)"
+
+
+def _doc_cell(path, value, number, source):
+    return f"SELECT run_id, {path} AS path, {value} AS value, {number} AS number FROM {source}"
+
+
+_NONE = "CAST(NULL AS DOUBLE)"
+_ALL_RUNS = "rmetrics"
+_CONSTANTS = {
+    "metrics.label_col": "y_true", "metrics.positive_label": "good", "metrics.has_y_score": "true",
+    "audit_config.label_col": "y_true", "audit_config.positive_label": "good",
+    "audit_config.model.type": "logistic_regression",
+    **{f"{p}.sensitive_cols.{i}": a for p in ("metrics", "audit_config")
+       for i, a in enumerate(("segment", "priority", "status", "size_group"))}}
+_NUMBERS = {"audit_config.min_group_size": ("30", 30.0), "audit_config.fairness_threshold": ("0.0500", 0.05),
+            "audit_config.test_size": ("0.2500", 0.25), "audit_config.random_state": ("42", 42.0),
+            "audit_config.model.max_iter": ("2000", 2000.0)}
+
+SQL["run_documents"] = RUN_BASE + RECOMMENDED[RECOMMENDED.index(", rules AS ("):RECOMMENDED.index(", recs AS (")] + """
+, rplan AS (
+  SELECT f.run_id, r.tool, CASE WHEN r.per_attribute THEN f.attribute END AS attribute, MIN(r.reason) AS reason
+  FROM rflags f JOIN rules r ON f.metric = r.metric WHERE f.flag GROUP BY 1, 2, 3
+), pl AS (
+  SELECT *, ROW_NUMBER() OVER (PARTITION BY run_id ORDER BY tool, attribute) - 1 AS i FROM rplan
+), rex AS (
+  SELECT run_id, attribute, metric, arg_min("group", (-value, "group")) AS hi_group, MAX(value) AS hi_value,
+         arg_min("group", (value, "group")) AS lo_group, MIN(value) AS lo_value
+  FROM rrl GROUP BY run_id, attribute, metric
+), iss AS (
+  SELECT r.run_id, r.attribute, r.metric, r.severity,
+         CASE r.metric WHEN 'selection_rate' THEN 'demographic_disparity' WHEN 'true_positive_rate' THEN 'unequal_opportunity'
+              WHEN 'false_positive_rate' THEN 'unequal_harm' END AS issue_type,
+         """ + _ev("r.attribute", "difference", "r.metric", "d.difference") + """ AS e0,
+         """ + _ev("r.attribute", "by_group", "r.metric", "rex.hi_value", "rex.hi_group") + """ AS e1,
+         """ + _ev("r.attribute", "by_group", "r.metric", "rex.lo_value", "rex.lo_group") + """ AS e2,
+         ROW_NUMBER() OVER (PARTITION BY r.run_id ORDER BY r.attribute, r.metric) - 1 AS i
+  FROM rissues r JOIN rdisp d USING (run_id, attribute, metric) JOIN rex USING (run_id, attribute, metric)
+), doc AS (
+""" + "\nUNION ALL ".join(
+    [_doc_cell("'metrics.accuracy'", _FOUR.format("accuracy"), "accuracy", _ALL_RUNS),
+     _doc_cell("'metrics.n_test'", _AT.format("n_test"), "CAST(n_test AS DOUBLE)", _ALL_RUNS),
+     _doc_cell("'fairness_report.' || attribute || '.by_group.' || metric || '.' || \"group\"", _FOUR.format("value"),
+               "value", "rrl"),
+     _doc_cell("'fairness_report.' || attribute || '.difference.' || metric", _FOUR.format("difference"), "difference",
+               "rdisp"),
+     _doc_cell("'fairness_report.' || attribute || '.ratio.' || metric", _FOUR.format("lo_value / hi_value"),
+               "lo_value / hi_value", "rex WHERE hi_value <> 0"),
+     _doc_cell("'fairness_report.' || attribute || '.flags.' || metric", "CASE WHEN flag THEN 'true' ELSE 'false' END",
+               _NONE, "rflags"),
+     _doc_cell("'group_sizes.' || attribute || '.' || g", _AT.format("n"), "CAST(n AS DOUBLE)",
+               "(SELECT run_id, attribute, COALESCE(\"group\", 'nan') AS g, COUNT(*) AS n FROM long GROUP BY 1, 2, 3) z"),
+     *[_doc_cell(f"'plan.' || {_AT.format('i')} || '.{c}'", c, _NONE, f"pl WHERE {c} IS NOT NULL")
+       for c in ("tool", "attribute", "reason")],
+     *[_doc_cell(f"'issues.' || {_AT.format('i')} || '.{c}'", c, _NONE, "iss")
+       for c in ("attribute", "metric", "issue_type", "severity")],
+     *[_doc_cell(f"'issues.' || {_AT.format('i')} || '.evidence.{k}'", f"e{k}", _NONE, "iss") for k in range(3)],
+     *[_doc_cell(f"'{p}'", f"'{v}'", _NONE, _ALL_RUNS) for p, v in _CONSTANTS.items()],
+     *[_doc_cell(f"'{p}'", f"'{t}'", f"CAST({v} AS DOUBLE)", _ALL_RUNS) for p, (t, v) in _NUMBERS.items()]]) + """
+)
+SELECT run_id, path, value, number FROM doc
+"""
+
+SQL["stored_runs"] = _with(SCORED) + """
+SELECT run_id, true AS has_scored, false AS has_issues, CAST(COUNT(*) AS BIGINT) AS n, CAST(SUM(l_orderkey) AS BIGINT) AS keys
+FROM scored WHERE run_id <> (SELECT MAX(run_id) FROM scored) GROUP BY run_id
+"""
+
+SQL["row_numbers"] = """
+WITH base AS (
+  SELECT o_orderkey, o_orderstatus, ROW_NUMBER() OVER (ORDER BY o_orderkey) - 1 AS row_index FROM orders
+), hashed AS (
+  SELECT *, md5(concat('42|', CAST(row_index AS VARCHAR))) AS h FROM base
+), cnt AS (
+  SELECT o_orderstatus AS label, COUNT(*) AS c FROM base GROUP BY 1
+), tot AS (
+  SELECT SUM(c) AS n, CAST(CEIL(SUM(c) * 0.25) AS BIGINT) AS n_test FROM cnt
+), alloc AS (
+  SELECT label, c, (c * (n - n_test)) // n AS fl, (c * (n - n_test)) % n AS rem, n - n_test AS n_train FROM cnt, tot
+), ranked AS (
+  SELECT *, ROW_NUMBER() OVER (ORDER BY rem DESC, label) AS rr, n_train - SUM(fl) OVER () AS short FROM alloc
+), quota AS (
+  SELECT label, c - (fl + CASE WHEN rr <= short THEN 1 ELSE 0 END) AS q FROM ranked
+)
+SELECT o_orderkey, o_orderstatus, CAST(row_index AS BIGINT) AS row_index,
+       ROW_NUMBER() OVER (PARTITION BY o_orderstatus ORDER BY h, row_index) <= q AS is_test
+FROM hashed JOIN quota ON o_orderstatus = label
+"""

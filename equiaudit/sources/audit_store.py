@@ -8,8 +8,11 @@ run leaves the others alone and reading one run prunes to its folder.
 
 from __future__ import annotations
 
+import time
+import uuid
 from typing import Mapping, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
@@ -30,12 +33,70 @@ def write_audit_table(df: DataFrame, root: str, name: str) -> str:
 
 
 def read_audit_table(spark: SparkSession, root: str, name: str, run_id: str | None = None) -> DataFrame:
-    """Read an audit table; a run filter prunes to that run's folder.  Run ids stay text ("007")."""
+    """Read an audit table; a run filter prunes to that run's folder.  Run ids stay text ("007").
+
+    Of tables that a :class:`RunWriter` wrote, only committed runs are seen, each as of its last commit."""
     path = f"{root.rstrip('/')}/{name}"
     found = spark.read.parquet(path).schema
-    as_text = StructType([StructField(f.name, StringType()) if f.name == "run_id" else f for f in found.fields])
+    as_text = StructType([StructField(f.name, StringType()) if f.name in ("run_id", _ATTEMPT) else f
+                          for f in found.fields])
     df = spark.read.schema(as_text).parquet(path)
-    return df.where(F.col("run_id") == F.lit(str(run_id))) if run_id is not None else df
+    if run_id is not None:
+        df = df.where(F.col("run_id") == F.lit(str(run_id)))
+    if _ATTEMPT not in df.columns:
+        return df
+    last = committed_runs(spark, root).select("run_id", _ATTEMPT)  # one row per run
+    return df.join(last, ["run_id", _ATTEMPT], "left_semi").drop(_ATTEMPT)
+
+
+_ATTEMPT, _COMMITS = "attempt", "commits"
+
+
+class RunWriter:
+    """The tables of one run, seen by readers all at once or not at all.
+
+    Each attempt writes its tables into folders of its own; ``commit`` then writes one record that names the attempt
+    and its tables, after which readers see them.  A run that is interrupted is never listed, and one that is written
+    again is seen as it was until the new attempt is committed."""
+
+    def __init__(self, spark: SparkSession, root: str, run_id: str):
+        self.spark, self.root, self.run_id = spark, root.rstrip("/"), str(run_id)
+        self.attempt = f"{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"  # attempts follow each other by name
+        self.tables: list[str] = []
+
+    def write(self, df: DataFrame, name: str) -> DataFrame:
+        """Write a table of the run; returns it as it was written, before the commit too."""
+        path = f"{self.root}/{name}"
+        own = df.drop("run_id")
+        own.withColumns({"run_id": F.lit(self.run_id), _ATTEMPT: F.lit(self.attempt)}).write.mode("append").partitionBy(
+            "run_id", _ATTEMPT).parquet(path)
+        self.tables.append(name)
+        fields = StructType([*own.schema.fields, StructField("run_id", StringType()), StructField(_ATTEMPT, StringType())])
+        return self.spark.read.schema(fields).parquet(path).where(
+            (F.col("run_id") == self.run_id) & (F.col(_ATTEMPT) == self.attempt)).drop(_ATTEMPT)
+
+    def commit(self) -> None:
+        row = [(self.run_id, self.attempt, sorted(set(self.tables)))]
+        self.spark.createDataFrame(row, f"run_id string, {_ATTEMPT} string, tables array<string>").coalesce(1).write.mode(
+            "append").parquet(f"{self.root}/{_COMMITS}")
+
+
+def committed_runs(spark: SparkSession, root: str) -> DataFrame:
+    """(run_id, attempt, tables): the last commit of every run."""
+    schema = f"run_id string, {_ATTEMPT} string, tables array<string>"
+    try:
+        rows = spark.read.schema(schema).parquet(f"{root.rstrip('/')}/{_COMMITS}")
+    except AnalysisException:  # no run is committed yet
+        return spark.createDataFrame([], schema)
+    return rows.groupBy("run_id").agg(F.max(F.struct(_ATTEMPT, "tables")).alias("c")).select("run_id", "c.*")
+
+
+def stored_catalogue(spark: SparkSession, root: str, names: Sequence[str]) -> DataFrame:
+    """A12 from the commits: (run_id, has_<name>...), newest first; no table of a run is read."""
+    return committed_runs(spark, root).select(
+        "run_id", *[F.array_contains("tables", n).alias(f"has_{n}") for n in names]).orderBy(F.desc("run_id"))
+
+
 
 
 def write_rates_csv(rates: DataFrame, path: str) -> str:
