@@ -26,9 +26,8 @@ columns of the pages are ignored.  No pages give no rows.
 from __future__ import annotations
 
 import base64
-import gzip
 import hashlib
-import io
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -118,31 +117,90 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: st
      .option("maxRecordsPerFile", records_per_file).text(path))
 
 
+class _Lines:
+    """The lines and blocks of an archive, inflated member by member as they are asked for.  Where a compressed one is
+    cut or damaged, ``broken`` tells how, and what came before is its end."""
+
+    def __init__(self, content: bytes):
+        self.broken: str | None = None
+        parts = (content[i:i + (1 << 20)] for i in range(0, len(content), 1 << 20))
+        self.parts = self._inflated(content) if content[:2] == b"\x1f\x8b" else parts
+        self.held, self.at = b"", 0
+
+    def _inflated(self, content: bytes) -> Iterator[bytes]:
+        rest = memoryview(content)
+        try:
+            while len(rest) and bytes(rest[:1 << 16]).strip(b"\0"):
+                member = zlib.decompressobj(31)
+                while not member.eof:
+                    if not len(rest):
+                        self.broken = "archive ends early"
+                        return
+                    part, rest = rest[:1 << 16], rest[1 << 16:]
+                    while not member.eof and len(part):
+                        yield member.decompress(part, 1 << 20)
+                        part = member.unconsumed_tail
+                    if member.unused_data:
+                        rest = memoryview(content)[len(content) - len(rest) - len(member.unused_data):]
+        except zlib.error as e:
+            self.broken = f"archive cannot be read on: {e}"
+
+    def _more(self) -> bool:
+        part = next(self.parts, None)
+        if part is None:
+            return False
+        self.held, self.at = self.held[self.at:] + part, 0
+        return True
+
+    def line(self) -> bytes:
+        seen = self.at
+        while (end := self.held.find(b"\n", seen)) < 0:
+            seen = len(self.held) - self.at
+            if not self._more():
+                end = len(self.held) - 1
+                break
+        out, self.at = self.held[self.at:end + 1], end + 1
+        return out
+
+    def block(self, size: int) -> bytes:
+        parts = []
+        while size > 0 and (self.at < len(self.held) or self._more()):
+            part = self.held[self.at:self.at + size]
+            self.at += len(part)
+            size -= len(part)
+            parts.append(part)
+        return b"".join(parts)
+
+
 def _parse(content: bytes, payloads: bool) -> Iterator[dict]:
-    raw: io.BufferedIOBase = io.BytesIO(content)
-    if content[:2] == b"\x1f\x8b":
-        raw = io.BufferedReader(gzip.GzipFile(fileobj=raw), 1 << 20)  # streams from member to member
-    while line := raw.readline():
+    """A row for each record.  Lines that belong to no record give one row with an error, and reading goes on at the next
+    version line; a record or an archive that ends early gives one too."""
+    raw = _Lines(content)
+    lost = False
+    while line := raw.line():
         if not line.strip():
             continue
         row: dict = {"concurrent_to": [], "fields": []}
         if not line.startswith(b"WARC/"):
-            yield row | {"error": "no version line"}
-            return
+            if not lost:
+                yield row | {"error": "no version line"}
+            lost = True
+            continue
+        lost = False
         head: dict[str, str] = {}
-        while (line := raw.readline()).strip():
+        while (line := raw.line()).strip():
             name, _, value = line.decode("utf-8", "replace").partition(":")
             name, value = name.strip().lower(), value.strip()
             if name == "warc-concurrent-to":
                 row["concurrent_to"].append(value)
             head[name] = value
         size = int(n) if (n := head.get("content-length", "")).isdigit() else 0
-        block = raw.read(size)
+        block = raw.block(size)
         row |= {"record_id": head.get("warc-record-id"), "type": head.get("warc-type"), "date": head.get("warc-date"),
                 "target_uri": head.get("warc-target-uri"), "refers_to_uri": head.get("warc-refers-to-target-uri")}
         told = head.get("warc-payload-digest", "").rpartition(":")[2] or None
         if len(block) < size:
-            yield row | {"error": "ends early"}
+            yield row | {"error": raw.broken or "ends early"}
             return
         kind = head.get("content-type", "")
         if kind.startswith("application/warc-fields"):
@@ -156,6 +214,8 @@ def _parse(content: bytes, payloads: bool) -> Iterator[dict]:
             row |= {"payload_bytes": len(payload), "payload_digest": found, "digest_ok": told in (None, found),
                     "payload": payload if payloads else None}
         yield row
+    if raw.broken:
+        yield {"concurrent_to": [], "fields": [], "error": raw.broken}
 
 
 def read_warc(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:

@@ -65,4 +65,32 @@ def test_links_in_both_directions_and_over_a_request(spark, tmp_path):
 def test_damaged_records():
     whole = record("response", "a")
     assert [r.get("error") for r in _parse(whole + whole[:-8], True)] == [None, "ends early"]
-    assert [r.get("error") for r in _parse(b"junk\r\n" + whole, True)] == ["no version line"]
+    assert [r.get("error") for r in _parse(b"junk\r\nmore\r\n" + whole, True)] == ["no version line", None]
+
+
+def test_cut_and_damaged_archives_give_error_rows(spark, tmp_path):
+    record = b"WARC/1.1\r\nWARC-Type: resource\r\nWARC-Record-ID: <a>\r\nContent-Length: 30000\r\n\r\n" + bytes(
+        (7 * i * i) % 251 for i in range(30_000)) + b"\r\n\r\n"
+    one, other = gzip.compress(record), gzip.compress(record.replace(b"<a>", b"<b>"))
+    assert [r.get("error") for r in _parse(one + other, True)] == [None, None]
+    cut = list(_parse(one + other[:-200], True))
+    assert cut[0].get("error") is None and cut[-1]["error"] == "archive ends early"
+    broken = bytearray(other)
+    broken[len(broken) // 2] ^= 0xFF
+    hurt = list(_parse(one + bytes(broken), True))
+    assert hurt[0].get("error") is None and hurt[-1]["error"]
+    assert [r.get("error") for r in _parse(one + b"no gzip member", True)][0] is None
+    for name, content in (("whole", one + other), ("cut", one + other[:50]), ("stub", one[:12])):
+        (tmp_path / f"{name}.warc.gz").write_bytes(content)
+    rows = read_warc(spark, str(tmp_path)).collect()
+    assert sorted(r.record_id for r in rows if r.error is None) == ["<a>", "<a>", "<b>"]
+    assert sum(r.error is not None for r in rows) >= 2
+
+
+def test_pages_with_other_columns(spark):
+    from pyspark.sql import functions as F
+
+    pages = spark.createDataFrame([(1, "http://h/x", "a"), (2, None, None), (3, "http://h/y", "a")],
+                                  "page_id long, url string, html string")
+    clash = pages.withColumns({"digest": F.lit(1), "body": F.lit("x"), "row": F.lit(2), "type": F.lit("t")})
+    assert sorted(map(str, pages_through_archives(clash).collect())) == sorted(map(str, pages_through_archives(pages).collect()))
