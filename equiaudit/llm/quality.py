@@ -1,13 +1,16 @@
 """Quality rules as a short-circuit cascade (operator 7).
 
-Every document gets its measures (``measures``).  The rules are conditions on
-measures.  On a sample of rows the cascade estimates, for each rule, the share
-of rows that it rejects (selectivity) and its work (cost: characters, words or
-lines touched, times the rule's weight), and orders the rules by rejections per
-cost.  The ordered rules become one ``CASE WHEN``: Spark evaluates a branch
-only for rows that no earlier rule has rejected, and the branch that fires
-names the rejecting rule.  The verdict is the conjunction of all rules, so the
-sample decides about speed only.
+Every document gets its measures (``measures``), which the result shows.  The
+rules are conditions on measures and on what they compute from the row's words
+themselves.  On a sample of rows, chosen by a hash of the id, the cascade
+estimates for each rule the share of rows that it rejects (selectivity) and its
+work (cost: characters, words or lines touched, times the rule's weight), and
+picks one rule after the other: the one with most rejections per cost among the
+rows that the earlier ones leave.  The ordered rules become one ``CASE WHEN``:
+Spark evaluates a branch, and what is computed inside it, only for rows that no
+earlier rule has rejected, and the branch that fires names the rejecting rule.
+The verdict is the conjunction of all rules, so the sample decides about speed
+only.
 
 Defined cases: a null text has no words and fails the base rule; empty and
 white-space texts likewise.  Measures are per row, so repeated rows get equal
@@ -23,7 +26,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from equiaudit.llm.common import WHITE, WORD, text_or_empty
+from equiaudit.llm.common import WHITE, WORD, text_or_empty, training_sample
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
@@ -31,8 +34,8 @@ WINDOW = 8
 
 @dataclass(frozen=True)
 class Rule:
-    """``rejects`` is an SQL condition on measures (null counts as false); the cost of one
-    evaluation is ``weight`` times the row's ``unit`` (n_chars, n_words, n_lines, or 1)."""
+    """``rejects`` is an SQL condition on measures and on ``words``, the row's words (null counts as false); the cost of
+    one evaluation is ``weight`` times the row's ``unit`` (n_chars, n_words, n_lines, or 1)."""
 
     name: str
     rejects: str
@@ -50,13 +53,13 @@ RULES = (
     Rule("word_length", "word_chars < 2 * n_words or word_chars > 20 * n_words", "n_chars", 1.0),
     Rule("symbols", "10 * n_symbols > 3 * n_words", "n_chars", 1.0),
     Rule("repeated_lines", "n_dup_lines >= 2 and 10 * n_dup_lines > 3 * n_lines", "n_lines", 8.0),
-    Rule("few_letters", "2 * n_letter_words < n_words", "n_words", 4.0),
+    Rule("few_letters", r"2 * size(filter(words, w -> w rlike '\\p{L}')) < n_words", "n_words", 4.0),
 )
-SAMPLE_SHARE, SAMPLE_ROWS = 0.05, 2_000
+SAMPLE_ROWS = 2_000
 
 
 def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_chars, n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_letter_words, n_repeat_words)."""
+    """(doc_id, n_chars, n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words, words)."""
     df = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"))
     text = F.col("text")
     df = df.withColumns({
@@ -71,7 +74,7 @@ def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long").alias("n_symbols"),
         F.size("lines").cast("long").alias("n_lines"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
-        F.size(F.filter("words", lambda w: w.rlike(r"\p{L}"))).cast("long").alias("n_letter_words"),
+        "words",
         F.transform("words", lambda w: F.xxhash64(w)).alias("codes"),
     )
     return _repeated_words(df).drop("codes")
@@ -97,18 +100,29 @@ def _repeated_words(df: DataFrame) -> DataFrame:
     return df.select(*kept, F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"))
 
 
-def cascade_order(measured: DataFrame, rules: Sequence[Rule] = RULES, share: float = SAMPLE_SHARE,
-                  rows: int = SAMPLE_ROWS, seed: int = 7) -> list[tuple[Rule, float, float]]:
-    """The rules as (rule, share rejected, cost) by rejections per cost on a sample, the best first.
-
-    ``take`` stops reading as soon as the sample is full; it brings at most ``rows`` rows of numbers here."""
+def cascade_order(docs: DataFrame, rules: Sequence[Rule] = RULES, id_col: str = "doc_id", text_col: str = "text",
+                  rows: int = SAMPLE_ROWS) -> list[tuple[Rule, float, float]]:
+    """The rules as (rule, share rejected, cost), each the best by rejections per cost among the rows that those before
+    it leave.  Only about ``rows`` rows, chosen by a hash of the id, are measured; their flags and sizes come here."""
+    sample = measures(training_sample(docs, id_col, rows, "quality"), id_col, text_col)
     flags = [F.expr(f"coalesce(cast(({r.rejects}) as int), 0)").alias(f"r{i}") for i, r in enumerate(rules)]
     units = [F.expr(f"cast({r.unit} as double)").alias(f"u{i}") for i, r in enumerate(rules)]
-    sample = measured.sample(share, seed).select(*flags, *units).take(rows)
-    n = max(1, len(sample))
-    rated = [(r, sum(x[f"r{i}"] for x in sample) / n, max(1e-9, r.weight * sum(x[f"u{i}"] for x in sample) / n))
-             for i, r in enumerate(rules)]
-    return sorted(rated, key=lambda x: -x[1] / x[2]) if sample else rated
+    return _picked(list(rules), sample.select(*flags, *units).limit(4 * rows).collect())
+
+
+def _picked(rules: list[Rule], sample: list) -> list[tuple[Rule, float, float]]:
+    left, open_rules, out = sample, list(range(len(rules))), []
+    while open_rules:
+        n = max(1, len(left))
+
+        def rated(i: int, left=left, n=n) -> tuple[float, float]:
+            return sum(x[f"r{i}"] for x in left) / n, max(1e-9, rules[i].weight * sum(x[f"u{i}"] for x in left) / n)
+
+        best = max(open_rules, key=lambda i: (rated(i)[0] / rated(i)[1], -i))
+        out.append((rules[best], *rated(best)))
+        open_rules.remove(best)
+        left = [x for x in left if not x[f"r{best}"]]
+    return out
 
 
 def first_rejection(rules: Sequence[Rule]) -> Column:
@@ -123,8 +137,7 @@ def quality_cascade(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                     rules: Sequence[Rule] = RULES) -> DataFrame:
     """The measures of every row, ``base_failed``, ``rejected_by`` (of ``rules``, for rows that pass the base) and
     ``kept``."""
-    measured = measures(docs, id_col, text_col)
-    ordered = [r for r, _, _ in cascade_order(measured, rules)]
-    out = measured.withColumn("base_failed", first_rejection(base).isNotNull())
-    out = out.withColumn("rejected_by", F.when(~F.col("base_failed"), first_rejection(ordered)))
+    ordered = [r for r, _, _ in cascade_order(docs, rules, id_col, text_col)]
+    out = measures(docs, id_col, text_col).withColumn("base_failed", first_rejection(base).isNotNull())
+    out = out.withColumn("rejected_by", F.when(~F.col("base_failed"), first_rejection(ordered))).drop("words")
     return out.withColumn("kept", ~F.col("base_failed") & F.col("rejected_by").isNull())

@@ -51,7 +51,28 @@ def test_verdict_does_not_depend_on_the_order(docs_of, prose):
 
 def test_order_by_rejections_per_cost(docs_of, prose):
     texts = [prose(30, i) + (" #$%&" * 10 if i % 2 else "") for i in range(60)]
-    ordered = cascade_order(measures(docs_of(*enumerate(texts))), RULES, share=1.0)
+    ordered = cascade_order(docs_of(*enumerate(texts)), RULES)
     assert ordered[0][0].name == "symbols" and ordered[0][1] == 0.5
-    assert [r for r, _, _ in cascade_order(measures(docs_of()), RULES)] == list(RULES)
+    assert all(share == 0 for _, share, _ in ordered[1:])  # among the rows that are left
+    assert [r for r, _, _ in cascade_order(docs_of(), RULES)] == list(RULES)
     assert {r.name for r in BASE} == {"few_words", "repeated_windows"}
+
+
+def test_costly_conditions_are_inside_their_branches(docs_of, prose):
+    """The words of a row are looked at letter by letter only where no earlier rule has rejected it."""
+    out = quality_cascade(docs_of((1, prose(30, 1))))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("p{L}") == 1
+    line = next(x for x in plan.split("\n") if "p{L}" in x)
+    assert line.index("CASE WHEN") < line.index("p{L}")  # no measure of its own
+    assert "words" not in out.columns
+
+
+def test_other_columns_and_long_texts(docs_of, prose):
+    from pyspark.sql import functions as F
+
+    text = "\n".join(prose(12, i) for i in range(8_000))
+    df = docs_of((1, text), (None, prose(30, 2)), (1, text)).withColumns(
+        {"n_words": F.lit("clash"), "words": F.lit("clash"), "kept": F.lit(0)})
+    got = [r for r in quality_cascade(df).collect() if r.doc_id == 1]
+    assert len(got) == 2 and got[0] == got[1] and got[0].n_words == 96_000 and got[0].kept
