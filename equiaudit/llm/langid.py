@@ -44,6 +44,8 @@ MAX_CELLS = 8_000_000
 PENALTY = -16.0
 #: How sharply distances between mean log frequencies become shares.
 SHARPNESS = 1.0
+#: Characters of a run that tells something, and words of a text of which something must be known.
+DEEP, MIN_WORDS = 3, 20
 _LETTERS = re.compile(r"[^\W\d_]+")
 #: Scores of unseen words that a task remembers; when full, it starts afresh.
 _REMEMBERED = 100_000
@@ -106,6 +108,43 @@ class Scorer:
         return self.m.languages[best], float(1 / np.exp(SHARPNESS * (mean - mean[best])).sum())
 
 
+class Evidence(Scorer):
+    """Also tells how much of a text the model knows: the share of its words that are known as a whole or hold a known
+    run of ``DEEP`` characters.  Noise and writing that no learned language has share little with the model."""
+
+    def __init__(self, model: LanguageModel):
+        super().__init__(model)
+        self.deep: dict[str, bool] = {}
+
+    def _known(self, word: str) -> bool:
+        if word in self.m.words:
+            return True
+        got = self.deep.get(word)
+        if got is None:
+            if len(self.deep) >= _REMEMBERED:
+                self.deep.clear()
+            padded = f" {word} "
+            got = self.deep[word] = any(padded[i:i + DEEP] in self.m.grams for i in range(len(padded) - DEEP + 1))
+        return got
+
+    def known_share(self, text: str | None) -> tuple[int, float]:
+        """Number of words, and the share of them that the model knows something of."""
+        words = letter_words(text)
+        return len(words), sum(map(self._known, words)) / len(words) if words else 0.0
+
+
+def least_known_shares(rows: DataFrame, model: LanguageModel, text_col: str = "text", lang_col: str = "lang",
+                       share: float = 0.5, quantile: float = 0.005, min_words: int = MIN_WORDS,
+                       min_rows: int = 50) -> dict[str, float]:
+    """By language, how much of a text of ``min_words`` words the model must know: ``share`` of what all but a
+    ``quantile`` of labelled ``rows`` (not those it was trained on) reach.  0 where fewer than ``min_rows`` tell."""
+    told = identify(rows, model, text_col, ("__lang", "__score", "__words", "__known")).where(
+        F.col("__words") >= min_words)
+    found = told.groupBy(F.col(lang_col).alias("lang")).agg(
+        F.count(F.lit(1)).alias("n"), F.percentile_approx("__known", quantile).alias("least")).collect()
+    return {r["lang"]: share * r["least"] if r["n"] >= min_rows else 0.0 for r in found}
+
+
 def train(rows: DataFrame, text_col: str = "text", lang_col: str = "lang", max_words: int = MAX_WORDS,
           max_grams: int = MAX_GRAMS, max_gram: int = MAX_GRAM) -> LanguageModel:
     """Learn from all of ``rows`` with a label; take a sample first."""
@@ -170,24 +209,28 @@ def train(rows: DataFrame, text_col: str = "text", lang_col: str = "lang", max_w
 
 
 def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text",
-             out: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
-    """All columns of ``docs`` and two more, named by ``out``: the language and its score."""
-    from pyspark.sql.types import DoubleType, StringType, StructField, StructType
+             out: tuple[str, ...] = ("lang_pred", "score")) -> DataFrame:
+    """All columns of ``docs`` and more, named by ``out``: the language and its score, with four names also the number
+    of words and the share of them that the model knows (see :class:`Evidence`)."""
+    from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    at = docs.columns.index(text_col)
-    schema = StructType([*docs.schema.fields, StructField(out[0], StringType()),
-                         StructField(out[1], DoubleType())])
+    at, more = docs.columns.index(text_col), len(out) > 2
+    kinds = (StringType(), DoubleType(), LongType(), DoubleType())
+    schema = StructType([*docs.schema.fields, *[StructField(n, k) for n, k in zip(out, kinds)]])
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(shared.value)
+        scorer = Evidence(shared.value) if more else Scorer(shared.value)
         for whole in batches:
             for i in range(0, whole.num_rows, 256):
                 batch = whole.slice(i, 256)
-                found = [scorer(t) for t in batch.column(at).to_pylist()]
-                yield pa.RecordBatch.from_arrays(
-                    [*batch.columns, pa.array([x for x, _ in found], pa.string()),
-                     pa.array([x for _, x in found], pa.float64())], names=schema.names)
+                texts = batch.column(at).to_pylist()
+                found = [scorer(t) for t in texts]
+                columns = [pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())]
+                if more:
+                    known = [scorer.known_share(t) for t in texts]
+                    columns += [pa.array([x for x, _ in known], pa.int64()), pa.array([x for _, x in known], pa.float64())]
+                yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=schema.names)
 
     return docs.mapInArrow(predict, schema)
 

@@ -15,7 +15,7 @@ ROOT = Path(__file__).resolve().parents[2]
 
 def test_registered():
     names = [m[1] for n in entry.queries() if (m := re.match(r"op(\d+)_", n))]
-    assert sorted(map(int, names)) == list(range(1, 11)) and "pipeline" in entry.queries()
+    assert sorted(map(int, names)) == list(range(1, 14)) and "pipeline" in entry.queries()
     assert set(SQL) <= set(entry.queries())
     assert [n for n, _ in cp.STAGES] == ["language_id", "line_dedup", "near_dedup", "mixture", "packing"]
 
@@ -51,6 +51,23 @@ def test_clean_short_texts_pass_with_any_number_of_languages(spark, docs_of, tmp
     assert sorted(r["doc_id"] for r in got.collect()) == [*range(60), 100, 101, 102, 103] and len(got.columns) == 5
 
 
+@pytest.mark.parametrize("languages", [1, 4, 20])
+def test_noise_goes_and_missing_languages_are_filled(spark, docs_of, tmp_path, languages):
+    """Each language has words of its own; noise has the letters of none."""
+    rnd = random.Random(languages)
+    words = [["".join(rnd.choices("abcdefghij", k=rnd.randint(3, 8))) for _ in range(80)] for _ in range(languages)]
+    rows = [(i, " ".join(rnd.choices(words[i % languages], k=30)), f"l{i % languages}") for i in range(300 * languages)]
+    noise = [(10_000 + i, " ".join("".join(rnd.choices("qxzvkw", k=6)) for _ in range(40)), None) for i in range(5)]
+    foreign = (11_000, " ".join("".join(rnd.choices("жщлюяэф", k=6)) for _ in range(40)), None)
+    short = (12_000, "qxzv kwq", None)
+    unlabelled = [(13_000 + k, " ".join(rnd.choices(words[k], k=30)), None) for k in range(languages)]
+    got = {r["doc_id"]: r["lang"] for r in cp.language(
+        spark, docs_of(*rows, *noise, foreign, short, *unlabelled), str(tmp_path)).collect()}
+    assert set(got) == {i for i, *_ in rows} | {12_000} | {i for i, *_ in unlabelled}
+    assert all(got[i] == lang for i, _, lang in rows)
+    assert all(got[13_000 + k] == f"l{k}" for k in range(languages))
+
+
 def test_short_lines_repeated(spark, docs_of, prose, tmp_path):
     docs = docs_of((1, f"Les.\n{prose(30, 1)}"), (2, f"{prose(30, 2)}\nLes.\n\nLes"), (3, "Les."))
     got = {r["doc_id"]: (r["text"], r["n_chars"]) for r in cp.lines(spark, docs, str(tmp_path)).collect()}
