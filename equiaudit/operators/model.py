@@ -10,7 +10,7 @@ extra "unseen" index and the encoder drops that last slot.
 from __future__ import annotations
 
 from dataclasses import dataclass
-from typing import Sequence
+from typing import TYPE_CHECKING, Sequence
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
@@ -26,6 +26,9 @@ from equiaudit.operators.ranking import auc as auc_of
 from equiaudit.operators.shift import split_feature_types
 from equiaudit.session import spread
 
+if TYPE_CHECKING:
+    from equiaudit.operators.wide_model import WideModel
+
 
 @dataclass
 class FeaturePrep:
@@ -35,6 +38,7 @@ class FeaturePrep:
     modes: dict
     scales: dict | None
     rows: int | None = None
+    most_levels: int = 0  # of a text column, estimated
 
     def apply(self, df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
         """Imputed (and optionally unit-scaled) feature columns next to the ``keep`` columns."""
@@ -54,6 +58,7 @@ class ColumnFacts:
     num_gaps: list
     cat_gaps: list
     deviations: dict
+    most_levels: int
 
 
 def column_facts(df: DataFrame, num: Sequence[str], cat: Sequence[str]) -> ColumnFacts:
@@ -64,13 +69,14 @@ def column_facts(df: DataFrame, num: Sequence[str], cat: Sequence[str]) -> Colum
         x = coerce_numeric(c)
         aggs += [F.max(x.isNull().cast("int")).alias(f"gn{i}"), F.stddev_pop(x).alias(f"sd{i}")]
     for i, c in enumerate(cat):
-        aggs.append(F.max(F.col(c).isNull().cast("int")).alias(f"gc{i}"))
+        aggs += [F.max(F.col(c).isNull().cast("int")).alias(f"gc{i}"), F.approx_count_distinct(c).alias(f"dc{i}")]
     r = df.agg(*aggs).first()
     return ColumnFacts(
         rows=int(r["__rows"]),
         num_gaps=[c for i, c in enumerate(num) if r[f"gn{i}"]],
         cat_gaps=[c for i, c in enumerate(cat) if r[f"gc{i}"]],
         deviations={c: r[f"sd{i}"] for i, c in enumerate(num)},
+        most_levels=max((r[f"dc{i}"] for i in range(len(cat))), default=0),
     )
 
 
@@ -94,9 +100,7 @@ def fit_prep(df: DataFrame, features: Sequence[str], scale: bool) -> FeaturePrep
             filled = df.select(*[F.coalesce(coerce_numeric(c), F.lit(medians.get(c))).alias(c)
                                  for c in facts.num_gaps])
             scales.update(profile.unit_scale_factors(filled, facts.num_gaps))
-    prep = FeaturePrep(num, cat, medians, modes, scales)
-    prep.rows = facts.rows
-    return prep
+    return FeaturePrep(num, cat, medians, modes, scales, facts.rows, facts.most_levels)
 
 
 def build_pipeline(prep: FeaturePrep, max_iter: int, reg_param: float, label_col: str = "__label") -> Pipeline:
@@ -141,16 +145,27 @@ def _fit_prepared(data: DataFrame, prep: FeaturePrep, max_iter: int, positive_la
     return FittedModel(prep, model, known, known.index(str(positive_label)) if str(positive_label) in known else 1)
 
 
+#: Levels of a text column beyond which they are kept in a table, not in a list on the driver.
+LISTED_LEVELS = 10_000
+
+
 def fit(train: DataFrame, features: Sequence[str], label_col: str, positive_label: str, classes: Sequence[str],
-        max_iter: int = 2000, scale: bool = True) -> FittedModel:
+        max_iter: int = 2000, scale: bool = True, listed_levels: int = LISTED_LEVELS) -> FittedModel | WideModel:
     """Imputers (+ unit scaler) + one-hot + L2 logistic regression with C = 1.
 
+    Where a text column has more than ``listed_levels`` values (by a sketch), levels and weights are tables
+    (``wide_model``); the optimum is the same.
+
     The C = 1 objective sum(loss) + ||w||^2 / 2 equals Spark's
     mean(loss) + regParam * ||w||^2 / 2 at regParam = 1 / n_train.
     """
     if len(set(map(str, classes))) != 2:
         raise ValueError(f"logistic regression here takes two classes, not {len(set(map(str, classes)))}")
     prep = fit_prep(train, features, scale)
+    if prep.most_levels > listed_levels:
+        from equiaudit.operators.wide_model import fit_wide
+
+        return fit_wide(train, features, label_col, positive_label, classes, max_iter, scale, prep)
     # fitted on the classes as they are; the configured label only says which one is scored
     second = sorted(str(c) for c in classes)[1]
     data = prep.apply(train, keep=[positive_flag(label_col, second).cast("double").alias("__label")])

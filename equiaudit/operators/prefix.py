@@ -19,7 +19,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from equiaudit.session import shuffle_partitions
+from equiaudit.session import cut_lineage, shuffle_partitions
 
 _BK = "__range_bucket"
 
@@ -101,3 +101,16 @@ def top_k(
         df = df.withColumn("__r1", F.row_number().over(w1)).where(F.col("__r1") <= k).drop("__r1")
     w2 = Window.partitionBy(*by).orderBy(*order)
     return df.withColumn(rank_col, F.row_number().over(w2)).where(F.col(rank_col) <= k)
+
+
+def numbered(df: DataFrame, order: Sequence[Column], by: Sequence[str] = (), name: str = "idx") -> DataFrame:
+    """``df`` with 0, 1, 2 ... in ``order`` within ``by``: rows are range-partitioned and written, so that their ranges
+    hold still, ranges are counted, and a window numbers the rows of one range from where it starts."""
+    by = list(by)
+    ranged = cut_lineage(df.repartitionByRange(*by, *order).withColumn("__part", F.spark_partition_id()))
+    sizes = ranged.groupBy(*by, "__part").agg(F.count(F.lit(1)).alias("__n"))  # ranges and keys, not rows
+    earlier = Window.partitionBy(*by).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    first = sizes.select(*by, "__part", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__first"))
+    inside = F.row_number().over(Window.partitionBy(*by, "__part").orderBy(*order)) - 1
+    return ranged.join(first, [*by, "__part"]).withColumn(name, (F.col("__first") + inside).cast("long")).select(
+        *df.columns, name)

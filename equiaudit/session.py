@@ -10,8 +10,10 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 _LOCAL_CONF = {
     "spark.sql.shuffle.partitions": "8",
@@ -62,6 +64,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame, name: str, schema: StructType | None = None) -> DataFrame:
+    """``df`` written as Parquet below the shared checkpoint folder and read again, with ``schema`` as that (a type of
+    its own may stand for the fields it is kept in)."""
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(schema or df.schema).parquet(path)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     try:
         return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
