@@ -32,7 +32,7 @@ from equiaudit.plans import fixtures as fx
 from equiaudit.session import cut_lineage, ensure_checkpoint_dir
 from equiaudit.sources import audit_store as store
 from equiaudit.sources import documents
-from equiaudit.sources.readers import read_dataset
+from equiaudit.sources.readers import feature_columns, prepare, read_dataset
 from equiaudit.sources.row_numbers import number_rows
 from equiaudit.spec import AuditSpec, DatasetSpec
 
@@ -277,6 +277,7 @@ STATUS_MAP = {"F": "closed", "O": "open"}
 SECTOR_MAP = {"AUTOMOBILE": "industry", "BUILDING": "industry", "MACHINERY": "industry", "HOUSEHOLD": "consumer"}
 PRICE_BINS = (0, 50000, 150000, 300000, 500000)
 PRICE_LABELS = ("low", "mid", "high", "top")
+TIER_MAP = {"low": "small", "mid": "small", "high": "big", "top": "big"}
 PRIORITY_NA = ("4-NOT SPECIFIED", "5-LOW")
 
 
@@ -634,6 +635,53 @@ def q_read_delimited(spark, sf_dir):
                                            columns=text.columns))
 
 
+@query("prepared_dataset")
+def q_prepared_dataset(spark, sf_dir):
+    """A .data file whose columns a JSON file names, prepared; label, attribute and features."""
+    path, names = f"{_scratch(spark, 'orders')}.data", _scratch(spark, "columns")
+    o = fx.table(spark, sf_dir, "orders")
+    o.select(F.concat_ws("   ", "o_orderkey", "o_orderstatus", "o_totalprice").alias("value")).write.text(path)
+    spark.createDataFrame([('{"columns": ["key", "status", "price"]}',)], "value string").coalesce(1).write.text(names)
+    spec = AuditSpec.from_dict({
+        "label_col": "status", "positive_label": "open", "sensitive_cols": ["tier"], "label_map": STATUS_MAP,
+        "derived_columns": {"band": {"type": "bin", "source": "price", "bins": PRICE_BINS, "labels": PRICE_LABELS},
+                            "tier": {"type": "map", "source": "band", "mapping": TIER_MAP}},
+        "dataset": {"path": path, "schema_path": names}})
+    data = prepare(read_dataset(spark, spec.dataset), spec)
+    spec_ops.require_columns(data, [spec.label_col, *spec.sensitive_cols])
+    return data.select(spec.label_col, *spec.sensitive_cols,
+                       *feature_columns(data, spec.label_col, spec.sensitive_cols))
+
+
+@query("pair_shift")
+def q_pair_shift(spark, sf_dir):
+    """Means of a chosen pair of groups."""
+    scored = fx.scored_lineitems(spark, sf_dir)
+    out = shift.numeric_shift(scored, SHIFT_ATTR, shift.split_feature_types(scored, fx.FEATURES)[0],
+                              groups=["MACHINERY", "BUILDING"])
+    return out.select("rank", "feature", "group_a", "group_b",
+                      *[F.round(c, 6).alias(c) for c in ("mean_a", "mean_b", "abs_mean_diff")])
+
+
+@query("feature_store")
+def q_feature_store(spark, sf_dir):
+    """The features of all runs written by run; the newest run read by its folder."""
+    root, rows = _scratch(spark, "features"), fx.scored_lineitems(spark, sf_dir, with_run=True)
+    store.write_audit_table(rows.select("run_id", "l_orderkey", *fx.FEATURES), root, "features")
+    last = store.read_audit_table(spark, root, "features").agg(F.max("run_id")).first()[0]
+    kept = store.read_audit_table(spark, root, "features", last)
+    return kept.groupBy("run_id", "c_mktsegment").agg(F.count(F.lit(1)).alias("n"), F.sum("l_quantity").alias("quantity"),
+                                                      F.max("o_totalprice").alias("top_price"))
+
+
+@query("rates_csv")
+def q_rates_csv(spark, sf_dir):
+    """The rates of all groups as a CSV file, read again."""
+    path = _scratch(spark, "rates")
+    store.write_rates_csv(_rates(spark, sf_dir), path)
+    return read_dataset(spark, DatasetSpec(path=path, format="csv"))
+
+
 @query("score_feature_join")
 def q_score_feature_join(spark, sf_dir):
     """Scored orders joined to per-order line features on the row key."""

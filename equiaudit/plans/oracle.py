@@ -889,3 +889,37 @@ SELECT o_orderkey, o_orderstatus, CAST(row_index AS BIGINT) AS row_index,
        ROW_NUMBER() OVER (PARTITION BY o_orderstatus ORDER BY h, row_index) <= q AS is_test
 FROM hashed JOIN quota ON o_orderstatus = label
 """
+
+# ---------------------------------------------------------------- sources and sinks
+
+SQL["prepared_dataset"] = """
+WITH b AS (
+  SELECT o_orderkey, o_totalprice, CASE CAST(o_orderstatus AS VARCHAR) WHEN 'F' THEN 'closed' WHEN 'O' THEN 'open' END AS status,
+         CASE WHEN o_totalprice > 0 AND o_totalprice <= 50000 THEN 'low'
+              WHEN o_totalprice > 50000 AND o_totalprice <= 150000 THEN 'mid'
+              WHEN o_totalprice > 150000 AND o_totalprice <= 300000 THEN 'high'
+              WHEN o_totalprice > 300000 AND o_totalprice <= 500000 THEN 'top' END AS band
+  FROM orders
+)
+SELECT status, CASE WHEN band IN ('low', 'mid') THEN 'small' WHEN band IN ('high', 'top') THEN 'big' END AS tier,
+       o_orderkey AS key, o_totalprice AS price, band
+FROM b
+"""
+
+SQL["pair_shift"] = _with(SCORED) + ", m AS (\n  " + "\n  UNION ALL ".join(
+    f"SELECT '{c}' AS feature, {i} AS position, AVG(CASE WHEN segment = 'MACHINERY' THEN CAST({c} AS DOUBLE) END) AS mean_a, "
+    f"AVG(CASE WHEN segment = 'BUILDING' THEN CAST({c} AS DOUBLE) END) AS mean_b FROM scored" for i, c in enumerate(NUMERIC)
+) + """
+)
+SELECT CAST(ROW_NUMBER() OVER (ORDER BY ABS(mean_a - mean_b) DESC NULLS FIRST, position) AS INTEGER) AS rank, feature,
+       'MACHINERY' AS group_a, 'BUILDING' AS group_b, ROUND(mean_a, 6) AS mean_a, ROUND(mean_b, 6) AS mean_b,
+       ROUND(ABS(mean_a - mean_b), 6) AS abs_mean_diff
+FROM m
+"""
+
+SQL["feature_store"] = _with(SCORED) + """
+SELECT run_id, c_mktsegment, CAST(COUNT(*) AS BIGINT) AS n, SUM(l_quantity) AS quantity, MAX(o_totalprice) AS top_price
+FROM scored WHERE run_id = (SELECT MAX(run_id) FROM scored) GROUP BY run_id, c_mktsegment
+"""
+
+SQL["rates_csv"] = BASE + "SELECT * FROM rates"

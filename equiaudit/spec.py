@@ -111,13 +111,23 @@ def label_values(df: DataFrame, label_col: str) -> DataFrame:
     return df.select(F.col(label_col).cast("string").alias("value")).where(F.col("value").isNotNull()).distinct()
 
 
-def validate_binary_label(df: DataFrame, label_col: str) -> list[str]:
-    """Raise unless the label has exactly two non-null values; returns them sorted."""
+class LabelError(ValueError):
+    """A label that does not have two values; ``values`` is the table of all it has."""
+
+    def __init__(self, text: str, values: DataFrame):
+        super().__init__(text)
+        self.values = values
+
+
+def validate_binary_label(df: DataFrame, label_col: str, shown: int = 100) -> list[str]:
+    """Raise unless the label has exactly two non-null values; returns them sorted.
+
+    The error's text shows ``shown`` of the values it found, its ``values`` all of them as a table."""
     found = label_values(df, label_col)
     vals = sorted(r["value"] for r in found.limit(3).collect())
     if len(vals) != 2:
-        n, vals = found.count(), [r["value"] for r in found.orderBy("value").limit(100).collect()]
-        raise ValueError(f"label {label_col} must have two values; it has {n}: {vals}" + " and more" * (n > len(vals)))
+        n, vals = found.count(), [r["value"] for r in found.orderBy("value").limit(shown).collect()]
+        raise LabelError(f"label {label_col} must have two values; it has {n}: {vals}" + " and more" * (n > len(vals)), found)
     return vals
 
 
