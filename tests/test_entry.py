@@ -21,7 +21,8 @@ def audit(names):
 def test_oracle_keys_are_queries():
     q, o = E.queries(), E.oracle_sql()
     assert set(o) <= set(q)
-    assert audit(set(q) - set(o)) == {"report_json", "train_score", "proxy_detection", "diagnostics_status"}
+    assert audit(set(q) - set(o)) == {"report_json", "train_score", "proxy_detection", "diagnostics_status",
+                                      "proxy_by_run", "diagnostics_by_run"}
 
 
 def test_fast_queries_run_on_smallest_tables(spark):
