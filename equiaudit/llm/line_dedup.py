@@ -37,6 +37,8 @@ from pyspark.sql import functions as F
 from equiaudit.llm.common import WORD, text_or_empty, written
 
 MAX_EDITS, MIN_CHARS = 1, 20
+#: Removed lines of a document that are looked up one by one.
+FEW_LINES = 64
 #: Common letters of many languages; any others would do, with less effect.
 SIGNATURE = "etaoinsrhl"
 
@@ -200,9 +202,11 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     own = docs.withColumn("__own", F.xxhash64(id_col, text_col))
     both = own.join(gone, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__of")), "left")
     both = both.withColumn("__all", F.split(text_col, "\n"))
-    # by hashing, so in time linear in a document's lines
+    # a few lines are looked up one by one; many by hashing, in time linear in a document's lines
     stay = F.array_except(F.sequence(F.lit(0), F.size("__all") - 1), F.col("__gone"))
-    left = F.transform(stay, lambda i: F.get("__all", i))
+    left = F.when(F.size("__gone") <= FEW_LINES, F.filter(
+        "__all", lambda x, i: ~F.array_contains(F.col("__gone"), i))).otherwise(
+        F.transform(stay, lambda i: F.get("__all", i)))
     text = F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(F.array_join(left, "\n"))
     numbers = [F.coalesce(F.size("__all"), F.lit(0)).cast("long").alias("__lines"),
                F.coalesce(F.size("__gone"), F.lit(0)).cast("long").alias("__removed")] if counts else []
