@@ -173,7 +173,8 @@ def bucket_counts(docs: DataFrame, text_col: str = "text", buckets: int = BUCKET
 def gains(corpus: np.ndarray, target: np.ndarray) -> np.ndarray:
     """By bucket, a thousand times the logarithm of how much more frequent it is in the target, rounded down."""
     k, s_all, t_all = len(corpus), int(corpus.sum()), int(target.sum())
-    return np.array([math.floor(1000 * math.log((t + 1) * (s_all + k) / ((s + 1) * (t_all + k))))
+    # in doubles, product by product
+    return np.array([math.floor(1000 * math.log((t + 1.0) * (s_all + k) / ((s + 1.0) * (t_all + k))))
                      for s, t in zip(corpus.tolist(), target.tolist(), strict=True)], dtype=np.int64)
 
 
