@@ -92,3 +92,17 @@ def test_other_columns_pass_and_repeated_rows_agree(docs_of, prose):
 def test_native(docs_of, prose):
     plan = deduplicated(docs_of((1, prose(9, 1)), (2, prose(9, 1))))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_few_and_many_removed_lines_alike(spark, docs_of, prose):
+    """A document that loses 10, 64, 65 or 5,000 lines keeps the others in order, a first empty line too."""
+    from equiaudit.llm.line_dedup import deduplicated
+
+    lines = [prose(8, i) for i in range(5_000)]
+    docs = [(0, "\n".join(lines))] + [(k, "\n" + "\n".join(
+        x for i, line in enumerate(lines[:n]) for x in ([line, f"own {k} {i} " + prose(9, 10_000 * k + i)] if i < 70 else [line])))
+        for k, n in ((1, 10), (2, 64), (3, 65), (4, 5_000))]
+    got = {r["doc_id"]: r["text"] for r in deduplicated(docs_of(*docs)).collect()}
+    assert got[0] == docs[0][1]
+    for k, n in ((1, 10), (2, 64), (3, 65), (4, 5_000)):
+        assert got[k].split("\n") == [""] + [f"own {k} {i} " + prose(9, 10_000 * k + i) for i in range(min(n, 70))]
