@@ -1,32 +1,37 @@
 """Near-duplicate lines by a segment-partition edit join (operator 3).
 
-A line of at least ``min_chars`` characters is removed if an earlier line (by
-document id, then line number) is equal to it or within ``max_edits``
-insertions, deletions and replacements of single characters.  The first line
-of its kind stays.  Shorter lines stay, unless ``short`` asks for the removal of
-those that are equal to an earlier one and hold a word.
+A line that holds a word is removed if an earlier line (by document id, then
+line number) is equal to it or similar: within a number of insertions,
+deletions and replacements of single characters that grows with the length.
+The shorter line of a pair allows one edit for each ``chars_per_edit`` of its
+characters, ``max_edits`` at most; lines shorter than that are only compared
+for equality.  The first line of its kind stays.
 
 1. Lines are split off and hashed where the texts are read; only hashes are
    shuffled.  Equal lines become one by partial aggregation.
-2. A line is cut into ``max_edits + 1`` even segments, which are indexed by
-   length, number and content.  A similar line has one of the segments
-   unchanged, at a place that its length and the segment's number confine
-   (multi-match-aware selection).  Each line probes the index of all lengths
-   from ``max_edits`` less to its own with those substrings.
-3. A pair that met is verified on its texts by edit distance in a band of
+2. A line that allows e edits is cut into e + 1 even segments, which are
+   indexed by length, number and content.  A similar line that is as long or
+   longer has one of the segments unchanged, at a place that its length and the
+   segment's number confine (multi-match-aware selection).  Each line probes
+   the index of the lengths from ``max_edits`` less to its own, in each length
+   with the segments of the band of lengths that it belongs to.
+3. A pair that met must also agree in a signature, the numbers of eight
+   characters: an edit changes two of them by one at most, so no similar pair
+   is lost.  A segment that more than ``HOT_ROWS`` lines have is split by the
+   first of these numbers, so that its lines are dealt over many tasks and meet
+   those only whose number is near.
+4. What is left is read again.  Of ``4 * max_edits`` pieces of the shorter line
+   an edit spoils one at most, so the others must occur in the longer one; then
+   the pair is verified by edit distance in a band of
    ``2 * max_edits + 1`` diagonals, held in the bits of one number and moved
    along the longer line's characters (bit-parallel, after Hyyrö).
-4. Line numbers to remove go back to their documents.
+5. Line numbers to remove go back to their documents.
 
-To keep frequent segments from making too many pairs, a pair must also agree
-in a signature: parities of the numbers of ten letters.  An edit changes two
-of them at most, so no similar pair is lost.
-
-Defined cases: null and empty texts have no lines to remove and stay as they
-are.  Ids order as Spark orders them, null ids first.  Rows that repeat an id
-and its text are one document: each keeps what the first of them keeps.  Other
-columns pass through ``deduplicated`` unchanged.  An empty table gives an
-empty result.
+Defined cases: null and empty texts, and lines without a word, have nothing to
+remove and stay as they are.  Ids order as Spark orders them, null ids first.
+Rows that repeat an id and its text are one document: each keeps what the first
+of them keeps.  Other columns pass through ``deduplicated`` unchanged.  An empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -36,49 +41,82 @@ from pyspark.sql import functions as F
 
 from equiaudit.llm.common import WORD, text_or_empty, written
 
-MAX_EDITS, MIN_CHARS = 1, 20
+MAX_EDITS, CHARS_PER_EDIT = 2, 20
+#: Lines of one segment beyond which the segment is split.
+HOT_ROWS = 1_000
 #: Removed lines of a document that are looked up one by one.
 FEW_LINES = 64
-#: Common letters of many languages; any others would do, with less effect.
-SIGNATURE = "etaoinsrhl"
+#: Common characters of many languages; any others would do, with less effect.
+SIGNATURE = "etaoinsr"
+
+
+def allowed_edits(length: Column, max_edits: int, chars_per_edit: int) -> Column:
+    """Edits between a line of this length and one that is as long or longer."""
+    return F.least(F.lit(max_edits), F.floor(length / chars_per_edit).cast("int"))
 
 
-def segment_bounds(length: Column, k: int, edits: int) -> tuple[Column, Column]:
+def segment_bounds(length: Column, k: Column, edits: Column) -> tuple[Column, Column]:
     """Start (from 0) and length of segment ``k`` of a line cut into ``edits + 1``; the last ones are longer."""
     parts = edits + 1
-    base, more = F.floor(length / parts).cast("int"), (length % parts).cast("int")
-    longer_before = F.greatest(F.lit(0), F.lit(k) - (F.lit(parts) - more))
-    return base * k + longer_before, base + F.when(F.lit(k) >= F.lit(parts) - more, 1).otherwise(0)
+    base = F.floor(length / parts).cast("int")
+    even = parts - length % parts  # so many segments have no character more
+    return base * k + F.greatest(F.lit(0), k - even), base + (k >= even).cast("int")
 
 
-def _key(line: Column, start: Column, size: Column, length: Column, k: int) -> Column:
-    return F.xxhash64(F.substring(line, start + 1, size), length, F.lit(k))
+def _key(line: Column, start: Column, size: Column, length: Column, k: Column) -> Column:
+    return F.xxhash64(F.substring(line, start + 1, size), length, k)
 
 
-def index_keys(line: Column, length: Column, edits: int) -> list[Column]:
-    return [_key(line, *segment_bounds(length, k, edits), length, k) for k in range(edits + 1)]
+def index_keys(line: Column, length: Column, max_edits: int, chars_per_edit: int) -> Column:
+    edits = allowed_edits(length, max_edits, chars_per_edit)
+    keys = F.transform(F.sequence(F.lit(0), edits),
+                       lambda k: _key(line, *segment_bounds(length, k, edits), length, k))
+    return F.when(edits > 0, keys).otherwise(F.array().cast("array<bigint>"))
 
 
-def probe_keys(line: Column, length: Column, edits: int) -> list[Column]:
-    """Keys of the substrings that segment k of a line ``less`` shorter can be, for less = 0..edits."""
-    out = []
-    for less in range(edits + 1):
-        other = length - less
-        for k in range(edits + 1):
-            start, size = segment_bounds(other, k, edits)
-            left, right = k, edits - k  # edits that may lie before and after
-            for shift in range(max(-left, less - right), min(left, less + right) + 1):
-                key = _key(line, start + shift, size, other, k)
-                out.append(F.when((start + shift >= 0) & (start + shift + size <= length), key))
-    return out
+def probes(max_edits: int) -> list[tuple[int, int, int, int]]:
+    """(edits, less, k, shift): where segment k of a line that is ``less`` shorter and allows ``edits`` can be."""
+    return [(edits, less, k, shift)
+            for edits in range(1, max_edits + 1) for less in range(edits + 1) for k in range(edits + 1)
+            # at most k edits before the segment, and the others after it
+            for shift in range(max(-k, less - (edits - k)), min(k, less + edits - k) + 1)]
+
+
+def probe_keys(line: Column, length: Column, max_edits: int, chars_per_edit: int) -> Column:
+    """Keys of the substrings that segments of lines up to ``max_edits`` shorter, or as long, can be."""
+    fields = ("edits", "less", "k", "shift")
+    places = [F.struct(*[F.lit(x).alias(f) for x, f in zip(p, fields, strict=True)]) for p in probes(max_edits)]
+    if not places:
+        return F.array().cast("array<bigint>")
+
+    def key(p: Column) -> Column:
+        other = length - p["less"]
+        start, size = segment_bounds(other, p["k"], p["edits"])
+        start = start + p["shift"]
+        inside = (start >= 0) & (start + size <= length)
+        return F.when((allowed_edits(other, max_edits, chars_per_edit) == p["edits"]) & inside,
+                      _key(line, start, size, other, p["k"]))
+
+    keys = F.array_compact(F.transform(F.array(*places), key))
+    return F.when(length >= chars_per_edit, keys).otherwise(F.array().cast("array<bigint>"))
 
 
 def signature(line: Column) -> Column:
-    bits = [F.shiftleft((F.octet_length(line) - F.octet_length(F.replace(line, F.lit(c)))) % 2, i)
-            for i, c in enumerate(SIGNATURE)]
-    out = bits[0]
-    for b in bits[1:]:
-        out = out.bitwiseOR(b)
+    """The numbers (255 at most) of eight characters, a byte each."""
+    out = F.lit(0).cast("long")
+    for i, c in enumerate(SIGNATURE):
+        n = F.octet_length(line) - F.octet_length(F.replace(line, F.lit(c)))
+        out = out.bitwiseOR(F.shiftleft(F.least(n, F.lit(255)).cast("long"), 8 * i))
+    return out
+
+
+def signature_distance(a: Column, b: Column) -> Column:
+    def number(x: Column, i: int) -> Column:
+        return F.shiftrightunsigned(x, 8 * i).bitwiseAND(F.lit(255).cast("long"))
+
+    out = F.lit(0).cast("long")
+    for i in range(len(SIGNATURE)):
+        out = out + F.abs(number(a, i) - number(b, i))
     return out
 
 
@@ -134,6 +172,16 @@ def edit_distance(a: Column, b: Column, edits: int) -> Column:
         F.sequence(F.lit(1), F.size(c["b"])), begin, lambda s, j: step(c, s, j), lambda s: s["k"]))
 
 
+def pieces_found(a: Column, b: Column, parts: int) -> Column:
+    """How many of ``parts`` even pieces of ``a`` occur in ``b``: an edit spoils one at most."""
+    n, out = F.char_length(a), F.lit(0)
+    for k in range(parts):
+        start = F.floor(n * k / parts).cast("int")
+        piece = F.substring(a, start + 1, F.floor(n * (k + 1) / parts).cast("int") - start)
+        out = out + F.contains(b, piece).cast("int")
+    return out
+
+
 def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(doc_id, of, no, line): every line of every row; (doc_id, of) names the row."""
     text = text_or_empty(text_col)
@@ -141,16 +189,32 @@ def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.select("doc_id", "of", F.posexplode(F.split("text", "\n")).alias("no", "line"))
 
 
-def similar_lines(first: DataFrame, docs: DataFrame, id_col: str, text_col: str, edits: int) -> DataFrame:
-    """(doc_id, of, no) of every distinct line that has an earlier one within ``edits``.  ``first``: the distinct lines."""
+def meeting_pairs(first: DataFrame, max_edits: int, chars_per_edit: int, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """(a, b): pairs of distinct lines that share a segment and agree in their signatures, a not longer than b."""
     def exploded(keys: str, name: str) -> DataFrame:
         return first.select(F.col("h1").alias(name), F.col("n").alias(f"n{name}"), F.col("signature").alias(f"s{name}"),
-                            F.explode(F.array_compact(keys)).alias("key"))
-
-    met = exploded("index_keys", "a").join(exploded("probe_keys", "b"), "key").where(
+                            F.explode(keys).alias("key"))
+
+    index, probe = exploded("index_keys", "a"), exploded("probe_keys", "b")
+    hot = index.groupBy("key").agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > hot_rows)
+    hot = written(hot.select(F.col("key").alias("hot")), "hot-segments")  # Catalyst broadcasts it by its size
+    none = F.lit(-1).cast("long")
+    first_number = F.col("sb").bitwiseAND(F.lit(255).cast("long"))
+    near = F.sequence(first_number - max_edits, first_number + max_edits)
+    index = index.join(hot, F.col("key") == F.col("hot"), "left").withColumn(
+        "part", F.when(F.col("hot").isNull(), none).otherwise(F.col("sa").bitwiseAND(F.lit(255).cast("long")))).drop("hot")
+    probe = probe.join(hot, F.col("key") == F.col("hot"), "left").withColumn(
+        "part", F.explode(F.when(F.col("hot").isNull(), F.array(none)).otherwise(near))).drop("hot")
+    met = index.join(probe, ["key", "part"]).where(
         ((F.col("na") < F.col("nb")) | (F.col("a") < F.col("b")))
-        & (F.bit_count(F.col("sa").bitwiseXOR(F.col("sb"))) <= 2 * edits))
-    pairs = written(met.select("a", "b").distinct(), "line-pairs")
+        & (signature_distance(F.col("sa"), F.col("sb")) <= 2 * allowed_edits(F.col("na"), max_edits, chars_per_edit)))
+    return met.select("a", "b").distinct()
+
+
+def similar_lines(first: DataFrame, docs: DataFrame, id_col: str, text_col: str, max_edits: int,
+                  chars_per_edit: int) -> DataFrame:
+    """(doc_id, of, no) of every distinct line that has an earlier similar one.  ``first``: the distinct lines."""
+    pairs = written(meeting_pairs(first, max_edits, chars_per_edit), "line-pairs")
 
     # the texts of lines that met, from their documents
     wanted = pairs.select(F.col("a").alias("h1")).unionByName(pairs.select(F.col("b").alias("h1"))).distinct()
@@ -159,45 +223,45 @@ def similar_lines(first: DataFrame, docs: DataFrame, id_col: str, text_col: str,
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(id_col, text_col).alias("own"),
                        text_or_empty(text_col).alias("text"))
     rows = rows.join(wanted, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("own") == F.col("of")))
-    texts = rows.withColumn("lines", F.split("text", "\n")).select("doc_id", "of", "lines", F.explode("wanted").alias("w"))
-    texts = written(texts.select("w.h1", F.struct("doc_id", "of", "w.no").alias("at"),
-                                 F.get("lines", F.col("w.no")).alias("line")).distinct(), "line-texts")
+    rows = rows.withColumn("lines", F.split("text", "\n"))
+    texts = rows.select("doc_id", "of", F.explode(F.transform("wanted", lambda w: F.struct(
+        w["h1"].alias("h1"), w["no"].alias("no"), F.get("lines", w["no"]).alias("line")))).alias("w"))
+    texts = written(texts.select("w.h1", F.struct("doc_id", "of", "w.no").alias("at"), "w.line").distinct(), "line-texts")
     a, b = (texts.select(F.col("h1").alias(x), F.col("at").alias(f"at_{x}"), F.col("line").alias(f"line_{x}"))
             for x in "ab")
-    close = pairs.join(a, "a").join(b, "b").where(edit_distance(F.col("line_a"), F.col("line_b"), edits) <= edits)
+    allowed = allowed_edits(F.char_length("line_a"), max_edits, chars_per_edit)
+    parts = 4 * max_edits
+    close = pairs.join(a, "a").join(b, "b").where(
+        pieces_found(F.col("line_a"), F.col("line_b"), parts) >= parts - allowed).where(
+        edit_distance(F.col("line_a"), F.col("line_b"), max_edits) <= allowed)
     return close.select(F.greatest("at_a", "at_b").alias("at")).select("at.*").distinct()
 
 
-def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = MAX_EDITS,
-                   min_chars: int = MIN_CHARS, short: bool = False) -> DataFrame:
-    """(doc_id, of, no): the lines to remove, numbered from 0.  With ``short``, lines of any length that hold a word are
-    removed where they are equal to an earlier one; only the long ones have keys for the edit join."""
-    least = max(min_chars, 2 * edits + 1)
-    compared = F.char_length("line") >= least
-    lines = lines_of(docs, id_col, text_col).where(compared | F.col("line").rlike(WORD) if short else compared)
+def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_edits: int = MAX_EDITS,
+                   chars_per_edit: int = CHARS_PER_EDIT) -> DataFrame:
+    """(doc_id, of, no): the lines to remove, numbered from 0."""
+    if chars_per_edit <= 2 * max_edits:
+        raise ValueError("chars_per_edit must be more than twice max_edits")
+    lines = lines_of(docs, id_col, text_col).where(F.col("line").rlike(WORD))
     names = {"h1": F.xxhash64("line"), "h2": F.xxhash64(F.lit("line"), F.col("line"))}
     line, n = F.col("line"), F.col("n")
     hashed = lines.withColumns(names | {"n": F.char_length("line")}).select(
         "h1", "h2", "n", F.struct("doc_id", "of", "no").alias("at"), signature(line).alias("signature"),
-        *[F.when(n >= least, k).alias(f"i{i}") for i, k in enumerate(index_keys(line, n, edits))],
-        *[F.when(n >= least, k).alias(f"p{i}") for i, k in enumerate(probe_keys(line, n, edits))])
-    keys = [c for c in hashed.columns if c[0] in "ip"]
-    first = hashed.groupBy("h1", "h2").agg(
-        F.min("at").alias("at"), F.count(F.lit(1)).alias("c"),
-        *[F.any_value(c).alias(c) for c in ["n", "signature", *keys]])
-    first = written(first.select("h1", "h2", "at", "c", "n", "signature", F.array(
-        *[c for c in keys if c[0] == "i"]).alias("index_keys"), F.array(
-        *[c for c in keys if c[0] == "p"]).alias("probe_keys")), "distinct-lines")
-    near = similar_lines(first, docs, id_col, text_col, edits)
+        index_keys(line, n, max_edits, chars_per_edit).alias("index_keys"),
+        probe_keys(line, n, max_edits, chars_per_edit).alias("probe_keys"))
+    first = hashed.groupBy("h1", "h2").agg(F.min("at").alias("at"), F.count(F.lit(1)).alias("c"), *[
+        F.any_value(c).alias(c) for c in ("n", "signature", "index_keys", "probe_keys")])
+    first = written(first, "distinct-lines")
+    near = similar_lines(first, docs, id_col, text_col, max_edits, chars_per_edit)
     own = lines.withColumns(names).select("h1", "h2", F.struct("doc_id", "of", "no").alias("own"))
     again = own.join(first.where("c > 1").select("h1", "h2", "at"), ["h1", "h2"]).where(F.col("own") != F.col("at"))
     return written(again.select("own.*").unionByName(near), "removed-lines")
 
 
-def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edits: int = MAX_EDITS,
-                 min_chars: int = MIN_CHARS, counts: bool = False, short: bool = False) -> DataFrame:
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_edits: int = MAX_EDITS,
+                 chars_per_edit: int = CHARS_PER_EDIT, counts: bool = False) -> DataFrame:
     """``docs`` without the repeated lines, with ``counts`` also __lines and __removed, the numbers of lines."""
-    gone = repeated_lines(docs, id_col, text_col, edits, min_chars, short).groupBy("doc_id", "of").agg(
+    gone = repeated_lines(docs, id_col, text_col, max_edits, chars_per_edit).groupBy("doc_id", "of").agg(
         F.collect_set("no").alias("__gone")).withColumnsRenamed({"doc_id": "__id", "of": "__of"})
     own = docs.withColumn("__own", F.xxhash64(id_col, text_col))
     both = own.join(gone, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__of")), "left")

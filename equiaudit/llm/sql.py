@@ -50,25 +50,37 @@ select d.doc_id, coalesce(n, 0) as n_shingles, component_id, d.doc_id = componen
 from d left join n using (doc_id) join (select doc_id, min(r) as component_id from reach group by 1) using (doc_id)
 """
 
-SQL["op3_line_dedup"] = """
+# levenshtein() counts bytes, so characters are numbered first; right for tables of up to 127 different ones.
+# Rows of pairs are held down by the lengths and by the numbers of five characters, of which an edit changes two by one.
+SQL["op3_line_dedup"] = rf"""
 with d as (select doc_id, text, string_split(text, chr(10)) as lines from documents),
 l as (
-  select doc_id, unnest(range(len(lines))) as no, unnest(lines) as line from d),
-u as (
-  select line, min(row(doc_id, no)) as pos, length(line) as n, string_split(line, '') as c from l
-  where length(line) >= 20 group by line),
-pairs as (
-  select a.line as a, b.line as b, a.n as na, b.n as nb, a.pos as at_a, b.pos as at_b,
-         coalesce(list_position(list_transform(range(1, a.n + 1), lambda i: a.c[i] = b.c[i]), false) - 1, a.n) as p
-  from u a join u b on b.n in (a.n, a.n + 1) and a.line <> b.line and (a.n < b.n or a.line < b.line)),
-close as (
-  select greatest(at_a, at_b) as pos from pairs
-  where case when na = nb then substr(a, p + 2) = substr(b, p + 2) else substr(a, p + 1) = substr(b, p + 2) end),
+  select * from (select doc_id, unnest(range(len(lines))) as no, unnest(lines) as line from d)
+  where regexp_matches(line, '{_WORD}')),
+u as (select line, min(row(doc_id, no)) as pos, length(line) as n from l group by line),
+chars as (
+  select string_agg(c, '' order by c) as c, string_agg(chr(i::int), '' order by c) as code
+  from (select c, row_number() over (order by c) as i
+        from (select distinct unnest(string_split(line, '')) as c from u))),
+coded as (
+  select pos, n, translate(line, chars.c, chars.code) as x, least(2, n // 20) as edits,
+         n - length(replace(line, 'e', '')) as e, n - length(replace(line, ' ', '')) as s,
+         n - length(replace(line, 'n', '')) as k, n - length(replace(line, 'a', '')) as q,
+         n - length(replace(line, 't', '')) as t
+  from u, chars where n >= 20),
+asked as (select *, unnest(range(edits + 1)) as more from coded),
+met as materialized (
+  select a.x as x, b.x as y, a.edits as edits, greatest(a.pos, b.pos) as pos
+  from asked a join coded b on b.n = a.n + a.more
+  where a.pos <> b.pos and (a.more > 0 or a.pos < b.pos)
+    and abs(a.e - b.e) + abs(a.s - b.s) + abs(a.k - b.k) + abs(a.q - b.q) + abs(a.t - b.t) <= 2 * a.edits),
+close as (select pos from met where levenshtein(x, y) <= edits),
 gone as (
   select doc_id, no from l join u using (line) where row(doc_id, no) <> pos or row(doc_id, no) in (select pos from close)),
+every as (select doc_id, unnest(range(len(lines))) as no, unnest(lines) as line from d),
 kept as (
   select doc_id, count(*) as n, string_agg(line, chr(10) order by no) as text
-  from l anti join gone using (doc_id, no) group by doc_id)
+  from every anti join gone using (doc_id, no) group by doc_id)
 select doc_id, coalesce(len(lines), 0) as n_lines, coalesce(len(lines), 0) - coalesce(n, 0) as n_removed,
        sha256(coalesce(kept.text, '')) as kept_sha256
 from d left join kept using (doc_id)

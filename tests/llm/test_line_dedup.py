@@ -1,10 +1,14 @@
 import hashlib
+import itertools
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
-from equiaudit.llm.line_dedup import deduplicated, edit_distance, line_counts
+from equiaudit.llm.line_dedup import deduplicated, edit_distance, line_counts, probes
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
 def distance(a, b):
@@ -17,16 +21,19 @@ def distance(a, b):
     return row[-1]
 
 
-def brute(rows, edits, least):
+def brute(rows, most, per):
     seen, out = [], {}
     for i, t in sorted(rows, key=lambda r: (r[0] is not None, r[0])):
         left = []
         lines = t.split("\n") if t is not None else []
         for x in lines:
-            if len(x) < least or not any(abs(len(x) - len(y)) <= edits and distance(x, y) <= edits for y in seen):
+            if not WORD.search(x):
+                left.append(x)
+                continue
+            if not any(x == y or abs(len(x) - len(y)) <= (e := min(most, min(len(x), len(y)) // per))
+                       and distance(x, y) <= e for y in seen):
                 left.append(x)
-            if len(x) >= least:
-                seen.append(x)
+            seen.append(x)
         out[i] = (len(lines), len(lines) - len(left), hashlib.sha256("\n".join(left).encode()).hexdigest())
     return out
 
@@ -39,22 +46,52 @@ def edited(line, n, rnd):
     return "".join(s)
 
 
-@pytest.mark.parametrize("edits", [0, 1, 2, 3])
-def test_against_brute_force(docs_of, prose, edits):
-    rnd = random.Random(edits)
-    kinds = [prose(rnd.randint(2, 9), i) for i in range(25)]
-    rows = [(i, "\n".join(edited(rnd.choice(kinds), rnd.choice((0, 0, 1, 2, 3)), rnd) for _ in range(rnd.randint(0, 5))))
+@pytest.mark.parametrize("most, per", [(0, 20), (1, 3), (1, 20), (2, 5), (2, 20), (3, 12), (5, 20)])
+def test_against_brute_force(docs_of, prose, most, per):
+    """Lines of all bands of length, and on their edges, with up to one edit more than is allowed."""
+    rnd = random.Random(100 * most + per)
+    kinds = [prose(rnd.randint(1, 16), i) for i in range(25)]
+    kinds += [prose(40, 100 + e)[:per * e + k] for e in range(1, most + 2) for k in (-1, 0, 1, most)]
+    rows = [(i, "\n".join(edited(rnd.choice(kinds), rnd.randint(0, most + 1), rnd) for _ in range(rnd.randint(0, 6))))
             for i in range(70)]
-    rows += [(100, None), (101, ""), (102, "\n\n"), (103, "short\nshort"), (None, kinds[0])]
-    got = {r["doc_id"]: tuple(r)[1:] for r in line_counts(docs_of(*rows), edits=edits, min_chars=10).collect()}
-    assert got == brute(rows, edits, 10)
+    rows += [(100, None), (101, ""), (102, "\n\n"), (103, "Les.\nLes.\nles."), (104, " " * 30 + "\n" + " " * 30),
+             (105, "  \t\n  \t"), (None, kinds[0])]
+    got = {r["doc_id"]: tuple(r)[1:] for r in line_counts(docs_of(*rows), max_edits=most, chars_per_edit=per).collect()}
+    assert got == brute(rows, most, per)
+
+
+@pytest.mark.parametrize("hot_rows", [0, 3])
+def test_split_segments_lose_no_pair(monkeypatch, docs_of, prose, hot_rows):
+    """Lines with one common half: whether their segments are split or not, the same lines go."""
+    from equiaudit.llm import line_dedup
+
+    rnd = random.Random(hot_rows)
+    common = prose(6, 1)
+    rows = [(i, edited(common + " " + prose(5, 10 + i % 40), rnd.randint(0, 3), rnd)) for i in range(150)]
+    pairs = line_dedup.meeting_pairs
+    monkeypatch.setattr(line_dedup, "meeting_pairs", lambda *a: pairs(*a, hot_rows=hot_rows))
+    got = {r["doc_id"]: tuple(r)[1:] for r in line_counts(docs_of(*rows)).collect()}
+    assert got == brute(rows, 2, 20)
+
+
+def test_probes_cover_every_place():
+    """However the edits lie, some segment is unchanged at a probed place (all pairs of gaps tried)."""
+    for edits in (1, 2, 3):
+        places = {(less, k, shift) for e, less, k, shift in probes(edits) if e == edits}
+        for moves in itertools.product((-1, 0, 1), repeat=edits):  # each edit deletes, replaces or inserts
+            for where in itertools.combinations_with_replacement(range(edits + 1), edits):
+                grown = sum(moves)
+                if 0 <= grown:
+                    assert any((grown, k, sum(m for m, w in zip(moves, where, strict=True) if w < k)) in places
+                               for k in range(edits + 1) if k not in where)
 
 
 def test_a_hot_line_and_a_long_one(docs_of, prose):
     hot, long = prose(12, 1), prose(8_000, 2)
-    rows = [(i, f"{hot}\n{prose(10, 100 + i)}") for i in range(300)] + [(500, long), (501, long[:-1] + "Q"), (502, long + "!!")]
+    rows = [(i, f"{hot}\n{prose(10, 100 + i)}") for i in range(300)]
+    rows += [(500, long), (501, long[:-1] + "Q"), (502, long + "!!"), (503, long + "!!!!!")]
     got = {r["doc_id"]: r["n_removed"] for r in line_counts(docs_of(*rows)).collect()}
-    assert {i for i, n in got.items() if not n} == {0, 500, 502}
+    assert {i for i, n in got.items() if not n} == {0, 500, 503}
 
 
 @pytest.mark.parametrize("edits", [1, 2, 4])
@@ -75,10 +112,8 @@ def test_banded_distance(spark, edits):
 def test_equal_short_lines(docs_of, prose):
     p = prose(9, 1)
     df = docs_of((1, f"Les.\n{p}\n \n\nÀ"), (2, "Les.\n \n\nles.\nÀ\nÀ b"), (3, f"{p}x\nLes.\nles.\nLes,"), (4, "Les."))
-    got = {r["doc_id"]: r["text"] for r in deduplicated(df, short=True).collect()}
+    got = {r["doc_id"]: r["text"] for r in deduplicated(df).collect()}
     assert got == {1: f"Les.\n{p}\n \n\nÀ", 2: " \n\nles.\nÀ b", 3: "Les,", 4: ""}
-    kept = {r["doc_id"]: r["text"] for r in deduplicated(df).collect()}
-    assert kept[2] == "Les.\n \n\nles.\nÀ\nÀ b" and kept[4] == "Les."
 
 
 def test_other_columns_pass_and_repeated_rows_agree(docs_of, prose):
