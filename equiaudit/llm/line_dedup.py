@@ -55,23 +55,33 @@ def allowed_edits(length: Column, max_edits: int, chars_per_edit: int) -> Column
     return F.least(F.lit(max_edits), F.floor(length / chars_per_edit).cast("int"))
 
 
-def segment_bounds(length: Column, k: Column, edits: Column) -> tuple[Column, Column]:
+def segment_bounds(length: Column, k: int, edits: int) -> tuple[Column, Column]:
     """Start (from 0) and length of segment ``k`` of a line cut into ``edits + 1``; the last ones are longer."""
     parts = edits + 1
-    base = F.floor(length / parts).cast("int")
-    even = parts - length % parts  # so many segments have no character more
-    return base * k + F.greatest(F.lit(0), k - even), base + (k >= even).cast("int")
+    base, even = F.floor(length / parts).cast("int"), F.lit(parts) - length % parts  # ``even``: those not longer
+    return base * k + F.greatest(F.lit(0), F.lit(k) - even), base + (F.lit(k) >= even).cast("int")
 
 
-def _key(line: Column, start: Column, size: Column, length: Column, k: Column) -> Column:
-    return F.xxhash64(F.substring(line, start + 1, size), length, k)
+def _key(line: Column, start: Column, size: Column, length: Column, k: int) -> Column:
+    return F.xxhash64(F.substring(line, start + 1, size), length, F.lit(k))
+
+
+def _allows(length: Column, edits: int, max_edits: int, chars_per_edit: int) -> Column:
+    """Whether a line of this length is in the band that allows just so many edits."""
+    out = length >= chars_per_edit * edits
+    return out if edits == max_edits else out & (length < chars_per_edit * (edits + 1))
+
+
+def _none() -> Column:
+    return F.array().cast("array<bigint>")
 
 
 def index_keys(line: Column, length: Column, max_edits: int, chars_per_edit: int) -> Column:
-    edits = allowed_edits(length, max_edits, chars_per_edit)
-    keys = F.transform(F.sequence(F.lit(0), edits),
-                       lambda k: _key(line, *segment_bounds(length, k, edits), length, k))
-    return F.when(edits > 0, keys).otherwise(F.array().cast("array<bigint>"))
+    out = _none()
+    for edits in range(1, max_edits + 1):
+        keys = F.array(*[_key(line, *segment_bounds(length, k, edits), length, k) for k in range(edits + 1)])
+        out = F.when(_allows(length, edits, max_edits, chars_per_edit), keys).otherwise(out)
+    return out
 
 
 def probes(max_edits: int) -> list[tuple[int, int, int, int]]:
@@ -84,21 +94,14 @@ def probes(max_edits: int) -> list[tuple[int, int, int, int]]:
 
 def probe_keys(line: Column, length: Column, max_edits: int, chars_per_edit: int) -> Column:
     """Keys of the substrings that segments of lines up to ``max_edits`` shorter, or as long, can be."""
-    fields = ("edits", "less", "k", "shift")
-    places = [F.struct(*[F.lit(x).alias(f) for x, f in zip(p, fields, strict=True)]) for p in probes(max_edits)]
-    if not places:
-        return F.array().cast("array<bigint>")
-
-    def key(p: Column) -> Column:
-        other = length - p["less"]
-        start, size = segment_bounds(other, p["k"], p["edits"])
-        start = start + p["shift"]
+    keys = []
+    for edits, less, k, shift in probes(max_edits):
+        other = length - less
+        start, size = segment_bounds(other, k, edits)
+        start = start + shift
         inside = (start >= 0) & (start + size <= length)
-        return F.when((allowed_edits(other, max_edits, chars_per_edit) == p["edits"]) & inside,
-                      _key(line, start, size, other, p["k"]))
-
-    keys = F.array_compact(F.transform(F.array(*places), key))
-    return F.when(length >= chars_per_edit, keys).otherwise(F.array().cast("array<bigint>"))
+        keys.append(F.when(_allows(other, edits, max_edits, chars_per_edit) & inside, _key(line, start, size, other, k)))
+    return F.array_compact(F.array(*keys)) if keys else _none()
 
 
 def signature(line: Column) -> Column:
