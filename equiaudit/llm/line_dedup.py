@@ -15,11 +15,11 @@ for equality.  The first line of its kind stays.
    segment's number confine (multi-match-aware selection).  Each line probes
    the index of the lengths from ``max_edits`` less to its own, in each length
    with the segments of the band of lengths that it belongs to.
-3. A pair that met must also agree in a signature, the numbers of eight
-   characters: an edit changes two of them by one at most, so no similar pair
-   is lost.  A segment that more than ``HOT_ROWS`` lines have is split by the
-   first of these numbers, so that its lines are dealt over many tasks and meet
-   those only whose number is near.
+3. A pair that met must also agree in a signature, the numbers of twelve
+   characters modulo 32: an edit changes two of them by one at most, so no
+   similar pair is lost.  A segment that more than ``HOT_ROWS`` lines have is
+   split by the first of these numbers, so that its lines are dealt over many
+   tasks and meet those only whose number is near.
 4. What is left is read again.  Of ``4 * max_edits`` pieces of the shorter line
    an edit spoils one at most, so the others must occur in the longer one; then
    the pair is verified by edit distance in a band of
@@ -47,7 +47,7 @@ HOT_ROWS = 1_000
 #: Removed lines of a document that are looked up one by one.
 FEW_LINES = 64
 #: Common characters of many languages; any others would do, with less effect.
-SIGNATURE = "etaoinsr"
+SIGNATURE = " etaoinsrhld"
 
 
 def allowed_edits(length: Column, max_edits: int, chars_per_edit: int) -> Column:
@@ -62,8 +62,9 @@ def segment_bounds(length: Column, k: int, edits: int) -> tuple[Column, Column]:
     return base * k + F.greatest(F.lit(0), F.lit(k) - even), base + (F.lit(k) >= even).cast("int")
 
 
-def _key(line: Column, start: Column, size: Column, length: Column, k: int) -> Column:
-    return F.xxhash64(F.substring(line, start + 1, size), length, F.lit(k))
+def _key(code: Column, start: Column, size: Column, length: Column, k: int) -> Column:
+    """``code``: the line in UTF-32, where a substring is found without counting characters."""
+    return F.xxhash64(F.substring(code, start * 4 + 1, size * 4), length, F.lit(k))
 
 
 def _allows(length: Column, edits: int, max_edits: int, chars_per_edit: int) -> Column:
@@ -76,10 +77,10 @@ def _none() -> Column:
     return F.array().cast("array<bigint>")
 
 
-def index_keys(line: Column, length: Column, max_edits: int, chars_per_edit: int) -> Column:
+def index_keys(code: Column, length: Column, max_edits: int, chars_per_edit: int) -> Column:
     out = _none()
     for edits in range(1, max_edits + 1):
-        keys = F.array(*[_key(line, *segment_bounds(length, k, edits), length, k) for k in range(edits + 1)])
+        keys = F.array(*[_key(code, *segment_bounds(length, k, edits), length, k) for k in range(edits + 1)])
         out = F.when(_allows(length, edits, max_edits, chars_per_edit), keys).otherwise(out)
     return out
 
@@ -92,34 +93,47 @@ def probes(max_edits: int) -> list[tuple[int, int, int, int]]:
             for shift in range(max(-k, less - (edits - k)), min(k, less + edits - k) + 1)]
 
 
-def probe_keys(line: Column, length: Column, max_edits: int, chars_per_edit: int) -> Column:
-    """Keys of the substrings that segments of lines up to ``max_edits`` shorter, or as long, can be."""
-    keys = []
-    for edits, less, k, shift in probes(max_edits):
-        other = length - less
-        start, size = segment_bounds(other, k, edits)
-        start = start + shift
-        inside = (start >= 0) & (start + size <= length)
-        keys.append(F.when(_allows(other, edits, max_edits, chars_per_edit) & inside, _key(line, start, size, other, k)))
-    return F.array_compact(F.array(*keys)) if keys else _none()
+def probe_keys(code: Column, length: Column, max_edits: int, chars_per_edit: int) -> Column:
+    """Keys of the substrings that segments of lines up to ``max_edits`` shorter, or as long, can be, but for the line's
+    own segments, whose keys are the ``index_keys``."""
+    def keys(least: int, always: bool) -> list[Column]:
+        out = []
+        for edits, less, k, shift in probes(max_edits):
+            if edits < least or not (less or shift):
+                continue
+            other = length - less
+            start, size = segment_bounds(other, k, edits)
+            key = _key(code, start + shift, size, other, k)
+            out.append(key if always else F.when(_allows(other, edits, max_edits, chars_per_edit), key))
+        return out
+
+    if not max_edits:
+        return _none()
+    # away from the edges of the bands every key is there
+    return F.when(length >= chars_per_edit * max_edits + max_edits, F.array(*keys(max_edits, True))).when(
+        length >= chars_per_edit, F.array_compact(F.array(*keys(1, False)))).otherwise(_none())
 
 
 def signature(line: Column) -> Column:
-    """The numbers (255 at most) of eight characters, a byte each."""
-    out = F.lit(0).cast("long")
+    """The numbers, modulo 32, of twelve characters, five bits each."""
+    out, rest = F.lit(0).cast("long"), line
     for i, c in enumerate(SIGNATURE):
-        n = F.octet_length(line) - F.octet_length(F.replace(line, F.lit(c)))
-        out = out.bitwiseOR(F.shiftleft(F.least(n, F.lit(255)).cast("long"), 8 * i))
+        without = F.replace(rest, F.lit(c))  # counted in what the ones before have left
+        n = F.octet_length(rest) - F.octet_length(without)
+        out, rest = out.bitwiseOR(F.shiftleft(n.bitwiseAND(F.lit(31)).cast("long"), 5 * i)), without
     return out
 
 
-def signature_distance(a: Column, b: Column) -> Column:
-    def number(x: Column, i: int) -> Column:
-        return F.shiftrightunsigned(x, 8 * i).bitwiseAND(F.lit(255).cast("long"))
+def first_number(signature: Column) -> Column:
+    return signature.bitwiseAND(F.lit(31).cast("long"))
 
+
+def signature_distance(a: Column, b: Column) -> Column:
+    """At most the sum of the differences of the numbers, which are known modulo 32."""
     out = F.lit(0).cast("long")
     for i in range(len(SIGNATURE)):
-        out = out + F.abs(number(a, i) - number(b, i))
+        apart = F.abs(first_number(F.shiftrightunsigned(a, 5 * i)) - first_number(F.shiftrightunsigned(b, 5 * i)))
+        out = out + F.least(apart, 32 - apart)
     return out
 
 
@@ -194,18 +208,18 @@ def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def meeting_pairs(first: DataFrame, max_edits: int, chars_per_edit: int, hot_rows: int = HOT_ROWS) -> DataFrame:
     """(a, b): pairs of distinct lines that share a segment and agree in their signatures, a not longer than b."""
-    def exploded(keys: str, name: str) -> DataFrame:
+    def exploded(keys: Column, name: str) -> DataFrame:
         return first.select(F.col("h1").alias(name), F.col("n").alias(f"n{name}"), F.col("signature").alias(f"s{name}"),
                             F.explode(keys).alias("key"))
 
-    index, probe = exploded("index_keys", "a"), exploded("probe_keys", "b")
+    index, probe = exploded(F.col("index_keys"), "a"), exploded(F.concat("index_keys", "probe_keys"), "b")
     hot = index.groupBy("key").agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > hot_rows)
     hot = written(hot.select(F.col("key").alias("hot")), "hot-segments")  # Catalyst broadcasts it by its size
     none = F.lit(-1).cast("long")
-    first_number = F.col("sb").bitwiseAND(F.lit(255).cast("long"))
-    near = F.sequence(first_number - max_edits, first_number + max_edits)
+    near = F.array_distinct(F.transform(F.sequence(F.lit(-max_edits), F.lit(max_edits)),
+                                        lambda x: F.pmod(first_number(F.col("sb")) + x, F.lit(32).cast("long"))))
     index = index.join(hot, F.col("key") == F.col("hot"), "left").withColumn(
-        "part", F.when(F.col("hot").isNull(), none).otherwise(F.col("sa").bitwiseAND(F.lit(255).cast("long")))).drop("hot")
+        "part", F.when(F.col("hot").isNull(), none).otherwise(first_number(F.col("sa")))).drop("hot")
     probe = probe.join(hot, F.col("key") == F.col("hot"), "left").withColumn(
         "part", F.explode(F.when(F.col("hot").isNull(), F.array(none)).otherwise(near))).drop("hot")
     met = index.join(probe, ["key", "part"]).where(
@@ -247,11 +261,12 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         raise ValueError("chars_per_edit must be more than twice max_edits")
     lines = lines_of(docs, id_col, text_col).where(F.col("line").rlike(WORD))
     names = {"h1": F.xxhash64("line"), "h2": F.xxhash64(F.lit("line"), F.col("line"))}
-    line, n = F.col("line"), F.col("n")
-    hashed = lines.withColumns(names | {"n": F.char_length("line")}).select(
+    line, code, n = F.col("line"), F.col("code"), F.col("n")
+    coded = lines.withColumns(names | {"code": F.encode("line", "UTF-32")})
+    hashed = coded.withColumn("n", (F.octet_length("code") / 4).cast("int")).select(
         "h1", "h2", "n", F.struct("doc_id", "of", "no").alias("at"), signature(line).alias("signature"),
-        index_keys(line, n, max_edits, chars_per_edit).alias("index_keys"),
-        probe_keys(line, n, max_edits, chars_per_edit).alias("probe_keys"))
+        index_keys(code, n, max_edits, chars_per_edit).alias("index_keys"),
+        probe_keys(code, n, max_edits, chars_per_edit).alias("probe_keys"))
     first = hashed.groupBy("h1", "h2").agg(F.min("at").alias("at"), F.count(F.lit(1)).alias("c"), *[
         F.any_value(c).alias(c) for c in ("n", "signature", "index_keys", "probe_keys")])
     first = written(first, "distinct-lines")

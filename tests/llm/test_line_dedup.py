@@ -141,3 +141,23 @@ def test_few_and_many_removed_lines_alike(spark, docs_of, prose):
     assert got[0] == docs[0][1]
     for k, n in ((1, 10), (2, 64), (3, 65), (4, 5_000)):
         assert got[k].split("\n") == [""] + [f"own {k} {i} " + prose(9, 10_000 * k + i) for i in range(min(n, 70))]
+
+
+def test_signatures_part_lines_of_one_family(spark, docs_of):
+    """Lines that share all segments but one and differ there by more than the edits do not meet, however many; numbers
+    beyond the signature's largest one lose no similar pair."""
+    from equiaudit.llm import line_dedup as L
+
+    common = "the same words again and again " * 4
+    rows = [(i, common + "".join(c * (3 * ((i >> k) & 1)) for k, c in enumerate(" hld")) + "zyxwv")
+            for i in range(16)]
+    rows += [(50 + i, "e" * (31 + i) + "q" * 30) for i in range(3)]
+    lines = L.lines_of(docs_of(*rows), "doc_id", "text").withColumns(
+        {"h1": F.xxhash64("line"), "code": F.encode("line", "UTF-32"), "n": F.char_length("line")})
+    first = lines.select("h1", "n", L.signature(F.col("line")).alias("signature"),
+                         L.index_keys(F.col("code"), F.col("n"), 2, 20).alias("index_keys"),
+                         L.probe_keys(F.col("code"), F.col("n"), 2, 20).alias("probe_keys"))
+    for hot_rows in (0, 1_000):
+        assert L.meeting_pairs(first, 2, 20, hot_rows).count() == 3
+    got = {r["doc_id"]: r["n_removed"] for r in line_counts(docs_of(*rows)).collect()}
+    assert {i for i, n in got.items() if n} == {51, 52}
