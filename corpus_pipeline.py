@@ -14,16 +14,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from equiaudit.llm.common import drop_scratch, held_out, scratch_mark, scratch_path, table, training_sample_by
+from equiaudit.llm.common import drop_scratch, held_out, scratch_mark, scratch_path, table, written
 from equiaudit.llm.langid import MIN_WORDS, UNKNOWN, identify, least_known_shares, train
 from equiaudit.llm.line_dedup import deduplicated
 from equiaudit.llm.mixture import mixed_documents
 from equiaudit.llm.near_dedup import near_duplicates
 from equiaudit.llm.packing import pack
 
-#: Labelled documents of each language that the model learns from, and that its limits are taken from.
-SAMPLE_ROWS, CHECKED_ROWS = 12_000, 2_000
-
 
 def _recounted(docs: DataFrame) -> DataFrame:
     """n_chars follows the text."""
@@ -35,16 +32,15 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Null texts and texts without a letter go.  So do texts of 20 words and more of which the model of the learned
     languages knows next to nothing: less than half of what nearly all labelled documents of the predicted language
-    reach that it was not trained on (a quarter of them, by a hash of the id).  Shorter texts tell too little to be
-    rejected, and a language of a few labelled documents rejects nothing.  Where no row has a label, no language can be
-    learned, and texts with a letter pass."""
-    labelled = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull())
+    reach that it was not trained on (a quarter of them, by a hash of the id).  Every labelled document counts, for the
+    model or for these limits.  Shorter texts tell too little to be rejected, and a language of a few labelled documents
+    rejects nothing.  Where no row has a label, no language can be learned, and texts with a letter pass."""
     aside = held_out("doc_id", 4, 2)
-    model = train(training_sample_by(labelled.where(~aside), "doc_id", "lang", SAMPLE_ROWS))
+    model = train(docs.select("text", "lang").where(F.col("lang").isNotNull() & ~aside))
     if not model.languages:
         return docs.where(F.col("text").rlike(r"\p{L}"))
-    least = least_known_shares(training_sample_by(labelled.where(aside), "doc_id", "lang", CHECKED_ROWS, "known"), model)
-    told = identify(docs, model, out=("__lang", "__score", "__words", "__known"))
+    told = written(identify(docs, model, out=("__lang", "__score", "__words", "__known")), "languages")
+    least = least_known_shares(told.where(F.col("lang").isNotNull() & aside))
     needed = F.lit(0.0)
     for name, share in least.items():
         needed = F.when(F.col("__lang") == name, F.lit(share)).otherwise(needed)

@@ -133,15 +133,14 @@ class Evidence(Scorer):
         return len(words), sum(map(self._known, words)) / len(words) if words else 0.0
 
 
-def least_known_shares(rows: DataFrame, model: LanguageModel, text_col: str = "text", lang_col: str = "lang",
+def least_known_shares(told: DataFrame, lang_col: str = "lang", words_col: str = "__words", known_col: str = "__known",
                        share: float = 0.5, quantile: float = 0.005, min_words: int = MIN_WORDS,
                        min_rows: int = 50) -> dict[str, float]:
     """By language, how much of a text of ``min_words`` words the model must know: ``share`` of what all but a
-    ``quantile`` of labelled ``rows`` (not those it was trained on) reach.  0 where fewer than ``min_rows`` tell."""
-    told = identify(rows, model, text_col, ("__lang", "__score", "__words", "__known")).where(
-        F.col("__words") >= min_words)
-    found = told.groupBy(F.col(lang_col).alias("lang")).agg(
-        F.count(F.lit(1)).alias("n"), F.percentile_approx("__known", quantile).alias("least")).collect()
+    ``quantile`` of labelled rows (not those it was trained on) reach.  ``told``: these rows with the number of their
+    words and the share known.  0 where fewer than ``min_rows`` tell."""
+    found = told.where(F.col(words_col) >= min_words).groupBy(F.col(lang_col).alias("lang")).agg(
+        F.count(F.lit(1)).alias("n"), F.percentile_approx(known_col, quantile).alias("least")).collect()
     return {r["lang"]: share * r["least"] if r["n"] >= min_rows else 0.0 for r in found}
 
 

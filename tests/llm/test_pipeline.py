@@ -99,3 +99,23 @@ def test_entry_without_the_subpackage(tmp_path):
     code = "import __spark_entry__ as e; q = e.queries(); print('fairness_report' in q, 'op1_warc' in q)"
     out = subprocess.run([sys.executable, "-B", "-c", code], cwd=tmp_path, capture_output=True, text=True, timeout=120)
     assert out.stdout.split() == ["True", "False"], out.stderr[-500:]
+
+
+def test_every_labelled_document_counts_for_the_language(spark, docs_of, tmp_path, monkeypatch):
+    """The model learns from all labelled rows of three quarters, its limits come from all of the other quarter."""
+    from equiaudit.llm.common import held_out
+
+    seen = {}
+
+    def recorded(name, fn):
+        def call(rows, *a, **k):
+            seen[name] = rows.count()
+            return fn(rows, *a, **k)
+        return call
+
+    for name in ("train", "least_known_shares"):
+        monkeypatch.setattr(cp, name, recorded(name, getattr(cp, name)))
+    docs = docs_of(*[(i, "one two three", "en") for i in range(20_000)], (20_000, "one two three", None))
+    aside = docs.where(held_out("doc_id", 4, 2) & (docs.lang == "en")).count()
+    assert cp.language(spark, docs, str(tmp_path)).count() == 20_001
+    assert seen == {"train": 20_000 - aside, "least_known_shares": aside}
