@@ -11,7 +11,7 @@ from equiaudit import constants as C
 from equiaudit.functions import positive_flag
 from equiaudit.operators.keyed import empty_keyed, join_by, rank_in
 from equiaudit.operators.rates import rates_from_counts
-from equiaudit.session import cut_lineage
+from equiaudit.session import stored
 
 #: Sketches have 2**12 registers: at most 4 KB, 1.6 % standard error, exact for a few hundred values.
 SKETCH_BITS = 12
@@ -78,7 +78,7 @@ def _narrow_values(df: DataFrame, cols: Sequence[str], limit: int, by: Sequence[
     """
     near = _near_limit(column_sketches(df, cols, by) if sketches is None else sketches, cols, limit)
     # one row per run: joined to the records, and its column names (at most those given) brought to the driver
-    near = cut_lineage(near.groupBy(*by).agg(F.collect_set("feature").alias("__near")))
+    near = stored(near.groupBy(*by).agg(F.collect_set("feature").alias("__near")), "near-columns")
     some = {r["c"] for r in near.select(F.explode("__near").alias("c")).distinct().collect()}
     kept = [c for c in cols if c in some]
     if not kept:

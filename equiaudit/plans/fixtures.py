@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from equiaudit.functions import right_closed_bins
+from equiaudit.session import shuffle_partitions
 
 # Fixed values of the scored view.
 POSITIVE = "good"
@@ -28,6 +29,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+#: Rows of a part that a task sorts for a join.
+PART_ROWS = 500_000
+
+
+def by_parts(df: DataFrame, key: str, sized: DataFrame) -> DataFrame:
+    """``df`` dealt by ``key`` into as many parts as the rows of ``sized`` (a file's: counted in its footers) ask for;
+    left to Spark where its own number is enough."""
+    parts = -(-sized.count() // PART_ROWS)
+    return df.repartition(parts, key) if parts > shuffle_partitions(df.sparkSession) else df
+
+
 def scored_lineitems(spark: SparkSession, sf_dir: str, with_run: bool = False) -> DataFrame:
     return _scored(spark, sf_dir, with_run)
 
@@ -43,7 +55,9 @@ def _scored(spark: SparkSession, sf_dir: str, with_run: bool) -> DataFrame:
     li = table(spark, sf_dir, "lineitem")
     o = table(spark, sf_dir, "orders")
     c = table(spark, sf_dir, "customer")
-    j = li.join(o, li.l_orderkey == o.o_orderkey).join(c, o.o_custkey == c.c_custkey)
+    # the lines, the most and widest rows, are dealt once, in parts of a bounded number of rows
+    j = by_parts(li, "l_orderkey", li).join(by_parts(o.join(c, o.o_custkey == c.c_custkey), "o_orderkey", li),
+                                        li.l_orderkey == o.o_orderkey)
     raw = (
         (F.col("l_orderkey") * 7 + F.col("l_partkey") * 13 + F.col("l_linenumber") * 31) % 700
         + F.when(F.col("l_returnflag") == "R", 200).otherwise(0)
