@@ -17,6 +17,7 @@ across tasks.
 
 from __future__ import annotations
 
+import math
 from typing import Iterator, Sequence
 
 import numpy as np
@@ -26,10 +27,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from equiaudit.functions import coerce_numeric
-from equiaudit.operators.prefix import range_bounds
 from equiaudit.session import shuffle_partitions
 
 _D = "decimal(38,0)"
+#: Rows of a range, and the most ranges: what a task sorts does not follow the number of rows.
+RANGE_ROWS, MAX_RANGES = 250_000, 1_024
 
 
 def _combined(rows: DataFrame, by: Sequence[str], bounds: Sequence[float]) -> DataFrame:
@@ -51,6 +53,16 @@ def _combined(rows: DataFrame, by: Sequence[str], bounds: Sequence[float]) -> Da
     return rows.mapInArrow(combine, schema)
 
 
+def _ranges(rows: DataFrame, least: int) -> list[float]:
+    """Bounds of about ``RANGE_ROWS`` rows each, of ``least`` ranges at least; one pass counts the rows and sketches them."""
+    probs = [i / MAX_RANGES for i in range(1, MAX_RANGES)]
+    got = rows.agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("__s", probs, 10 * MAX_RANGES).alias("q")).first()
+    want = min(MAX_RANGES, max(least, math.ceil(got["n"] / RANGE_ROWS)))
+    q = [got["q"][i * MAX_RANGES // want - 1] for i in range(1, want)] if got["q"] else []
+    # infinite scores are in the outer ranges whatever the bounds are
+    return sorted({float(x) for x in q if x is not None and math.isfinite(x)})
+
+
 def auc(df: DataFrame, label: Column, score: str | Column, by: Sequence[str] = (),
         buckets: int | None = None) -> DataFrame:
     """(…by, auc, n_pos, n_neg); ``label`` is a 0/1 column.  Null/NaN scores are skipped;
@@ -59,10 +71,12 @@ def auc(df: DataFrame, label: Column, score: str | Column, by: Sequence[str] = (
     yt = label.cast("long")
     rows = df.select(*by, coerce_numeric(score).alias("__s"), yt.alias("__pos"), (F.lit(1) - yt).alias("__neg")).where(
         F.col("__s").isNotNull())
-    bounds = range_bounds(rows, "__s", buckets or shuffle_partitions(df.sparkSession))
+    parts = buckets or shuffle_partitions(df.sparkSession)
+    bounds = _ranges(rows, parts)
     key = [*by, "__range"]
     # dealt by key and range: the next three steps find their rows together
-    dealt = _combined(rows, by, bounds).repartition(*key)
+    dealt = _combined(rows, by, bounds)
+    dealt = dealt.repartition(*key) if len(bounds) < parts else dealt.repartition(len(bounds) + 1, *key)
     ties = dealt.groupBy(*key, "__s").agg(F.sum("__pos").alias("__pos"), F.sum("__neg").alias("__neg"))
     lower = Window.partitionBy(*key).orderBy("__s").rowsBetween(Window.unboundedPreceding, -1)
     pos, neg = F.col("__pos").cast(_D), F.col("__neg").cast(_D)
