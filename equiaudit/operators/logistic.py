@@ -34,7 +34,7 @@ from equiaudit.operators.keyed import join_by, same_key
 from equiaudit.operators.prefix import top_k
 from equiaudit.operators.ranking import auc
 from equiaudit.operators.shift import split_feature_types
-from equiaudit.session import cut_lineage, spread
+from equiaudit.session import cut_lineage, kept_once, spread, stored
 
 MAX_WIDTH, RUNS_PER_PASS, MAX_PASSES, DECREMENT = 1_000, 500, 100, 1e-12
 
@@ -54,9 +54,11 @@ def attribute_classes(df: DataFrame, attributes: Sequence[str], by: Sequence[str
 @dataclass
 class Design:
     """Rows ready for the passes, (rid, y, x, levels): ``rid`` numbers the runs, ``y`` holds 0 / 1 for every attribute
-    (-1 where a run has no model for it), ``x`` the numeric columns and ``levels`` the column of each text value."""
+    (-1 where a run has no model for it), ``x`` the numeric columns and ``levels`` the column of each text value.  The
+    passes read them as ``blocks``, (rid, n, y, x, levels): n rows of one run, whose arrays are bytes."""
 
-    rows: DataFrame
+    rows: DataFrame  # not stored
+    blocks: DataFrame
     runs: DataFrame  # (rid, …by)
     attributes: list[str]
     numeric: list[str]
@@ -107,7 +109,7 @@ def design(df: DataFrame, attributes: Sequence[str], features: Sequence[str], cl
     # the second class of each attribute is the one predicted
     wide = classes.where("n_classes = 2").groupBy(*by).agg(
         *[F.max(F.when(F.col("attribute") == a, F.col("classes")[1])).alias(f"__s{i}") for i, a in enumerate(attributes)])
-    wide = cut_lineage(join_by(runs, wide, by, "inner"))
+    wide = stored(join_by(runs, wide, by, "inner"), "proxy-runs")  # Catalyst broadcasts it by its size
     shown = join_by(df.select(*by, *[F.col(c).alias(f"f_{c}") for c in [*num, *cat]], *[
         F.col(a).alias(f"a_{a}") for a in attributes]), wide, by)
     codes = [F.when(F.col(f"__s{i}").isNull(), F.lit(-1)).otherwise(
@@ -133,37 +135,63 @@ def design(df: DataFrame, attributes: Sequence[str], features: Sequence[str], cl
     rows = base.select("rid", F.col("y").cast("array<int>").alias("y"),
                        F.array(*[F.col(c) for c in num]).cast("array<double>").alias("x"),
                        F.array(*[code(c) for c in cat]).cast("array<int>").alias("levels"))
-    return Design(cut_lineage(spread(rows)), runs, attributes, num, levels)
-
-
-def _matrix(batch: pa.RecordBatch, n_num: int, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """rid, y and the matrix (1, numeric, levels) of a batch."""
-    n = batch.num_rows
-    x = np.zeros((n, width))
-    x[:, 0] = 1.0
-    if n_num:
-        x[:, 1:1 + n_num] = batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(n, n_num)
-    levels = batch.column("levels").flatten().to_numpy(zero_copy_only=False)
-    if len(levels):
-        levels = levels.reshape(n, -1)
-        row, col = np.nonzero(levels >= 0)
-        x[row, 1 + n_num + levels[row, col]] = 1.0
-    y = batch.column("y").flatten().to_numpy(zero_copy_only=False).reshape(n, -1)
-    return batch.column("rid").to_numpy(zero_copy_only=False), y, x
-
-
-#: Rows that are looked at together, whatever the size of a batch.
-_ROWS = 4096
+    return Design(rows, stored(_packed(spread(rows)), "proxy-blocks"), runs, attributes, num, levels)
+
+
+#: Rows of a block, and rows that a task holds before it lets go of unfilled blocks.
+_ROWS, _HELD = 4096, 1 << 17
+_KINDS = {"y": np.dtype(np.int8), "x": np.dtype(np.float64), "levels": np.dtype(np.int16)}
+
+
+def _packed(rows: DataFrame) -> DataFrame:
+    """Rows (rid, y, x, levels) as blocks of the same columns, the arrays as bytes."""
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: dict[int, list] = {}
+        held = 0
+
+        def blocks(r: int) -> Iterator[pa.RecordBatch]:
+            parts = [np.concatenate(p) for p in zip(*waiting.pop(r))]
+            for at in range(0, len(parts[0]), _ROWS):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([r], pa.int64()), pa.array([len(parts[0][at:at + _ROWS])], pa.int64()),
+                     *[pa.array([p[at:at + _ROWS].tobytes()], pa.binary()) for p in parts]], names=["rid", "n", *_KINDS])
+
+        for batch in (b for b in batches if b.num_rows):
+            n, rid = batch.num_rows, batch.column("rid").to_numpy(zero_copy_only=False)
+            arrays = [batch.column(c).flatten().to_numpy(zero_copy_only=False).astype(k).reshape(n, -1)
+                      for c, k in _KINDS.items()]
+            for r in np.unique(rid).tolist():
+                own = slice(None) if rid[0] == r == rid[-1] and (rid == r).all() else rid == r
+                parts = [a[own] for a in arrays]
+                waiting.setdefault(r, []).append(parts)
+                held += len(parts[0])
+                if sum(len(p[0]) for p in waiting[r]) >= _ROWS:
+                    held -= sum(len(p[0]) for p in waiting[r])
+                    yield from blocks(r)
+            if held > _HELD:
+                for r in list(waiting):
+                    yield from blocks(r)
+                held = 0
+        for r in list(waiting):
+            yield from blocks(r)
+
+    return rows.mapInArrow(pack, "rid long, n long, y binary, x binary, levels binary")
 
 
 def _parts(batches: Iterator[pa.RecordBatch], n_num: int, width: int):
-    """(rid, y, matrix) of a run's rows, batch by batch."""
-    for whole in batches:
-        for at in range(0, whole.num_rows, _ROWS):
-            rid, y, x = _matrix(whole.slice(at, _ROWS), n_num, width)
-            for r in np.unique(rid):
-                own = rid == r
-                yield int(r), y[own], x[own]
+    """(rid, y, matrix (1, numeric, levels)) of a run's rows, block by block."""
+    for batch in batches:
+        for rid, n, *arrays in zip(*(batch.column(c) for c in ("rid", "n", *_KINDS)), strict=True):
+            y, num, levels = (np.frombuffer(b.as_py(), dtype=k) for b, k in zip(arrays, _KINDS.values(), strict=True))
+            n = n.as_py()
+            x = np.zeros((n, width))
+            x[:, 0] = 1.0
+            x[:, 1:1 + n_num] = num.reshape(n, n_num)
+            if len(levels):
+                levels = levels.reshape(n, -1)
+                row, col = np.nonzero(levels >= 0)
+                x[row, 1 + n_num + levels[row, col]] = 1.0
+            yield rid.as_py(), y.reshape(n, -1), x
 
 
 def _summed(rows: DataFrame, add, n_num: int, width: int) -> dict[tuple[int, int], np.ndarray]:
@@ -236,7 +264,7 @@ def fit_all(d: Design, max_passes: int = MAX_PASSES) -> dict[tuple[int, int], np
     known = sorted(r["rid"] for r in d.runs.select("rid").collect())  # one number for each run
     for i in range(0, len(known), RUNS_PER_PASS):
         some = known[i:i + RUNS_PER_PASS]
-        rows = d.rows if len(some) == len(known) else d.rows.where(F.col("rid").isin(some))
+        rows = d.blocks if len(some) == len(known) else d.blocks.where(F.col("rid").isin(some))
         out |= _fit_some(rows, len(d.numeric), d.width, max_passes)
     return out
 
@@ -306,20 +334,22 @@ def scored_all(d: Design, weights: dict[tuple[int, int], np.ndarray]) -> DataFra
                         [pa.array(np.full(n, r)), pa.array(np.full(n, a, dtype=np.int32)),
                          pa.array(y[:, a].astype(np.int32)), pa.array(p)], names=["rid", "a", "y", "score"])
 
-    return d.rows.mapInArrow(run, "rid long, a int, y int, score double")
+    return d.blocks.mapInArrow(run, "rid long, a int, y int, score double")
 
 
 def proxy_by(df: DataFrame, attributes: Sequence[str], features: Sequence[str], by: Sequence[str] = (),
-             max_passes: int = MAX_PASSES, max_width: int = MAX_WIDTH) -> DataFrame:
+             max_passes: int = MAX_PASSES, max_width: int = MAX_WIDTH, prepared: bool = False) -> DataFrame:
     """H5 for every run and attribute: (…by, attribute, classes, n_classes, accuracy, auc, risk_level, status).
 
-    Fitted and scored in-sample (as audited).  An attribute that does not have two classes in a run is
+    The rows are read several times, so their columns are written first, unless they are ``prepared`` so already.  Fitted and scored in-sample (as audited).  An attribute that does not have two classes in a run is
     ``unsupported`` there."""
     by, attributes = list(by), list(attributes)
+    if not prepared:
+        df = kept_once(df.select(*dict.fromkeys([*by, *attributes, *features])), "proxy-rows")
     classes = cut_lineage(attribute_classes(df, attributes, by))
     d = design(df, attributes, features, classes, by, max_width)
     weights = fit_all(d, max_passes)
-    rows = cut_lineage(scored_all(d, weights))
+    rows = stored(scored_all(d, weights), "proxy-scores")
     hit = (F.col("score") > 0.5).cast("int") == F.col("y")
     accuracy = rows.groupBy("rid", "a").agg(F.avg(hit.cast("int")).alias("accuracy"))
     found = accuracy.join(auc(rows, F.col("y"), "score", by=["rid", "a"]).select("rid", "a", "auc"), ["rid", "a"])

@@ -27,7 +27,7 @@ from equiaudit.operators import shift, slices, thresholds
 from equiaudit.operators.keyed import empty_keyed, join_by, same_key
 from equiaudit.operators.split import stratified_split
 from equiaudit.plans import diagnostic_rules as rules
-from equiaudit.session import cut_lineage
+from equiaudit.session import cut_lineage, kept_once
 from equiaudit.sources import audit_store, documents
 from equiaudit.sources.readers import feature_columns, prepare, read_dataset
 from equiaudit.sources.row_numbers import number_rows
@@ -46,6 +46,7 @@ class AuditContext:
     #: The attributes of all planned proxy models, which are fitted together, and their results.
     proxy_attributes: Sequence[str] = ()
     proxies: dict = field(default_factory=dict)
+    rows_kept: bool = False  # whether ``scored`` is written already
 
 
 def _options(ctx: AuditContext, tool: str) -> dict:
@@ -91,7 +92,8 @@ def _proxy(ctx: AuditContext, attribute=None):
     key = tuple(together)
     if key not in ctx.proxies:
         try:
-            ctx.proxies[key] = cut_lineage(logistic.proxy_by(ctx.scored, together, ctx.features, ctx.by, **options))
+            ctx.proxies[key] = cut_lineage(logistic.proxy_by(ctx.scored, together, ctx.features, ctx.by,
+                                                                 prepared=ctx.rows_kept, **options))
         except logistic.TooWide:
             ctx.proxies[key] = None
     if ctx.proxies[key] is not None:
@@ -184,7 +186,7 @@ def run_diagnostics(ctx: AuditContext, plan: Sequence[tuple[str, str | None]] |
     if sum(tool in READ_ROWS for tool, _ in items) > 1:
         used = dict.fromkeys(c for c in (*by, "y_true", "y_pred", "y_score", *ctx.spec.sensitive_cols, *ctx.features,
                                          *[a for _, a in items if a]) if c in ctx.scored.columns)
-        ctx.scored = cut_lineage(ctx.scored.select(*used))
+        ctx.scored, ctx.rows_kept = kept_once(ctx.scored.select(*used), "diagnostic-rows"), True
     ctx.proxy_attributes = list(dict.fromkeys(a for tool, a in items if tool == "run_proxy_detection" and a))
     parts = []
     for tool, attribute in items:

@@ -73,6 +73,12 @@ def stored(df: DataFrame, name: str, schema: StructType | None = None) -> DataFr
     return spark.read.schema(schema or df.schema).parquet(path)
 
 
+def kept_once(df: DataFrame, name: str) -> DataFrame:
+    """``stored`` for rows that several steps read, each some of the columns; columns without a type are checkpointed."""
+    plain = all(f.dataType.typeName() != "void" for f in df.schema.fields)
+    return stored(df, name) if plain and df.columns else cut_lineage(df)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     try:
         return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))

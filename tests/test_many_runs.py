@@ -207,3 +207,47 @@ def test_diagnostics_of_all_runs_together(scored):
         alone = slices.slice_scan(_of(rows, run), FEATURES, fx.POSITIVE)
         assert _set(_of(ctx.outputs["run_slice_scan", None, "slice_scan"], run)) == _set(alone)
         assert got[run, "run_slice_scan", None].n_rows == alone.count()
+
+
+def test_blocks_hold_all_rows_of_their_run(spark):
+    """Rows of many runs in any order, some runs of more than a block: blocks of one run each, nothing lost."""
+    rows = spark.range(30_000).selectExpr("if(id < 20000, 0, id % 700) as rid", "array(cast(id % 2 as int), -1) as y",
+                                          "array(cast(id as double)) as x", "array(cast(id % 5 as int) - 1) as levels")
+
+    def look(batches):
+        import pyarrow as pa
+
+        for r, y, x in logistic._parts(batches, 1, 6):
+            codes = (x[:, 2:] * [1, 2, 3, 4]).sum(axis=1) - 1
+            yield pa.RecordBatch.from_arrays([pa.array([r] * len(x)), pa.array(x[:, 1]), pa.array(y[:, 0].astype(int)),
+                                              pa.array(codes)], names=["rid", "x", "y", "code"])
+
+    blocks = logistic._packed(rows.repartition(3))
+    assert blocks.agg({"n": "max"}).first()[0] <= 4096
+    got = blocks.mapInArrow(look, "rid long, x double, y long, code double")
+    want = rows.selectExpr("rid", "x[0] as x", "cast(y[0] as long) as y", "cast(levels[0] as double) as code")
+    assert got.count() == 30_000 and got.exceptAll(want).count() == 0
+
+
+def test_ranges_follow_the_number_of_rows(spark, monkeypatch):
+    """What a task sorts for the AUC is bounded, and the AUC does not depend on it."""
+    from pyspark.sql import functions as F
+
+    from equiaudit.operators import ranking
+
+    df = spark.range(5_000).selectExpr("cast(pmod(hash(id), 997) as double) as s", "cast(id % 2 as int) as y")
+    before = ranking.auc(df, F.col("y"), "s").first()
+    monkeypatch.setattr(ranking, "RANGE_ROWS", 100)
+    assert len(ranking._ranges(df.selectExpr("s as __s"), 8)) >= 45
+    assert ranking.auc(df, F.col("y"), "s").first() == before
+
+
+def test_parts_follow_the_number_of_rows(spark, monkeypatch):
+    """What a task sorts for the join of the scored rows is bounded; few rows are left to Spark."""
+    from equiaudit.plans import fixtures as fx
+
+    df = spark.range(1_000)
+    assert fx.by_parts(df, "id", df) is df
+    monkeypatch.setattr(fx, "PART_ROWS", 10)
+    dealt = fx.by_parts(df, "id", df)
+    assert dealt.rdd.getNumPartitions() == 100 and dealt.count() == 1_000
