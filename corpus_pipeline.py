@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from equiaudit.llm.common import drop_scratch, held_out, scratch_mark, scratch_path, table, written
+from equiaudit.llm.common import TEXT_ROWS, drop_scratch, held_out, scratch_mark, scratch_path, table, written
 from equiaudit.llm.langid import MIN_WORDS, UNKNOWN, identify, least_known_shares, train
 from equiaudit.llm.line_dedup import deduplicated
 from equiaudit.llm.mixture import mixed_documents
@@ -39,7 +39,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = train(docs.select("text", "lang").where(F.col("lang").isNotNull() & ~aside))
     if not model.languages:
         return docs.where(F.col("text").rlike(r"\p{L}"))
-    told = written(identify(docs, model, out=("__lang", "__score", "__words", "__known")), "languages")
+    told = written(identify(docs, model, out=("__lang", "__score", "__words", "__known")), "languages", TEXT_ROWS)
     least = least_known_shares(told.where(F.col("lang").isNotNull() & aside))
     needed = F.lit(0.0)
     for name, share in least.items():

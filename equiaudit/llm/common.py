@@ -5,6 +5,7 @@ from __future__ import annotations
 import string
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +18,9 @@ from equiaudit.session import ensure_checkpoint_dir
 WORD = r"[^\x20\x09-\x0D]+"
 #: The same characters as a set, for translate().
 WHITE = " \t\n\x0b\x0c\r"
+#: Rows of whole texts that Spark hands to a Python worker at once; the operators cut these again.
+TEXT_ROWS = 1024
+_ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -81,16 +85,32 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+@contextmanager
+def arrow_rows(spark: SparkSession, rows: int | None) -> Iterator[None]:
+    """Jobs started inside send Python workers ``rows`` rows at once, unless the session sets a number of its own.
+    Spark's 10,000 whole texts are tens of megabytes, held several times over by a task and its worker."""
+    if rows is None or spark.conf.get(_ARROW_ROWS, None) is not None:
+        yield
+        return
+    spark.conf.set(_ARROW_ROWS, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.unset(_ARROW_ROWS)
+
+
+def written(df: DataFrame, name: str, batch_rows: int | None = None) -> DataFrame:
     """Cut lineage: write ``df`` as Parquet below the shared checkpoint folder and read it again.
 
     Every executor can read the files, so a lost executor costs no more than
     its running tasks.  The files stay until ``drop_scratch`` removes them,
-    because lazy results built on them may still be read.
+    because lazy results built on them may still be read.  ``batch_rows``
+    bounds the rows handed to a Python worker at once (see ``arrow_rows``).
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
+    with arrow_rows(spark, batch_rows):
+        df.write.parquet(path)
     _MADE.append(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from equiaudit.llm.common import held_out, training_sample_by, written
+from equiaudit.llm.common import TEXT_ROWS, held_out, training_sample_by, written
 
 UNKNOWN = "und"
 SAMPLE_ROWS = 12_000
@@ -162,7 +162,7 @@ def train(rows: DataFrame, text_col: str = "text", lang_col: str = "lang", max_w
 
     counted = pairs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).mapInArrow(
         count, "item string, lang string, n long")
-    words = written(counted.groupBy("item", "lang").agg(F.sum("n").alias("n")), "words")
+    words = written(counted.groupBy("item", "lang").agg(F.sum("n").alias("n")), "words", TEXT_ROWS)
     padded = F.concat(F.lit(" "), F.col("item"), F.lit(" "))
 
     def parts(k: int) -> Column:  # a lambda of two parameters would get the index as the second

@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from equiaudit.llm.common import written
+from equiaudit.llm.common import TEXT_ROWS, written
 from equiaudit.llm.components import components
 from equiaudit.llm.shingles import mix, shingle_sets
 
@@ -201,7 +201,7 @@ def links_between(groups: DataFrame, buckets: DataFrame, sets: DataFrame, percen
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS,
                     percent: int = PERCENT, tables: int = TABLES, hashes: int = HASHES) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), one row per row of ``docs``."""
-    rows = written(sketches(docs, id_col, text_col, words, tables, hashes), "sketches")
+    rows = written(sketches(docs, id_col, text_col, words, tables, hashes), "sketches", TEXT_ROWS)
     classes = rows.where("n > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.first("halves").alias("halves"))
     classes = written(classes, "classes")
     reps = classes.where(F.col("rep").isNotNull())
@@ -215,7 +215,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     members = tied.select("rep").distinct()
     wanted = reps.join(members, "rep").select("rep", "s1", "s2")
-    sets = written(full_sets(docs, wanted, id_col, text_col, words), "sets")
+    sets = written(full_sets(docs, wanted, id_col, text_col, words), "sets", TEXT_ROWS)
     links = written(confirmed(pairs, sets, percent), "links")
     first = written(components(links), "groups")
     groups = members.join(first.withColumnRenamed("node", "rep"), "rep", "left").select(

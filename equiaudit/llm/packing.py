@@ -43,7 +43,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from equiaudit.llm.common import text_or_empty, written
+from equiaudit.llm.common import TEXT_ROWS, text_or_empty, written
 
 SEQUENCE = 2048
 #: Tokens of a window: sixteen sequences.
@@ -311,7 +311,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
          sequence: int = SEQUENCE, window: int = WINDOW_TOKENS, max_sources: int | None = None,
          local_sources: int = LOCAL_SOURCES) -> DataFrame:
     """(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, source), one row per piece."""
-    rows = written(encoded(docs, id_col, text_col, source_col, paths or public_paths()), "tokens")
+    rows = written(encoded(docs, id_col, text_col, source_col, paths or public_paths()), "tokens", TEXT_ROWS)
     sums = written(rows.groupBy("source", "part").agg(F.sum("n").alias("n")), "token-sums")
     sources = sums.groupBy("source").agg(F.sum("n").alias("n")).orderBy(F.col("source").asc_nulls_last())
     if max_sources is not None and sources.limit(max_sources + 1).count() > max_sources:
